@@ -16,22 +16,16 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import bound_batches
+
 #: Distinct pre-tokens that one worker remembers; the memory is emptied when full.
 MEMO = 200_000
-#: Rows of a batch that goes to Python: bounds memory where texts are long.
-BATCH_ROWS = 256
 WORD = 256
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's rows per Arrow batch to at most `rows`."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 class RankQueue:
     """Positions by rank; pop() gives the leftmost position of the least rank."""
 

@@ -11,15 +11,14 @@ length, over all classes of that worker: a bounded number of pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .byte_bpe import bound_batches
-from .shared import stored
+from .shared import mapped, stored
 
 CAPACITY = 4096
 TOLERANCE = 0.01
@@ -74,23 +73,24 @@ def tokens(docs: DataFrame, path: str, end_id: int, text: str = "text", capacity
     The vocabulary drops white space, so the parts between blanks and line ends are encoded apart
     and remembered. Null texts count as empty: end_id alone.
     """
-    bound_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str]) -> tuple:
         known, end = _ids(path), end_id.to_bytes(4, "little")
-        for b in batches:
-            rows = []
-            for doc_id, t in zip(b["doc_id"], b["_text"], strict=True):
-                data = b"".join(map(known.__getitem__, t.replace("\n", " ").split(" "))) + end
-                n, start = len(data) // 4, 0
-                for length in cuts(n, capacity):
-                    rows.append((doc_id, start, length, data[4 * start : 4 * (start + length)], n))
-                    start += length
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    given = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return given.mapInPandas(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
+        at, starts, lengths, parts, totals = [], [], [], [], []
+        for i, t in enumerate(texts):
+            data = b"".join(map(known.__getitem__, (t or "").replace("\n", " ").split(" "))) + end
+            start = 0
+            for length in cuts(len(data) // 4, capacity):
+                at.append(i)
+                starts.append(start)
+                lengths.append(length)
+                parts.append(data[4 * start : 4 * (start + length)])
+                totals.append(len(data) // 4)
+                start += length
+        return at, starts, lengths, parts, totals
+
+    kinds = {"start": T.LongType(), "length": T.LongType(), "ids": T.BinaryType(), "doc_tokens": T.LongType()}
+    return mapped(docs, ["doc_id"], [text], [T.StructField(n, k) for n, k in kinds.items()], work, rows=True)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

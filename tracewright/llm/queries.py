@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, harmonic_packing, hilbert_shards, license_scans, quality_rules, url_filters
+from . import byte_bpe, cover_tree, harmonic_packing, hilbert_shards, license_scans, line_dedup, minhash_dedup, quality_rules, toxicity, url_filters
 from .shared import read
 
 END_ID = 2
@@ -46,11 +46,40 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    costs, evidence, prior = toxicity.fitted(docs, read(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, costs, evidence, prior)
+    held_out = F.coalesce(toxicity.remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, "score", "predicted", F.size("toxic_words").cast("long").alias("n_toxic_words"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filters.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, URL_BLOCKED)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    t = F.coalesce(F.col("text"), F.lit(""))
+    removed = F.coalesce(F.size("removed_lines"), F.lit(0))
+    return out.select(
+        "doc_id",
+        "n_lines",
+        F.when(removed > 0, removed).otherwise(0).cast("long").alias("n_removed"),
+        F.length(t).cast("long").alias("left_chars"),
+        F.crc32(t.cast("binary")).alias("left_crc32"),
+    )
+
+
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.links(read(spark, sf_dir, "embeddings"))
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.groups(read(spark, sf_dir, "documents"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +95,18 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_hilbert_shards, op5_url_filters, op9_harmonic_packing, op10_license_scans)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_byte_bpe,
+        op3_hilbert_shards,
+        op4_toxicity,
+        op5_url_filters,
+        op6_line_dedup,
+        op7_cover_tree,
+        op8_minhash_dedup,
+        op9_harmonic_packing,
+        op10_license_scans,
+    )
 }
 ORACLES: dict[str, str] = {}

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: White space that separates words in all contracts of this package.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -41,3 +45,34 @@ def words_of(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def mapped(df: DataFrame, keep: list[str], given: list[str], fields: list[T.StructField], work: Callable[..., tuple], rows: bool = False) -> DataFrame:
+    """Columns `keep` as they are, then `fields`, which work(*lists of the given columns) returns in order.
+
+    Runs on Arrow batches, so kept columns of any type pass untouched. rows: work returns the
+    places of the input rows that its output rows belong to first, and may repeat or drop rows.
+    """
+    schema = T.StructType([*[df.schema[c] for c in keep], *fields])
+    names = [f.name for f in schema]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.columns[: len(keep)]
+            out = work(*[c.to_pylist() for c in batch.columns[len(keep) :]])
+            if rows:
+                at = pa.array(out[0], pa.int64())
+                kept, out = [c.take(at) for c in kept], out[1:]
+            new = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept, *new], names=names)
+
+    bound_batches(df.sparkSession)
+    inputs = [F.col(c).alias(f"_given{i}") for i, c in enumerate(given)]
+    return df.select(*[F.col(f"`{c}`") for c in keep], *inputs).mapInArrow(run, schema)
+
+
+def bound_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Lower the session's rows per Arrow batch to at most `rows`: bounds memory where texts are long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

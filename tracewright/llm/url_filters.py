@@ -10,16 +10,14 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .byte_bpe import bound_batches
-from .shared import shared_dir
+from .shared import mapped, shared_dir
 
 ALLOW, BLOCK = 1, 2
 
@@ -113,7 +111,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], blocked: list[str], ur
     empty host and fit nothing. Columns named like an added one are replaced.
     """
     spark = pages.sparkSession
-    bound_batches(spark, 4096)
     code = {"allow": ALLOW, "block": BLOCK}
     by_rule = publish(spark, [(k, code[v]) for k, v in dict(rules).items()])
     by_list = publish(spark, [(k, BLOCK) for k in dict.fromkeys(blocked)])
@@ -144,17 +141,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], blocked: list[str], ur
                 best[i], what[i] = keys[k], codes[k]
         return best, what
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hosts, paths = [x.encode() for x in b["host"]], [x.encode() for x in b["path"]]
-            best, what = hits(by_rule, hosts, paths)
-            _, listed = hits(by_list, hosts, paths)
-            verdict = np.where(what > 0, what, np.where(listed > 0, BLOCK, ALLOW))
-            yield b.assign(rule=[x.decode() if x else None for x in best], verdict=np.where(verdict == BLOCK, "block", "allow"))
+    def work(given_hosts: list[str], given_paths: list[str]) -> tuple:
+        hosts, paths = [x.encode() for x in given_hosts], [x.encode() for x in given_paths]
+        best, what = hits(by_rule, hosts, paths)
+        _, listed = hits(by_list, hosts, paths)
+        verdict = np.where(what > 0, what, np.where(listed > 0, BLOCK, ALLOW))
+        return [x.decode() if x else None for x in best], np.where(verdict == BLOCK, "block", "allow").tolist()
 
     rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     p = pages.select(*rest).withColumn("_url", F.col(url))
     host, path = split_url(F.col("_url"))
     p = p.withColumn("host", host).withColumn("path", path).drop("_url")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema) + ", rule string, verdict string"
-    return p.mapInPandas(run, schema)
+    fields = [T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]
+    return mapped(p, p.columns, ["host", "path"], fields, work)
