@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .shared import mapped, stored
 
 #: Fewest words of a block that is deleted.
-MIN_WORDS = 25
+MIN_WORDS = 15
 _CUT = re.compile(r"(?<=[.!?])(?=[ \t])|(?<=\n)")
 
 
