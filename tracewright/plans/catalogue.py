@@ -1,10 +1,6 @@
 """Every query of the trace engine by name, with SQL for comparison."""
 
-from __future__ import annotations
+from . import comm_queries, flow_queries, interval_queries, lookup_queries, memory_queries, scalar_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
