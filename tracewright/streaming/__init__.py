@@ -1 +1 @@
-"""Streaming of the trace engine."""
+"""Structured Streaming variants of the sequence operators."""
