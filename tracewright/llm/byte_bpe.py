@@ -19,46 +19,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import bound_batches
+from .shared import Memo, bound_batches
 
-#: Distinct pre-tokens that one worker remembers; the memory is emptied when full.
-MEMO = 200_000
-WORD = 256
+#: Distinct pre-tokens that one worker remembers at least.
+MEMO = 250_000
+#: The bitmap's words have 2 ** BITS bits.
+BITS = 8
+LOW = (1 << BITS) - 1
 
 
 class RankQueue:
-    """Positions by rank; pop() gives the leftmost position of the least rank."""
+    """Positions by rank; pop() gives the leftmost position of the least rank.
+
+    A bucket is a single position, or a heap once its rank occurs more than once at a time.
+    """
+
+    __slots__ = ("buckets", "top", "words")
 
     def __init__(self) -> None:
         self.top = 0
         self.words: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            bucket = self.buckets[rank] = []
-        if not bucket:
-            high, low = divmod(rank, WORD)
-            self.words[high] = self.words.get(high, 0) | 1 << low
-            self.top |= 1 << high
-        heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        high = (self.top & -self.top).bit_length() - 1
-        word = self.words[high]
-        low = (word & -word).bit_length() - 1
-        rank = high * WORD + low
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            word &= word - 1
-            self.words[high] = word
+        had = self.buckets.get(rank)
+        if had is None:
+            self.buckets[rank] = position
+            high = rank >> BITS
+            word = self.words.get(high, 0)
             if not word:
-                self.top &= self.top - 1
-        return rank, position
+                self.top |= 1 << high
+            self.words[high] = word | 1 << (rank & LOW)
+        elif had.__class__ is int:
+            self.buckets[rank] = [had, position] if had < position else [position, had]
+        else:
+            heappush(had, position)
+
+    def pop(self) -> tuple[int, int]:
+        """(rank, position); only while top is not 0."""
+        top = self.top
+        high = (top & -top).bit_length() - 1
+        word = self.words[high]
+        rank = high << BITS | (word & -word).bit_length() - 1
+        had = self.buckets[rank]
+        if had.__class__ is not int:
+            position = heappop(had)
+            if len(had) == 1:
+                self.buckets[rank] = had[0]
+            return rank, position
+        del self.buckets[rank]
+        word &= word - 1
+        self.words[high] = word
+        if not word:
+            self.top = top & top - 1
+        return rank, had
 
 
 class RankBpe:
@@ -70,7 +84,7 @@ class RankBpe:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.packed, MEMO)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> RankBpe:
@@ -84,61 +98,53 @@ class RankBpe:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
+        get = ranks.get
         n = len(piece)
         part = [piece[i : i + 1] for i in range(n)]
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         queue = RankQueue()
-        now = [-1] * n  # rank of the pair that starts here
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
-                now[i] = r
-                queue.push(r, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+        push, pop = queue.push, queue.pop
+        now = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the pair that starts here
+        now[-1] = -1
+        for i, r in enumerate(now):
+            if r >= 0:
+                push(r, i)
+        while queue.top:
+            rank, i = pop()
             if now[i] != rank:  # stale
                 continue
             j = after[i]
-            part[i] = part[i] + part[j]
+            here = part[i] = part[i] + part[j]
             k = after[i] = after[j]
             now[j] = -1
             if k < n:
                 before[k] = i
-                r = ranks.get(part[i] + part[k])
-                now[i] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, i)
+                r = now[i] = get(here + part[k], -1)
+                if r >= 0:
+                    push(r, i)
             else:
                 now[i] = -1
             h = before[i]
             if h >= 0:
-                r = ranks.get(part[h] + part[i])
-                now[h] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, h)
+                r = now[h] = get(part[h] + here, -1)
+                if r >= 0:
+                    push(r, h)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[part[i]])
             i = after[i]
         return ids
 
+    def packed(self, piece: str) -> bytes:
+        return np.array(self.merge(piece.encode()), dtype="<i4").tobytes()
+
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text as int32."""
-        memo, out = self.memo, []
-        for piece in self.pattern.findall(text):
-            got = memo.get(piece)
-            if got is None:
-                got = np.array(self.merge(piece.encode()), dtype="<i4").tobytes()
-                if len(piece) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[piece] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), dtype="<i4")
-
-
-@lru_cache(maxsize=4)
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.pattern.findall(text))), dtype="<i4")
+
+
+@lru_cache(maxsize=1)
 def _loaded(path: str, pattern: str) -> RankBpe:
     return RankBpe.load(path, pattern)
 

@@ -109,4 +109,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_license_scans,
     )
 }
-ORACLES: dict[str, str] = {}
+_UP, _LOW = license_scans.UPPER, license_scans.LOWER
+
+
+def _fits(pattern: str) -> str:
+    host, path = pattern[: pattern.index("/")], pattern[pattern.index("/") :]
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+def _url_sql() -> str:
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r[0]), r[0]))
+    rule = " ".join(f"WHEN {_fits(k)} THEN '{k}'" for k, _ in ordered)
+    what = " ".join(f"WHEN rule = '{k}' THEN '{v}'" for k, v in ordered)
+    blocked = " OR ".join(f"({_fits(k)})" for k in URL_BLOCKED)
+    return f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UP}', '{_LOW}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+ r AS (SELECT *, CASE {rule} END AS rule FROM h)
+ SELECT page_id, host, path, rule, CASE {what} WHEN {blocked} THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+
+def _components_sql(nodes: str, links: str) -> str:
+    """component(id, component_id) over links(a, b), both ways round."""
+    return f"""both_ways AS (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}),
+ reach(a, b) AS (SELECT id, id FROM {nodes} UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b),
+ component AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+
+_VECTOR_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ l AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id < y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+ {_components_sql('v', 'l')}, n AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a)
+ SELECT v.id AS vec_id, coalesce(n, 0) AS n_links, component_id, v.id = component_id AS kept FROM v JOIN component USING (id) LEFT JOIN n USING (id)"""
+
+_NEAR_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+ n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+ c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+ {_components_sql('w', 'l')}
+ SELECT w.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, w.id = component_id AS kept FROM w JOIN component USING (id) LEFT JOIN n USING (id)"""
+
+
+def _license_sql() -> str:
+    phrases = list(license_scans.PHRASES.items())
+    wide = lambda p: " " + p.replace(" ", "  ") + " "
+    count = " + ".join(f"(length(d) - length(replace(d, '{wide(p)}', ''))) // {len(wide(p))}" for p, _ in phrases)
+    before = lambda x: f"length({x}) - length(replace({x}, ' ', ''))"
+    first = ", ".join(f"CASE WHEN contains(s, ' {p} ') THEN {before(f'substr(s, 1, strpos(s, {chr(39)} {p} {chr(39)}) - 1)')} END" for p, _ in phrases)
+    last = ", ".join(f"CASE WHEN contains(s, ' {p} ') THEN {before(f'substr(s, 1, length(s) - strpos(reverse(s), {chr(39)} {p[::-1]} {chr(39)}) - {len(p) + 1})')} END" for p, _ in phrases)
+    base = ", ".join(f"CASE WHEN contains(s, ' {p} ') THEN '{label}' END" for p, label in phrases)
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in license_scans.TEMPLATES.items())
+    split = "list_filter(string_split_regex({0}, '[^0-9a-z\\x{{0080}}-\\x{{10FFFF}}]+'), lambda x: x <> '')"
+    return f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS low FROM documents),
+ w AS (SELECT doc_id, {split.format('low')} AS w FROM d), j AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS s, ' ' || array_to_string(w, '  ') || ' ' AS d FROM w),
+ b AS (SELECT doc_id, n_words, {count} AS n_base, least({first}) AS first_word, greatest({last}) AS last_word, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM j),
+ t(label, words) AS (VALUES {templates}),
+ x AS (SELECT doc_id, list_distinct({split.format('line')}) AS words FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
+ y AS (SELECT doc_id, label, max(len(list_intersect(x.words, t.words)) / len(t.words)) AS c FROM x, t WHERE len(list_intersect(x.words, t.words)) >= {license_scans.SHARE} * len(t.words) GROUP BY 1, 2),
+ z AS (SELECT doc_id, list(label) AS labels, max(c) AS c FROM y GROUP BY doc_id)
+ SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
+ CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score FROM b LEFT JOIN z USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op5_url_filters": _url_sql(), "op7_cover_tree": _VECTOR_SQL, "op8_minhash_dedup": _NEAR_SQL, "op10_license_scans": _license_sql()}
