@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, FloatType
 
 
 def to_hex(value: Column, n_bytes: int | None = None) -> Column:
@@ -24,7 +27,7 @@ def unsigned(hex_text: Column) -> Column:
 
 def signed(hex_text: Column, bits: int) -> Column:
     u = unsigned(hex_text)
-    return F.when(u >= 2 ** (bits - 1), u - 2**bits).otherwise(u).cast("long")
+    return F.when(u >= F.lit(Decimal(2 ** (bits - 1))), u - F.lit(Decimal(2**bits))).otherwise(u).cast("long")
 
 
 def ascii_of_hex(hex_text: Column) -> Column:
@@ -83,7 +86,7 @@ def shortened(text: Column) -> Column:
     return F.when(F.length(text) > 13, F.concat(F.substring(text, 1, 10), F.lit("..."))).otherwise(text)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def float64_of_hex(h):
     """Double of sixteen hex digits, big end first; other texts give null."""
     import struct
@@ -97,7 +100,7 @@ def float64_of_hex(h):
     return h.map(one)
 
 
-@pandas_udf("float")
+@pandas_udf(FloatType())
 def float32_of_hex(h):
     """Float of eight hex digits, big end first; other texts give null."""
     import struct
@@ -111,7 +114,7 @@ def float32_of_hex(h):
     return h.map(one)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def float80_of_hex(h):
     """Double next to an x87 number of twenty hex digits, big end first; other texts give null."""
 

@@ -6,10 +6,12 @@ check, close.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_HANDLE = Window.partitionBy("trace", "handle").orderBy("line")
+
+def _by_handle() -> WindowSpec:
+    return Window.partitionBy("trace", "handle").orderBy("line")
 
 
 def streams(events: DataFrame) -> DataFrame:
@@ -18,9 +20,9 @@ def streams(events: DataFrame) -> DataFrame:
     An open of a handle that is open already is ignored. Streams never closed are kept, marked.
     """
     e = events.where("type IN ('open', 'close')")
-    before = F.lag("type").over(_HANDLE)
+    before = F.lag("type").over(_by_handle())
     e = e.withColumn("_first", (F.col("type") == "open") & (before.isNull() | (before == "close")))
-    after = _HANDLE.rowsBetween(1, Window.unboundedFollowing)
+    after = _by_handle().rowsBetween(1, Window.unboundedFollowing)
     e = e.withColumn("close_line", F.first(F.when(F.col("type") == "close", F.col("line")), ignorenulls=True).over(after))
     return e.where("_first").select("trace", "handle", "channel_id", F.col("line").alias("open_line"), "close_line", F.col("close_line").isNotNull().alias("closed"))
 
@@ -30,8 +32,8 @@ def stream_events(events: DataFrame) -> DataFrame:
 
     The latest open before an event counts if no close lies between: one window per handle.
     """
-    so_far = _HANDLE.rowsBetween(Window.unboundedPreceding, -1)
-    before = F.lag("type").over(_HANDLE)
+    so_far = _by_handle().rowsBetween(Window.unboundedPreceding, -1)
+    before = F.lag("type").over(_by_handle())
     # opens of an open handle do not start a stream: the state before each event is that of the last open or close
     oc = events.where("type IN ('open', 'close')").withColumn("_start", (F.col("type") == "open") & (before.isNull() | (before == "close")))
     marks = oc.where("_start OR type = 'close'").select("trace", "handle", "line", F.struct(F.when(F.col("_start"), F.col("line")).alias("at")).alias("_mark"))

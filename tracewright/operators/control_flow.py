@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.instructions import ends_block, would_branch
 
-_BY_THREAD = Window.partitionBy("thread").orderBy("line")
-_SO_FAR = _BY_THREAD.rowsBetween(Window.unboundedPreceding, 0)
+
+def _by_thread() -> WindowSpec:
+    return Window.partitionBy("thread").orderBy("line")
+
+
+def _so_far() -> WindowSpec:
+    return _by_thread().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str = "line") -> DataFrame:
@@ -28,21 +33,21 @@ def instructions(lines: DataFrame) -> DataFrame:
 
 def function_starts(lines: DataFrame) -> DataFrame:
     """First line of each instruction that follows a call in its thread."""
-    before = F.lag("mnemonic").over(_BY_THREAD)
+    before = F.lag("mnemonic").over(_by_thread())
     return lines.withColumn("_p", before).where("_p = 'call'").groupBy("instruction_id").agg(F.min("line").alias("first_line"))
 
 
 def parent_function(lines: DataFrame) -> DataFrame:
     """Each line with the function started last in its thread before it; its own start does not count."""
-    started = F.when(F.lag("mnemonic").over(_BY_THREAD) == "call", F.col("instruction_id"))
+    started = F.when(F.lag("mnemonic").over(_by_thread()) == "call", F.col("instruction_id"))
     d = lines.withColumn("_s", started)
-    return d.withColumn("parent", F.last("_s", ignorenulls=True).over(_BY_THREAD.rowsBetween(Window.unboundedPreceding, -1))).drop("_s")
+    return d.withColumn("parent", F.last("_s", ignorenulls=True).over(_by_thread().rowsBetween(Window.unboundedPreceding, -1))).drop("_s")
 
 
 def basic_blocks(lines: DataFrame) -> DataFrame:
     """(start_instruction, end_instruction, length, first_line): the first block seen from each start; all threads' tails count."""
-    d = lines.withColumn("_e", F.coalesce(ends_block(F.lag("mnemonic").over(_BY_THREAD)), F.lit(False)).cast("int"))
-    d = d.withColumn("_i", F.sum("_e").over(_SO_FAR))
+    d = lines.withColumn("_e", F.coalesce(ends_block(F.lag("mnemonic").over(_by_thread())), F.lit(False)).cast("int"))
+    d = d.withColumn("_i", F.sum("_e").over(_so_far()))
     one = d.groupBy("thread", "_i").agg(
         F.min("line").alias("first_line"),
         F.min_by("instruction_id", "line").alias("start_instruction"),
@@ -54,24 +59,24 @@ def basic_blocks(lines: DataFrame) -> DataFrame:
 
 def jumps(lines: DataFrame, strict: bool = True) -> DataFrame:
     """(jump_instruction, target_instruction, branch_taken, first_line), each combination once."""
-    p = F.lag("mnemonic").over(_BY_THREAD)
+    p = F.lag("mnemonic").over(_by_thread())
     d = lines.select(
-        "line", F.col("instruction_id").alias("target_instruction"), p.alias("_m"), F.lag("instruction_id").over(_BY_THREAD).alias("jump_instruction"), F.lag("flags").over(_BY_THREAD).alias("_f")
+        "line", F.col("instruction_id").alias("target_instruction"), p.alias("_m"), F.lag("instruction_id").over(_by_thread()).alias("jump_instruction"), F.lag("flags").over(_by_thread()).alias("_f")
     ).where(ends_block(F.col("_m")))
     d = d.withColumn("branch_taken", would_branch(F.col("_m"), F.col("_f"), strict))
     return d.groupBy("jump_instruction", "target_instruction", "branch_taken").agg(F.min("line").alias("first_line"))
 
 
 def _steps(lines: DataFrame) -> DataFrame:
-    p = F.lag("mnemonic").over(_BY_THREAD)
+    p = F.lag("mnemonic").over(_by_thread())
     return lines.withColumn("_p", p).withColumn("_st", F.when(F.col("_p") == "call", 1).when(F.col("_p") == "ret", -1).otherwise(0))
 
 
 def function_owner(lines: DataFrame) -> DataFrame:
     """Each line with the line that entered the frame it runs in (a stack that never empties: a bare return enters anew)."""
-    d = _steps(lines).withColumn("_w", 1 + F.sum("_st").over(_SO_FAR))
-    d = d.withColumn("_l", F.col("_w") + F.greatest(F.lit(0), 1 - F.min("_w").over(_SO_FAR)))
-    before = F.lag("_l").over(_BY_THREAD)
+    d = _steps(lines).withColumn("_w", 1 + F.sum("_st").over(_so_far()))
+    d = d.withColumn("_l", F.col("_w") + F.greatest(F.lit(0), 1 - F.min("_w").over(_so_far())))
+    before = F.lag("_l").over(_by_thread())
     push = F.col("_p").isNull() | (F.col("_p") == "call") | ((F.col("_p") == "ret") & (before == 1))
     d = d.withColumn("_push", F.when(push, F.col("line")))
     level = Window.partitionBy("thread", "_l").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -81,10 +86,10 @@ def function_owner(lines: DataFrame) -> DataFrame:
 def thread_function_blocks(lines: DataFrame) -> DataFrame:
     """Runs of lines between calls and returns, with the function that owns them and their place in the thread."""
     d = function_owner(lines)
-    p = F.lag("mnemonic").over(_BY_THREAD)
-    d = d.withColumn("_x", F.row_number().over(_BY_THREAD) - 1)
+    p = F.lag("mnemonic").over(_by_thread())
+    d = d.withColumn("_x", F.row_number().over(_by_thread()) - 1)
     d = d.withColumn("_n", F.coalesce(p.isin("call", "ret"), F.lit(False)).cast("int"))
-    d = d.withColumn("_i", F.sum("_n").over(_SO_FAR))
+    d = d.withColumn("_i", F.sum("_n").over(_so_far()))
     blocks = d.groupBy("thread", "_i").agg(
         F.min("line").alias("start_line"),
         F.min_by("instruction_id", "line").alias("start_instruction"),
@@ -104,16 +109,16 @@ def call_associations(lines: DataFrame) -> DataFrame:
 
     After a return the caller is the start of the function that was returned from, as in the traced tool.
     """
-    d = _steps(lines).withColumn("_prev_id", F.lag("instruction_id").over(_BY_THREAD))
-    d = d.withColumn("_w", F.sum("_st").over(_SO_FAR))
-    d = d.withColumn("_l", F.col("_w") + F.greatest(F.lit(0), -F.min("_w").over(_SO_FAR)))
-    d = d.withColumn("_pl", F.coalesce(F.lag("_l").over(_BY_THREAD), F.lit(0)))
+    d = _steps(lines).withColumn("_prev_id", F.lag("instruction_id").over(_by_thread()))
+    d = d.withColumn("_w", F.sum("_st").over(_so_far()))
+    d = d.withColumn("_l", F.col("_w") + F.greatest(F.lit(0), -F.min("_w").over(_so_far())))
+    d = d.withColumn("_pl", F.coalesce(F.lag("_l").over(_by_thread()), F.lit(0)))
     d = d.withColumn("_k", F.when(F.col("_p") == "ret", F.col("_pl")).otherwise(F.col("_l")))
     frame = Window.partitionBy("thread", "_k").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_frame", F.last(F.when(F.col("_p") == "call", F.col("line")), ignorenulls=True).over(frame))
     d = d.withColumn("_pv", F.when((F.col("_p") == "call") & (F.col("_pl") > 0), F.col("line")).when((F.col("_p") == "ret") & (F.col("_pl") > 0), F.col("_frame")))
     first = F.min("line").over(Window.partitionBy("thread"))
-    d = d.withColumn("_caller", F.coalesce(F.last("_pv", ignorenulls=True).over(_BY_THREAD.rowsBetween(Window.unboundedPreceding, -1)), first))
+    d = d.withColumn("_caller", F.coalesce(F.last("_pv", ignorenulls=True).over(_by_thread().rowsBetween(Window.unboundedPreceding, -1)), first))
     d = d.where("_p = 'call' and _pl > 0")
     names = lines.select(F.col("line").alias("_caller"), F.col("instruction_id").alias("caller"))
     rows = d.join(names, "_caller").select(F.col("_prev_id").alias("call_instruction"), "line", "caller", F.col("instruction_id").alias("callee"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,7 +62,7 @@ def little_endian(data: Column, at: int, n: int) -> Column:
     """Signed integer of n bytes at a place of a binary column."""
     digits = F.array_join(F.reverse(F.regexp_extract_all(F.hex(F.substring(data, at + 1, n)), F.lit("(..)"), F.lit(1))), "")
     u = F.conv(digits, 16, 10).cast("decimal(20,0)")
-    return F.when(u >= 2 ** (8 * n - 1), u - 2 ** (8 * n)).otherwise(u).cast("long")
+    return F.when(u >= F.lit(Decimal(2 ** (8 * n - 1))), u - F.lit(Decimal(2 ** (8 * n)))).otherwise(u).cast("long")
 
 
 def fixed_records(spark: SparkSession, path: str, skip: int, fields: list[tuple[str, int]]) -> DataFrame:
