@@ -1,6 +1,6 @@
 """Embedding near-dedup: exact threshold pairs by a dual traversal of cover trees.
 
-Vectors are normalised in double precision; equal vectors become one with a multiplicity. The
+Equal vectors become one with a multiplicity, and all are normalised in double precision. The
 tree's top level is a bounded number of pivots, every vector belongs to its nearest one, and a
 pivot's vectors are dealt into blocks of bounded size. Within a block, nested nets with
 halving radii give the lower levels. Pairs of blocks, then pairs of nodes level by level, are
@@ -25,7 +25,7 @@ from .shared import mapped, stored
 
 COSINE = 0.95
 #: Vectors of a block, about.
-BLOCK = 1500
+BLOCK = 3000
 #: Pivots at most.
 PIVOTS = 256
 #: Radii of the nested nets below the pivots.
@@ -38,28 +38,38 @@ def reach(cosine: float) -> float:
     return math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
 
 
-def unit(values: list | None) -> np.ndarray | None:
-    """The vector at length one, in double precision; None if it is null, empty, zero or not finite throughout."""
+def usable(values: list | None) -> bool:
+    """Whether a vector is there, not zero, and finite throughout."""
     if values is None or not len(values) or any(v is None for v in values):
-        return None
+        return False
     x = np.asarray(values, dtype=np.float64)
-    top = np.abs(x).max()
-    if not np.isfinite(top) or top == 0 or not np.isfinite(x).all():
-        return None
-    x = x / top
-    return x / np.sqrt(x @ x)
+    return bool(np.isfinite(x).all() and x.any())
+
+
+def net(x: np.ndarray, radii: tuple[float, ...]) -> np.ndarray:
+    """(rows, levels): for each row the number of its centre on each level: greedy nets with these radii, each inside the one above."""
+    dots = x.astype(np.float32) @ x.astype(np.float32).T
+    out = np.zeros((len(x), len(radii)), np.int64)
+    group = np.zeros(len(x), np.int64)
+    for k, r in enumerate(radii):
+        near = dots >= 1.0 - r * r / 2.0
+        near &= group[:, None] == group[None, :]
+        open_ = np.ones(len(x), bool)
+        for i in range(len(x)):
+            if open_[i]:
+                mine = near[i] & open_
+                mine[i] = True
+                out[mine, k] = i
+                open_ &= ~mine
+        group = out[:, k]
+    return out
 
 
-def net(x: np.ndarray, radius: float) -> np.ndarray:
-    """For each row the row number of its centre: a greedy net, centres more than `radius` apart."""
-    centre = np.full(len(x), -1)
-    for i in range(len(x)):
-        if centre[i] < 0:
-            open_ = np.nonzero(centre < 0)[0]
-            d2 = 2.0 - 2.0 * (x[open_] @ x[i])
-            centre[open_[d2 <= radius * radius]] = i
-            centre[i] = i
-    return centre
+def rows_of(data: list[bytes], dim: int, wide: bool) -> np.ndarray:
+    """Unit vectors, in double precision, of vectors as they were given (32- or 64-bit floats)."""
+    x = np.frombuffer(b"".join(data), "<f8" if wide else "<f4").reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 class Tree:
@@ -120,7 +130,15 @@ def traverse(a: Tree, b: Tree, ma: np.ndarray, mb: np.ndarray, cosine: float, sa
 
     ca, ra = a.levels[0][2:]
     cb, rb = b.levels[0][2:]
-    i, j = np.nonzero(np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (ca @ cb.T))) <= far + ra[:, None] + rb[None, :])
+    # a first look in single precision, with room for its error; single vectors apart from nodes that spread
+    first_i, first_j = [], []
+    for part in (np.nonzero(rb == 0)[0], np.nonzero(rb > 0)[0]):
+        if len(part):
+            room = np.minimum(far + ra + rb[part].max(), 2.0)
+            p, q = np.nonzero(ca.astype(np.float32) @ cb[part].astype(np.float32).T >= (1.0 - room**2 / 2.0 - 1e-4).astype(np.float32)[:, None])
+            first_i.append(p)
+            first_j.append(part[q])
+    i, j = np.concatenate(first_i), np.concatenate(first_j)
     for level in range(len(a.levels)):
         ca, ra = a.levels[level][2:]
         cb, rb = b.levels[level][2:]
@@ -133,7 +151,6 @@ def traverse(a: Tree, b: Tree, ma: np.ndarray, mb: np.ndarray, cosine: float, sa
                 hit = dot >= cosine
                 np.add.at(la, p[hit], mb[q[hit]])
                 np.add.at(lb, q[hit], ma[p[hit]])
-                # one link a row of either side and chunk is not enough to connect; keep them all but thin them below
                 keep_i.append(p[hit])
                 keep_j.append(q[hit])
                 continue
@@ -181,9 +198,12 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     should be unique; rows that repeat it count as vectors of their own and share a component.
     An empty table gives an empty result; other columns are ignored.
     """
+    wide = vectors.schema[embedding].dataType.elementType != T.FloatType()
+    code = "<f8" if wide else "<f4"
+
     def units(rows: list) -> tuple:
-        out = [unit(v) for v in rows]
-        return [0 if x is None else len(x) for x in out], [None if x is None else x.tobytes() for x in out]
+        good = [usable(v) for v in rows]
+        return [len(v) if g else 0 for v, g in zip(rows, good, strict=True)], [np.asarray(v, code).tobytes() if g else None for v, g in zip(rows, good, strict=True)]
 
     given = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("_e"))
     base = stored(mapped(given, ["vec_id"], ["_e"], [T.StructField("dim", T.IntegerType()), T.StructField("unit", T.BinaryType())], units), "vectors")
@@ -194,13 +214,13 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     pivots = {}
     for dim, n in total.items():
         some = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(PIVOTS, n // BLOCK)))
-        pivots[dim] = np.stack([np.frombuffer(r["unit"], np.float64) for r in some.select("unit").collect()])
+        pivots[dim] = rows_of([r["unit"] for r in some.select("unit").collect()], dim, wide)
 
     def nearest(dims: list[int], vs: list[bytes]) -> tuple:
         cell, dist = [0] * len(dims), [0.0] * len(dims)
         for dim in set(dims):
             at = [k for k, d in enumerate(dims) if d == dim]
-            x = np.frombuffer(b"".join(vs[k] for k in at), np.float64).reshape(len(at), dim)
+            x = rows_of([vs[k] for k in at], dim, wide)
             dots = x @ pivots[dim].T
             best = dots.argmax(axis=1)
             for k, c, v in zip(at, best.tolist(), dots.max(axis=1).tolist(), strict=True):
@@ -226,9 +246,9 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     blocks = located.withColumn("block", block)
 
     def nets(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(b["unit"]), np.float64).reshape(len(b), int(b["dim"].iloc[0]))
         ids = b["rep"].to_numpy()
-        return pd.DataFrame({"dim": b["dim"], "unit": b["unit"], "rep": ids, "m": b["m"], "cell": b["cell"], "block": b["block"], **{f"net{k}": ids[net(x, r)] for k, r in enumerate(RADII)}})
+        centres = net(rows_of(b["unit"].tolist(), int(b["dim"].iloc[0]), wide), RADII)
+        return pd.DataFrame({"dim": b["dim"], "unit": b["unit"], "rep": ids, "m": b["m"], "cell": b["cell"], "block": b["block"], **{f"net{k}": ids[centres[:, k]] for k in range(len(RADII))}})
 
     fields = "dim int, unit binary, rep long, m long, cell int, block int" + "".join(f", net{k} long" for k in range(len(RADII)))
     blocks = stored(blocks.groupBy("dim", "cell", "block").applyInPandas(nets, fields), "vector-blocks")
@@ -251,8 +271,7 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
 
     def dual(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         def side(d: pd.DataFrame) -> tuple[Tree, np.ndarray, np.ndarray]:
-            x = np.frombuffer(b"".join(d["unit"]), np.float64).reshape(len(d), int(d["dim"].iloc[0]))
-            tree = Tree(x, d[nets_of].to_numpy())
+            tree = Tree(rows_of(d["unit"].tolist(), int(d["dim"].iloc[0]), wide), d[nets_of].to_numpy())
             return tree, d["rep"].to_numpy()[tree.order], d["m"].to_numpy()[tree.order]
 
         _, low, high = key[0].split(":")

@@ -76,3 +76,23 @@ def bound_batches(spark: SparkSession, rows: int = 256) -> None:
     """Lower the session's rows per Arrow batch to at most `rows`: bounds memory where texts are long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+class Memo(dict):
+    """Remembers make(key) for the `limit` to twice `limit` keys met last; long keys are made anew each time."""
+
+    def __init__(self, make: Callable, limit: int, longest: int = 64) -> None:
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

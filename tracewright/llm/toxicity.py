@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bound_batches, mapped
+from .shared import Memo, bound_batches, mapped
 
 #: Labelled documents that the scorer learns from at most.
 TRAIN_BOUND = 12_000
@@ -171,12 +171,12 @@ def words_in(text: str | None, costs: np.ndarray, memo: dict[str, list[str]]) ->
 
 
 class Scorer:
-    """Toxic words of texts; remembers what it found for MEMO distinct tokens."""
+    """Toxic words of texts; remembers what it found in MEMO distinct tokens at least."""
 
     def __init__(self, costs: np.ndarray, evidence: dict[str, float], base: float) -> None:
         self.costs, self.base = costs, base
         self.weights = {x: math.log(p / (1 - p)) - base for x, p in evidence.items()}
-        self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.memo = Memo(self.of_token, MEMO)
 
     def weigh(self, words) -> tuple[tuple[str, float], ...]:
         out = []
@@ -186,18 +186,14 @@ class Scorer:
                 out.append((w, best))
         return tuple(out)
 
+    def of_token(self, token: str) -> tuple[tuple[str, float], ...]:
+        return self.weigh(readings(token, self.costs))
+
     def strong(self, text: str | None) -> dict[str, float]:
-        low, memo = (text or "").lower(), self.memo
+        low = (text or "").lower()
         out: dict[str, float] = {}
-        for token in set(low.split()):
-            got = memo.get(token)
-            if got is None:
-                got = self.weigh(readings(token, self.costs))
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[token] = got
-            if got:
-                out.update(got)
+        for got in filter(None, map(self.memo.__getitem__, set(low.split()))):
+            out.update(got)
         if _APART.search(low):
             out.update(self.weigh(spaced(low, self.costs)))
         return out
