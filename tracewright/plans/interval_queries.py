@@ -92,30 +92,30 @@ def collapsed_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.merged(spans(spark, sf_dir), ["cust"]).groupBy("cust").agg(F.sum(F.col("e") - F.col("s") + 1).alias("covered_days"))
 
 
-@query(f"{ORD}, d AS (SELECT DISTINCT unnest(generate_series(s, e)) AS day FROM o WHERE cust = 7), v AS (SELECT day FROM (SELECT unnest(generate_series(0, 4000)) AS day) x WHERE day NOT IN (SELECT day FROM d) AND day < 2000 ORDER BY day DESC LIMIT 500) SELECT day AS line FROM v")
+@query(f"{ORD}, d AS (SELECT DISTINCT unnest(generate_series(s, e)) AS day FROM o WHERE cust = 7), v AS (SELECT day FROM (SELECT unnest(generate_series(0, 5000)) AS day) x WHERE day NOT IN (SELECT day FROM d) AND day < 3000 ORDER BY day DESC LIMIT 500) SELECT day AS line FROM v")
 def page_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 500 visible lines before line 2000, skipping collapsed spans."""
+    """The 500 visible lines before line 3000, skipping collapsed spans."""
     hidden = iv.merged(spans(spark, sf_dir).where("cust = 7"), ["cust"])
-    lines = spark.range(0, 2000).withColumnRenamed("id", "line")
+    lines = spark.range(0, 3000).withColumnRenamed("id", "line")
     visible = lines.join(hidden, F.col("line").between(F.col("s"), F.col("e")), "left_anti")
     return visible.orderBy(F.desc("line")).limit(500)
 
 
-@query(f"{ORD} SELECT id, s, e FROM o WHERE 1500 >= s AND e >= 1400")
+@query(f"{ORD} SELECT id, s, e FROM o WHERE 2600 >= s AND e >= 2500")
 def markers_by_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers that overlap a window of pixels."""
-    return spans(spark, sf_dir).where("s <= 1500 AND e >= 1400").select("id", "s", "e")
+    return spans(spark, sf_dir).where("s <= 2600 AND e >= 2500").select("id", "s", "e")
 
 
-@query(f"{ORD} SELECT id, s, e FROM o WHERE s <= 1450 AND 1450 <= e")
+@query(f"{ORD} SELECT id, s, e FROM o WHERE s <= 2550 AND 2550 <= e")
 def markers_containing_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers around a line; the upper bound is inclusive, so a boundary line is in two."""
-    return spans(spark, sf_dir).where("s <= 1450 AND e >= 1450").select("id", "s", "e")
+    return spans(spark, sf_dir).where("s <= 2550 AND e >= 2550").select("id", "s", "e")
 
 
-@query(f"{ORD} SELECT id, s, e FROM o WHERE s BETWEEN 1400 AND 1410")
+@query(f"{ORD} SELECT id, s, e FROM o WHERE s BETWEEN 2500 AND 2510")
 def markers_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans(spark, sf_dir).where("s BETWEEN 1400 AND 1410").select("id", "s", "e")
+    return spans(spark, sf_dir).where("s BETWEEN 2500 AND 2510").select("id", "s", "e")
 
 
 @query(f"{ORD} SELECT s // 1000 AS page, count(*) AS n FROM o GROUP BY 1")
