@@ -11,6 +11,7 @@ length, over all classes of that worker: a bounded number of pieces.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mapped, stored
+from .shared import Memo, mapped, stored
 
 CAPACITY = 4096
 TOLERANCE = 0.01
@@ -26,7 +27,10 @@ TOLERANCE = 0.01
 SHORTEST = 64
 #: Pieces that one worker numbers, about.
 GROUP_PIECES = 50_000
-MEMO = 200_000
+#: Parts and words that a worker remembers at least.
+MEMO = 250_000
+#: Signs at a part's end that the tokenizer cuts off; the apostrophe is not among them, as it starts endings.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
@@ -44,25 +48,50 @@ def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-class _Ids(dict):
-    """The ids (little-endian 32-bit bytes) of a text's parts between blanks; remembers MEMO of them."""
+class _Ids:
+    """The ids (little-endian 32-bit bytes) of a text's parts between blanks, remembered.
+
+    A part that is letters and then ASCII signs goes straight to the vocabulary's model, letters and
+    signs apart as the tokenizer's own splitter cuts them; everything else takes the whole
+    tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        got = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[chunk] = got
-        return got
-
-
-@lru_cache(maxsize=2)
+        self.model = self.tokenizer.model
+        self.words = Memo(self.of_word, MEMO)
+        self.parts = Memo(self.of_part, MEMO)
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def of_word(self, word: str) -> bytes:
+        """Ids of letters only."""
+        if word.isascii():
+            shown = word.lower()
+        else:
+            low = "".join(map(str.lower, word))
+            if not unicodedata.is_normalized("NFC", word) or not low.isalpha():
+                return self.whole(word)
+            shown = "".join(map(self.letters.__getitem__, low.encode()))
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+
+    def of_part(self, part: str) -> bytes:
+        if part.isalpha():
+            return self.words[part]
+        core = part.rstrip(SIGNS)
+        if core != part and (not core or core.isalpha()):
+            return (self.words[core] if core else b"") + self.whole(part[len(core) :])
+        return self.whole(part)
+
+
+@lru_cache(maxsize=1)
 def _ids(path: str) -> _Ids:
     return _Ids(path)
 
@@ -75,7 +104,7 @@ def tokens(docs: DataFrame, path: str, end_id: int, text: str = "text", capacity
     """
 
     def work(texts: list[str]) -> tuple:
-        known, end = _ids(path), end_id.to_bytes(4, "little")
+        known, end = _ids(path).parts, end_id.to_bytes(4, "little")
         at, starts, lengths, parts, totals = [], [], [], [], []
         for i, t in enumerate(texts):
             data = b"".join(map(known.__getitem__, (t or "").replace("\n", " ").split(" "))) + end
@@ -99,9 +128,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Ties and repeated rows: pieces of one class are interchangeable; each row gets its own place.
     An empty table gives an empty result.
     """
-    total = pieces.count()
-    groups = max(1, -(-total // GROUP_PIECES))
-    p = pieces.drop("sequence_id", "offset")
+    p = stored(pieces.drop("sequence_id", "offset"), "packing-pieces")
+    groups = max(1, -(-p.count() // GROUP_PIECES))
     p = p.withColumn("_k", F.floor(F.lit(capacity) / F.col("length")).cast("long"))
     p = p.withColumn("_g", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
     own = Window.partitionBy("_g", "_k")
