@@ -25,12 +25,12 @@ from .shared import mapped, stored
 
 #: Fewest words of a block that is deleted.
 MIN_WORDS = 15
-_CUT = re.compile(r"(?<=[.!?])(?=[ \t])|(?<=\n)")
+_LINE = re.compile(r"[^.!?\n]*(?:[.!?](?![ \t])[^.!?\n]*)*(?:[.!?]|\n|\Z)")
 
 
 def lines_of(text: str | None) -> list[str]:
     """Lines of a text; joined they give the text again."""
-    return _CUT.split(text) if text else []
+    return list(filter(None, _LINE.findall(text))) if text else []
 
 
 def digests(text: str | None) -> tuple[np.ndarray, np.ndarray]:
