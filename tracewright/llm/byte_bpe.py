@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .shared import Memo, bound_batches
 
 #: Distinct pre-tokens that one worker remembers at least.
-MEMO = 250_000
+MEMO = 500_000
 #: The bitmap's words have 2 ** BITS bits.
 BITS = 8
 LOW = (1 << BITS) - 1
