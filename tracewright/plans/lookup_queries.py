@@ -211,7 +211,7 @@ def call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.call_associations(trace_lines(spark, sf_dir)).agg(F.count("*").alias("n_calls"), F.countDistinct("caller").alias("n_callers"))
 
 
-@query(f"{W}, s AS (SELECT max(line) // 1000 * 1000 AS cut FROM t WHERE line <= 4321) SELECT CASE WHEN line < cut // 1000000 * 1000000 THEN 2 WHEN line < cut THEN 1 ELSE 0 END AS level, count(*) AS n FROM t, s WHERE line <= 4321 GROUP BY 1")
+@query(f"{W}, s AS (SELECT 4321 // 1000 * 1000 AS cut) SELECT CASE WHEN line < cut // 1000000 * 1000000 THEN 2 WHEN line < cut THEN 1 ELSE 0 END AS level, count(*) AS n FROM t, s WHERE line <= 4321 GROUP BY 1")
 def tier_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which level of snapshots serves the lines up to a line: whole large buckets, whole small ones, single lines."""
     t = trace_lines(spark, sf_dir).where("line <= 4321")
