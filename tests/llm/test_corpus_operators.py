@@ -125,8 +125,12 @@ def test_minhash(docs, texts):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in out.items()} == {i: (n[i], component[i], component[i] == i) for i in texts}
 
 
-def test_minhash_chain(spark):
+@pytest.mark.parametrize("small", [256, 4])
+def test_minhash_chain(spark, small, monkeypatch):
     """A chain of near copies whose ends are far apart, and a large group of copies of one base."""
+    monkeypatch.setattr(minhash_dedup, "SMALL", small)
+    monkeypatch.setattr(minhash_dedup, "FEW", 3 if small == 4 else 256)
+    monkeypatch.setattr(minhash_dedup, "MANY", 5 if small == 4 else 1024)
     r = random.Random(3)
     words = [f"w{r.randrange(9999)}" for _ in range(120)]
     texts, now = {}, words[:]
@@ -136,7 +140,7 @@ def test_minhash_chain(spark):
         now[r.randrange(120)] = f"x{i}"
     for i in range(100, 140):
         w = words[::-1]
-        for _ in range(r.randrange(1, 4)):
+        for _ in range(r.randrange(1, 7)):
             w[r.randrange(120)] = f"y{r.randrange(9999)}"
         texts[i] = " ".join(w)
     n, component = plain_groups(texts)
