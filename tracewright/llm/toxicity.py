@@ -26,15 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Memo, bound_batches, mapped
+from .minhash_dedup import shingle_set, signature
+from .shared import Memo, bound_batches, mapped, stored
 
 #: Labelled documents that the scorer learns from at most.
 TRAIN_BOUND = 12_000
 #: Pieces of evidence that the scorer keeps at most, strongest first.
 EVIDENCE_BOUND = 50_000
-#: Fewest toxic training documents with a piece of evidence, and its least share of toxic ones.
-SUPPORT, SHARE = 5, 0.8
+#: Fewest toxic training documents with a piece of evidence, and the clean ones allowed for each of them: parts of
+#: toxic words that other words share are no evidence.
+SUPPORT, IMPURE = 5, 0.02
 TOP_WORDS = 5
+SKETCHES = 4
 MEMO = 200_000
 CLASSES = 64
 # What a sign may stand for.
@@ -206,6 +209,21 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def _without_copies(rows: DataFrame, text: str) -> DataFrame:
+    """(doc_id, toxic) of rows, one of each group of near copies: evidence should not count one text many times.
+
+    A row goes if an earlier one shares any of its SKETCHES smallest hashes of three-word shingles.
+    """
+
+    def work(texts: list[str | None]) -> tuple:
+        return ([[int(x) for x in signature(shingle_set(t, 3), SKETCHES)] for t in texts],)
+
+    k = mapped(rows, ["doc_id", "toxic"], [text], [T.StructField("k", T.ArrayType(T.LongType()))], work)
+    k = stored(k, "toxicity-sketches").select("doc_id", "toxic", F.posexplode("k").alias("i", "k"))
+    first = k.groupBy("i", "k").agg(F.min("doc_id").alias("first"))
+    return k.join(first, ["i", "k"]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.bool_and(F.col("doc_id") == F.col("first")).alias("own")).where("own").drop("own")
+
+
 def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = TRAIN_BOUND, text: str = "text") -> tuple[dict[str, float], float]:
     """(share of toxic documents of each piece of evidence, prior); learns from rows with remainder not 0 only.
 
@@ -214,9 +232,11 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = TR
     known = labels.where("toxic is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # at most `bound` rows, so it may be broadcast
-    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    given = docs.join(F.broadcast(sample), "doc_id")
+    single = stored(_without_copies(given, text), "toxicity-sample")  # at most `bound` rows too
+    n, toxic = single.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (toxic + 0.5) / (n + 1.0)
-    given = docs.join(F.broadcast(sample), "doc_id").select("toxic", text)
+    given = docs.join(F.broadcast(single), "doc_id").select("toxic", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, good, memo = Counter(), Counter(), {}
@@ -230,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = TR
 
     counts = given.mapInArrow(run, "trait string, bad long, good long").groupBy("trait").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share = (F.col("bad") + prior) / (F.col("bad") + F.col("good") + 1.0)
-    kept = counts.withColumn("share", share).where((F.col("bad") >= SUPPORT) & (F.col("share") >= SHARE))
+    kept = counts.withColumn("share", share).where((F.col("bad") >= SUPPORT) & (F.col("good") <= F.col("bad") * IMPURE))
     rows = kept.orderBy(F.desc("share"), F.desc("bad"), "trait").limit(EVIDENCE_BOUND).collect()
     return {r["trait"]: r["share"] for r in rows}, prior
 
