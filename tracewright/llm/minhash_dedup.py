@@ -6,12 +6,14 @@ signatures give buckets; a bucket's members are candidates of its smallest membe
 each other, so a bucket of any size costs a row a member. Candidates compare signatures
 batch by batch and leave as soon as the posterior probability of a similarity at or above
 the threshold falls under the chosen miss probability; survivors are confirmed on their full
-sets. Where a bucket still holds members of several components, those outside the
-bucket's largest component meet all members of other components, so that no link between
-components that the bands propose is lost.
-
-Bands of four rows over 128 hashes: a pair at similarity 0.75 shares none of the 32 bands with
-probability 5e-6.
+sets. Where a bucket then holds members of several components, those outside its largest one
+compare signatures with all members of other components, in blocks of bounded size; of
+the likely pairs each document's likeliest goes first, and only pairs that still lie between
+components are confirmed after that. So no link between components that the bands propose is
+lost, and few pairs inside a group are ever looked at.
+
+Bands of five rows over 200 hashes: a pair at similarity 0.75 shares none of the 40 bands with
+probability 2e-5.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from .components import components
 from .shared import mapped, stored
 
 WORDS = 5
-HASHES, ROWS = 128, 4
+HASHES, ROWS = 200, 5
 PERCENT = 75
-BATCH = 16
-MISS = 1e-5
+BATCH = 25
+#: Members of a bucket that meet in one block, on either side; buckets up to SMALL members share tasks of about TASK_ROWS rows.
+FEW, MANY, SMALL, TASK_ROWS = 256, 1024, 256, 4000
+MISS = 1e-4
 MEMO = 300_000
 
 
@@ -71,7 +75,7 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     size = min(words, len(parts))
     mult = _odd(words, 11)
     n = len(h) - size + 1
-    g = np.full(n, np.uint64(size) * np.uint64(0xD1B54A32D192ED03 & (2**64 - 1)), np.uint64)
+    g = np.full(n, size * 0xD1B54A32D192ED03 % 2**64, np.uint64)
     for i in range(size):
         g += h[i : i + n] * mult[i]
     return np.unique(_mixed(g))
@@ -106,16 +110,40 @@ def shingled(docs: DataFrame, text: str = "text") -> DataFrame:
     def work(texts: list[str | None]) -> tuple:
         import xxhash
 
-        sets = [shingle_set(t) for t in texts]
-        return [len(x) for x in sets], [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], [signature(x).tobytes() for x in sets]
-
-    kinds = {"n_shingles": T.LongType(), "set_hash": T.BinaryType(), "sig": T.BinaryType()}
+        sizes, hashes, short, bands = [], [], [], []
+        for t in texts:
+            x = shingle_set(t)
+            sig = signature(x)
+            data = sig.tobytes()
+            sizes.append(len(x))
+            hashes.append(xxhash.xxh3_128_digest(x.tobytes()))
+            short.append((sig & np.uint32(0xFFFF)).astype("<u2").tobytes())
+            bands.append([xxhash.xxh64_intdigest(data[at : at + 4 * ROWS], seed=at) - 2**63 for at in range(0, len(data), 4 * ROWS)])
+        return sizes, hashes, short, bands
+
+    kinds = {"n_shingles": T.LongType(), "set_hash": T.BinaryType(), "sig": T.BinaryType(), "bands": T.ArrayType(T.LongType())}
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
     return mapped(given, ["doc_id"], ["_text"], [T.StructField(n, k) for n, k in kinds.items()], work)
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of documents whose full sets reach the threshold."""
+def _signatures(data: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(data), "<u2").reshape(len(data), -1)
+
+
+def _survivors(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, seen: np.ndarray, fewest: list[int], done: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (p, q) of rows of x and y that last through all batches from `done` on, with their equal hashes."""
+    for k in range(done, len(fewest)):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        seen = seen + (x[p, part] == y[q, part]).sum(axis=1)
+        live = seen >= fewest[k]
+        p, q, seen = p[live], q[live], seen[live]
+        if not len(p):
+            break
+    return p, q, seen
+
+
+def likely(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that the sequential comparison of signatures does not rule out."""
     fewest = least_matches(percent)
     left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
     right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
@@ -124,27 +152,18 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str = "t
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            x = np.frombuffer(b"".join(b["sa"]), "<u4").reshape(len(b), -1)
-            y = np.frombuffer(b"".join(b["sb"]), "<u4").reshape(len(b), -1)
-            live, seen = np.arange(len(b)), np.zeros(len(b), int)
-            for k, least in enumerate(fewest):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                seen[live] += (x[live, part] == y[live, part]).sum(axis=1)
-                live = live[seen[live] >= least]
-                if not len(live):
-                    break
-            yield b.iloc[live][["a", "b"]]
-
-    rest = stored(both.mapInPandas(prune, "a long, b long"), "minhash-survivors")
-    ids = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).join(ids, "doc_id", "left_semi")
-
-    full = mapped(texts, ["doc_id"], ["_text"], [T.StructField("shingles", T.BinaryType())], lambda ts: ([shingle_set(t).tobytes() for t in ts],))
-    full = stored(full, "minhash-sets")
-    both = rest.join(full.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = both.join(full.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+            if len(b):
+                n = np.arange(len(b))
+                p, _, _ = _survivors(_signatures(b["sa"].tolist()), _signatures(b["sb"].tolist()), n, n, np.zeros(len(b), int), fewest)
+                yield b.iloc[p][["a", "b"]]
+
+    return both.select("a", "b", "sa", "sb").mapInPandas(prune, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets, of sets(rep, shingles), reach the threshold."""
+    both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = both.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,6 +177,53 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str = "t
     return stored(both.mapInPandas(exact, "a long, b long"), "minhash-links")
 
 
+def apart(hits: DataFrame, reps: DataFrame, at: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(x, y, cx, cy, equal): likely pairs of different components that share a bucket.
+
+    In every bucket the members outside its largest component meet all others, block by block, in
+    tasks of bounded size; small buckets share a task. A pair comes from the first band it shares.
+    """
+    fewest = least_matches(percent)
+    here = hits.join(at.withColumnRenamed("node", "rep"), "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = here.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = mixed.select("band", "bucket", F.col("top.component").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("few"))
+    here = stored(here.join(mixed, ["band", "bucket"]), "minhash-mixed")
+    groups = F.lit(max(1, here.count() // TASK_ROWS))
+    small = F.col("all") <= SMALL
+    rows, columns = F.ceil(F.col("few") / FEW).cast("long"), F.ceil(F.col("all") / MANY).cast("long")
+    minor = F.col("component") != F.col("main")
+    drawn = F.xxhash64("rep")
+    one = here.where(small).withColumns({"as_few": minor, "as_any": F.lit(True), "task": F.concat(F.lit("s"), F.pmod(F.xxhash64("bucket"), groups).cast("string"))})
+    name = lambda i, j: F.concat_ws(":", "band", "bucket", i, j)
+    large = here.where(~small)
+    few = large.where(minor).select("*", F.pmod(drawn, rows).alias("_i"), F.explode(F.sequence(F.lit(0).cast("long"), columns - 1)).alias("_j")).withColumns({"as_few": F.lit(True), "as_any": F.lit(False)})
+    many = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("_i"), F.pmod(drawn, columns).alias("_j")).withColumns({"as_few": F.lit(False), "as_any": F.lit(True)})
+    blocks = few.unionByName(many).withColumn("task", name("_i", "_j"))
+    kept = ["task", "band", "bucket", "rep", "component", "as_few", "as_any"]
+    work = one.select(*kept).unionByName(blocks.select(*kept)).join(reps.select("rep", "n", "sig"), "rep")
+
+    def meet(b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (band, _), g in b.groupby(["band", "bucket"], sort=False):
+            f, m = g[g["as_few"].to_numpy()], g[g["as_any"].to_numpy()]
+            if not len(f) or not len(m):
+                continue
+            x, y = _signatures(f["sig"].tolist()), _signatures(m["sig"].tolist())
+            cx, cy, nx, ny = (d[c].to_numpy() for d, c in ((f, "component"), (m, "component"), (f, "n"), (m, "n")))
+            first = (x[:, None, :BATCH] == y[None, :, :BATCH]).sum(axis=2)
+            fit = np.minimum(nx[:, None], ny[None, :]) * 100 >= np.maximum(nx[:, None], ny[None, :]) * percent
+            p, q = np.nonzero((first >= fewest[0]) & (cx[:, None] != cy[None, :]) & fit)
+            p, q, seen = _survivors(x, y, p, q, first[p, q], fewest, 1)
+            if len(p):
+                own = (x[p].reshape(len(p), -1, ROWS) == y[q].reshape(len(p), -1, ROWS)).all(axis=2).argmax(axis=1) == band
+                p, q, seen = p[own], q[own], seen[own]
+                out.append(pd.DataFrame({"x": f["rep"].to_numpy()[p], "y": m["rep"].to_numpy()[q], "equal": seen}))
+        return pd.concat(out) if out else pd.DataFrame({"x": [], "y": [], "equal": []}).astype("int64")
+
+    return work.groupBy("task").applyInPandas(meet, "x long, y long, equal long")
+
+
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): component_id is the smallest doc_id reachable over links, itself included.
 
@@ -169,30 +235,34 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     reps = (
         base.where("n_shingles > 0")
         .groupBy("n_shingles", "set_hash")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
         .withColumnRenamed("n_shingles", "n")
     )
     reps = stored(reps, "minhash-classes")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    rows = reps.select("rep", F.explode_outer(bands).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
-    hits = stored(rows.join(shared, "bucket"), "minhash-buckets")
+    rows = reps.select("rep", F.posexplode_outer("bands").alias("band", "bucket"))
+    shared = rows.groupBy("band", "bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
+    hits = stored(rows.join(shared, ["band", "bucket"]), "minhash-buckets")
+    # the texts move once; all later checks use the sets of documents that share a bucket
+    near = hits.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).join(near, "doc_id", "left_semi")
+    sets = mapped(texts, ["doc_id"], ["_text"], [T.StructField("shingles", T.BinaryType())], lambda ts: ([shingle_set(t).tobytes() for t in ts],))
+    sets = stored(sets.withColumnRenamed("doc_id", "rep"), "minhash-sets")
     pairs = hits.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(pairs, reps, docs, text, percent)
+    links = confirmed(likely(pairs, reps, percent), sets, percent)
     at = components(links)
-    hits = hits.join(at.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    hits = stored(hits, "minhash-located")
-    sizes = hits.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_hits = hits.join(mixed.select("bucket", F.col("top.component").alias("main")), "bucket")
-    few = open_hits.where("component <> main").select("bucket", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    every = open_hits.select("bucket", F.col("rep").alias("y"), F.col("component").alias("cy"))
-    across = few.join(every, "bucket").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = stored(across.join(pairs, ["a", "b"], "left_anti"), "minhash-across")
-    if not across.isEmpty():
-        links = links.unionByName(confirmed(across, reps, docs, text, percent))
+    open_ = stored(apart(hits.select("band", "bucket", "rep"), reps, at, percent), "minhash-apart")
+    for last in (False, True):
+        if open_.isEmpty():
+            break
+        # first each document's likeliest partner; then whatever still lies between components
+        now = open_ if last else open_.groupBy("x").agg(F.max_by("y", F.struct("equal", "y")).alias("y"))
+        links = links.unionByName(confirmed(now.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets, percent))
         at = components(links)
+        if not last:
+            of = lambda c: at.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
+            open_ = open_.join(of("x"), "x", "left").join(of("y"), "y", "left")
+            open_ = stored(open_.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y", "equal"), "minhash-open")
     of_class = reps.join(at.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("n").alias("n_shingles"), "set_hash", F.coalesce("component", "rep").alias("component_id"))
-    out = base.drop("sig").join(of_class, ["n_shingles", "set_hash"], "left")
+    out = base.drop("sig", "bands").join(of_class, ["n_shingles", "set_hash"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
