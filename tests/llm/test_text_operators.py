@@ -108,6 +108,19 @@ def test_licenses(docs, texts):
     assert out[43]["n_base"] == 4
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "# Redistribution and use in source and binary\n# forms, with or without\n#\n# modification, are permitted provided that\n# the following conditions are met:"
+    scattered = "\n".join(w + " filler" * 9 for w in license_scans.TEMPLATES["mit-grant"].split())
+    texts = [mit, "Copyright\n\n" + bsd, mit.replace(" ", "\n"), scattered, mit + "\n" + bsd, mit.replace("\n", " ") + "\nend", "All\nrights reserved"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in license_scans.scan(docs, license_scans.template_frequencies(docs)).collect()}
+    assert [out[i]["labels"] for i in range(len(texts))] == ["mit-grant", "bsd-grant", "mit-grant", "", "bsd-grant,mit-grant", "mit-grant", "rights-reserved"]
+    assert [(b["line"], b["label"], b["containment"]) for b in out[1]["blocks"]] == [(2, "bsd-grant", 1.0)]
+    assert [(b["line"], b["label"], b["containment"]) for b in out[5]["blocks"]] == [(0, "mit-grant", 1.0)]
+    assert out[0]["score"] == 1.0 and out[3]["score"] == 0.0
+
+
 def test_licenses_of_nothing(nothing):
     assert license_scans.scan(nothing, license_scans.template_frequencies(nothing)).count() == 0
 

@@ -1,6 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, as sets of words. Words are ordered by their frequency in the
+Blocks are the lines of a text, and across line ends all stretches of up to ceil(n / share) words
+for a template of n words, as sets of words: a wrapped notice is found, words scattered over a long
+text are not. Words are ordered by their frequency in the
 whole corpus, rarest first. To hold `share` of a template of n words a block needs
 o = ceil(share * n) of them, so it must hold one of the template's n - o + 1 rarest words (its
 prefix). Blocks that do are candidates; those with fewer than o words fall to the length
@@ -53,7 +55,9 @@ def template_frequencies(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
 def scan(docs: DataFrame, frequencies: dict[str, int], templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, share: float = SHARE, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and blocks.
 
-    blocks: array of (line, label, containment) for every line that holds `share` of a template.
+    blocks: array of (line, label, containment) for every line that holds `share` of a template, and for
+    each template whose best stretch over several lines holds more of it than any line, that stretch with
+    the line of its first template word (the first of equal stretches).
     score: the greatest containment (at least 1.0 where a base phrase stands, at most 1.0), else 0.
     Null and empty texts have no words: zero counts, null positions, empty labels. Equal templates
     both count; ties in frequency go by spelling. Columns named like an added one are replaced.
@@ -79,7 +83,7 @@ def scan(docs: DataFrame, frequencies: dict[str, int], templates: dict[str, str]
             "last_word": pick(F.greatest, lasts).cast("long"),
             "_base": F.array_compact(F.array(*found)),
         }
-    ).drop("_line", "_words")
+    ).drop("_line")
     plans = []
     for label, template in sorted(templates.items()):
         tokens = sorted(set(template.split()), key=lambda w: (frequencies.get(w, 0), w))
@@ -88,7 +92,7 @@ def scan(docs: DataFrame, frequencies: dict[str, int], templates: dict[str, str]
     # candidates by prefix words: one pass over the text, then over its lines
     prefix = sorted({w for _, tokens, need in plans for w in tokens[: len(tokens) - need + 1]})
     any_prefix = "(?<![a-z0-9\\u0080-\\uFFFF])(?:" + "|".join(prefix) + ")(?![a-z0-9\\u0080-\\uFFFF])"
-    d = d.withColumn("_lines", F.when(F.col("_low").rlike(any_prefix), F.split("_low", "\n")).otherwise(F.array().cast("array<string>"))).drop("_low")
+    d = d.withColumn("_lines", F.when(F.col("_low").rlike(any_prefix), F.split("_low", "\n")).otherwise(F.array().cast("array<string>")))
     d = d.withColumn("_cand", F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("line"), x.alias("t"))), lambda s: s["t"].rlike(any_prefix))).drop("_lines")
     d = d.withColumn("_sets", F.transform("_cand", lambda s: F.struct(s["line"].alias("line"), F.array_distinct(words_of(s["t"])).alias("w")))).drop("_cand")
 
@@ -105,7 +109,35 @@ def scan(docs: DataFrame, frequencies: dict[str, int], templates: dict[str, str]
             out.append(F.when(may & (overlap >= need), F.struct(s["line"].cast("long").alias("line"), F.lit(label).alias("label"), (overlap / F.lit(n)).alias("containment"))))
         return F.array_compact(F.array(*out))
 
-    d = d.withColumn("blocks", F.flatten(F.transform("_sets", hits))).drop("_sets")
+    # stretches around prefix words; a line's own are no better than the line
+    wraps = F.contains("_low", F.lit("\n")) & F.col("_low").rlike(any_prefix)
+    at = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s["w"].isin(prefix))
+    d = d.withColumn("_at", F.when(wraps, at).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
+    d = d.withColumn("_ends", F.when(F.size("_at") > 0, F.split("_low", "\n")).otherwise(F.array().cast("array<string>"))).drop("_low")
+
+    def stretch(label: str, tokens: list[str], need: int) -> Column:
+        n, own = len(tokens), tokens[: len(tokens) - need + 1]
+        width, goal = math.ceil(n / share - 1e-9), F.array(*[F.lit(t) for t in tokens])
+        overlap = lambda words: F.size(F.array_intersect(words, goal))
+        around = F.transform(F.filter("_at", lambda s: s["w"].isin(own)), lambda s: F.greatest(s["i"] - width + 1, F.lit(0)))
+        near = F.transform(around, lambda i: F.struct(i.alias("i"), F.slice("_words", i + 1, 2 * width - 1).alias("w")))
+        near = F.filter(near, lambda s: overlap(s["w"]) >= need)
+        # greatest overlap, then first; stretches start at a template word
+        starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s["w"]) - 1), lambda k: F.array_contains(goal, F.get(s["w"], k)))
+        best = F.array_max(F.flatten(F.transform(near, lambda s: F.transform(starts(s), lambda k: F.struct(overlap(F.slice(s["w"], k + 1, width)).alias("n"), (-(s["i"] + k)).alias("i"))))))
+        return F.when(best["n"] >= need, F.struct((-best["i"]).alias("line"), F.lit(label).alias("label"), (best["n"] / F.lit(n)).alias("containment")))
+
+    def line_at(word: Column) -> Column:
+        """Line of a text's word by its number."""
+        start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("line"))
+        step = lambda a, x: F.struct((a["seen"] + F.size(words_of(x))).alias("seen"), (a["line"] + (a["seen"] + F.size(words_of(x)) <= word).cast("int")).alias("line"))
+        return F.aggregate("_ends", start, step)["line"].cast("long")
+
+    d = d.withColumn("_whole", F.flatten(F.transform("_sets", hits))).drop("_sets")
+    d = d.withColumn("_over", F.when(F.size("_at") > 0, F.array_compact(F.array(*[stretch(*plan) for plan in plans]))).otherwise(F.array().cast("array<struct<line:int,label:string,containment:double>>"))).drop("_at", "_words")
+    more = F.filter("_over", lambda o: ~F.exists("_whole", lambda b: (b["label"] == o["label"]) & (b["containment"] >= o["containment"])))
+    more = F.transform(more, lambda o: F.struct(line_at(o["line"]).alias("line"), o["label"].alias("label"), o["containment"].alias("containment")))
+    d = d.withColumn("blocks", F.concat("_whole", more)).drop("_whole", "_over", "_ends")
     added = F.transform("blocks", lambda b: b["label"])
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))
