@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,21 @@ def test_toxicity(toxic):
     assert out[2000]["score"] == out[2001]["score"] < 0.5
 
 
+def test_toxicity_of_noise_of_each_kind(toxic, spark):
+    flat = np.zeros((toxicity.CLASSES,) * 3, np.float32)
+    assert "ass" in toxicity.readings("455", flat) and "tits" in toxicity.readings("7175", flat)
+    assert toxicity.readings("26", flat) == []
+    docs, labels, _ = toxic
+    costs, evidence, prior = toxicity.fitted(docs, labels)
+    long = "=".join(["plain"] * 40)
+    assert "idiot" in toxicity.readings("idio" + "t" * 70, costs)
+    assert any("idiot" in w for w in toxicity.readings(long + "1d10t" + long, costs))
+    assert "ass" in toxicity.spaced("an a s s there", flat) and "asshole" in toxicity.spaced("@ s s h o l e", flat)
+    noise = ["an i d ! o t here", "such a 1 d ! 0 t", "m  o  r  o  n", "i - d - i . . o - t", "idio" + "t" * 70]
+    out = toxicity.score(spark.createDataFrame(list(enumerate([*noise, "a plain 100 of 2024 - b"])), "doc_id long, text string"), costs, evidence, prior)
+    assert [r["predicted"] for r in out.orderBy("doc_id").collect()] == [1] * len(noise) + [0]
+
+
 def test_toxicity_without_labels(toxic, nothing):
     docs, labels, _ = toxic
     costs, evidence, prior = toxicity.fitted(docs, labels.where("false"))

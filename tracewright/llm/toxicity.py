@@ -44,9 +44,16 @@ CLASSES = 64
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il"}
 SIGN_COST, DROP_COST, REPEAT_COST, OTHER_COST = 1.0, 0.7, 0.5, 4.0
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_APART = re.compile(r"(?<!\w)(?:\w[ .\-_*]){3,}\w(?!\w)")
+#: Longest text that one lattice covers, and by how much the parts of a longer one overlap.
+PART, OVERLAP = 128, 64
+_SIGNS = re.escape("".join(c for c in LOOKS if not c.isalnum()))
+_ONE = rf"(?:[^\W_]|[{_SIGNS}])"
+_APART = re.compile(rf"(?<![\w{_SIGNS}]){_ONE}(?:[\s.\-_*]+{_ONE})+(?![\w{_SIGNS}])")
+_BETWEEN = re.compile(r"[\s.\-_*]+")
+_WIDE = re.compile(r"[\s.\-_*]{2,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
+_LONG_RUN = re.compile(r"(.)\1{3,}")
 
 
 def class_of(c: str) -> int:
@@ -125,6 +132,13 @@ def restore(word: str, costs: np.ndarray, apart: bool = False, keep: int = 3) ->
     return list(dict.fromkeys(t for _, t in ends if t))[:keep]
 
 
+def parts(word: str) -> list[str]:
+    """A word as it is, or for bounded work its distinct overlapping parts; of a long run of one character three stay."""
+    if len(word) > OVERLAP:
+        word = _LONG_RUN.sub(r"\1\1\1", word)
+    return list(dict.fromkeys(word[at : at + PART] for at in range(0, max(1, len(word) - OVERLAP), PART - OVERLAP)))
+
+
 def readings(token: str, costs: np.ndarray) -> list[str]:
     """Words that a lower-case token may mean: itself if it looks plain."""
     core = token.strip(EDGES)
@@ -133,12 +147,12 @@ def readings(token: str, costs: np.ndarray) -> list[str]:
         odd = (lead == 1 and token[0] in "@$") or (0 < tail <= 2 and token[-1] in "@$")
         if not odd:
             return [core]
-    if not any(c.isalpha() for c in token) or len(token) > 64:
-        return _LETTERS.findall(token)
     plain = _LETTERS.findall(token)
+    if not any(c.isalpha() or c in LOOKS for c in token):
+        return plain
     # signs that end a run of three or more are decoration
     shape = re.sub(r"([^\w\s])\1{2,}", "", token).strip("\"#%&'()*,-./:;<=>?[\\]^_`{}~")
-    return plain + [y for x in restore(shape, costs) for y in x.split()]
+    return plain + [y for part in parts(shape) for x in restore(part, costs) for y in x.split()]
 
 
 def traits(word: str) -> set[str]:
@@ -150,14 +164,24 @@ def traits(word: str) -> set[str]:
 def spaced(low: str, costs: np.ndarray) -> set[str]:
     """Restored words of runs of single characters that stand apart."""
     out: set[str] = set()
+    for run in apart_in(low):
+        out.update(of_run(run, costs))
+    return out
+
+
+def apart_in(low: str) -> set[str]:
+    """Distinct runs of single characters without what stands between them; wider gaps may be word ends, so what they part counts too."""
+    out: set[str] = set()
     for m in _APART.finditer(low):
-        joined = re.sub(r"[ .\-_*]", "", m.group())
-        for at in range(0, len(joined), 100):  # long runs in overlapping parts, for bounded work
-            part = joined[max(0, at - 20) : at + 100]
-            out.update(y for x in restore(part, costs, apart=True) for y in [*x.split(), x.replace(" ", "")])
+        pieces = [_BETWEEN.sub("", x) for x in _WIDE.split(m.group())]
+        out.update(["".join(pieces), *(x for x in pieces if len(x) > 1)])
     return out
 
 
+def of_run(run: str, costs: np.ndarray) -> list[str]:
+    return [y for part in parts(run) for x in restore(part, costs, apart=True) for y in [*x.split(), x.replace(" ", "")]]
+
+
 def words_in(text: str | None, costs: np.ndarray, memo: dict[str, list[str]]) -> set[str]:
     """Restored words of a text."""
     low = (text or "").lower()
@@ -180,6 +204,7 @@ class Scorer:
         self.costs, self.base = costs, base
         self.weights = {x: math.log(p / (1 - p)) - base for x, p in evidence.items()}
         self.memo = Memo(self.of_token, MEMO)
+        self.runs = Memo(lambda run: self.weigh(of_run(run, self.costs)), MEMO)
 
     def weigh(self, words) -> tuple[tuple[str, float], ...]:
         out = []
@@ -197,8 +222,8 @@ class Scorer:
         out: dict[str, float] = {}
         for got in filter(None, map(self.memo.__getitem__, set(low.split()))):
             out.update(got)
-        if _APART.search(low):
-            out.update(self.weigh(spaced(low, self.costs)))
+        for got in filter(None, map(self.runs.__getitem__, apart_in(low))):
+            out.update(got)
         return out
 
 
