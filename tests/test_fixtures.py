@@ -34,6 +34,18 @@ def test_memory_search_joins_neighbours_across_pages(spark):
     assert memory.ranges(s).count() == 2
 
 
+def test_memory_search_page_by_page(spark, monkeypatch):
+    """Regions over several pages, and needles longer than a page, without a window over all runs."""
+    monkeypatch.setattr(memory, "PAGE", 16)
+    s = state(spark, [(13, "AABBAABB", 0), (17, "AA", 1), (47, "AABBAA", 2), (4, "AABBAA", 3)])
+    hits = memory.search(s, "AABBAA")
+    assert sorted(x["addr"] for x in hits.collect()) == [4, 13, 15, 47]
+    assert "SinglePartition" not in hits._jdf.queryExecution().executedPlan().toString()
+    whole = spark.range(5, 100).select(F.col("id").cast("decimal(20,0)").alias("addr"), F.lpad(F.hex(F.col("id") % 25), 2, "0").alias("byte"))
+    needle = "".join(f"{a % 25:02X}" for a in range(7, 47))
+    assert sorted(x["addr"] for x in memory.search(whole, needle).collect()) == [7, 32, 57]
+
+
 def test_registers(spark):
     rows = [(1, 0, "RAX", "01", True), (1, 1, "RAX", "02", False), (1, 2, "RAX", "03", False), (2, 0, "RBX", "04", True), (2, 1, "RBX", "05", True)]
     d = spark.createDataFrame(rows, "line long, seq int, reg string, value_hex string, is_before boolean")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Lines per first-level snapshot, and first-level snapshots per second-level one.
 BRANCH = 1000
+#: Addresses that a search takes together.
+PAGE = 65536
 
 
 def bytes_of(refs: DataFrame) -> DataFrame:
@@ -70,11 +72,22 @@ def ranges(state: DataFrame) -> DataFrame:
 
 
 def search(state: DataFrame, needle_hex: str) -> DataFrame:
-    """Addresses where a byte string (upper-case hex) stands in contiguous memory; overlapping hits count."""
-    r = ranges(state)
-    n = len(needle_hex)
-    at = F.filter(F.sequence(F.lit(0), F.floor(F.length("hex") / 2) - 1), lambda i: F.substr(F.col("hex"), (i * 2 + 1).cast("int"), F.lit(n)) == needle_hex)
-    return r.where(F.contains("hex", F.lit(needle_hex))).select(F.explode(at).alias("_i"), "start").select((F.col("start") + F.col("_i")).cast("long").alias("addr"))
+    """Addresses where a byte string (upper-case hex) stands in contiguous memory; overlapping hits count.
+
+    Each page is searched by itself, together with what a hit that starts in it needs of the bytes behind it.
+    """
+    size = len(needle_hex) // 2
+    needle = F.unhex(F.lit(needle_hex))
+    page = lambda a: F.floor(a / PAGE).cast("long")
+    s = state.select("addr", "byte", F.explode(F.sequence(page(F.greatest(F.col("addr") - size + 1, F.lit(0))), page(F.col("addr")))).alias("_p"))
+    w = Window.partitionBy("_p").orderBy("addr")
+    s = s.withColumn("_r", F.col("addr") - F.row_number().over(w))
+    runs = s.groupBy("_p", "_r").agg(F.min("addr").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("addr", "byte"))), lambda x: x["byte"]), "").alias("hex"))
+    # as binary, since a part of a string is counted off from its start
+    runs = runs.withColumn("hex", F.unhex("hex")).where(F.contains("hex", needle))
+    at = F.filter(F.sequence(F.lit(0), F.length("hex") - size), lambda i: F.substr(F.col("hex"), i + 1, F.lit(size)) == needle)
+    hits = runs.select("_p", F.explode(at).alias("_i"), "start").select("_p", (F.col("start") + F.col("_i")).alias("addr"))
+    return hits.where(page(F.col("addr")) == F.col("_p")).select(F.col("addr").cast("long").alias("addr"))
 
 
 def window_of(state: DataFrame, low: int, high: int, unset: str = "??") -> DataFrame:
