@@ -128,3 +128,12 @@ def test_empty_trace(spark):
     assert flow.thread_function_blocks(f).count() == 0
     assert flow.basic_blocks(f).count() == 0
     assert runs(f, "line", "module").count() == 0
+
+
+def test_reachable_leaves_no_node_out_silently(spark):
+    from tracewright.operators.graph import reachable
+
+    edges, start = spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long"), spark.createDataFrame([(0,)], "node long")
+    assert reachable(edges, start).count() == reachable(edges, start, max_rounds=6).count() == 7
+    with pytest.raises(RuntimeError):
+        reachable(edges, start, max_rounds=5)
