@@ -147,6 +147,20 @@ def test_verifiers(spark):
     assert one(ch.udp_ok(lit("a", "b", "a"), lit("a", "a"))) and not one(ch.udp_ok(lit("a", "b"), lit("a", "a")))
 
 
+def test_payloads_are_whole_texts(spark, tmp_path):
+    from tracewright.plans import comm_queries as comm
+
+    same = "x" * 50
+    rows = [(1, 0, "user", same + "a"), (41, 0, "user", same + "b"), (81, 0, "user", same + "abc")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {(r["send_handle"], r["recv_handle"]) for r in comm.payload_prefix_join(spark, str(tmp_path)).collect()}
+    assert found == {(1, 1), (1, 81), (41, 41), (81, 81)}
+    for q in (comm.verify_tcp, comm.verify_udp, comm.verify_queue):
+        assert {(r["handle_1"], r["handle_2"]) for r in q(spark, str(tmp_path)).where("ok").collect()} == {(1, 1), (41, 41), (81, 81)}
+    for q in (comm.verify_pipe, comm.verify_by_prefix):
+        assert {(r["handle_1"], r["handle_2"]) for r in q(spark, str(tmp_path)).where("ok").collect()} >= {(1, 1), (41, 41), (81, 81)}
+
+
 def test_text_trace(spark, tmp_path):
     text = [
         "0 S:ThreadBegin TID=4420 ",

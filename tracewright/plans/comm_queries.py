@@ -22,7 +22,7 @@ EV = """WITH c AS (SELECT conv_id, turn, role, left(text, 40) AS text, max(turn)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 40).alias("payload"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("payload"))
     last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
     c = c.distinct()
     user = F.col("role") == "user"
