@@ -181,6 +181,20 @@ def test_text_trace(spark, tmp_path):
     assert [r["instruction_id"] or None for r in rows][1:4] == [f"0:{0x2A10}", f"0:{0x2A15}", f"1:{0x10}"]
 
 
+def test_diffs_cover_the_whole_trace(spark, monkeypatch):
+    from tracewright.plans import lookup_queries as lookup
+
+    lines = spark.range(2**20 - 6000, 2**20 + 500).select(F.col("id").alias("line"), F.lit("0:1").alias("instruction_id"))
+    monkeypatch.setattr(lookup, "trace_lines", lambda *_: lines)
+    want, first = [], 2**20 - 6000
+    for k in range(2**20 - 6000, 2**20 + 500):
+        if k + 1 == 2**20 + 500 or (k % 97 < 3) != ((k + 1) % 97 < 3):
+            want.append((first, k, k % 97 >= 3))
+            first = k + 1
+    for q in (lookup.diff_by_position, lookup.diff_merged):
+        assert sorted((r["start_line"], r["end_line"], r["is_match"]) for r in q(spark, "").collect()) == want
+
+
 def test_floats(spark):
     d = spark.createDataFrame([(struct.pack(">d", -2.5).hex(), struct.pack(">f", 1.25).hex(), "4000C90FDAA22168C235"), (None, "xx", None)], "a string, b string, c string")
     r = d.select(tx.float64_of_hex("a").alias("a"), tx.float32_of_hex("b").alias("b"), tx.float80_of_hex("c").alias("c")).collect()

@@ -192,7 +192,7 @@ DIFF = f"""{W}, a AS (SELECT line, instruction_id AS s FROM t WHERE line < 5000)
 @query(DIFF)
 def diff_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matching and differing regions of two traces that are compared line by line."""
-    a = trace_lines(spark, sf_dir).where("line < 5000").select("line", F.col("instruction_id").alias("text"))
+    a = trace_lines(spark, sf_dir).select("line", F.col("instruction_id").alias("text"))
     b = a.select("line", F.when(F.col("line") % 97 < 3, "x").otherwise(F.col("text")).alias("text"))
     return diff_regions(a, b)
 
@@ -200,7 +200,7 @@ def diff_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(DIFF + " ORDER BY start_line")
 def diff_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matching regions and differing regions read apart and merged in order again."""
-    a = trace_lines(spark, sf_dir).where("line < 5000").select("line", F.col("instruction_id").alias("text"))
+    a = trace_lines(spark, sf_dir).select("line", F.col("instruction_id").alias("text"))
     b = a.select("line", F.when(F.col("line") % 97 < 3, "x").otherwise(F.col("text")).alias("text"))
     r = diff_regions(a, b)
     return merged_regions(r.where("is_match"), r.where("NOT is_match"))
