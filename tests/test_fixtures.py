@@ -46,6 +46,24 @@ def test_memory_search_page_by_page(spark, monkeypatch):
     assert sorted(x["addr"] for x in memory.search(whole, needle).collect()) == [7, 32, 57]
 
 
+def test_pointed_bytes_of_late_calls(spark, monkeypatch):
+    from tracewright.plans import memory_queries
+
+    rows = [(10, 1, "mov", 8, 1), (3000, 1, "call", 8, 2), (9000, 1, "call", 8, 3)]
+    lines = spark.createDataFrame(rows, "line long, thread long, mnemonic string, addr long, byte long")
+    monkeypatch.setattr(memory_queries, "trace_lines", lambda *_: lines)
+    assert {r["line"]: r["payload"] for r in memory_queries.pointed_bytes(spark, "").collect()} == {3000: "020E", 9000: "020E"}
+
+
+def test_second_level_snapshots_take_part(spark):
+    rows = [(line, 0, addr, f"{line % 251:02X}") for addr in range(5) for line in range(addr * 7, 2_400_000, 99_991 + addr)]
+    d = spark.createDataFrame(rows, "line long, seq long, addr long, byte string")
+    first, second = (memory.snapshot(d, ["addr"], "byte", level) for level in (1, 2))
+    for line in (4321, 999_999, 1_000_000, 2_345_678):
+        got = memory.state_from_snapshots(d, first, second, ["addr"], "byte", line)
+        assert sorted(map(tuple, got.select("addr", "byte", "line").collect())) == sorted(map(tuple, memory.state_at(d, line).select("addr", "byte", "line").collect()))
+
+
 def test_registers(spark):
     rows = [(1, 0, "RAX", "01", True), (1, 1, "RAX", "02", False), (1, 2, "RAX", "03", False), (2, 0, "RBX", "04", True), (2, 1, "RBX", "05", True)]
     d = spark.createDataFrame(rows, "line long, seq int, reg string, value_hex string, is_before boolean")

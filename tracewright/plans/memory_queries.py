@@ -102,6 +102,6 @@ def memory_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pointed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that a call's buffer address points to, in address order."""
-    calls = trace_lines(spark, sf_dir).where("mnemonic = 'call' AND line <= 2000").select("line", F.explode(F.sequence(F.col("addr"), F.col("addr") + 3)).alias("addr"))
+    calls = trace_lines(spark, sf_dir).where("mnemonic = 'call'").select("line", F.explode(F.sequence(F.col("addr"), F.col("addr") + 3)).alias("addr"))
     state = memory.state_at(memory.bytes_of(refs(spark, sf_dir)), 4321).select(F.col("addr").cast("long").alias("addr"), "byte")
     return calls.join(state, "addr").groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("addr", "byte"))), lambda x: x["byte"]), "").alias("payload"))
