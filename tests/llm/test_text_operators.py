@@ -25,9 +25,7 @@ def base(t):
     return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)
 
 
-@pytest.mark.parametrize("packed", [1 << 14, 1 << 4])
-def test_base_rules(docs, texts, packed, monkeypatch):
-    monkeypatch.setattr(quality_rules, "PACKED_WORDS", packed)
+def test_base_rules(docs, texts):
     out = quality_rules.base_rules(docs.withColumn("n_words", F.lit("clash"))).collect()
     for r in out:
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base(texts[r["doc_id"]]), r["doc_id"]
@@ -57,6 +55,15 @@ def test_ratio_equals_plain_counts(spark, docs, texts):
         assert got[i]["score"] == pytest.approx(sum(map(ratio, g)) / len(g) if g else 0.0, abs=1e-9)
 
 
+def test_filters_on_verdicts_stay_above(spark):
+    """A filter on a result column works no array out anew: long texts stay quick."""
+    words = [f"w{i % 7000}" for i in range(20_000)]
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:5000]))], "doc_id long, text string")
+    assert [r["doc_id"] for r in quality_rules.base_rules(d).where("not base_failed").collect()] == [2]
+    assert quality_rules.judge(d, [0.0] * 50).where("kept and n_words > 100").count() == 1
+    assert quality_rules.judge(d, [0.1] * 50).where("score > 0.05 and not kept").select("doc_id").collect()[0][0] == 1
+
+
 def test_quality_of_nothing(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     ratios = quality_rules.ratio_table(nothing, quality_rules.trusted_ids(labels))

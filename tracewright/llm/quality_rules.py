@@ -21,75 +21,59 @@ TARGET_BOUND = 20_000
 SMOOTHING = 0.5
 #: Mean log ratio that a kept document reaches.
 THRESHOLD = -0.25
-#: Texts up to this many words sort windows as one packed long each.
-PACKED_WORDS = 1 << 14
 
 
 def _covered(positions: Column) -> Column:
     """Words covered by three-word windows at these sorted positions."""
-    steps = F.transform(positions, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(positions, i + 1) - p, F.lit(3)).cast("int")))
+    steps = F.transform(positions, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(positions, i + 1) - p, F.lit(3))))
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, s: a + s)
 
 
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed (names that docs has are replaced)."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed (names that docs has are replaced).
+
+    Null and empty texts have no words: all counts 0, base_failed true.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.withColumn("_words", words_of(F.col(text)))
-    d = d.withColumn("n_words", F.size("_words").cast("long"))
-    d = d.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-    d = d.withColumn("n_symbols", F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"))
     d = d.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(NON_SPACE)))
-    d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     d = d.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
     d = d.withColumn(
         "_win",
         F.when(
-            F.col("n_words") >= 3,
+            F.size("_words") >= 3,
             F.transform(F.slice("_h", 1, F.size("_h") - 2), lambda h, i: F.xxhash64(h, F.get("_h", i + 1), F.get("_h", i + 2))),
         ).otherwise(F.expr("array_remove(array(0L), 0L)")),
     )
-    # most texts repeat no window; only the others sort
-    d = d.withColumn("_repeats", F.size(F.array_distinct("_win")) < F.size("_win"))
-    bits = PACKED_WORDS.bit_length() - 1
-    low = PACKED_WORDS - 1
-    d = d.withColumn(
-        "_packed",
-        F.when(
-            F.col("_repeats") & (F.size("_win") <= PACKED_WORDS),
-            F.sort_array(F.transform("_win", lambda h, i: F.shiftleft(F.shiftright(h, bits), bits).bitwiseOR(i.cast("long")))),
-        ),
-    )
-    d = d.withColumn(
-        "_wide",
-        F.when(
-            F.col("_repeats") & (F.size("_win") > PACKED_WORDS),
-            F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))),
-        ),
-    )
-    same = lambda a, b: F.coalesce(F.shiftright(a, bits) == F.shiftright(b, bits), F.lit(False))
-    d = d.withColumn(
-        "_at",
-        F.when(
-            F.col("_packed").isNotNull(),
-            F.transform(
-                F.filter("_packed", lambda x, i: same(x, F.get("_packed", i - 1)) | same(x, F.get("_packed", i + 1))),
-                lambda x: x.bitwiseAND(F.lit(low).cast("long")),
-            ),
-        ).when(
-            F.col("_wide").isNotNull(),
-            F.transform(
-                F.filter(
-                    "_wide",
-                    lambda x, i: F.coalesce(x["h"] == F.get("_wide", i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("_wide", i + 1)["h"], F.lit(False)),
-                ),
-                lambda x: x["i"],
-            ),
-        ),
-    )
-    d = d.withColumn("_at", F.sort_array("_at"))
-    d = d.withColumn("n_repeat_words", F.when(F.col("_at").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("_at"))))
-    d = d.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
-    return d.drop("_words", "_lines", "_h", "_win", "_repeats", "_packed", "_wide", "_at")
+    # most texts repeat no window; only the others sort. Hashes order the windows, words decide where hashes are equal
+    word = lambda i, k: F.get("_words", i + k)
+    window = lambda h, i: F.struct(h.alias("h"), word(i, 0).alias("a"), word(i, 1).alias("b"), word(i, 2).alias("c"), i.alias("i"))
+    repeats = F.size(F.array_distinct("_win")) < F.size("_win")
+    d = d.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_win", window))))
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    twice = F.filter("_sorted", lambda x, k: same(x, F.get("_sorted", k - 1)) | same(x, F.get("_sorted", k + 1)))
+    d = d.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    n_words = F.size("_words").cast("long")
+    n_repeat = F.when(F.col("_at").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("_at")))
+    added = {
+        "n_words": n_words,
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_repeat_words": n_repeat,
+        "base_failed": (n_words < 50) | (n_repeat * 100 > n_words * 50),
+    }
+    return _fenced(d, added).drop("_words", "_lines", "_h", "_win", "_sorted", "_at")
+
+
+def _fenced(d: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """d with these columns, as a generator's output: no filter on them moves below, into the lambdas that make them.
+
+    Spark pushes a filter through a projection by repeating the projection's expressions; arrays
+    would then be worked out anew for each of their own elements.
+    """
+    rest = [F.col(f"`{c}`") for c in d.columns if c not in added]
+    return d.select(*rest, F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in added.items()]))))
 
 
 def _with_grams(docs: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -139,6 +123,6 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, te
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal
     d = _with_grams(docs, text, len(ratios))
     total = F.aggregate("_grams", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-    d = d.withColumn("score", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0))).drop("_grams")
+    d = _fenced(d, {"score": F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0))}).drop("_grams")
     d = base_rules(d, text)
     return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
