@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tracewright.operators import control_flow as flow
-from tracewright.operators.ordered import carried_before, running_total, runs
+from tracewright.operators.ordered import carried_after, carried_before, running_total, runs
 
 
 def trace(seed, threads=6, n=150):
@@ -137,3 +137,19 @@ def test_reachable_leaves_no_node_out_silently(spark):
     assert reachable(edges, start).count() == reachable(edges, start, max_rounds=6).count() == 7
     with pytest.raises(RuntimeError):
         reachable(edges, start, max_rounds=5)
+
+
+@pytest.mark.parametrize("bucket", [1 << 20, 7])
+def test_carried_within_groups(spark, bucket):
+    """One group over many buckets, a null group, and rows without a value."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    rows = [(i, r.choice([0, 0, 0, 0, 1, None]), r.choice([None, None, i])) for i in range(300)]
+    d = spark.createDataFrame(rows, "line long, thread int, v long")
+    back = {x["line"]: x["x"] for x in carried_before(d, "line", F.col("v"), "x", bucket, ("thread",)).collect()}
+    on = {x["line"]: x["x"] for x in carried_after(d, "line", F.col("v"), "x", bucket, ("thread",)).collect()}
+    assert len(back) == len(on) == 300
+    for i, t, _ in rows:
+        same = [v for j, u, v in rows if u == t and v is not None]
+        assert back[i] == max((v for v in same if v < i), default=None) and on[i] == min((v for v in same if v > i), default=None)

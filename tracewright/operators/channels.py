@@ -22,8 +22,9 @@ def streams(events: DataFrame) -> DataFrame:
     e = events.where("type IN ('open', 'close')")
     before = F.lag("type").over(_by_handle())
     e = e.withColumn("_first", (F.col("type") == "open") & (before.isNull() | (before == "close")))
-    after = _by_handle().rowsBetween(1, Window.unboundedFollowing)
-    e = e.withColumn("close_line", F.first(F.when(F.col("type") == "close", F.col("line")), ignorenulls=True).over(after))
+    # read backwards, so that the frame grows by a row a row
+    after = Window.partitionBy("trace", "handle").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("close_line", F.last(F.when(F.col("type") == "close", F.col("line")), ignorenulls=True).over(after))
     return e.where("_first").select("trace", "handle", "channel_id", F.col("line").alias("open_line"), "close_line", F.col("close_line").isNotNull().alias("closed"))
 
 

@@ -7,6 +7,8 @@ only they pass through one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +30,26 @@ def running_total(df: DataFrame, order: str, value: Column, name: str, bucket: i
     return d.join(carry, "_b").withColumn(name, (F.col("_own") + F.col("_c")).cast("long")).drop("_b", "_v", "_own", "_c")
 
 
-def carried_before(df: DataFrame, order: str, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
-    """Adds `name`: the last non-null `value` of a row strictly before this one in `order` (unique)."""
+def carried_before(df: DataFrame, order: str, value: Column, name: str, bucket: int = BUCKET, group: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `name`: the last non-null `value` of a row strictly before this one in `order` (unique within a group).
+
+    Groups are cut into buckets of their own, so a group of any size is spread over many tasks; a null
+    in a group column makes a group like any other value.
+    """
     d = df.withColumn("_b", _bucket(order, bucket)).withColumn("_v", value)
-    edges = d.groupBy("_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_last"))
-    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = edges.select("_b", F.last("_last", ignorenulls=True).over(ahead).alias("_c"))
-    own = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    edges = d.groupBy(*group, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_last"))
+    ahead = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    keys = {g: f"_g{i}" for i, g in enumerate(group)}
+    carry = edges.select(*[F.col(g).alias(k) for g, k in keys.items()], F.col("_b").alias("_cb"), F.last("_last", ignorenulls=True).over(ahead).alias("_c"))
+    own = Window.partitionBy(*group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_own", F.last("_v", ignorenulls=True).over(own))
-    return d.join(carry, "_b").withColumn(name, F.coalesce("_own", "_c")).drop("_b", "_v", "_own", "_c")
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(k)) for g, k in keys.items()], F.col("_b") == F.col("_cb"))
+    return d.join(carry, same).withColumn(name, F.coalesce("_own", "_c")).drop("_b", "_v", "_own", "_c", "_cb", *keys.values())
+
+
+def carried_after(df: DataFrame, order: str, value: Column, name: str, bucket: int = BUCKET, group: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `name`: the first non-null `value` of a row strictly after this one, as carried_before in the reverse order."""
+    return carried_before(df.withColumn("_back", -F.col(order)), "_back", value, name, bucket, group).drop("_back")
 
 
 def runs(df: DataFrame, order: str, key: str, bucket: int = BUCKET) -> DataFrame:

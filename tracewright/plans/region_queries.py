@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import channels as ch
 from ..operators import intervals as iv
+from ..operators.ordered import carried_after
 from ..sources.adapters import TRACE_SQL, table, trace_lines
 from .interval_queries import ORD, spans
 from .registry import query
@@ -48,9 +49,8 @@ def call_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls with the last write to their buffer before them and their thread's next return: two windows, no range join."""
     t = trace_lines(spark, sf_dir)
     by_address = Window.partitionBy("addr").orderBy("line")
-    after = Window.partitionBy("thread").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
     t = t.withColumn("input_line", F.lag("line").over(by_address))
-    t = t.withColumn("return_line", F.first(F.when(F.col("mnemonic") == "ret", F.col("line")), ignorenulls=True).over(after))
+    t = carried_after(t, "line", F.when(F.col("mnemonic") == "ret", F.col("line")), "return_line", group=("thread",))
     return t.where("mnemonic = 'call'").select("line", "instruction_id", "input_line", "return_line")
 
 
