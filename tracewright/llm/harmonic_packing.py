@@ -11,26 +11,42 @@ length, over all classes of that worker: a bounded number of pieces.
 
 from __future__ import annotations
 
-import unicodedata
+import json
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Memo, mapped, stored
+from .shared import mapped, stored
 
 CAPACITY = 4096
 TOLERANCE = 0.01
 #: Pieces this short are never cut.
 SHORTEST = 64
 #: Pieces that one worker numbers, about.
-GROUP_PIECES = 50_000
-#: Parts and words that a worker remembers at least.
-MEMO = 250_000
-#: Signs at a part's end that the tokenizer cuts off; the apostrophe is not among them, as it starts endings.
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+GROUP_PIECES = 10_000
+#: Parts that a worker remembers at least.
+MEMO = 500_000
+# The normaliser and splitter under which blanks part words and are dropped.
+BLANKS_DROPPED = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+#: Latin letters that lower-case to one letter each (so not U+0130), and the ASCII signs that may follow; the apostrophe starts endings.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_WORD = re.compile(f"[{_LETTER}]+")
+_BEFORE_SIGN = re.compile(rf"(?<=[{_LETTER}])(?=[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~])")
 
 
 def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
@@ -49,46 +65,65 @@ def cuts(length: int, capacity: int = CAPACITY) -> list[int]:
 
 
 class _Ids:
-    """The ids (little-endian 32-bit bytes) of a text's parts between blanks, remembered.
+    """The ids (little-endian 32-bit bytes) of texts, by the tokenizer itself, with a memory for the parts between blanks.
 
-    A part that is letters and then ASCII signs goes straight to the vocabulary's model, letters and
-    signs apart as the tokenizer's own splitter cuts them; everything else takes the whole
-    tokenizer.
+    A vocabulary that normalises and splits as in BLANKS_DROPPED gives a text the ids of its parts one
+    by one, also where a blank more stands between a letter and a sign. Parts of letters only are one
+    word each, so many of them go through the tokenizer together and their ids are told apart
+    by the word ends. Any other vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.words = Memo(self.of_word, MEMO)
-        self.parts = Memo(self.of_part, MEMO)
-        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        suffix = kind["model"].get("end_of_word_suffix")
+        self.apart = [kind["normalizer"], kind["pre_tokenizer"]] == BLANKS_DROPPED and suffix == "</w>" and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in kind["added_tokens"])
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.is_end[i] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def of_word(self, word: str) -> bytes:
-        """Ids of letters only."""
-        if word.isascii():
-            shown = word.lower()
-        else:
-            low = "".join(map(str.lower, word))
-            if not unicodedata.is_normalized("NFC", word) or not low.isalpha():
-                return self.whole(word)
-            shown = "".join(map(self.letters.__getitem__, low.encode()))
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
-
-    def of_part(self, part: str) -> bytes:
-        if part.isalpha():
-            return self.words[part]
-        core = part.rstrip(SIGNS)
-        if core != part and (not core or core.isalpha()):
-            return (self.words[core] if core else b"") + self.whole(part[len(core) :])
-        return self.whole(part)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, parts: set[str]) -> None:
+        known, old, words = self.known, self.old, []
+        for x in parts:
+            if (got := old.get(x)) is not None:
+                known[x] = got
+            elif _WORD.fullmatch(x):
+                words.append(x)
+            else:
+                known[x] = self.whole(x)
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.nonzero(self.is_end[ids])[0] + 1
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                starts = [0, *ends[:-1].tolist()]
+                known.update(zip(some, [data[4 * i : 4 * j] for i, j in zip(starts, ends.tolist(), strict=True)], strict=True))
+            else:
+                known.update((x, self.whole(x)) for x in some)
+
+    def of_texts(self, texts: list[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 64):
+            some = [t or "" for t in texts[at : at + 64]]
+            if not self.apart:
+                yield from map(self.whole, some)
+                continue
+            # ASCII letters are lowered for good by the vocabulary; its special tokens are not
+            some = [t.lower() if t.isascii() and "<|" not in t else t for t in some]
+            split = [(t if "<|" in t else _BEFORE_SIGN.sub(" ", t)).replace("\n", " ").split(" ") for t in some]
+            if len(self.known) >= MEMO:
+                self.old, self.known = self.known, {}
+            self.learn(set().union(*split).difference(self.known))
+            for parts in split:
+                yield b"".join(map(self.known.__getitem__, parts))
 
 
 @lru_cache(maxsize=1)
@@ -99,16 +134,16 @@ def _ids(path: str) -> _Ids:
 def tokens(docs: DataFrame, path: str, end_id: int, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary, little-endian 32 bits each), doc_tokens.
 
-    The vocabulary drops white space, so the parts between blanks and line ends are encoded apart
-    and remembered. Null texts count as empty: end_id alone.
+    Ids are those of the tokenizer for each whole text, without special tokens added. Null and empty texts
+    have end_id alone; very long ones become many pieces; equal rows equal pieces. Columns other than
+    doc_id are left out.
     """
 
     def work(texts: list[str]) -> tuple:
-        known, end = _ids(path).parts, end_id.to_bytes(4, "little")
+        end = end_id.to_bytes(4, "little")
         at, starts, lengths, parts, totals = [], [], [], [], []
-        for i, t in enumerate(texts):
-            data = b"".join(map(known.__getitem__, (t or "").replace("\n", " ").split(" "))) + end
-            start = 0
+        for i, ids in enumerate(_ids(path).of_texts(texts)):
+            data, start = ids + end, 0
             for length in cuts(len(data) // 4, capacity):
                 at.append(i)
                 starts.append(start)
