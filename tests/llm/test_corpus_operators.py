@@ -51,7 +51,7 @@ def test_hilbert_index_is_a_walk(bits, dims):
 @pytest.mark.parametrize("subcell", [20_000, 3])
 def test_shards(docs, texts, subcell, monkeypatch):
     monkeypatch.setattr(hilbert_shards, "SUBCELL_ROWS", subcell)
-    dims = {"n": F.col("n_chars"), "s": hilbert_shards.text_key(F.col("source")), "l": hilbert_shards.text_key(F.col("lang"))}
+    dims = {"n": F.col("n_chars"), "s": F.col("source"), "l": F.col("lang")}
     out = hilbert_shards.shards(docs.withColumn("slot", F.lit("x")), 8, dims, ["doc_id"]).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(texts)
     slots = defaultdict(list)
@@ -64,6 +64,19 @@ def test_shards(docs, texts, subcell, monkeypatch):
     assert all(spans[s][1] <= spans[s + 1][0] for s in range(7))
 
 
+def test_levels_of_whole_strings(spark):
+    """Strings that share a long beginning still make levels of about equal size; a hot one keeps to itself."""
+    rows = [(i, "https://www.example.org/collection/" + ("hot" if i % 3 == 0 else f"part-{i % 64:02}")) for i in range(1200)] + [(2000 + i, None) for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, source string")
+    cuts = sorted(hilbert_shards.text_cuts(d, "source", 16))
+    assert 9 <= len(cuts) <= 16
+    sizes = Counter(sum(s is not None and s > c for c in cuts) for _, s in rows)
+    assert max(v for k, v in sizes.items() if k) <= 420 and sorted(sizes.values())[-2] <= 1200 / 16 + 64
+    out = hilbert_shards.shards(d, 8, {"s": F.col("source")}, ["doc_id"]).collect()
+    assert Counter(r["shard"] for r in out).most_common()[-1][1] == 1205 // 8
+    assert hilbert_shards.text_cuts(d.where("source is null"), "source", 16) == []
+
+
 def test_shards_of_little(docs, nothing):
     dims = {"n": F.col("n_chars")}
     assert hilbert_shards.shards(nothing, 8, dims, ["doc_id"]).count() == 0
@@ -129,8 +142,8 @@ def test_minhash(docs, texts):
 def test_minhash_chain(spark, small, monkeypatch):
     """A chain of near copies whose ends are far apart, and a large group of copies of one base."""
     monkeypatch.setattr(minhash_dedup, "SMALL", small)
-    monkeypatch.setattr(minhash_dedup, "FEW", 3 if small == 4 else 256)
-    monkeypatch.setattr(minhash_dedup, "MANY", 5 if small == 4 else 1024)
+    monkeypatch.setattr(minhash_dedup, "FEW", 3 if small == 4 else 512)
+    monkeypatch.setattr(minhash_dedup, "MANY", 5 if small == 4 else 2048)
     r = random.Random(3)
     words = [f"w{r.randrange(9999)}" for _ in range(120)]
     texts, now = {}, words[:]
@@ -148,6 +161,43 @@ def test_minhash_chain(spark, small, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in minhash_dedup.groups(d).collect()} == component
 
 
+def test_pairs_near_the_threshold_are_found():
+    """Of pairs at similarity 0.75 to 0.85, signatures lose no more than the stated share."""
+    r = np.random.default_rng(4)
+    fewest, lost, n = minhash_dedup.least_matches(), 0, 1500
+    for k in range(n):
+        size = int(r.integers(120, 400))
+        share = 0.75 + 0.1 * r.random()
+        common = int(np.ceil(2 * size * share / (1 + share)))
+        both = r.integers(0, 2**63, 2 * size - common, dtype=np.uint64)
+        a, b = (minhash_dedup.signature(np.unique(x)) for x in (both[:size], both[size - common :]))
+        same = a == b
+        banded = same.reshape(-1, minhash_dedup.ROWS).all(axis=1).any()
+        lasts = len(minhash_dedup._survivors(a[None], b[None], np.zeros(1, int), np.zeros(1, int), np.zeros(1, int), fewest)[0])
+        lost += not (banded and lasts)
+    assert lost <= 1
+
+
+def test_blocks_return_forests():
+    """Many likely pairs that are no links, and a few links: one link a pair of components comes back."""
+    r = np.random.default_rng(6)
+    base = np.unique(r.integers(0, 2**63, 200, dtype=np.uint64))
+    sets, component = [], []
+    for k in range(60):
+        own = r.integers(0, 2**63, 20 if k % 2 else 70, dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([base[: 200 - len(own) // 2], own])))
+        component.append(k % 2 if k < 50 else k)
+    p, q = np.nonzero(np.ones((60, 60), bool))
+    links = minhash_dedup._forest(p, q, np.zeros(len(p), int), component, sets, 75)
+    exact = set()
+    for a in range(60):
+        for b in range(60):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                exact.add((component[a], component[b]))
+    assert joined(component, links) == joined(component, exact) and len(links) < 60
+
+
 def test_minhash_of_nothing(nothing):
     assert minhash_dedup.groups(nothing).count() == 0
 
@@ -186,7 +236,39 @@ def test_cuts():
             assert 4096 - k * p <= max(0.02 * 4096, 64 + k)
 
 
-@pytest.mark.parametrize("group", [50_000, 7])
+def test_ids_of_any_text():
+    """Parts encoded apart give the ids of the whole text, for random strings of all kinds."""
+    r = random.Random(8)
+    ids = harmonic_packing._Ids(tokenizers_there.path("word_bpe_49k.json"))
+    assert ids.apart
+    pool = [chr(c) for c in range(32, 0x250)] + [chr(c) for c in range(0x250, 0x3000, 7)] + [chr(c) for c in range(0x3000, 0x2FFFF, 997) if not 0xD800 <= c < 0xE000]
+    pool += ["<|endoftext|>", "A<|", "'s", "'ll", "\u0130", "\u0307", "\u0338", "\u03a3", "\u1e9e", "\n", "\t", " ", " . "]
+    narrow = "aI\u0130e\u00e9\u00c0,.'!- \n|<s\u0307"
+    texts = ["".join(r.choice(pool if k % 2 else narrow) for _ in range(r.randrange(1, 13))) for k in range(100_000)]
+    texts += ["\u0130,", "a\u0130!", "", "x" * 5000 + "." * 300, "ab. " * 9000, None]
+    wrong = [t for t, got in zip(texts, ids.of_texts(texts), strict=True) if got != ids.whole(t or "")]
+    assert not wrong
+    other = harmonic_packing._Ids(tokenizers_there.path("byte_bpe_50k.json"))
+    assert not other.apart and list(other.of_texts(["a b.\n c"])) == [other.whole("a b.\n c")]
+
+
+def test_memory_of_two_halves(monkeypatch):
+    monkeypatch.setattr(harmonic_packing, "MEMO", 5)
+    ids = harmonic_packing._Ids(tokenizers_there.path("word_bpe_49k.json"))
+    texts = [f"stone w{i} river {'a' * (i % 9 + 1)}. stone" for i in range(400)]
+    assert list(ids.of_texts(texts)) == [ids.whole(t) for t in texts]
+
+
+def test_little_padding(spark):
+    r = random.Random(2)
+    rows = [(i, at, n, "mine", 0) for i in range(4000) for at, n in enumerate(harmonic_packing.cuts(int(r.lognormvariate(6, 1.2)) + 1))]
+    out = harmonic_packing.pack(spark.createDataFrame(rows, "doc_id long, start long, length long, offset string, sequence_id int")).collect()
+    assert len(out) == len(rows)
+    used, bins = sum(x["length"] for x in out), {x["sequence_id"] for x in out}
+    assert used > 0.97 * 4096 * len(bins)
+
+
+@pytest.mark.parametrize("group", [10_000, 7])
 def test_packing(docs, texts, group, monkeypatch):
     from tokenizers import Tokenizer
 

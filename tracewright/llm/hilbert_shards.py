@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
-Several metadata columns are cut into 2**bits levels each (by quantiles, so that levels carry
-about equal numbers of rows); a cell's place on the Hilbert curve through the grid orders the
+Several metadata columns are cut into 2**bits levels each (by quantiles, of strings too, so that
+levels carry about equal numbers of rows); a cell's place on the Hilbert curve through the grid orders the
 rows, and runs of equal row counts become the shards. A shard then spans a compact box of the
 metadata space, so that min/max statistics of its files prune on every dimension.
 
@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import stored
 
@@ -54,27 +55,44 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def text_key(c: Column) -> Column:
-    """An order-preserving integer of a string's first seven bytes; null: -1."""
-    return F.when(c.isNull(), F.lit(-1)).otherwise(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")).cast("long")
+def text_cuts(d: DataFrame, name: str, levels: int) -> list[str]:
+    """At most levels - 1 values of a string column that part its rows into about equal runs, by whole strings.
+
+    Each distinct value is counted, the counts are ranged over the value and summed up within ranges;
+    only the ranges' sums meet in one place.
+    """
+    values = d.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_n"))
+    values = stored(values.repartitionByRange(name).withColumn("_p", F.spark_partition_id()), "shard-values")
+    ranges = values.groupBy("_p").agg(F.sum("_n").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("_p", before.alias("_c"))
+    total = values.agg(F.coalesce(F.sum("_n"), F.lit(1))).first()[0]
+    upto = F.sum("_n").over(Window.partitionBy("_p").orderBy(name).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_c")
+    crossing = values.join(ranges, "_p").withColumn("_up", upto)
+    crossed = F.floor(F.col("_up") * levels / total) > F.floor((F.col("_up") - F.col("_n")) * levels / total)
+    return [r[0] for r in crossing.where(crossed).select(name).collect()]  # at most `levels` rows
 
 
 def shards(rows: DataFrame, n_shards: int, dims: dict[str, Column], tie: list[str], bits: int = BITS) -> DataFrame:
     """Adds cell (curve index), shard (0 to n_shards - 1) and slot (gapless from 0 in each shard); counts differ by one at most.
 
-    dims: the metadata dimensions, numeric (nulls go to the lowest level; strings by text_key).
+    dims: the metadata dimensions, numeric or strings (whole strings, in binary order); nulls go to the lowest level.
     tie: columns that order rows of one cell; together they should be unique (else equal rows
     still get different slots, in any order). An empty table gives an empty result. Columns of
     rows named cell, shard, slot are replaced.
     """
     spark = rows.sparkSession
     names = [f"_d{i}" for i in range(len(dims))]
-    d = rows.drop("cell", "shard", "slot").withColumns({n: F.coalesce(c.cast("double"), F.lit(-1.0)) for n, c in zip(names, dims.values(), strict=True)})
+    d = rows.drop("cell", "shard", "slot").withColumns(dict(zip(names, dims.values(), strict=True)))
     d = stored(d, "shard-rows")
     levels = 1 << bits
-    cuts = d.agg(*[F.percentile_approx(n, [i / levels for i in range(1, levels)], 10_000).alias(n) for n in names]).first()
+    strings = [n for n in names if d.schema[n].dataType == T.StringType()]
+    numbers = [n for n in names if n not in strings]
+    shares = [i / levels for i in range(1, levels)]
+    found = d.agg(F.count("*").alias("all"), *[F.percentile_approx(F.col(n).cast("double"), shares, 10_000).alias(n) for n in numbers]).first()
+    cuts = {n: found[n] or [] for n in numbers} | {n: text_cuts(d, n, levels) for n in strings}
     for n in names:
-        bounds = sorted(set(cuts[n] or []))
+        bounds = sorted(set(cuts[n]))
         d = d.withColumn(n, sum((F.when(F.col(n) > b, 1).otherwise(0) for b in bounds), F.lit(0)).cast("int"))
     packed = sum((F.col(n) * (levels**i) for i, n in enumerate(names)), F.lit(0)).cast("int")
     d = d.withColumn("_grid", packed).drop(*names)
@@ -88,7 +106,7 @@ def shards(rows: DataFrame, n_shards: int, dims: dict[str, Column], tie: list[st
             yield pd.DataFrame({"_grid": g, "cell": hilbert_index(coords, bits), "_n": b["_n"]})
 
     cells = stored(counts.mapInPandas(index, "_grid int, cell long, _n long"), "shard-cells")
-    total = cells.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    total = found["all"]
     before = F.coalesce(F.sum("_n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.select("_grid", "cell", before.alias("_before"), F.ceil(F.col("_n") / SUBCELL_ROWS).cast("long").alias("_subs"))
     d = d.join(F.broadcast(cells), "_grid").drop("_grid")

@@ -41,7 +41,7 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     t = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), "lang", "source")
-    dims = {"size": F.col("size"), "source": hilbert_shards.text_key(F.col("source")), "lang": hilbert_shards.text_key(F.col("lang"))}
+    dims = {"size": F.col("size"), "source": F.col("source"), "lang": F.col("lang")}
     out = hilbert_shards.shards(rows, 8, dims, ["doc_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
