@@ -129,6 +129,40 @@ def test_wrapped_licenses(spark):
     assert out[0]["score"] == 1.0 and out[3]["score"] == 0.0
 
 
+def test_license_filters(spark):
+    """Length and positions rule out what they must, and nothing that the exact count would keep."""
+    templates = {"a": "one two three four five", "b": "two six seven eight nine", "c": "five"}
+    index = license_scans.Index.of(templates, {"one": 9, "two": 1, "six": 2}, 0.8)
+    rank = {w: i for i, w in enumerate(index.words)}
+    blocks = ["two one", "two six seven eight", "two six seven one", "one three four five", "one three four", "five", "eight nine seven six two one three four five", "five four nine six"]
+    rows = [(k, sorted({rank[w] for w in x.split()})) for k, x in enumerate(blocks)]
+    d = spark.createDataFrame(rows, "k int, ranks array<int>").withColumn("t", index.candidates(F.col("ranks"))).orderBy("k")
+    got = [{index.labels[t] for t in r["t"]} for r in d.collect()]
+    exact = [{x for x, t in templates.items() if len(set(t.split()) & set(b.split())) >= 0.8 * len(set(t.split()))} for b in blocks]
+    assert all(e <= g for e, g in zip(exact, got, strict=True))
+    # rarest first: eight five four nine seven three two six one; "b" asks for eight or nine
+    assert got[0] == got[2] == set() and got[1] == {"b"} and got[5] == {"c"}
+    # nine is there and four words are enough, but behind nine only six could match "b"
+    assert got[7] == {"a", "c"}
+
+
+def test_many_templates(spark):
+    """Templates of whole licenses' size, one plan for all of them; names that clash are replaced."""
+    import random
+
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(900)]
+    templates = {f"t{k:03}": " ".join(r.sample(vocabulary, 150)) for k in range(120)}
+    texts = []
+    for k in range(12):
+        words = templates[f"t{k:03}"].split()
+        lost = r.sample(range(150), 20 if k % 2 else 45)
+        texts.append(" ".join("zz" if i in lost else w for i, w in enumerate(words)) + ("\nend" if k % 3 else ""))
+    docs = spark.createDataFrame([(i, t, "mine", 7) for i, t in enumerate(texts)] + [(12, None, None, 7)], "doc_id long, text string, labels string, _t int")
+    out = license_scans.scan(docs, license_scans.template_frequencies(docs, templates), templates).orderBy("doc_id").collect()
+    assert [x["labels"] for x in out] == [f"t{k:03}" if k % 2 else "" for k in range(12)] + [""] and {x["_t"] for x in out} == {7}
+
+
 def test_licenses_of_nothing(nothing):
     assert license_scans.scan(nothing, license_scans.template_frequencies(nothing)).count() == 0
 

@@ -2,19 +2,22 @@
 
 Blocks are the lines of a text, and across line ends all stretches of up to ceil(n / share) words
 for a template of n words, as sets of words: a wrapped notice is found, words scattered over a long
-text are not. Words are ordered by their frequency in the
-whole corpus, rarest first. To hold `share` of a template of n words a block needs
-o = ceil(share * n) of them, so it must hold one of the template's n - o + 1 rarest words (its
-prefix). Blocks that do are candidates; those with fewer than o words fall to the length
-filter, and those whose first prefix match stands so late in the template that fewer than o
-words could still match fall to the positional filter. The rest is counted exactly. Templates
-are a parameter and few, so all that is built of them is small whatever the corpus; the join
-itself is native column work on each row, without a shuffle.
+text are not. The templates' words are ranked by their frequency in the whole corpus, rarest
+first; words of no template can match nothing and count nowhere. To hold `share` of a template of n
+words a block needs o = ceil(share * n) of them, so it must hold one of the template's n - o + 1
+rarest words (its prefix): an inverted index leads from those words to templates and the words'
+places in them. A block with fewer than o ranked words falls to the length filter. If the
+first common word stands at place i of the template and at place j of the block's m ranked words,
+no more than 1 + min(n - i, m - j) can be common: the positional filter drops the pair if that
+is less than o. What is left is counted exactly. The index is flat arrays, the same for all rows,
+of a size that is checked; the join is native column work on each row, without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,9 @@ SHARE = 0.8
 WORDS_APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Template of each of the method's labels.
+#: Words that all templates together may have: the index goes to every task.
+INDEX_WORDS = 2_000_000
+#: Template of each of the method's labels; grants, conditions and disclaimers as the licenses word them (fixed values).
 TEMPLATES = {
     "mit-notice": "released under the mit license",
     "apache-2-notice": "licensed under the apache license version 2 0",
@@ -33,6 +38,11 @@ TEMPLATES = {
     "rights-reserved": "all rights reserved",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "mit-conditions": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-disclaimer": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "gpl-grant": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "apache-disclaimer": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
 }
 
 
@@ -52,6 +62,73 @@ def template_frequencies(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
     return {w: found.get(w, 0) for w in vocabulary}
 
 
+def _ints(values: list[int]) -> Column:
+    """An array of whole numbers as one literal, whatever its length."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+@dataclass
+class Index:
+    """Ranked template words and their postings as flat arrays; [starts[k], starts[k + 1]) is the run of k."""
+
+    labels: list[str]
+    words: list[str]  # by rank
+    sizes: list[int]  # of each template
+    needs: list[int]
+    starts: list[int]  # of each template's ranks
+    ranks: list[int]
+    posting_starts: list[int]  # of each rank's postings
+    posting_template: list[int]
+    posting_place: list[int]  # from 1
+
+    @classmethod
+    def of(cls, templates: dict[str, str], frequencies: dict[str, int], share: float) -> Index:
+        labels = sorted(templates)
+        sets = [set(templates[x].split()) for x in labels]
+        if sum(map(len, sets)) > INDEX_WORDS:
+            raise ValueError(f"templates of more than {INDEX_WORDS} words: scan them in several runs")
+        words = sorted(set().union(*sets), key=lambda w: (frequencies.get(w, 0), w))
+        rank = {w: i for i, w in enumerate(words)}
+        ordered = [sorted(rank[w] for w in s) for s in sets]
+        needs = [math.ceil(share * len(s) - 1e-9) for s in sets]
+        postings: list[list[tuple[int, int]]] = [[] for _ in words]
+        for t, (ranks, need) in enumerate(zip(ordered, needs, strict=True)):
+            for i, r in enumerate(ranks[: len(ranks) - need + 1]):
+                postings[r].append((t, i + 1))
+        upto = lambda lists: reduce(lambda a, x: [*a, a[-1] + len(x)], lists, [0])
+        flat = [p for x in postings for p in x]
+        return cls(labels, words, list(map(len, sets)), needs, upto(ordered), [r for x in ordered for r in x], upto(postings), [t for t, _ in flat], [i for _, i in flat])
+
+    def prefix_words(self) -> list[str]:
+        return [w for i, w in enumerate(self.words) if self.posting_starts[i] < self.posting_starts[i + 1]]
+
+    def rank_of(self, word: Column) -> Column:
+        """Rank of a template word; 0-based."""
+        return F.array_position(F.split(F.lit(",".join(self.words)), ","), word).cast("int") - 1
+
+    def template(self, t: Column) -> Column:
+        """Ranks of template t."""
+        start = F.get(_ints(self.starts), t)
+        return F.slice(_ints(self.ranks), start + 1, F.get(_ints(self.starts), t + 1) - start)
+
+    def postings(self, rank: Column) -> Column:
+        """(t, i) of every template whose prefix holds the word of this rank, at its place i."""
+        start = F.get(_ints(self.posting_starts), rank)
+        many = F.get(_ints(self.posting_starts), rank + 1) - start
+        ts, places = F.slice(_ints(self.posting_template), start + 1, many), F.slice(_ints(self.posting_place), start + 1, many)
+        return F.transform(ts, lambda t, k: F.struct(t.alias("t"), F.get(places, k).alias("i")))
+
+    def candidates(self, ranks: Column) -> Column:
+        """Templates that a block with these ascending ranks may hold, by prefix, length and positional filter."""
+        n, need = (lambda t: F.get(_ints(self.sizes), t)), (lambda t: F.get(_ints(self.needs), t))
+        left = lambda p, j: 1 + F.least(n(p["t"]) - p["i"], F.size(ranks) - (j + 1))
+        near = lambda r, j: F.filter(self.postings(r), lambda p: (F.size(ranks) >= need(p["t"])) & (left(p, j) >= need(p["t"])))
+        return F.array_distinct(F.transform(F.flatten(F.transform(ranks, near)), lambda p: p["t"]))
+
+    def overlap(self, ranks: Column, t: Column) -> Column:
+        return F.size(F.array_intersect(ranks, self.template(t)))
+
+
 def scan(docs: DataFrame, frequencies: dict[str, int], templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, share: float = SHARE, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and blocks.
 
@@ -60,8 +137,10 @@ def scan(docs: DataFrame, frequencies: dict[str, int], templates: dict[str, str]
     the line of its first template word (the first of equal stretches).
     score: the greatest containment (at least 1.0 where a base phrase stands, at most 1.0), else 0.
     Null and empty texts have no words: zero counts, null positions, empty labels. Equal templates
-    both count; ties in frequency go by spelling. Columns named like an added one are replaced.
+    both count; ties in frequency go by spelling. Texts are scanned whole, however long; equal rows get equal
+    results. Columns named like an added one are replaced.
     """
+    index = Index.of(templates, frequencies, share)
     d = docs.withColumn("_low", lowered(F.col(text)))
     d = d.withColumn("_words", words_of(F.col("_low")))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
@@ -84,62 +163,60 @@ def scan(docs: DataFrame, frequencies: dict[str, int], templates: dict[str, str]
             "_base": F.array_compact(F.array(*found)),
         }
     ).drop("_line")
-    plans = []
-    for label, template in sorted(templates.items()):
-        tokens = sorted(set(template.split()), key=lambda w: (frequencies.get(w, 0), w))
-        need = math.ceil(share * len(tokens) - 1e-9)
-        plans.append((label, tokens, need))
-    # candidates by prefix words: one pass over the text, then over its lines
-    prefix = sorted({w for _, tokens, need in plans for w in tokens[: len(tokens) - need + 1]})
-    any_prefix = "(?<![a-z0-9\\u0080-\\uFFFF])(?:" + "|".join(prefix) + ")(?![a-z0-9\\u0080-\\uFFFF])"
-    d = d.withColumn("_lines", F.when(F.col("_low").rlike(any_prefix), F.split("_low", "\n")).otherwise(F.array().cast("array<string>")))
-    d = d.withColumn("_cand", F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("line"), x.alias("t"))), lambda s: s["t"].rlike(any_prefix))).drop("_lines")
-    d = d.withColumn("_sets", F.transform("_cand", lambda s: F.struct(s["line"].alias("line"), F.array_distinct(words_of(s["t"])).alias("w")))).drop("_cand")
+    prefix, vocabulary = index.prefix_words(), index.words
+    ranked = lambda words: F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: w.isin(vocabulary)), index.rank_of)))
+    # only texts with a prefix word are cut into lines, and only lines with one are ranked
+    some = F.arrays_overlap("_words", F.split(F.lit(",".join(prefix)), ","))
+    nothing = lambda kind: F.array().cast(kind)
+    d = d.withColumn("_lines", F.when(some, F.split("_low", "\n")).otherwise(nothing("array<string>"))).drop("_low")
+    d = d.withColumn("_cand", F.transform("_lines", lambda x, i: F.struct(i.alias("line"), words_of(x).alias("w"))))
+    d = d.withColumn("_cand", F.filter("_cand", lambda s: F.exists(s["w"], lambda w: w.isin(prefix))))
+    d = d.withColumn("_sets", F.transform("_cand", lambda s: F.struct(s["line"].alias("line"), ranked(s["w"]).alias("ranks")))).drop("_cand")
+    containment = lambda n, t: n / F.get(_ints(index.sizes), t)
+    enough = lambda n, t: n >= F.get(_ints(index.needs), t)
 
     def hits(s: Column) -> Column:
-        out = []
-        for label, tokens, need in plans:
-            n = len(tokens)
-            at = F.lit(0)
-            for i in range(n - need, -1, -1):
-                at = F.when(F.array_contains(s["w"], tokens[i]), F.lit(i + 1)).otherwise(at)
-            # length and positional filters before the exact count
-            may = (F.size(s["w"]) >= need) & (at > 0) & (F.lit(n) - at + 1 >= need)
-            overlap = F.size(F.array_intersect(s["w"], F.array(*[F.lit(t) for t in tokens])))
-            out.append(F.when(may & (overlap >= need), F.struct(s["line"].cast("long").alias("line"), F.lit(label).alias("label"), (overlap / F.lit(n)).alias("containment"))))
-        return F.array_compact(F.array(*out))
+        counted = F.transform(index.candidates(s["ranks"]), lambda t: F.struct(t.alias("t"), index.overlap(s["ranks"], t).alias("n")))
+        good = F.filter(counted, lambda x: enough(x["n"], x["t"]))
+        return F.transform(good, lambda x: F.struct(s["line"].cast("long").alias("line"), x["t"].alias("t"), containment(x["n"], x["t"]).alias("containment")))
 
+    d = d.withColumn("_whole", F.flatten(F.transform("_sets", hits))).drop("_sets")
     # stretches around prefix words; a line's own are no better than the line
-    wraps = F.contains("_low", F.lit("\n")) & F.col("_low").rlike(any_prefix)
     at = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s["w"].isin(prefix))
-    d = d.withColumn("_at", F.when(wraps, at).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
-    d = d.withColumn("_ends", F.when(F.size("_at") > 0, F.split("_low", "\n")).otherwise(F.array().cast("array<string>"))).drop("_low")
-
-    def stretch(label: str, tokens: list[str], need: int) -> Column:
-        n, own = len(tokens), tokens[: len(tokens) - need + 1]
-        width, goal = math.ceil(n / share - 1e-9), F.array(*[F.lit(t) for t in tokens])
-        overlap = lambda words: F.size(F.array_intersect(words, goal))
-        around = F.transform(F.filter("_at", lambda s: s["w"].isin(own)), lambda s: F.greatest(s["i"] - width + 1, F.lit(0)))
-        near = F.transform(around, lambda i: F.struct(i.alias("i"), F.slice("_words", i + 1, 2 * width - 1).alias("w")))
-        near = F.filter(near, lambda s: overlap(s["w"]) >= need)
-        # greatest overlap, then first; stretches start at a template word
-        starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s["w"]) - 1), lambda k: F.array_contains(goal, F.get(s["w"], k)))
-        best = F.array_max(F.flatten(F.transform(near, lambda s: F.transform(starts(s), lambda k: F.struct(overlap(F.slice(s["w"], k + 1, width)).alias("n"), (-(s["i"] + k)).alias("i"))))))
-        return F.when(best["n"] >= need, F.struct((-best["i"]).alias("line"), F.lit(label).alias("label"), (best["n"] / F.lit(n)).alias("containment")))
+    d = d.withColumn("_at", F.when(F.size("_lines") > 1, at).otherwise(nothing("array<struct<i:int,w:string>>")))
+    width = lambda t: F.ceil(F.get(_ints(index.sizes), t) / F.lit(share) - 1e-9).cast("int")
+    places = F.flatten(F.transform("_at", lambda s: F.transform(index.postings(index.rank_of(s["w"])), lambda p: F.struct(p["t"].alias("t"), F.greatest(s["i"] - width(p["t"]) + 1, F.lit(0)).alias("i")))))
+    d = d.withColumn("_places", F.array_distinct(places)).drop("_at")
+    # what lies around, as ranks in order (-1: no template's word), where it can hold enough
+    rank = lambda w: F.when(w.isin(vocabulary), index.rank_of(w)).otherwise(F.lit(-1))
+    around = F.transform("_places", lambda p: F.struct(p["t"].alias("t"), p["i"].alias("i"), F.transform(F.slice("_words", p["i"] + 1, 2 * width(p["t"]) - 1), rank).alias("r")))
+    d = d.withColumn("_near", F.filter(around, lambda s: enough(index.overlap(s["r"], s["t"]), s["t"]))).drop("_places", "_words")
+
+    def stretches(s: Column) -> Column:
+        """(t, n, -start) of every stretch that starts at a word of the template."""
+        goal = index.template(s["t"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(s["r"]) - 1), lambda k: F.array_contains(goal, F.get(s["r"], k)))
+        return F.transform(starts, lambda k: F.struct(s["t"].alias("t"), index.overlap(F.slice(s["r"], k + 1, width(s["t"])), s["t"]).alias("n"), (-(s["i"] + k)).alias("i")))
+
+    d = d.withColumn("_runs", F.flatten(F.transform("_near", stretches))).drop("_near")
+    d = d.withColumn("_runs", F.filter("_runs", lambda x: enough(x["n"], x["t"])))
+    # of each template the greatest overlap, then the first
+    best = F.transform(F.array_distinct(F.transform("_runs", lambda x: x["t"])), lambda t: F.array_max(F.filter("_runs", lambda x: x["t"] == t)))
+    d = d.withColumn("_over", F.transform(best, lambda x: F.struct((-x["i"]).alias("word"), x["t"].alias("t"), containment(x["n"], x["t"]).alias("containment")))).drop("_runs")
 
     def line_at(word: Column) -> Column:
         """Line of a text's word by its number."""
         start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("line"))
         step = lambda a, x: F.struct((a["seen"] + F.size(words_of(x))).alias("seen"), (a["line"] + (a["seen"] + F.size(words_of(x)) <= word).cast("int")).alias("line"))
-        return F.aggregate("_ends", start, step)["line"].cast("long")
+        return F.aggregate("_lines", start, step)["line"].cast("long")
 
-    d = d.withColumn("_whole", F.flatten(F.transform("_sets", hits))).drop("_sets")
-    d = d.withColumn("_over", F.when(F.size("_at") > 0, F.array_compact(F.array(*[stretch(*plan) for plan in plans]))).otherwise(F.array().cast("array<struct<line:int,label:string,containment:double>>"))).drop("_at", "_words")
-    more = F.filter("_over", lambda o: ~F.exists("_whole", lambda b: (b["label"] == o["label"]) & (b["containment"] >= o["containment"])))
-    more = F.transform(more, lambda o: F.struct(line_at(o["line"]).alias("line"), o["label"].alias("label"), o["containment"].alias("containment")))
-    d = d.withColumn("blocks", F.concat("_whole", more)).drop("_whole", "_over", "_ends")
+    more = F.filter("_over", lambda o: ~F.exists("_whole", lambda b: (b["t"] == o["t"]) & (b["containment"] >= o["containment"])))
+    more = F.transform(more, lambda o: F.struct(line_at(o["word"]).alias("line"), o["t"].alias("t"), o["containment"].alias("containment")))
+    named = F.split(F.lit(",".join(index.labels)), ",")
+    d = d.withColumn("_all", F.concat("_whole", more)).drop("_whole", "_over", "_lines")
+    d = d.withColumn("blocks", F.transform("_all", lambda b: F.struct(b["line"].alias("line"), F.get(named, b["t"]).alias("label"), b["containment"].alias("containment")))).drop("_all")
     added = F.transform("blocks", lambda b: b["label"])
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))
-    d = d.withColumns({"base_labels": joined(F.col("_base")), "labels": joined(F.concat("_base", added)), "score": F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best).cast("double")})
+    top = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0))
+    d = d.withColumns({"base_labels": joined(F.col("_base")), "labels": joined(F.concat("_base", added)), "score": F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(top).cast("double")})
     return d.drop("_base")
