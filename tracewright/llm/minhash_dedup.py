@@ -7,10 +7,10 @@ each other, so a bucket of any size costs a row a member. Candidates compare sig
 batch by batch and leave as soon as the posterior probability of a similarity at or above
 the threshold falls under the chosen miss probability; survivors are confirmed on their full
 sets. Where a bucket then holds members of several components, those outside its largest one
-compare signatures with all members of other components, in blocks of bounded size; of
-the likely pairs each document's likeliest goes first, and only pairs that still lie between
-components are confirmed after that. So no link between components that the bands propose is
-lost, and few pairs inside a group are ever looked at.
+compare signatures with all members of other components, in blocks of bounded size. Members
+with a likely partner come to their block once more with their full sets, and the block
+confirms its pairs, likeliest first, skipping those whose ends are connected by then. A block
+returns a forest, never its pairs; so no link between components that the bands propose is lost.
 
 Bands of five rows over 200 hashes: a pair at similarity 0.75 shares none of the 40 bands with
 probability 2e-5.
@@ -34,8 +34,9 @@ WORDS = 5
 HASHES, ROWS = 200, 5
 PERCENT = 75
 BATCH = 25
-#: Members of a bucket that meet in one block, on either side; buckets up to SMALL members share tasks of about TASK_ROWS rows.
-FEW, MANY, SMALL, TASK_ROWS = 256, 1024, 256, 4000
+#: Members of a bucket that meet in one block, on either side, and their shingles; buckets up to SMALL members share tasks of about TASK_ROWS rows.
+FEW, MANY, SMALL, TASK_ROWS = 512, 2048, 256, 4000
+BLOCK_SHINGLES = 2_000_000
 MISS = 1e-4
 MEMO = 300_000
 
@@ -177,51 +178,108 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return stored(both.mapInPandas(exact, "a long, b long"), "minhash-links")
 
 
-def apart(hits: DataFrame, reps: DataFrame, at: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(x, y, cx, cy, equal): likely pairs of different components that share a bucket.
+def blocks(hits: DataFrame, reps: DataFrame, at: DataFrame) -> DataFrame:
+    """(task, band, bucket, rep, component, as_few, as_any, n, sig): who meets whom between components.
 
-    In every bucket the members outside its largest component meet all others, block by block, in
-    tasks of bounded size; small buckets share a task. A pair comes from the first band it shares.
+    In every bucket the members outside its largest component (few) meet all others (any), block by
+    block, in tasks of bounded size; small buckets share a task.
     """
-    fewest = least_matches(percent)
-    here = hits.join(at.withColumnRenamed("node", "rep"), "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    sizes = here.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = mixed.select("band", "bucket", F.col("top.component").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("few"))
+    here = hits.join(at.withColumnRenamed("node", "rep"), "rep", "left").join(reps.select("rep", "n"), "rep")
+    here = here.select("band", "bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    sizes = here.groupBy("band", "bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct("m", "component", "w")).alias("top"), F.sum("m").alias("all"), F.sum("w").alias("all_w"), F.count("*").alias("parts")).where("parts > 1")
+    blocks_of = lambda m, w, limit: F.ceil(F.greatest(m / limit, w / BLOCK_SHINGLES)).cast("long")
+    mixed = mixed.select(
+        "band",
+        "bucket",
+        F.col("top.component").alias("main"),
+        ((F.col("all") <= SMALL) & (F.col("all_w") <= BLOCK_SHINGLES)).alias("small"),
+        blocks_of(F.col("all") - F.col("top.m"), F.col("all_w") - F.col("top.w"), FEW).alias("rows"),
+        blocks_of(F.col("all"), F.col("all_w"), MANY).alias("columns"),
+    )
     here = stored(here.join(mixed, ["band", "bucket"]), "minhash-mixed")
-    groups = F.lit(max(1, here.count() // TASK_ROWS))
-    small = F.col("all") <= SMALL
-    rows, columns = F.ceil(F.col("few") / FEW).cast("long"), F.ceil(F.col("all") / MANY).cast("long")
+    size = here.where("small").agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("w")).first()
+    groups = F.lit(max(1, size["m"] // TASK_ROWS, size["w"] // BLOCK_SHINGLES))
     minor = F.col("component") != F.col("main")
     drawn = F.xxhash64("rep")
-    one = here.where(small).withColumns({"as_few": minor, "as_any": F.lit(True), "task": F.concat(F.lit("s"), F.pmod(F.xxhash64("bucket"), groups).cast("string"))})
-    name = lambda i, j: F.concat_ws(":", "band", "bucket", i, j)
-    large = here.where(~small)
-    few = large.where(minor).select("*", F.pmod(drawn, rows).alias("_i"), F.explode(F.sequence(F.lit(0).cast("long"), columns - 1)).alias("_j")).withColumns({"as_few": F.lit(True), "as_any": F.lit(False)})
-    many = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("_i"), F.pmod(drawn, columns).alias("_j")).withColumns({"as_few": F.lit(False), "as_any": F.lit(True)})
-    blocks = few.unionByName(many).withColumn("task", name("_i", "_j"))
-    kept = ["task", "band", "bucket", "rep", "component", "as_few", "as_any"]
-    work = one.select(*kept).unionByName(blocks.select(*kept)).join(reps.select("rep", "n", "sig"), "rep")
-
-    def meet(b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (band, _), g in b.groupby(["band", "bucket"], sort=False):
-            f, m = g[g["as_few"].to_numpy()], g[g["as_any"].to_numpy()]
-            if not len(f) or not len(m):
-                continue
-            x, y = _signatures(f["sig"].tolist()), _signatures(m["sig"].tolist())
-            cx, cy, nx, ny = (d[c].to_numpy() for d, c in ((f, "component"), (m, "component"), (f, "n"), (m, "n")))
-            first = (x[:, None, :BATCH] == y[None, :, :BATCH]).sum(axis=2)
-            fit = np.minimum(nx[:, None], ny[None, :]) * 100 >= np.maximum(nx[:, None], ny[None, :]) * percent
-            p, q = np.nonzero((first >= fewest[0]) & (cx[:, None] != cy[None, :]) & fit)
-            p, q, seen = _survivors(x, y, p, q, first[p, q], fewest, 1)
-            if len(p):
-                own = (x[p].reshape(len(p), -1, ROWS) == y[q].reshape(len(p), -1, ROWS)).all(axis=2).argmax(axis=1) == band
-                p, q, seen = p[own], q[own], seen[own]
-                out.append(pd.DataFrame({"x": f["rep"].to_numpy()[p], "y": m["rep"].to_numpy()[q], "equal": seen}))
-        return pd.concat(out) if out else pd.DataFrame({"x": [], "y": [], "equal": []}).astype("int64")
-
-    return work.groupBy("task").applyInPandas(meet, "x long, y long, equal long")
+    one = here.where("small").withColumns({"as_few": minor, "as_any": F.lit(True), "task": F.concat(F.lit("s"), F.pmod(F.xxhash64("bucket"), groups).cast("string"))})
+    large = here.where("not small")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    few = large.where(minor).select("*", F.pmod(drawn, "rows").alias("_i"), upto("columns").alias("_j")).withColumns({"as_few": F.lit(True), "as_any": F.lit(False)})
+    many = large.select("*", upto("rows").alias("_i"), F.pmod(drawn, "columns").alias("_j")).withColumns({"as_few": F.lit(False), "as_any": F.lit(True)})
+    dealt = few.unionByName(many).withColumn("task", F.concat_ws(":", "band", "bucket", "_i", "_j"))
+    kept = ["task", "band", "bucket", "rep", "component", "as_few", "as_any", "n"]
+    return one.select(*kept).unionByName(dealt.select(*kept)).join(reps.select("rep", "sig"), "rep")
+
+
+def _open_pairs(g: pd.DataFrame, fewest: list[int], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, equal): likely pairs of rows of one bucket's block, few and any, of different components; each pair in its first shared band."""
+    f, m = np.nonzero(g["as_few"].to_numpy())[0], np.nonzero(g["as_any"].to_numpy())[0]
+    c, n, sig = g["component"].to_numpy(), g["n"].to_numpy(), _signatures(g["sig"].tolist())
+    band = int(g["band"].iloc[0])
+    out = []
+    for at in range(0, len(f), 64):
+        x = f[at : at + 64]
+        fit = np.minimum(n[x][:, None], n[m][None, :]) * 100 >= np.maximum(n[x][:, None], n[m][None, :]) * percent
+        p, q = np.nonzero((c[x][:, None] != c[m][None, :]) & fit)
+        p, q, seen = _survivors(sig, sig, x[p], m[q], np.zeros(len(p), int), fewest)
+        if len(p):
+            own = (sig[p].reshape(len(p), -1, ROWS) == sig[q].reshape(len(p), -1, ROWS)).all(axis=2).argmax(axis=1) == band
+            out.append((p[own], q[own], seen[own]))
+    if not out:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _forest(p: np.ndarray, q: np.ndarray, seen: np.ndarray, component: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between components, by pairs of rows (p, q) whose sets reach the threshold; pairs already connected are not looked at."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    links = []
+    rows, starts = np.unique(p, return_index=True)  # p ascends
+    for k, at, end in zip(rows.tolist(), starts.tolist(), [*starts[1:].tolist(), len(p)], strict=True):
+        rest = q[at + np.argsort(-seen[at:end], kind="stable")].tolist()
+        step = 1
+        while rest := [j for j in rest if root(component[j]) != root(component[k])]:
+            now, rest, step = rest[:step], rest[step:], step * 8
+            x, ys = sets[k], [sets[j] for j in now]
+            all_y = np.concatenate(ys)
+            hit = x[np.minimum(np.searchsorted(x, all_y), len(x) - 1)] == all_y
+            common = np.add.reduceat(hit, np.cumsum([0, *map(len, ys[:-1])]), dtype=np.int64)
+            for j, y, both in zip(now, ys, common.tolist(), strict=True):
+                a, b = root(component[k]), root(component[j])
+                if a != b and 100 * both >= percent * (len(x) + len(y) - both):
+                    up[max(a, b)] = min(a, b)
+                    links.append((component[k], component[j]))
+    return links
+
+
+def between(met: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links between components that the blocks' members have, as a forest a block."""
+    fewest = least_matches(percent)
+    kept = met.columns
+
+    def flag(b: pd.DataFrame) -> pd.DataFrame:
+        some = []
+        for _, g in b.groupby(["band", "bucket"], sort=False):
+            i, j, _ = _open_pairs(g, fewest, percent)
+            some.append(g.iloc[np.unique(np.concatenate([i, j]))])
+        return pd.concat(some)
+
+    def verify(b: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        for _, g in b.groupby(["band", "bucket"], sort=False):
+            links += _forest(*_open_pairs(g, fewest, percent), g["component"].tolist(), [np.frombuffer(x, np.uint64) for x in g["shingles"]], percent)
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    open_ = stored(met.groupBy("task").applyInPandas(flag, met.schema).select(*kept), "minhash-open")
+    full = open_.join(sets, "rep")
+    return stored(full.groupBy("task").applyInPandas(verify, "a long, b long"), "minhash-joins")
 
 
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -250,19 +308,11 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     pairs = hits.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(likely(pairs, reps, percent), sets, percent)
     at = components(links)
-    open_ = stored(apart(hits.select("band", "bucket", "rep"), reps, at, percent), "minhash-apart")
-    for last in (False, True):
-        if open_.isEmpty():
-            break
-        # first each document's likeliest partner; then whatever still lies between components
-        now = open_ if last else open_.groupBy("x").agg(F.max_by("y", F.struct("equal", "y")).alias("y"))
-        links = links.unionByName(confirmed(now.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), sets, percent))
-        at = components(links)
-        if not last:
-            of = lambda c: at.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731, B023
-            open_ = open_.join(of("x"), "x", "left").join(of("y"), "y", "left")
-            open_ = stored(open_.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y", "equal"), "minhash-open")
-    of_class = reps.join(at.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("n").alias("n_shingles"), "set_hash", F.coalesce("component", "rep").alias("component_id"))
+    over = components(between(blocks(hits.select("band", "bucket", "rep"), reps, at), sets, percent))
+    over = over.select(F.col("node").alias("_low"), F.col("component").alias("_lowest"))
+    at = reps.select(F.col("rep").alias("node")).join(at, "node", "left").select("node", F.coalesce("component", "node").alias("_low"))
+    at = at.join(over, "_low", "left").select("node", F.coalesce("_lowest", "_low").alias("component"))
+    of_class = reps.join(at.withColumnRenamed("node", "rep"), "rep").select(F.col("n").alias("n_shingles"), "set_hash", F.col("component").alias("component_id"))
     out = base.drop("sig", "bands").join(of_class, ["n_shingles", "set_hash"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
