@@ -198,6 +198,13 @@ def test_blocks_return_forests():
     assert joined(component, links) == joined(component, exact) and len(links) < 60
 
 
+def test_minhash_of_odd_ids(spark, texts):
+    rows = [(None, texts[3]), (None, None), (1, texts[3]), (1, texts[5]), (2, texts[5]), (3, texts[3])]
+    out = minhash_dedup.groups(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out if r["doc_id"]) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+    assert [(r["component_id"], r["kept"]) for r in out if r["doc_id"] is None] == [(None, None)] * 2
+
+
 def test_minhash_of_nothing(nothing):
     assert minhash_dedup.groups(nothing).count() == 0
 

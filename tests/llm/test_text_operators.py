@@ -218,6 +218,58 @@ def test_toxicity_of_noise_of_each_kind(toxic, spark):
     assert [r["predicted"] for r in out.orderBy("doc_id").collect()] == [1] * len(noise) + [0]
 
 
+def test_viterbi_finds_the_best_of_all_paths():
+    """Against every path of the lattice, on short words under random costs."""
+    import itertools
+    import random
+
+    r = np.random.default_rng(3)
+    costs = r.gamma(2.0, 1.5, (toxicity.CLASSES,) * 3).astype(np.float32)
+    rr = random.Random(5)
+
+    def steps(word, i):
+        c = word[i]
+        if c.isalpha():
+            again = i and word[i - 1] == c
+            return [(c, 0.0)] + ([("", toxicity.REPEAT_COST if not re.search(r"(.)\1\1", word[max(0, i - 2) : i + 3]) else 0.0)] if again else [])
+        drop = toxicity.OTHER_COST if c.isdigit() else toxicity.DROP_COST + (1.0 if c in toxicity.LOOKS else 0.0)
+        return [(x, toxicity.SIGN_COST) for x in toxicity.LOOKS.get(c, "")] + [("", drop)]
+
+    def cost(text):
+        a = b = 0
+        total = 0.0
+        for ch in text + " ":
+            k = toxicity.class_of(ch)
+            total += float(costs[a, b, k])
+            a, b = b, k
+        return total
+
+    for _ in range(60):
+        word = "".join(rr.choice("iddooott1103!$@|-.") for _ in range(rr.randrange(2, 9)))
+        best = {}
+        for path in itertools.product(*[steps(word, i) for i in range(len(word))]):
+            text = "".join(x for x, _ in path)
+            if text:
+                best[text] = min(best.get(text, 1e9), sum(e for _, e in path) + cost(text))
+        ends = {}
+        for text, c in best.items():
+            ends[text[-2:]] = min(ends.get(text[-2:], (1e9, "")), (c, text))
+        want = [c for c, _ in sorted(ends.values())[:3]]
+        assert [best[t] for t in toxicity.restore(word, costs)] == pytest.approx(want, abs=1e-4)
+
+
+def test_doubled_letters_and_odd_rows(toxic, spark):
+    flat = np.zeros((toxicity.CLASSES,) * 3, np.float32)
+    assert set(toxicity.squeezed("idiioot")) == {"idiioot", "idioot", "idiiot", "idiot"} and toxicity.readings("stone", flat) == ["stone"]
+    docs, labels, _ = toxic
+    costs, evidence, prior = toxicity.fitted(docs, labels)
+    spaced = "w o r t h l e s s " * 30
+    rows = [(1, "idiioot", "x", 1), (1, "idiioot", "x", 1), (1, "plain", "x", 1), (None, "an idiot", "x", 1), (2, "river stone " * 30_000 + "idiot", "x", 1), (3, "quiet " * 20_000, "x", 1), (4, spaced, "x", 1)]
+    out = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int"), costs, evidence, prior).collect()
+    assert sorted((r["doc_id"] or 0, r["predicted"]) for r in out) == [(0, 1), (1, 0), (1, 1), (1, 1), (2, 1), (3, 0), (4, 1)]
+    assert all(isinstance(r["score"], float) for r in out)
+
+
 def test_toxicity_without_labels(toxic, nothing):
     docs, labels, _ = toxic
     costs, evidence, prior = toxicity.fitted(docs, labels.where("false"))

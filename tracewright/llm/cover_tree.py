@@ -1,18 +1,25 @@
 """Embedding near-dedup: exact threshold pairs by a dual traversal of cover trees.
 
 Equal vectors become one with a multiplicity, and all are normalised in double precision. The
-tree's top level is a bounded number of pivots, every vector belongs to its nearest one, and a
-pivot's vectors are dealt into blocks of bounded size. Within a block, nested nets with
-halving radii give the lower levels. Pairs of blocks, then pairs of nodes level by level, are
-dropped as soon as the distance of their centres exceeds their covering radii plus the
-distance that the cosine threshold stands for, and taken as a whole where all of their
-members must be links. What reaches the bottom is computed. A pair of blocks returns link
+tree's top level is a bounded number of centres, every vector belongs to its nearest one, and a
+centre's vectors are dealt into blocks of bounded size. Within a block, nested nets with
+halving radii give the lower levels. Blocks of neighbouring centres form groups; a vector
+travels to another group only if its own distance to one of that group's centres is at most the
+centre's covering radius plus the distance that the cosine threshold stands for. There, pairs of
+nodes are dropped level by level by the same bound, and taken as a whole where all of
+their members must be links. What reaches the bottom is computed. A pair of groups returns link
 counts and a forest that connects what is linked, never the links themselves.
+
+Where vectors have no structure (all of them about equally far from each other) no exact method by
+distances can rule groups out: every vector then travels to every group, so groups are as
+large as a task's memory allows.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,10 +33,14 @@ from .shared import mapped, stored
 COSINE = 0.95
 #: Vectors of a block, about.
 BLOCK = 3000
-#: Pivots at most.
-PIVOTS = 256
-#: Radii of the nested nets below the pivots.
-RADII = (0.5, 0.25)
+#: Centres of the top level at most, for each vector length.
+PIVOTS = 2048
+#: Numbers that the vectors of a group have at most, about; small inputs are cut into GROUPS groups at least.
+GROUP_NUMBERS, GROUPS = 4_000_000, 8
+#: Radii of the nested nets below the centres.
+RADII = (1.0, 0.5, 0.25, 0.125)
+#: Node pairs that a traversal holds at a time, about.
+HELD = 1_000_000
 SLACK = 1e-9
 
 
@@ -99,13 +110,54 @@ class Tree:
         return np.searchsorted(below, starts), np.searchsorted(below, ends)
 
 
-def _product(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) of a0[k] <= i < a1[k], b0[k] <= j < b1[k], over all k."""
-    na, nb = a1 - a0, b1 - b0
-    n = na * nb
-    k = np.repeat(np.arange(len(n)), n)
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return a0[k] + within // nb[k], b0[k] + within % nb[k]
+class Forest:
+    """A spanning forest of links between numbered things, as they come."""
+
+    def __init__(self, n: int) -> None:
+        self.up = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        up = self.up
+        live = up[p] != up[q]
+        if not live.any():
+            return
+        for a, b in zip(p[live].tolist(), q[live].tolist(), strict=True):
+            x, y = a, b
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                self.links.append((a, b))
+        while (up != (over := up[up])).any():
+            up = over
+        self.up = up
+
+
+def _children(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of children of the node pairs (i, j), in pieces of about HELD."""
+    a0, a1 = (x[i] for x in a.children(level))
+    b0, b1 = (x[j] for x in b.children(level))
+    # node pairs of very many children are cut along the first side
+    most = np.maximum(1, HELD // (b1 - b0))
+    pieces = -(-(a1 - a0) // most)
+    k = np.repeat(np.arange(len(i)), pieces)
+    at = np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    a0, a1 = a0[k] + at * most[k], np.minimum(a1[k], a0[k] + (at + 1) * most[k])
+    b0, b1 = b0[k], b1[k]
+    n = (a1 - a0) * (b1 - b0)
+    total = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + HELD, "right")))
+        m = n[start:end]
+        k = np.repeat(np.arange(start, end), m)
+        within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        wide = (b1 - b0)[k]
+        yield a0[k] + within // wide, b0[k] + within % wide
+        start = end
 
 
 def traverse(a: Tree, b: Tree, ma: np.ndarray, mb: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -115,7 +167,9 @@ def traverse(a: Tree, b: Tree, ma: np.ndarray, mb: np.ndarray, cosine: float, sa
     """
     far = reach(cosine) + SLACK
     sure = reach(cosine) - SLACK
-    la, lb, forest = np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64), []
+    la, lb = np.zeros(len(a.x), np.int64), np.zeros(len(b.x), np.int64)
+    offset = 0 if same else len(a.x)
+    forest = Forest(offset + len(b.x))
     sum_a, sum_b = np.concatenate([[0], np.cumsum(ma)]), np.concatenate([[0], np.cumsum(mb)])
 
     def whole(level: int, i: np.ndarray, j: np.ndarray) -> None:
@@ -125,25 +179,13 @@ def traverse(a: Tree, b: Tree, ma: np.ndarray, mb: np.ndarray, cosine: float, sa
             s, e, t, f = int(sa[p]), int(ea[p]), int(sb[q]), int(eb[q])
             la[s:e] += sum_b[f] - sum_b[t]
             lb[t:f] += sum_a[e] - sum_a[s]
-            forest.extend((r, t) for r in range(s, e))
-            forest.extend((s, r) for r in range(t, f))
+            forest.add(np.arange(s, e), np.full(e - s, t + offset))
+            forest.add(np.full(f - t, s), np.arange(t, f) + offset)
 
-    ca, ra = a.levels[0][2:]
-    cb, rb = b.levels[0][2:]
-    # a first look in single precision, with room for its error; single vectors apart from nodes that spread
-    first_i, first_j = [], []
-    for part in (np.nonzero(rb == 0)[0], np.nonzero(rb > 0)[0]):
-        if len(part):
-            room = np.minimum(far + ra + rb[part].max(), 2.0)
-            p, q = np.nonzero(ca.astype(np.float32) @ cb[part].astype(np.float32).T >= (1.0 - room**2 / 2.0 - 1e-4).astype(np.float32)[:, None])
-            first_i.append(p)
-            first_j.append(part[q])
-    i, j = np.concatenate(first_i), np.concatenate(first_j)
-    for level in range(len(a.levels)):
+    def visit(level: int, i: np.ndarray, j: np.ndarray) -> None:
         ca, ra = a.levels[level][2:]
         cb, rb = b.levels[level][2:]
         bottom = level == len(a.levels) - 1
-        keep_i, keep_j = [], []
         for at in range(0, len(i), 50_000):
             p, q = i[at : at + 50_000], j[at : at + 50_000]
             dot = np.einsum("ij,ij->i", ca[p], cb[q])
@@ -151,8 +193,7 @@ def traverse(a: Tree, b: Tree, ma: np.ndarray, mb: np.ndarray, cosine: float, sa
                 hit = dot >= cosine
                 np.add.at(la, p[hit], mb[q[hit]])
                 np.add.at(lb, q[hit], ma[p[hit]])
-                keep_i.append(p[hit])
-                keep_j.append(q[hit])
+                forest.add(p[hit], q[hit] + offset)
                 continue
             d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot))
             all_in = d + ra[p] + rb[q] <= sure
@@ -160,34 +201,38 @@ def traverse(a: Tree, b: Tree, ma: np.ndarray, mb: np.ndarray, cosine: float, sa
                 all_in &= (p != q) | (2 * ra[p] <= sure)
             whole(level, p[all_in], q[all_in])
             near = (d <= far + ra[p] + rb[q]) & ~all_in
-            keep_i.append(p[near])
-            keep_j.append(q[near])
-        i = np.concatenate(keep_i) if keep_i else i[:0]
-        j = np.concatenate(keep_j) if keep_j else j[:0]
-        if not bottom:
-            a0, a1 = a.children(level)
-            b0, b1 = b.children(level)
-            i, j = _product(a0[i], a1[i], b0[j], b1[j])
-    forest.extend(zip(i.tolist(), j.tolist(), strict=True))
-    return la, lb, forest
-
-
-def thinned(forest: list[tuple[int, int]], offset: int) -> list[tuple[int, int]]:
-    """A spanning forest of these links; the second side's numbers start at offset."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := up.get(x, x)) != x:
-            up[x] = x = up.get(p, p)
-        return x
-
-    out = []
-    for p, q in forest:
-        x, y = root(p), root(q + offset)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append((p, q))
-    return out
+            if near.any():
+                for x, y in _children(a, b, level, p[near], q[near]):
+                    visit(level + 1, x, y)
+
+    ca, ra = a.levels[0][2:]
+    cb, rb = b.levels[0][2:]
+    # a first look in single precision, with room for its error; single vectors apart from nodes that spread
+    low_a, low_b = ca.astype(np.float32), cb.astype(np.float32)
+    for part in (np.nonzero(rb == 0)[0], np.nonzero(rb > 0)[0]):
+        for at in range(0, len(ca), 512):
+            if len(part):
+                room = np.minimum(far + ra[at : at + 512] + rb[part].max(), 2.0)
+                p, q = np.nonzero(low_a[at : at + 512] @ low_b[part].T >= (1.0 - room**2 / 2.0 - 1e-4).astype(np.float32)[:, None])
+                visit(0, p + at, part[q])
+    return la, lb, [(p, q - offset) for p, q in forest.links]
+
+
+def grouped(counts: np.ndarray, centres: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first block of each cell, group of each block, number of groups): blocks of neighbouring cells share groups of about `limit` vectors."""
+    blocks = -(-counts // BLOCK)
+    first = np.cumsum(blocks) - blocks
+    group = np.zeros(int(blocks.sum()), np.int64)
+    labels = net(centres, RADII)
+    now, held = 0, 0
+    for c in np.lexsort(labels.T[::-1]).tolist():
+        for k in range(int(blocks[c])):
+            n = counts[c] / blocks[c]
+            if held and held + n > limit:
+                now, held = now + 1, 0
+            group[first[c] + k] = now
+            held += n
+    return first, group, now + 1
 
 
 def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -195,7 +240,8 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing;
     vectors of different lengths are never linked. Equal vectors link with each other. vec_id
-    should be unique; rows that repeat it count as vectors of their own and share a component.
+    should be unique; rows that repeat it count as vectors of their own and share a component; rows without
+    one link with nothing (no component, kept null). Vectors of any length are compared whole.
     An empty table gives an empty result; other columns are ignored.
     """
     wide = vectors.schema[embedding].dataType.elementType != T.FloatType()
@@ -209,12 +255,17 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     base = stored(mapped(given, ["vec_id"], ["_e"], [T.StructField("dim", T.IntegerType()), T.StructField("unit", T.BinaryType())], units), "vectors")
     reps = base.where("dim > 0 and vec_id is not null").groupBy("dim", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
     reps = stored(reps, "vector-classes")
-    # pivots: for each vector length a bounded number, by hash of the id
-    total = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    pivots = {}
-    for dim, n in total.items():
-        some = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(PIVOTS, n // BLOCK)))
-        pivots[dim] = rows_of([r["unit"] for r in some.select("unit").collect()], dim, wide)
+    # centres: for each vector length a bounded number, by hash of the id
+    sizes = reps.groupBy("dim").agg(F.count("*").alias("n"))
+    wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(1), F.floor(F.col("n") / BLOCK)))
+    share = (F.pmod(F.xxhash64("rep"), F.lit(1 << 40)) + 1) / float(1 << 40)
+    drawn = reps.join(sizes, "dim").where(share <= wanted / F.col("n") + 3 / F.col("n")).select("dim", "rep", "unit")
+    vectors_of: dict[int, list[tuple[int, bytes]]] = {}
+    for r in drawn.collect():
+        vectors_of.setdefault(r["dim"], []).append((r["rep"], r["unit"]))
+    for r in sizes.join(drawn.select("dim").distinct(), "dim", "left_anti").join(reps, "dim").groupBy("dim").agg(F.min(F.struct("rep", "unit")).alias("x")).collect():
+        vectors_of[r["dim"]] = [tuple(r["x"])]
+    pivots = {dim: rows_of([u for _, u in sorted(v)[: PIVOTS + 3]], dim, wide) for dim, v in vectors_of.items()}
 
     def nearest(dims: list[int], vs: list[bytes]) -> tuple:
         cell, dist = [0] * len(dims), [0.0] * len(dims)
@@ -229,21 +280,18 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
 
     located = mapped(reps, ["dim", "unit", "rep", "m"], ["dim", "unit"], [T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())], nearest)
     located = stored(located, "vector-cells")
-    # at most PIVOTS rows a vector length
-    cells = {(r["dim"], r["cell"]): (r["n"], r["far"]) for r in located.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect()}
-    far = reach(cosine) + SLACK
-    chunks = {k: -(-n // BLOCK) for k, (n, _) in cells.items()}
-    near: dict[tuple[int, int], list[int]] = {}
-    for dim, c in cells:
-        for other_dim, o in cells:
-            if dim == other_dim:
-                apart = math.sqrt(max(0.0, 2.0 - 2.0 * float(pivots[dim][c] @ pivots[dim][o])))
-                if apart <= far + cells[dim, c][1] + cells[dim, o][1]:
-                    near.setdefault((dim, c), []).append(o)
-
-    sizes = F.create_map(*[x for (d, c), n in chunks.items() for x in (F.lit(f"{d}:{c}"), F.lit(n))]) if chunks else F.create_map(F.lit(""), F.lit(1))
-    block = F.pmod(F.xxhash64("rep"), F.coalesce(sizes[F.concat_ws(":", "dim", "cell")], F.lit(1)).cast("long")).cast("int")
-    blocks = located.withColumn("block", block)
+    counts = {dim: np.zeros(len(x), np.int64) for dim, x in pivots.items()}
+    radius = {dim: np.full(len(x), -np.inf) for dim, x in pivots.items()}
+    for r in located.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("far")).collect():  # a row a centre
+        counts[r["dim"]][r["cell"]], radius[r["dim"]][r["cell"]] = r["n"], r["far"]
+    within = {dim: radius[dim] + reach(cosine) + SLACK for dim in pivots}
+    plan = {dim: grouped(counts[dim], x, min(GROUP_NUMBERS // dim, max(BLOCK, int(counts[dim].sum()) // GROUPS))) for dim, x in pivots.items()}
+
+    def block_of(dims: list[int], cs: list[int], drawn: list[int]) -> tuple:
+        return ([h % max(1, -(-int(counts[d][c]) // BLOCK)) for d, c, h in zip(dims, cs, drawn, strict=True)],)
+
+    blocks = located.withColumn("_h", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
+    blocks = mapped(blocks, ["dim", "unit", "rep", "m", "cell"], ["dim", "cell", "_h"], [T.StructField("block", T.IntegerType())], block_of)
 
     def nets(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         ids = b["rep"].to_numpy()
@@ -253,49 +301,64 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     fields = "dim int, unit binary, rep long, m long, cell int, block int" + "".join(f", net{k} long" for k in range(len(RADII)))
     blocks = stored(blocks.groupBy("dim", "cell", "block").applyInPandas(nets, fields), "vector-blocks")
 
-    def meetings(dims: list[int], cs: list[int], bs: list[int]) -> tuple:
-        """Each row goes to every pair of blocks that its block is in: row, pair, and whether it is the first side."""
+    def meetings(dims: list[int], vs: list[bytes], cs: list[int], bs: list[int]) -> tuple:
+        """Each row goes to the pairs of its group with every group it may have links in: row, pair, and whether it is the first side."""
         rows, pair, first = [], [], []
-        for k, (dim, c, n) in enumerate(zip(dims, cs, bs, strict=True)):
-            for o in near[dim, c]:
-                for other in range(chunks[dim, o]):
-                    mine, theirs = (c, n), (o, other)
-                    low, high = min(mine, theirs), max(mine, theirs)
-                    rows.append(k)
-                    pair.append(f"{dim}:{low[0]}.{low[1]}:{high[0]}.{high[1]}")
-                    first.append(mine == low)
+        for dim in set(dims):
+            start, group, n_groups = plan[dim]
+            at = np.array([k for k, d in enumerate(dims) if d == dim])
+            x = rows_of([vs[k] for k in at], dim, wide)
+            own = group[start[[cs[k] for k in at]] + np.array([bs[k] for k in at])]
+            # cells by group, each once
+            held = np.unique(np.stack([group, np.repeat(np.arange(len(start)), np.diff([*start, len(group)]))]), axis=1)
+            near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots[dim].T))) <= within[dim]
+            goes = np.logical_or.reduceat(near[:, held[1]], np.searchsorted(held[0], np.arange(n_groups)), axis=1)
+            goes[np.arange(len(at)), own] = True
+            for k, other in zip(*np.nonzero(goes), strict=True):
+                low, high = sorted((int(own[k]), int(other)))
+                rows.append(int(at[k]))
+                pair.append(f"{dim}:{low}:{high}")
+                first.append(int(own[k]) == low)
         return rows, pair, first
 
     nets_of = [f"net{k}" for k in range(len(RADII))]
-    pairs = mapped(blocks, ["dim", "unit", "rep", "m", *nets_of], ["dim", "cell", "block"], [T.StructField("pair", T.StringType()), T.StructField("first", T.BooleanType())], meetings, rows=True)
+    pairs = mapped(blocks, ["dim", "unit", "rep", "m", "cell", "block", *nets_of], ["dim", "unit", "cell", "block"], [T.StructField("pair", T.StringType()), T.StructField("first", T.BooleanType())], meetings, rows=True)
 
     def dual(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        def side(d: pd.DataFrame) -> tuple[Tree, np.ndarray, np.ndarray]:
-            tree = Tree(rows_of(d["unit"].tolist(), int(d["dim"].iloc[0]), wide), d[nets_of].to_numpy())
-            return tree, d["rep"].to_numpy()[tree.order], d["m"].to_numpy()[tree.order]
+        def trees(d: pd.DataFrame) -> list[tuple[Tree, np.ndarray, np.ndarray]]:
+            out = []
+            for _, g in d.groupby(["cell", "block"]):
+                tree = Tree(rows_of(g["unit"].tolist(), int(g["dim"].iloc[0]), wide), g[nets_of].to_numpy())
+                out.append((tree, g["rep"].to_numpy()[tree.order], g["m"].to_numpy()[tree.order]))
+            return out
 
         _, low, high = key[0].split(":")
         one = low == high
-        none = pd.DataFrame({"rep": [], "n": [], "other": []}).astype("int64")
-        left, right = b[b["first"]], b if one else b[~b["first"]]
-        if not len(left) or not len(right):
-            return none
-        ta, ia, ma = side(left)
-        tb, ib, mb = (ta, ia, ma) if one else side(right)
-        la, lb, forest = traverse(ta, tb, ma, mb, cosine, one)
-        forest = [(int(ia[p]), int(ib[q])) for p, q in thinned(forest, 0 if one else len(ia))]
-        if one:
-            la = la - ma  # a vector is no link of itself; its copies count elsewhere
-            counts = [(int(r), int(n), -1) for r, n in zip(ia, la, strict=True) if n]
-        else:
-            counts = [(int(r), int(n), -1) for r, n in [*zip(ia, la, strict=True), *zip(ib, lb, strict=True)] if n]
-        return pd.DataFrame([*counts, *((p, 0, q) for p, q in forest)], columns=["rep", "n", "other"]).astype("int64") if counts or forest else none
+        left = trees(b[b["first"]])
+        right = left if one else trees(b[~b["first"]])
+        counts: Counter[int] = Counter()
+        ids = np.sort(b["rep"].unique())
+        forest = Forest(len(ids))
+        for k, (ta, ia, ma) in enumerate(left):
+            for tb, ib, mb in right[k if one else 0 :]:
+                la, lb, links_ = traverse(ta, tb, ma, mb, cosine, ta is tb)
+                if ta is tb:
+                    la, lb = la - ma, lb[:0]  # a vector is no link of itself; its copies count elsewhere
+                for rep, n in ((ia, la), (ib, lb)):
+                    some = np.nonzero(n)[0]
+                    counts.update(dict(zip(rep[some].tolist(), n[some].tolist(), strict=True)))
+                if links_:
+                    p, q = np.array(links_).T
+                    forest.add(np.searchsorted(ids, ia[p]), np.searchsorted(ids, ib[q]))
+        rows = [*((r, n, -1) for r, n in counts.items()), *((int(ids[p]), 0, int(ids[q])) for p, q in forest.links)]
+        return pd.DataFrame(rows, columns=["rep", "n", "other"]).astype("int64")
 
     found = stored(pairs.groupBy("pair").applyInPandas(dual, "rep long, n long, other long"), "vector-links")
-    counts = found.where("other < 0").groupBy("rep").agg(F.sum("n").alias("n"))
-    at = components(found.where("other >= 0 and rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    counts = found.where("n <> 0").groupBy("rep").agg(F.sum("n").alias("n"))
+    at = components(found.where("n = 0 and rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of_class = reps.join(counts, "rep", "left").join(at.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("dim", "unit", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = base.join(of_class, ["dim", "unit"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    known = F.col("vec_id").isNotNull()
+    out = out.select("vec_id", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(known, F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
