@@ -3,12 +3,14 @@
 Channel: a word's characters become a lattice, in which digits and symbols may stand for letters
 they look like, repeated letters and separators may vanish, and letters that stand apart
 ("l i k e  t h i s") are joined. A character trigram model, counted over the whole corpus, and
-the channel's costs give the best paths by Viterbi's algorithm. Only words that look altered
-go that way; each distinct word is decoded once and remembered.
+the channel's costs give the best paths by Viterbi's algorithm, without a beam. Words of letters only
+have few paths (doubled letters may be one), which all count; each distinct word is decoded
+once and remembered. Texts of any length are read whole; very long words and runs are decoded
+in parts that overlap by OVERLAP characters, so a word shorter than that stands whole in one of them.
 
 Score: character substrings and whole words of labelled documents (a bounded sample, by hash of
 the id) whose share of toxic documents is high are evidence; a document's score is the logistic
-of the prior plus the evidence of its strongest words. Language, source and ids are no inputs.
+of the prior plus the evidence of its toxic words, strongest first and fading. Language, source and ids are no inputs.
 """
 
 from __future__ import annotations
@@ -31,12 +33,11 @@ from .shared import Memo, bound_batches, mapped, stored
 
 #: Labelled documents that the scorer learns from at most.
 TRAIN_BOUND = 12_000
-#: Pieces of evidence that the scorer keeps at most, strongest first.
-EVIDENCE_BOUND = 50_000
 #: Fewest toxic training documents with a piece of evidence, and the clean ones allowed for each of them: parts of
 #: toxic words that other words share are no evidence.
 SUPPORT, IMPURE = 5, 0.02
-TOP_WORDS = 5
+#: Each further toxic word of a text counts this much of what the stronger one before it would have.
+FADING = 0.8
 SKETCHES = 4
 MEMO = 200_000
 CLASSES = 64
@@ -52,6 +53,7 @@ _APART = re.compile(rf"(?<![\w{_SIGNS}]){_ONE}(?:[\s.\-_*]+{_ONE})+(?![\w{_SIGNS
 _BETWEEN = re.compile(r"[\s.\-_*]+")
 _WIDE = re.compile(r"[\s.\-_*]{2,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DOUBLE = re.compile(r"(.)(?=\1)")
 _TRIPLE = re.compile(r"(.)\1\1")
 _LONG_RUN = re.compile(r"(.)\1{3,}")
 
@@ -99,9 +101,13 @@ def trigram_costs(counts: DataFrame) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
-def restore(word: str, costs: np.ndarray, apart: bool = False, keep: int = 3) -> list[str]:
-    """The best readings of a lower-case word, best first; apart: word ends may be put between letters."""
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+def restore(word: str, costs: np.ndarray | list, apart: bool = False, keep: int = 3) -> list[str]:
+    """The best readings of a lower-case word that end in different letters, best first; apart: word ends may be put between letters.
+
+    Viterbi over the whole lattice: what is to come depends on the last two letters only, so the best
+    path to each pair of these is kept, and no other path can be better.
+    """
+    states: dict[str, tuple[float, str, int, int]] = {"": (0.0, "", 0, 0)}
     for i, c in enumerate(word):
         steps: list[tuple[str, float]] = []
         if c.isalpha():
@@ -111,27 +117,38 @@ def restore(word: str, costs: np.ndarray, apart: bool = False, keep: int = 3) ->
         else:
             steps += [(x, SIGN_COST) for x in LOOKS.get(c, "")]
             steps.append(("", OTHER_COST if c.isdigit() else DROP_COST + (1.0 if c in LOOKS else 0.0)))
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
-        for (a, b, _), (cost, text) in states.items():
-            for x, extra in steps:
-                options = [(x, cost + extra)]
-                if apart and x and text and not text.endswith(" "):
-                    options.append((" " + x, cost + extra + 1.0))
-                for y, total in options:
-                    p, q, t = a, b, total
-                    for ch in y:
-                        k = class_of(ch)
-                        t += float(costs[p, q, k])
-                        p, q = q, k
-                    key = (p, q, (text + y)[-2:])
-                    if key not in after or t < after[key][0]:
-                        after[key] = (t, text + y)
-        best = sorted(after.items(), key=lambda kv: (kv[1][0], kv[1][1]))[:24]
-        states = dict(best)
-    ends = sorted((cost + float(costs[a, b, 0]), text) for (a, b, _), (cost, text) in states.items())
+        classes = [class_of(x) if x else 0 for x, _ in steps]
+        after: dict[str, tuple[float, str, int, int]] = {}
+
+        def reach(cost: float, text: str, a: int, b: int, after: dict = after) -> None:
+            key = text[-2:]
+            had = after.get(key)
+            if had is None or (cost, text) < had[:2]:
+                after[key] = (cost, text, a, b)
+
+        for cost, text, a, b in states.values():
+            for (x, extra), k in zip(steps, classes, strict=True):
+                if not x:
+                    reach(cost + extra, text, a, b)
+                    continue
+                reach(cost + extra + float(costs[a][b][k]), text + x, b, k)
+                if apart and text and text[-1] != " ":
+                    between = cost + extra + 1.0 + float(costs[a][b][0]) + float(costs[b][0][k])
+                    reach(between, f"{text} {x}", 0, k)
+        states = after
+    ends = sorted((cost + float(costs[a][b][0]), text) for cost, text, a, b in states.values())
     return list(dict.fromkeys(t for _, t in ends if t))[:keep]
 
 
+def squeezed(word: str) -> list[str]:
+    """A word of letters and all that it may be if doubled letters stand for one: every path of its lattice."""
+    at = [m.start() for m in _DOUBLE.finditer(word)]
+    out = [word]
+    for i in reversed(at):
+        out += [w[:i] + w[i + 1 :] for w in out]
+    return out
+
+
 def parts(word: str) -> list[str]:
     """A word as it is, or for bounded work its distinct overlapping parts; of a long run of one character three stay."""
     if len(word) > OVERLAP:
@@ -139,14 +156,17 @@ def parts(word: str) -> list[str]:
     return list(dict.fromkeys(word[at : at + PART] for at in range(0, max(1, len(word) - OVERLAP), PART - OVERLAP)))
 
 
-def readings(token: str, costs: np.ndarray) -> list[str]:
-    """Words that a lower-case token may mean: itself if it looks plain."""
+def readings(token: str, costs: np.ndarray | list) -> list[str]:
+    """Words that a lower-case token may mean.
+
+    A token of letters has few paths, which all count; one with signs, digits or many repeated letters is decoded.
+    """
     core = token.strip(EDGES)
     if core.isalpha() and not _TRIPLE.search(core):
         lead, tail = len(token) - len(token.lstrip(EDGES)), len(token) - len(token.rstrip(EDGES))
         odd = (lead == 1 and token[0] in "@$") or (0 < tail <= 2 and token[-1] in "@$")
-        if not odd:
-            return [core]
+        if not odd and len(_DOUBLE.findall(core)) <= 3:
+            return squeezed(core)
     plain = _LETTERS.findall(token)
     if not any(c.isalpha() or c in LOOKS for c in token):
         return plain
@@ -201,7 +221,7 @@ class Scorer:
     """Toxic words of texts; remembers what it found in MEMO distinct tokens at least."""
 
     def __init__(self, costs: np.ndarray, evidence: dict[str, float], base: float) -> None:
-        self.costs, self.base = costs, base
+        self.costs, self.base = costs.tolist(), base
         self.weights = {x: math.log(p / (1 - p)) - base for x, p in evidence.items()}
         self.memo = Memo(self.of_token, MEMO)
         self.runs = Memo(lambda run: self.weigh(of_run(run, self.costs)), MEMO)
@@ -264,10 +284,10 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = TR
     given = docs.join(F.broadcast(single), "doc_id").select("toxic", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, good, memo = Counter(), Counter(), {}
+        bad, good, memo, table = Counter(), Counter(), {}, costs.tolist()
         for batch in batches:
             for label, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = set().union(*map(traits, words_in(t, costs, memo)))
+                seen = set().union(*map(traits, words_in(t, table, memo)))
                 (bad if label else good).update(seen)
         # what toxic documents never have is no evidence; the rest counts on both sides
         names = list(bad.keys() | {x for x in good if x not in bad})
@@ -276,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = TR
     counts = given.mapInArrow(run, "trait string, bad long, good long").groupBy("trait").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     share = (F.col("bad") + prior) / (F.col("bad") + F.col("good") + 1.0)
     kept = counts.withColumn("share", share).where((F.col("bad") >= SUPPORT) & (F.col("good") <= F.col("bad") * IMPURE))
-    rows = kept.orderBy(F.desc("share"), F.desc("bad"), "trait").limit(EVIDENCE_BOUND).collect()
+    rows = kept.select("trait", "share").collect()  # what SUPPORT of at most `bound` documents have in common
     return {r["trait"]: r["share"] for r in rows}, prior
 
 
@@ -284,7 +304,7 @@ def score(docs: DataFrame, costs: np.ndarray, evidence: dict[str, float], prior:
     """Adds score (0 to 1), predicted (1 if score >= 0.5) and toxic_words (restored, strongest first).
 
     Null and empty texts have no evidence: the score of any text without toxic words. Equal texts get
-    equal scores. Columns named like an added one are replaced.
+    equal scores, rows of equal id their own each; ties among words go by spelling. Columns named like an added one are replaced.
     """
     base = math.log(prior / (1 - prior))
     key = uuid.uuid4().hex
@@ -297,7 +317,7 @@ def score(docs: DataFrame, costs: np.ndarray, evidence: dict[str, float], prior:
         scores, found = [], []
         for t in texts:
             strong = sorted(scorer.strong(t).items(), key=lambda x: (-x[1], x[0]))
-            z = min(base, -1.0) + (sum(x for _, x in strong[:TOP_WORDS]) if strong else -1.0)
+            z = min(base, -1.0) + (sum(x * FADING**k for k, (_, x) in enumerate(strong)) if strong else -1.0)
             scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             found.append([w for w, _ in strong])
         return scores, [int(x >= 0.5) for x in scores], found
