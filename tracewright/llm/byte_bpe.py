@@ -13,6 +13,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,53 +29,6 @@ BITS = 8
 LOW = (1 << BITS) - 1
 
 
-class RankQueue:
-    """Positions by rank; pop() gives the leftmost position of the least rank.
-
-    A bucket is a single position, or a heap once its rank occurs more than once at a time.
-    """
-
-    __slots__ = ("buckets", "top", "words")
-
-    def __init__(self) -> None:
-        self.top = 0
-        self.words: dict[int, int] = {}
-        self.buckets: dict[int, int | list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        had = self.buckets.get(rank)
-        if had is None:
-            self.buckets[rank] = position
-            high = rank >> BITS
-            word = self.words.get(high, 0)
-            if not word:
-                self.top |= 1 << high
-            self.words[high] = word | 1 << (rank & LOW)
-        elif had.__class__ is int:
-            self.buckets[rank] = [had, position] if had < position else [position, had]
-        else:
-            heappush(had, position)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position); only while top is not 0."""
-        top = self.top
-        high = (top & -top).bit_length() - 1
-        word = self.words[high]
-        rank = high << BITS | (word & -word).bit_length() - 1
-        had = self.buckets[rank]
-        if had.__class__ is not int:
-            position = heappop(had)
-            if len(had) == 1:
-                self.buckets[rank] = had[0]
-            return rank, position
-        del self.buckets[rank]
-        word &= word - 1
-        self.words[high] = word
-        if not word:
-            self.top = top & top - 1
-        return rank, had
-
-
 class RankBpe:
     """The merges of a rank file, and the pattern that splits texts first."""
 
@@ -84,6 +38,14 @@ class RankBpe:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.of_byte = [ranks[bytes([b])] for b in range(256)]
+        # rank of every pair of ids that is an id again, by both ids in one number
+        self.pairs = {}
+        for b, i in ranks.items():
+            for at in range(1, len(b)):
+                left, right = ranks.get(b[:at]), ranks.get(b[at:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = i
         self.memo = Memo(self.packed, MEMO)
 
     @classmethod
@@ -93,46 +55,81 @@ class RankBpe:
         return cls(ranks, pattern)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token.
+
+        The queue lies in three local tables, as calls would cost more than the work: `buckets` holds the
+        positions of each rank (a single one, or a heap once the rank occurs more than once at a
+        time), `words` and `top` are the bitmap of ranks that have a bucket.
+        """
         ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        get = ranks.get
+        get = self.pairs.get
         n = len(piece)
-        part = [piece[i : i + 1] for i in range(n)]
+        part = list(map(self.of_byte.__getitem__, piece))
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        queue = RankQueue()
-        push, pop = queue.push, queue.pop
-        now = [get(piece[i : i + 2], -1) for i in range(n)]  # rank of the pair that starts here
-        now[-1] = -1
-        for i, r in enumerate(now):
-            if r >= 0:
-                push(r, i)
-        while queue.top:
-            rank, i = pop()
+        now = [get(a << 32 | b, -1) for a, b in pairwise(part)]  # rank of the pair that starts here
+        now.append(-1)
+        buckets: dict[int, int | list[int]] = {}
+        words: dict[int, int] = {}
+        top = 0
+        fresh = [(r, i) for i, r in enumerate(now) if r >= 0]
+        while True:
+            for r, at in fresh:
+                had = buckets.get(r)
+                if had is None:
+                    buckets[r] = at
+                    high = r >> BITS
+                    word = words.get(high, 0)
+                    words[high] = word | 1 << (r & LOW)
+                    if not word:
+                        top |= 1 << high
+                elif had.__class__ is int:
+                    buckets[r] = [had, at] if had < at else [at, had]
+                else:
+                    heappush(had, at)
+            if not top:
+                break
+            # find-first-set on both levels gives the least rank
+            high = (top & -top).bit_length() - 1
+            word = words[high]
+            low = word & -word
+            rank = high << BITS | low.bit_length() - 1
+            i = buckets[rank]
+            if i.__class__ is int:
+                del buckets[rank]
+                words[high] = word = word ^ low
+                if not word:
+                    top &= top - 1
+            else:
+                had, i = i, heappop(i)
+                if len(had) == 1:
+                    buckets[rank] = had[0]
             if now[i] != rank:  # stale
+                fresh = ()
                 continue
             j = after[i]
-            here = part[i] = part[i] + part[j]
+            part[i] = rank  # a merged pair's id is its rank
             k = after[i] = after[j]
             now[j] = -1
+            fresh = []
             if k < n:
                 before[k] = i
-                r = now[i] = get(here + part[k], -1)
+                r = now[i] = get(rank << 32 | part[k], -1)
                 if r >= 0:
-                    push(r, i)
+                    fresh.append((r, i))
             else:
                 now[i] = -1
             h = before[i]
             if h >= 0:
-                r = now[h] = get(part[h] + here, -1)
+                r = now[h] = get(part[h] << 32 | rank, -1)
                 if r >= 0:
-                    push(r, h)
+                    fresh.append((r, h))
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[part[i]])
+            ids.append(part[i])
             i = after[i]
         return ids
 
