@@ -106,6 +106,43 @@ def test_every_repeated_run_goes(docs, texts):
             assert seen.setdefault(key, i) == i
 
 
+@pytest.mark.parametrize("holders", [2000, 2])
+def test_no_more_goes_than_earlier_documents_have(spark, holders, monkeypatch):
+    """Deleted lines lie in blocks of MIN_WORDS words or more that some earlier document holds line by line; all ways of alignment tried."""
+    monkeypatch.setattr(line_dedup, "HOLDER_PAIRS", holders)
+    r = random.Random(21)
+    pool = [" ".join(r.choice("alpha beta gamma delta river stone lamp".split()) + str(r.randrange(60)) for _ in range(r.choice([3, 6, 9, 16]))) + "." for _ in range(30)]
+    texts = {}
+    for i in range(40):
+        body = []
+        for _ in range(r.randrange(1, 5)):
+            at = r.randrange(30)
+            body += pool[at : at + r.randrange(1, 6)] + [f"own line {i} {r.randrange(10**6)}."]
+        texts[i] = "\n".join(body)
+    rows = [*texts.items(), (7, texts[3]), (50, None), (51, "\n\n")]
+    out = line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert len(out) == len(rows)
+    cut = {i: [x.strip() for x in line_dedup.lines_of(t)] for i, t in texts.items()}
+    for x in out:
+        i = x["doc_id"]
+        if i not in texts or i == 7:
+            continue
+        a, may = cut[i], set()
+        for k in [*range(i), *([7] if i > 7 else [])]:
+            for b in {tuple(cut[k]), *([tuple(cut[3])] if k == 7 else [])}:
+                for p in range(len(a)):
+                    for q in range(len(b)):
+                        if a[p] == b[q] and not (p and q and a[p - 1] == b[q - 1]):
+                            n = 0
+                            while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                                n += 1
+                            if sum(len(y.split()) for y in a[p : p + n]) >= line_dedup.MIN_WORDS:
+                                may |= set(range(p, p + n))
+        gone = set(x["removed_lines"] or [])
+        assert gone <= may and (not may or gone), i
+        assert "own line" not in " ".join(a[k] for k in gone)
+
+
 def test_line_dedup_of_nothing(nothing):
     assert line_dedup.without_repeats(nothing).count() == 0
 

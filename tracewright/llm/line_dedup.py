@@ -25,6 +25,8 @@ from .shared import mapped, stored
 
 #: Fewest words of a block that is deleted.
 MIN_WORDS = 15
+#: Later documents that one copy of a first document's lines is aligned with, about.
+HOLDER_PAIRS = 2000
 _LINE = re.compile(r"[^.!?\n]*(?:[.!?](?![ \t])[^.!?\n]*)*(?:[.!?]|\n|\Z)")
 
 
@@ -133,9 +135,13 @@ def repeated_lines(docs: DataFrame, text: str = "text", least: int = MIN_WORDS)
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     pairs = keys.join(shared, "key").where("doc_id > first").select("doc_id", "first").distinct()
     pairs = stored(pairs, "line-pairs")
+    # a first document that very many later ones share goes to several places, each with a part of them
+    parts = pairs.groupBy("first").agg(F.ceil(F.count("*") / HOLDER_PAIRS).cast("int").alias("_parts"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")
+    firsts = cuts.select(F.col("doc_id").alias("first"), F.col("h").alias("hf")).join(parts, "first").select("first", "hf", every)
+    dealt = pairs.join(parts, "first").select("doc_id", "first", F.pmod(F.xxhash64("doc_id"), "_parts").cast("int").alias("_part"))
     # documents of equal id are one for the pairing; their rows are aligned each
-    firsts = cuts.select(F.col("doc_id").alias("first"), F.col("h").alias("hf"))
-    both = pairs.join(cuts.select("doc_id", "h", "w"), "doc_id").join(firsts, "first")
+    both = dealt.join(cuts.select("doc_id", "h", "w"), "doc_id").join(firsts, ["first", "_part"])
 
     def align(hs: list[bytes], ws: list[bytes], fs: list[bytes]) -> tuple:
         u8 = lambda x: np.frombuffer(x, np.uint64)
