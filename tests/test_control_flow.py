@@ -5,9 +5,15 @@ import random
 import pytest
 
 from tracewright.operators import control_flow as flow
+from tracewright.operators import ordered
 from tracewright.operators.ordered import carried_after, carried_before, running_total, runs
 
 
+@pytest.fixture(params=[1 << 20, 7], ids=["one bucket", "many buckets"])
+def buckets(request, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET", request.param)
+
+
 def trace(seed, threads=6, n=150):
     r = random.Random(seed)
     rows, line = [], 0
@@ -57,23 +63,23 @@ def calls(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_function_owner(spark, seed):
-    rows = trace(seed)
+@pytest.mark.parametrize("seed,threads", [(1, 6), (2, 1)])
+def test_function_owner(spark, seed, threads, buckets):
+    rows = trace(seed, threads)
     got = {r["line"]: r["owner_line"] for r in flow.function_owner(frame(spark, rows)).collect()}
     assert got == owners(rows)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_block_widths_sum_to_thread_lengths(spark, seed):
-    f = frame(spark, trace(seed))
+@pytest.mark.parametrize("seed,threads", [(3, 6), (4, 1)])
+def test_block_widths_sum_to_thread_lengths(spark, seed, threads, buckets):
+    f = frame(spark, trace(seed, threads))
     widths = {r[0]: r[1] for r in flow.thread_function_blocks(f).groupBy("thread").sum("width").collect()}
     assert widths == {r["thread"]: r["length"] for r in flow.thread_lengths(f).collect()}
 
 
-@pytest.mark.parametrize("seed", [5, 6])
-def test_basic_blocks(spark, seed):
-    rows = trace(seed)
+@pytest.mark.parametrize("seed,threads", [(5, 6), (6, 1)])
+def test_basic_blocks(spark, seed, threads, buckets):
+    rows = trace(seed, threads)
     expected, open_ = {}, {}
     done = []
     for line, th, _, m, _, iid, _ in rows:
@@ -88,8 +94,9 @@ def test_basic_blocks(spark, seed):
     assert got == expected
 
 
-def test_call_associations(spark):
-    rows = trace(7)
+@pytest.mark.parametrize("threads", [6, 1])
+def test_call_associations(spark, threads, buckets):
+    rows = trace(7, threads)
     by_line = {r[0]: r[5] for r in rows}
     got = {r["call_instruction"]: (r["caller"], r["callee"]) for r in flow.call_associations(frame(spark, rows)).collect()}
     assert got == {k: (by_line[a], by_line[b]) for k, (a, b) in calls(rows).items()}

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.instructions import ends_block, would_branch
+from .graph import checkpoint_ready
+from .ordered import previous, scan
 
+#: Threads are groups of the scans, so that one thread of very many lines is spread over many tasks.
+THREAD = ("thread",)
 
-def _by_thread() -> WindowSpec:
-    return Window.partitionBy("thread").orderBy("line")
 
-
-def _so_far() -> WindowSpec:
-    return _by_thread().rowsBetween(Window.unboundedPreceding, 0)
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut where a shared checkpoint folder is known: scans that build on it do not repeat it."""
+    return df.checkpoint() if checkpoint_ready(df) else df
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str = "line") -> DataFrame:
@@ -33,21 +35,20 @@ def instructions(lines: DataFrame) -> DataFrame:
 
 def function_starts(lines: DataFrame) -> DataFrame:
     """First line of each instruction that follows a call in its thread."""
-    before = F.lag("mnemonic").over(_by_thread())
-    return lines.withColumn("_p", before).where("_p = 'call'").groupBy("instruction_id").agg(F.min("line").alias("first_line"))
+    d = previous(lines.select("line", "thread", "instruction_id", "mnemonic"), "line", {"_p": "mnemonic"}, THREAD)
+    return d.where("_p = 'call'").groupBy("instruction_id").agg(F.min("line").alias("first_line"))
 
 
 def parent_function(lines: DataFrame) -> DataFrame:
     """Each line with the function started last in its thread before it; its own start does not count."""
-    started = F.when(F.lag("mnemonic").over(_by_thread()) == "call", F.col("instruction_id"))
-    d = lines.withColumn("_s", started)
-    return d.withColumn("parent", F.last("_s", ignorenulls=True).over(_by_thread().rowsBetween(Window.unboundedPreceding, -1))).drop("_s")
+    d = previous(lines, "line", {"_p": "mnemonic"}, THREAD)
+    return scan(d, "line", F.when(F.col("_p") == "call", F.col("instruction_id")), "parent", "last", THREAD).drop("_p")
 
 
 def basic_blocks(lines: DataFrame) -> DataFrame:
     """(start_instruction, end_instruction, length, first_line): the first block seen from each start; all threads' tails count."""
-    d = lines.withColumn("_e", F.coalesce(ends_block(F.lag("mnemonic").over(_by_thread())), F.lit(False)).cast("int"))
-    d = d.withColumn("_i", F.sum("_e").over(_so_far()))
+    d = previous(lines.select("line", "thread", "instruction_id", "mnemonic"), "line", {"_p": "mnemonic"}, THREAD)
+    d = scan(d, "line", F.coalesce(ends_block(F.col("_p")), F.lit(False)).cast("int"), "_i", "sum", THREAD, inclusive=True)
     one = d.groupBy("thread", "_i").agg(
         F.min("line").alias("first_line"),
         F.min_by("instruction_id", "line").alias("start_instruction"),
@@ -59,45 +60,46 @@ def basic_blocks(lines: DataFrame) -> DataFrame:
 
 def jumps(lines: DataFrame, strict: bool = True) -> DataFrame:
     """(jump_instruction, target_instruction, branch_taken, first_line), each combination once."""
-    p = F.lag("mnemonic").over(_by_thread())
-    d = lines.select(
-        "line", F.col("instruction_id").alias("target_instruction"), p.alias("_m"), F.lag("instruction_id").over(_by_thread()).alias("jump_instruction"), F.lag("flags").over(_by_thread()).alias("_f")
-    ).where(ends_block(F.col("_m")))
+    d = lines.select("line", "thread", F.col("instruction_id").alias("target_instruction"), "mnemonic", "flags")
+    d = previous(d, "line", {"_m": "mnemonic", "jump_instruction": "target_instruction", "_f": "flags"}, THREAD).where(ends_block(F.col("_m")))
     d = d.withColumn("branch_taken", would_branch(F.col("_m"), F.col("_f"), strict))
     return d.groupBy("jump_instruction", "target_instruction", "branch_taken").agg(F.min("line").alias("first_line"))
 
 
-def _steps(lines: DataFrame) -> DataFrame:
-    p = F.lag("mnemonic").over(_by_thread())
-    return lines.withColumn("_p", p).withColumn("_st", F.when(F.col("_p") == "call", 1).when(F.col("_p") == "ret", -1).otherwise(0))
+def _stack(lines: DataFrame, floor: int) -> DataFrame:
+    """Adds _p and _pid (mnemonic and instruction before), _l (height of the call stack, never under floor) and _pl (height before).
+
+    The height is the running sum of calls and returns, reflected at the floor.
+    """
+    d = previous(lines, "line", {"_p": "mnemonic", "_pid": "instruction_id"}, THREAD)
+    step = F.when(F.col("_p") == "call", 1).when(F.col("_p") == "ret", -1).otherwise(0)
+    d = settled(scan(d, "line", step, "_w", "sum", THREAD, inclusive=True))
+    d = scan(d, "line", F.col("_w"), "_least", "min", THREAD, inclusive=True)
+    d = settled(d.withColumn("_l", floor + F.col("_w") + F.greatest(F.lit(0), -F.col("_least"))).drop("_w", "_least"))
+    return previous(d, "line", {"_pl": "_l"}, THREAD)
 
 
 def function_owner(lines: DataFrame) -> DataFrame:
     """Each line with the line that entered the frame it runs in (a stack that never empties: a bare return enters anew)."""
-    d = _steps(lines).withColumn("_w", 1 + F.sum("_st").over(_so_far()))
-    d = d.withColumn("_l", F.col("_w") + F.greatest(F.lit(0), 1 - F.min("_w").over(_so_far())))
-    before = F.lag("_l").over(_by_thread())
-    push = F.col("_p").isNull() | (F.col("_p") == "call") | ((F.col("_p") == "ret") & (before == 1))
-    d = d.withColumn("_push", F.when(push, F.col("line")))
-    level = Window.partitionBy("thread", "_l").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("owner_line", F.last("_push", ignorenulls=True).over(level)).drop("_st", "_w", "_l", "_push", "_p")
+    d = _stack(lines, 1)
+    enters = F.col("_p").isNull() | (F.col("_p") == "call") | ((F.col("_p") == "ret") & (F.col("_pl") == 1))
+    d = scan(d, "line", F.when(enters, F.col("line")), "owner_line", "last", (*THREAD, "_l"), inclusive=True)
+    return settled(d.drop("_pid", "_l", "_pl"))
 
 
 def thread_function_blocks(lines: DataFrame) -> DataFrame:
     """Runs of lines between calls and returns, with the function that owns them and their place in the thread."""
-    d = function_owner(lines)
-    p = F.lag("mnemonic").over(_by_thread())
-    d = d.withColumn("_x", F.row_number().over(_by_thread()) - 1)
-    d = d.withColumn("_n", F.coalesce(p.isin("call", "ret"), F.lit(False)).cast("int"))
-    d = d.withColumn("_i", F.sum("_n").over(_so_far()))
+    d = function_owner(lines.select("line", "thread", "instruction_id", "mnemonic"))
+    d = scan(d, "line", F.coalesce(F.col("_p").isin("call", "ret"), F.lit(False)).cast("int"), "_i", "sum", THREAD, inclusive=True)
     blocks = d.groupBy("thread", "_i").agg(
         F.min("line").alias("start_line"),
         F.min_by("instruction_id", "line").alias("start_instruction"),
         F.max_by("instruction_id", "line").alias("end_instruction"),
         F.min("owner_line").alias("owner_line"),
-        F.min("_x").cast("long").alias("x_offset"),
         F.count("*").alias("width"),
     )
+    # a block's place: the lines of the thread's blocks before it
+    blocks = scan(blocks, "start_line", F.col("width"), "x_offset", "sum", THREAD)
     names = lines.select(F.col("line").alias("owner_line"), F.col("instruction_id").alias("function_start"))
     return blocks.join(names, "owner_line").select(
         "thread", "start_line", "start_instruction", "end_instruction", "function_start", "x_offset", "width", (F.col("x_offset") + F.col("width")).alias("x_end")
@@ -109,19 +111,16 @@ def call_associations(lines: DataFrame) -> DataFrame:
 
     After a return the caller is the start of the function that was returned from, as in the traced tool.
     """
-    d = _steps(lines).withColumn("_prev_id", F.lag("instruction_id").over(_by_thread()))
-    d = d.withColumn("_w", F.sum("_st").over(_so_far()))
-    d = d.withColumn("_l", F.col("_w") + F.greatest(F.lit(0), -F.min("_w").over(_so_far())))
-    d = d.withColumn("_pl", F.coalesce(F.lag("_l").over(_by_thread()), F.lit(0)))
-    d = d.withColumn("_k", F.when(F.col("_p") == "ret", F.col("_pl")).otherwise(F.col("_l")))
-    frame = Window.partitionBy("thread", "_k").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_frame", F.last(F.when(F.col("_p") == "call", F.col("line")), ignorenulls=True).over(frame))
-    d = d.withColumn("_pv", F.when((F.col("_p") == "call") & (F.col("_pl") > 0), F.col("line")).when((F.col("_p") == "ret") & (F.col("_pl") > 0), F.col("_frame")))
-    first = F.min("line").over(Window.partitionBy("thread"))
-    d = d.withColumn("_caller", F.coalesce(F.last("_pv", ignorenulls=True).over(_by_thread().rowsBetween(Window.unboundedPreceding, -1)), first))
-    d = d.where("_p = 'call' and _pl > 0")
+    d = _stack(lines.select("line", "thread", "instruction_id", "mnemonic"), 0)
+    below = F.coalesce("_pl", F.lit(0))
+    d = d.withColumn("_level", F.when(F.col("_p") == "ret", below).otherwise(F.col("_l")))
+    d = settled(scan(d, "line", F.when(F.col("_p") == "call", F.col("line")), "_frame", "last", (*THREAD, "_level"), inclusive=True))
+    start = F.when((F.col("_p") == "call") & (below > 0), F.col("line")).when((F.col("_p") == "ret") & (below > 0), F.col("_frame"))
+    d = scan(d, "line", start, "_start", "last", THREAD).where(F.col("_p") == "call").where(below > 0)
+    first = lines.groupBy("thread").agg(F.min("line").alias("_first"))
+    d = d.join(first, "thread").withColumn("_caller", F.coalesce("_start", "_first"))
     names = lines.select(F.col("line").alias("_caller"), F.col("instruction_id").alias("caller"))
-    rows = d.join(names, "_caller").select(F.col("_prev_id").alias("call_instruction"), "line", "caller", F.col("instruction_id").alias("callee"))
+    rows = d.join(names, "_caller").select(F.col("_pid").alias("call_instruction"), "line", "caller", F.col("instruction_id").alias("callee"))
     return first_per_key(rows, ["call_instruction"]).withColumnRenamed("line", "first_line")
 
 

@@ -15,44 +15,58 @@ from pyspark.sql import functions as F
 BUCKET = 1 << 20
 
 
-def _bucket(order: str, bucket: int) -> Column:
-    return F.floor(F.col(order) / bucket)
+def _bucket(order: str, bucket: int | None) -> Column:
+    return F.floor(F.col(order) / (bucket or BUCKET))
 
 
-def running_total(df: DataFrame, order: str, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
-    """Adds `name`: the sum of `value` over all rows before this one in `order` (unique); 0 for the first."""
-    d = df.withColumn("_b", _bucket(order, bucket)).withColumn("_v", value)
-    sums = d.groupBy("_b").agg(F.sum("_v").alias("_s"))
-    ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select("_b", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_c"))
-    own = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_own", F.coalesce(F.sum("_v").over(own), F.lit(0)))
-    return d.join(carry, "_b").withColumn(name, (F.col("_own") + F.col("_c")).cast("long")).drop("_b", "_v", "_own", "_c")
+def scan(df: DataFrame, order: str, value: Column, name: str, how: str, group: tuple[str, ...] = (), bucket: int | None = None, inclusive: bool = False) -> DataFrame:
+    """Adds `name`: the last non-null, the sum (0 for none) or the min of `value` over the rows before this one, and of this one if inclusive.
 
-
-def carried_before(df: DataFrame, order: str, value: Column, name: str, bucket: int = BUCKET, group: tuple[str, ...] = ()) -> DataFrame:
-    """Adds `name`: the last non-null `value` of a row strictly before this one in `order` (unique within a group).
-
-    Groups are cut into buckets of their own, so a group of any size is spread over many tasks; a null
-    in a group column makes a group like any other value.
+    `order` is unique within a group. Groups are cut into buckets of their own, so a group of any
+    size is spread over many tasks; a null in a group column makes a group like any other value.
     """
     d = df.withColumn("_b", _bucket(order, bucket)).withColumn("_v", value)
-    edges = d.groupBy(*group, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_last"))
     ahead = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    if how == "last":
+        edge, carry, here = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))), F.last("_e", ignorenulls=True).over(ahead), F.last("_v", ignorenulls=True).over(own)
+        both = F.coalesce("_own", "_c")
+    elif how == "min":
+        edge, carry, here = F.min("_v"), F.min("_e").over(ahead), F.min("_v").over(own)
+        both = F.least("_own", "_c")
+    else:
+        edge, carry, here = F.sum("_v"), F.sum("_e").over(ahead), F.sum("_v").over(own)
+        both = (F.coalesce("_own", F.lit(0)) + F.coalesce("_c", F.lit(0))).cast("long")
     keys = {g: f"_g{i}" for i, g in enumerate(group)}
-    carry = edges.select(*[F.col(g).alias(k) for g, k in keys.items()], F.col("_b").alias("_cb"), F.last("_last", ignorenulls=True).over(ahead).alias("_c"))
-    own = Window.partitionBy(*group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_own", F.last("_v", ignorenulls=True).over(own))
+    edges = d.groupBy(*group, "_b").agg(edge.alias("_e"))
+    carries = edges.select(*[F.col(g).alias(k) for g, k in keys.items()], F.col("_b").alias("_cb"), carry.alias("_c"))
     same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(k)) for g, k in keys.items()], F.col("_b") == F.col("_cb"))
-    return d.join(carry, same).withColumn(name, F.coalesce("_own", "_c")).drop("_b", "_v", "_own", "_c", "_cb", *keys.values())
+    d = d.withColumn("_own", here).join(carries, same)
+    return d.withColumn(name, both).drop("_b", "_v", "_own", "_c", "_cb", *keys.values())
+
+
+def running_total(df: DataFrame, order: str, value: Column, name: str, bucket: int | None = None) -> DataFrame:
+    """Adds `name`: the sum of `value` over all rows before this one in `order` (unique); 0 for the first."""
+    return scan(df, order, value, name, "sum", (), bucket)
+
+
+def carried_before(df: DataFrame, order: str, value: Column, name: str, bucket: int | None = None, group: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `name`: the last non-null `value` of a row strictly before this one in `order`."""
+    return scan(df, order, value, name, "last", group, bucket)
+
+
+def previous(df: DataFrame, order: str, columns: dict[str, str], group: tuple[str, ...] = (), bucket: int | None = None) -> DataFrame:
+    """Adds each new name of columns(new: old) with the old column's value on the row before; null on the first."""
+    d = scan(df, order, F.struct(*[F.col(old).alias(new) for new, old in columns.items()]), "_before", "last", group, bucket)
+    return d.withColumns({new: F.col(f"_before.{new}") for new in columns}).drop("_before")
 
 
-def carried_after(df: DataFrame, order: str, value: Column, name: str, bucket: int = BUCKET, group: tuple[str, ...] = ()) -> DataFrame:
+def carried_after(df: DataFrame, order: str, value: Column, name: str, bucket: int | None = None, group: tuple[str, ...] = ()) -> DataFrame:
     """Adds `name`: the first non-null `value` of a row strictly after this one, as carried_before in the reverse order."""
     return carried_before(df.withColumn("_back", -F.col(order)), "_back", value, name, bucket, group).drop("_back")
 
 
-def runs(df: DataFrame, order: str, key: str, bucket: int = BUCKET) -> DataFrame:
+def runs(df: DataFrame, order: str, key: str, bucket: int | None = None) -> DataFrame:
     """(run, key, start, rows, last): maximal runs of equal key in the order; rows without a key extend the current run."""
     d = df.select(F.col(order).alias("_o"), F.col(key).alias("_k"), _bucket(order, bucket).alias("_b"))
     edges = d.groupBy("_b").agg(F.max_by("_k", F.when(F.col("_k").isNotNull(), F.col("_o"))).alias("_last"))
