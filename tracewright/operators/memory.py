@@ -105,3 +105,60 @@ def spliced(old_hex: Column, new_hex: Column, width: int, high_byte: bool = Fals
     if high_byte:
         return F.concat(F.substring(old_hex, 1, 12), F.right(new_hex, F.lit(2)), F.right(old_hex, F.lit(2)))
     return F.concat(F.substring(old_hex, 1, 16 - digits), F.right(new_hex, F.lit(digits)))
+
+
+#: Bytes that a pointer is followed for.
+POINTED = 256
+
+
+def pointed(calls: DataFrame, state: DataFrame, size: int = POINTED) -> DataFrame:
+    """calls(buffer, ...) with payload: hex of the set bytes at buffer to buffer + size - 1, in address order; calls without any go.
+
+    State and calls meet by pages of `size` addresses: a page has at most `size` bytes, a call two pages.
+    """
+    page = lambda a: F.floor(a / size).cast("long")
+    s = state.select(page(F.col("addr")).alias("_p"), F.struct(F.col("addr").cast("decimal(20,0)").alias("a"), "byte").alias("_x"))
+    pages = s.groupBy("_p").agg(F.array_sort(F.collect_list("_x")).alias("_bytes"))
+    rest = calls.columns
+    first = page(F.col("buffer"))
+    c = calls.withColumn("_id", F.struct(*rest)).withColumn("_p", F.explode(F.array_distinct(F.array(first, page(F.col("buffer") + (size - 1))))))
+    own = F.filter("_bytes", lambda x: (x["a"] >= F.col("buffer")) & (x["a"] < F.col("buffer") + size))
+    c = c.join(pages, "_p").groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list(own))).alias("_all"))
+    c = c.where(F.size("_all") > 0)
+    return c.select("_id.*", F.array_join(F.transform("_all", lambda x: x["byte"]), "").alias("payload"))
+
+
+def leaf_deltas(parsed: DataFrame, skip: int | None = None) -> DataFrame:
+    """(line, seq, kind, key, value_hex, is_before): one row per register or memory change of a line(line, refs).
+
+    key: the register's name, or the address in decimal. Values keep their order on the line; changes of
+    the address `skip` (a thread's information block) are left out, lines without changes give no row.
+    """
+    r = parsed.select("line", F.posexplode("refs").alias("seq", "_r"))
+    if skip is not None:
+        r = r.where(F.col("_r.addr").isNull() | (F.col("_r.addr") != skip))
+    key = F.when(F.col("_r.kind") == "memory", F.col("_r.addr").cast("string")).otherwise(F.col("_r.reg"))
+    return r.select("line", "seq", F.col("_r.kind").alias("kind"), key.alias("key"), F.col("_r.value_hex").alias("value_hex"), F.col("_r.is_before").alias("is_before"))
+
+
+def syscall_register(flags: Column, is_entry: Column, value: Column, wide_flag: int) -> Column:
+    """(reg, value_hex, is_before): what a system call's line tells of: the stack pointer on entry, the result on exit.
+
+    wide_flag: the bit of the flags that marks 64-bit execution; else registers have 32 bits.
+    """
+    wide = is_wide(flags, wide_flag)
+    reg = F.concat(F.when(wide, "R").otherwise("E"), F.when(is_entry, "SP").otherwise("AX"))
+    digits = F.when(wide, 16).otherwise(8)
+    return F.struct(reg.alias("reg"), F.right(F.lpad(F.hex(value), 16, "0"), digits).alias("value_hex"), is_entry.alias("is_before"))
+
+
+def is_wide(flags: Column, wide_flag: int) -> Column:
+    """Whether a line ran in 64-bit mode; null flags did not."""
+    return F.coalesce(flags.bitwiseAND(F.lit(wide_flag)) != 0, F.lit(False))
+
+
+def write_levels(levels: dict[int, DataFrame], path: str) -> None:
+    """Snapshot tables by level, in directories of level and bucket and sorted by key, so that reading a state prunes."""
+    for level, d in levels.items():
+        keys = [c for c in d.columns if c not in ("bucket", "line", "seq")]
+        d.repartition("bucket").sortWithinPartitions("bucket", *keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/level={level}")

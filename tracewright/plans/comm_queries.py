@@ -10,7 +10,7 @@ from ..sources.adapters import table
 from .registry import query
 
 # every turn of a conversation is sent by its role and received by the other; a handle is the conversation's id
-EV = """WITH c AS (SELECT conv_id, turn, role, left(text, 40) AS text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+EV = """WITH c AS (SELECT conv_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
  d AS (SELECT DISTINCT conv_id, turn, role, text, last FROM c),
  e AS (
   SELECT CASE WHEN role = 'user' THEN 'a' ELSE 'b' END AS trace, conv_id AS handle, turn * 2 + 1 AS line, 'send' AS type, text AS payload FROM d

@@ -154,10 +154,10 @@ def export_name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.orderBy(F.col("export").isNull(), F.lower("export"), "module", "o").select("p_partkey", "module", "o", "export")
 
 
-@query("SELECT l_orderkey, p_brand, c_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE p_size = 7 AND l_linenumber = 1")
+@query("SELECT l_orderkey, p_brand, c_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
 def descriptor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loaded function to descriptor to functions table: a chain of equi-joins."""
-    l, p = table(spark, sf_dir, "lineitem").where("l_linenumber = 1"), table(spark, sf_dir, "part").where("p_size = 7")  # noqa: E741
+    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")  # noqa: E741
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     d = l.join(p, F.col("p_partkey") == F.col("l_partkey")).join(o, F.col("o_orderkey") == F.col("l_orderkey"))
     return d.join(c, F.col("c_custkey") == F.col("o_custkey")).select("l_orderkey", "p_brand", "c_name")
@@ -184,7 +184,7 @@ def line_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # two traces that differ here and there: the same lines, one with some texts changed
-DIFF = f"""{W}, a AS (SELECT line, instruction_id AS s FROM t WHERE line < 5000), b AS (SELECT line, CASE WHEN line % 97 < 3 THEN 'x' ELSE instruction_id END AS s FROM t WHERE line < 5000),
+DIFF = f"""{W}, a AS (SELECT line, instruction_id AS s FROM t), b AS (SELECT line, CASE WHEN line % 97 < 3 THEN 'x' ELSE instruction_id END AS s FROM t),
  d AS (SELECT a.line, a.s = b.s AS same FROM a JOIN b USING (line)), n AS (SELECT *, CASE WHEN lag(same) OVER (ORDER BY line) IS NOT DISTINCT FROM same THEN 0 ELSE 1 END AS new FROM d),
  g AS (SELECT *, sum(new) OVER (ORDER BY line) AS g FROM n) SELECT min(line) AS start_line, max(line) AS end_line, bool_and(same) AS is_match FROM g GROUP BY g"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import message_text
 from ..operators import memory
 from ..sources.adapters import TRACE_SQL, trace_lines
 from .registry import query
@@ -97,11 +98,48 @@ def memory_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{W}, {REFS_SQL}, {STATE_SQL}, calls AS (SELECT line, k AS buffer FROM t WHERE mnemonic = 'call' AND line <= 2000)
- SELECT calls.line, string_agg(CASE WHEN st.byte IS NULL THEN '' ELSE st.byte END, '' ORDER BY st.addr) AS payload FROM calls JOIN st ON st.addr >= buffer AND st.addr < buffer + 4 GROUP BY calls.line"""
+    f"""{W}, {REFS_SQL}, {STATE_SQL}, calls AS (SELECT line, k AS buffer FROM t WHERE mnemonic = 'call')
+ SELECT calls.line, string_agg(st.byte, '' ORDER BY st.addr) AS payload FROM calls JOIN st ON st.addr >= buffer AND st.addr < buffer + 256 GROUP BY calls.line"""
 )
 def pointed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that a call's buffer address points to, in address order."""
-    calls = trace_lines(spark, sf_dir).where("mnemonic = 'call'").select("line", F.explode(F.sequence(F.col("addr"), F.col("addr") + 3)).alias("addr"))
-    state = memory.state_at(memory.bytes_of(refs(spark, sf_dir)), 4321).select(F.col("addr").cast("long").alias("addr"), "byte")
-    return calls.join(state, "addr").groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("addr", "byte"))), lambda x: x["byte"]), "").alias("payload"))
+    calls = trace_lines(spark, sf_dir).where("mnemonic = 'call'").select("line", F.col("addr").alias("buffer"))
+    state = memory.state_at(memory.bytes_of(refs(spark, sf_dir)), 4321)
+    return memory.pointed(calls, state).select("line", "payload")
+
+
+@query(
+    f"""{W}, {REFS_SQL}, {STATE_SQL}, calls AS (SELECT line, k AS buffer FROM t WHERE mnemonic = 'call'),
+ p AS (SELECT calls.line, string_agg(chr(CAST('0x' || st.byte AS INT)), '' ORDER BY st.addr) AS s FROM calls JOIN st ON st.addr >= buffer AND st.addr < buffer + 256 GROUP BY calls.line)
+ SELECT line, regexp_replace(split_part(s, chr(10), 1), '^ +| +$', '', 'g') AS text FROM p"""
+)
+def pointed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First line of the text behind a call's buffer address, trimmed."""
+    calls = trace_lines(spark, sf_dir).where("mnemonic = 'call'").select("line", F.col("addr").alias("buffer"))
+    state = memory.state_at(memory.bytes_of(refs(spark, sf_dir)), 4321)
+    return memory.pointed(calls, state).select("line", message_text(F.col("payload")).alias("text"))
+
+
+@query(
+    f"""{W}, r AS (SELECT line, 0 AS seq, 'register' AS kind, 'R' || (k % 8) AS key, lpad(upper(to_hex(k)), 16, '0') AS value_hex, line % 2 = 0 AS is_before FROM t
+ UNION ALL SELECT line, 1, 'memory', CAST(k AS VARCHAR), lpad(upper(to_hex(byte)), 2, '0'), false FROM t WHERE k <> 40)
+ SELECT * FROM r"""
+)
+def leaf_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each line changes, without the address of the thread's information block."""
+    t = trace_lines(spark, sf_dir)
+    none = F.lit(None)
+    register = F.struct(F.lit("register").alias("kind"), F.concat(F.lit("R"), (F.col("addr") % 8).cast("string")).alias("reg"), none.cast("decimal(20,0)").alias("addr"), F.lpad(F.hex("addr"), 16, "0").alias("value_hex"), (F.col("line") % 2 == 0).alias("is_before"))
+    cell = F.struct(F.lit("memory").alias("kind"), none.cast("string").alias("reg"), F.col("addr").cast("decimal(20,0)").alias("addr"), F.lpad(F.hex("byte"), 2, "0").alias("value_hex"), F.lit(False).alias("is_before"))
+    return memory.leaf_deltas(t.select("line", F.array(register, cell).alias("refs")), skip=40)
+
+
+@query(
+    f"""{W}, s AS (SELECT line, k, (k & 4) <> 0 AS wide, mnemonic = 'call' AS entry FROM t WHERE mnemonic IN ('call', 'ret'))
+ SELECT line, CASE WHEN wide THEN CASE WHEN entry THEN 'RSP' ELSE 'RAX' END ELSE CASE WHEN entry THEN 'ESP' ELSE 'EAX' END END AS reg, lpad(upper(to_hex(k)), CASE WHEN wide THEN 16 ELSE 8 END, '0') AS value_hex, entry AS is_before FROM s"""
+)
+def syscall_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers that system calls change, by execution mode."""
+    t = trace_lines(spark, sf_dir).where("mnemonic IN ('call', 'ret')")
+    reg = memory.syscall_register(F.col("flags"), F.col("mnemonic") == "call", F.col("addr"), wide_flag=4)
+    return t.select("line", reg.alias("r")).select("line", "r.*")
