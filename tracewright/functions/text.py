@@ -20,6 +20,11 @@ def swap_bytes(hex_text: Column) -> Column:
     return F.array_join(F.reverse(F.regexp_extract_all(hex_text, F.lit("(..)"), F.lit(1))), "")
 
 
+def without_reserved(flags: Column, reserved: int = 0x2A) -> Column:
+    """Flags with the processor's reserved bits cleared, 32 bits wide."""
+    return flags.bitwiseAND(F.lit(0xFFFFFFFF - reserved))
+
+
 def unsigned(hex_text: Column) -> Column:
     """Unsigned 64-bit value of hex text."""
     return F.conv(hex_text, 16, 10).cast("decimal(20,0)")
@@ -30,14 +35,28 @@ def signed(hex_text: Column, bits: int) -> Column:
     return F.when(u >= F.lit(Decimal(2 ** (bits - 1))), u - F.lit(Decimal(2**bits))).otherwise(u).cast("long")
 
 
-def ascii_of_hex(hex_text: Column) -> Column:
-    """Printable characters of hex bytes, a block sign for the others."""
-    codes = F.transform(F.regexp_extract_all(hex_text, F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+def ascii_of_hex(hex_text: Column, every_second: bool = False) -> Column:
+    """Printable characters of hex bytes, a block sign for the others; every_second: of the bytes 0, 2, 4, ... only."""
+    pairs = F.regexp_extract_all(hex_text, F.lit("(..).?.?" if every_second else "(..)"), F.lit(1))
+    codes = F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
     return F.array_join(F.transform(codes, lambda c: F.when(c.between(32, 126), F.char(c)).otherwise(F.lit("■"))), "")
 
 
-def hex_of_ascii(text: Column) -> Column:
-    return F.hex(F.encode(text, "ISO-8859-1"))
+def hex_of_ascii(text: Column, wide: bool = False) -> Column:
+    """Hex of a text's characters; wide: each behind a zero byte."""
+    h = F.hex(F.encode(text, "ISO-8859-1"))
+    return F.regexp_replace(h, "(..)", "00$1") if wide else h
+
+
+def split_keeping(text: Column, pattern: str) -> Column:
+    """Parts of a text, each with the delimiter that ends it; the last part has none."""
+    marked = F.regexp_replace(text, f"({pattern})", "$1\u0000")
+    return F.split(marked, "\u0000", -1)
+
+
+def offset_text(offset: Column, digits: int = 19) -> Column:
+    """An offset as text of fixed width."""
+    return F.lpad(offset.cast("string"), digits, "0")
 
 
 def hex_text(hex_value: Column) -> Column:
@@ -71,8 +90,10 @@ def without_first_token(line: Column) -> Column:
     return F.regexp_replace(line, "^[a-zA-Z0-9]* ", "")
 
 
-def message_text(hex_bytes: Column) -> Column:
-    """First line of the text that hex bytes hold, trimmed."""
+def message_text(hex_bytes: Column, length: Column | None = None) -> Column:
+    """First line of the text that hex bytes hold, trimmed; of a sent message of `length` bytes all but the last count."""
+    if length is not None:
+        hex_bytes = F.substring(hex_bytes, F.lit(1), F.greatest(length - 1, F.lit(0)) * 2)
     return F.trim(F.substring_index(F.decode(F.unhex(hex_bytes), "ISO-8859-1"), "\n", 1))
 
 

@@ -84,8 +84,11 @@ def udp_ok(sends: Column, receives: Column) -> Column:
 
 
 def prefix_pairs(sends: DataFrame, receives: DataFrame) -> DataFrame:
-    """Pairs on one channel whose received payload starts with the sent one."""
-    return sends.join(receives, "channel_id").where(F.col("recv").startswith(F.col("sent")))
+    """Pairs on one channel whose received payload starts with the sent one: joined on the beginnings of the lengths that are sent there."""
+    lengths = sends.groupBy("channel_id").agg(F.collect_set(F.length("sent")).alias("_lengths"))
+    heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("recv")), lambda n: F.substring(F.col("recv"), F.lit(1), n))
+    r = receives.join(lengths, "channel_id").withColumn("_head", F.explode(heads)).drop("_lengths")
+    return sends.join(r.withColumnRenamed("_head", "sent"), ["channel_id", "sent"])
 
 
 def child_channels(events: DataFrame, links: DataFrame) -> DataFrame:
@@ -95,6 +98,58 @@ def child_channels(events: DataFrame, links: DataFrame) -> DataFrame:
     return events.join(inherited, ["trace", "handle"], "left").withColumn("channel_id", F.coalesce("channel_id", "_inherited")).drop("_inherited")
 
 
+def carried_buffers(events: DataFrame) -> DataFrame:
+    """Check events with the buffer that their handle's last receive before them named: (…, buffer, buffer_length) or null."""
+    before = _by_handle().rowsBetween(Window.unboundedPreceding, -1)
+    held = F.last(F.when(F.col("type") == "receive", F.struct("address", "length")), ignorenulls=True).over(before)
+    e = events.where("type IN ('receive', 'check')").withColumn("_held", held).where("type = 'check'")
+    return e.select("trace", "handle", "line", F.col("_held.address").alias("buffer"), F.col("_held.length").alias("buffer_length"))
+
+
+def assigned(events: DataFrame) -> DataFrame:
+    """Data events with the open_line of their stream, in three passes and not in line order.
+
+    First every open makes a stream, then every close ends the latest stream of its handle that was opened before it, and
+    then each data event goes to the last stream of its handle that was open at its line. So, unlike
+    in stream_events, a second open of an open handle starts a stream of its own.
+    """
+    order = Window.partitionBy("trace", "handle").orderBy("line", F.col("type") == "close")
+    opened = F.last(F.when(F.col("type") == "open", F.col("line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    e = events.withColumn("_open", opened)
+    # the first close behind an open ends it: an event lies inside if no close stands between it and the open
+    closed = F.last(F.when(F.col("type") == "close", F.col("line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    e = e.withColumn("_closed", closed).where("type NOT IN ('open', 'close')")
+    return e.where("_open IS NOT NULL AND (_closed IS NULL OR _closed < _open)").withColumn("open_line", F.col("_open")).drop("_open", "_closed")
+
+
+def named_messages(creates: DataFrame, messages: DataFrame) -> DataFrame:
+    """messages(trace, id, line, message) with the name of the channel last created under their id before them; others go.
+
+    Ids count as signed 16-bit numbers. creates: (trace, id, line, name).
+    """
+    low = lambda c: F.when(c % 65536 >= 32768, c % 65536 - 65536).otherwise(c % 65536)
+    key = low(F.col("id")).alias("_id")
+    c = creates.select("trace", key, "line", F.col("name").alias("_name"), F.lit(0).alias("_order"))
+    m = messages.select("trace", key, "line", "id", "message", F.lit(1).alias("_order"))
+    w = Window.partitionBy("trace", "_id").orderBy("line", F.desc("_order")).rowsBetween(Window.unboundedPreceding, -1)
+    both = m.unionByName(c, allowMissingColumns=True).withColumn("channel_name", F.last("_name", ignorenulls=True).over(w))
+    return both.where("_order = 1 AND channel_name IS NOT NULL").select("trace", "id", "line", "message", "channel_name")
+
+
+def message_matches(sends: DataFrame, receives: DataFrame) -> DataFrame:
+    """Pairs of sends and receives, both from named_messages, on equal channel names whose received message starts with the sent one.
+
+    The join is on the name and on the sent message as one of the received one's beginnings of the lengths
+    that are sent on the channel, so messages of other beginnings never meet.
+    """
+    s = sends.select("channel_name", F.col("id").alias("send_id"), F.col("line").alias("send_line"), F.col("message").alias("_m"))
+    lengths = s.groupBy("channel_name").agg(F.collect_set(F.length("_m")).alias("_lengths"))
+    r = receives.select("channel_name", F.col("id").alias("recv_id"), F.col("line").alias("recv_line"), F.col("message").alias("_r")).join(lengths, "channel_name")
+    heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("_r")), lambda n: F.substring(F.col("_r"), F.lit(1), n))
+    r = r.select("channel_name", "recv_id", "recv_line", F.explode(heads).alias("_m"))
+    return s.join(r, ["channel_name", "_m"]).drop("_m")
+
+
 def calls(entries: DataFrame, returns: DataFrame, buffers: DataFrame) -> DataFrame:
     """Function call events from their entry lines, return lines and the text their buffers held."""
     return entries.join(returns, ["trace", "line"], "left").join(buffers, ["trace", "line"], "left")

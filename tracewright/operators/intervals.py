@@ -22,20 +22,20 @@ def _bucketed(d: DataFrame, start: str, end: str, width: int) -> DataFrame:
     return d.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
 
 
-def overlaps(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """Pairs of left(id_l, s_l, e_l, ...) and right(id_r, s_r, e_r, ...) that intersect, each once.
+def overlaps(left: DataFrame, right: DataFrame, width: int, group: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of left(id_l, s_l, e_l, ...) and right(id_r, s_r, e_r, ...) of equal group that intersect, each once.
 
     Both sides are cut at multiples of width; a pair is reported in the bucket of its later start
     only. width should be near the usual length of an interval.
     """
-    p = _bucketed(left, "s_l", "e_l", width).join(_bucketed(right, "s_r", "e_r", width), "_b")
+    p = _bucketed(left, "s_l", "e_l", width).join(_bucketed(right, "s_r", "e_r", width), [*group, "_b"])
     p = p.where("s_l <= e_r AND s_r <= e_l")
     return p.where(F.col("_b") == F.floor(F.greatest("s_l", "s_r") / width)).drop("_b")
 
 
-def stab(intervals: DataFrame, points: DataFrame, width: int) -> DataFrame:
-    """points(p, ...) with every interval (id, s, e) that contains them."""
-    return _bucketed(intervals, "s", "e", width).join(points.withColumn("_b", F.floor(F.col("p") / width)), "_b").where("s <= p AND p <= e").drop("_b")
+def stab(intervals: DataFrame, points: DataFrame, width: int, group: tuple[str, ...] = ()) -> DataFrame:
+    """points(p, ...) with every interval (id, s, e) of equal group that contains them."""
+    return _bucketed(intervals, "s", "e", width).join(points.withColumn("_b", F.floor(F.col("p") / width)), [*group, "_b"]).where("s <= p AND p <= e").drop("_b")
 
 
 def merged(d: DataFrame, group: list[str], touching: bool = True) -> DataFrame:
@@ -85,3 +85,39 @@ def not_contained(new: DataFrame, current: DataFrame, group: list[str]) -> DataF
     c = current.select(*group, F.col("s").alias("_cs"), F.col("e").alias("_ce"))
     cond = [F.col("n." + g) == F.col("c." + g) for g in group] + [F.col("c._cs") <= F.col("n.s"), F.col("c._ce") >= F.col("n.e")]
     return new.alias("n").join(c.alias("c"), cond, "left_anti")
+
+
+def partial_overlaps(regions: DataFrame, group: list[str], width: int) -> DataFrame:
+    """(group, id, other): regions(group, id, s, e) that cross: they intersect, and neither encloses the other. No tree takes both."""
+    left = regions.select(*group, F.col("id").alias("id_l"), F.col("s").alias("s_l"), F.col("e").alias("e_l"))
+    right = regions.select(*group, F.col("id").alias("id_r"), F.col("s").alias("s_r"), F.col("e").alias("e_r"))
+    p = overlaps(left, right, width, tuple(group)).where("id_l < id_r")
+    crosses = ~encloses(F.col("s_l"), F.col("e_l"), F.col("s_r"), F.col("e_r")) & ~encloses(F.col("s_r"), F.col("e_r"), F.col("s_l"), F.col("e_l"))
+    return p.where(crosses).select(*group, F.col("id_l").alias("id"), F.col("id_r").alias("other"))
+
+
+def gaps(hidden: DataFrame, low: int, high: int) -> DataFrame:
+    """(s, e): what of low to high no interval of hidden(s, e) covers, from the merged intervals' neighbours."""
+    m = merged(hidden.where((F.col("s") <= high) & (F.col("e") >= low)).select("s", "e"), [])
+    spans = m.agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_m"))  # a row an unbroken hidden stretch
+    starts = F.concat(F.array(F.lit(low).cast("long")), F.transform("_m", lambda x: x["e"] + 1))
+    ends = F.concat(F.transform("_m", lambda x: x["s"] - 1), F.array(F.lit(high).cast("long")))
+    z = spans.select(F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("_z")).select(F.greatest(F.col("_z.s"), F.lit(low)).alias("s"), F.least(F.col("_z.e"), F.lit(high)).alias("e"))
+    return z.where("s <= e")
+
+
+def page(hidden: DataFrame, line: int, last: int, radius: int = 500, left: bool = True) -> DataFrame:
+    """(line): the `radius` visible lines before a line (or behind it), of 0 to last; hidden(s, e) are collapsed spans."""
+    visible = gaps(hidden, 0, line - 1) if left else gaps(hidden, line + 1, last)
+    # whole gaps up to the radius, counted from the line outwards; then single lines
+    order = Window.orderBy(F.desc("s") if left else "s").rowsBetween(Window.unboundedPreceding, -1)
+    near = visible.withColumn("_n", F.coalesce(F.sum(F.col("e") - F.col("s") + 1).over(order), F.lit(0))).where(F.col("_n") < radius)
+    room = F.lit(radius) - F.col("_n")
+    low = F.greatest(F.col("s"), F.col("e") - room + 1) if left else F.col("s")
+    high = F.col("e") if left else F.least(F.col("e"), F.col("s") + room - 1)
+    return near.select(F.explode(F.sequence(low, high)).alias("line"))
+
+
+def visible_count(hidden: DataFrame, low: int, high: int) -> DataFrame:
+    """(lines): how many of low to high are not collapsed."""
+    return gaps(hidden, low, high).agg(F.coalesce(F.sum(F.col("e") - F.col("s") + 1), F.lit(0)).cast("long").alias("lines"))

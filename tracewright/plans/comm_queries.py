@@ -76,9 +76,15 @@ def verify_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("handle_1", "handle_2", ok.alias("ok"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PAIR[len('WITH '):]}, dd AS (SELECT handle_1, handle_2, 1 AS d, s1 AS s, r2 AS r FROM v UNION ALL SELECT handle_1, handle_2, 2, s2, r1 FROM v),
+ g(handle_1, handle_2, d, i, n) AS (SELECT handle_1, handle_2, d, 0, 0 FROM dd UNION ALL
+  SELECT g.handle_1, g.handle_2, g.d, g.i + 1, g.n + CASE WHEN dd.s[g.i + 1] = dd.r[g.n + 1] THEN 1 ELSE 0 END FROM g JOIN dd ON dd.handle_1 = g.handle_1 AND dd.handle_2 = g.handle_2 AND dd.d = g.d WHERE g.i < len(dd.s)),
+ y AS (SELECT g.handle_1, g.handle_2, g.d, max(g.n) AS n FROM g GROUP BY 1, 2, 3)
+ SELECT dd.handle_1, dd.handle_2, bool_and(y.n = len(dd.r)) AS ok FROM dd JOIN y ON y.handle_1 = dd.handle_1 AND y.handle_2 = dd.handle_2 AND y.d = dd.d GROUP BY 1, 2"""
+)
 def verify_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receives in order among the sends; held against plain Python in the tests."""
+    """Receives in order among the sends."""
     ok = ch.queue_ok(F.col("sends_1"), F.col("receives_2")) & ch.queue_ok(F.col("sends_2"), F.col("receives_1"))
     return _pairs(spark, sf_dir).select("handle_1", "handle_2", ok.alias("ok"))
 
@@ -151,3 +157,42 @@ def verify_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = lambda s, r: F.forall(s, lambda x: F.exists(r, lambda y: y.startswith(x)))
     ok = every(F.col("sends_1"), F.col("receives_2")) & every(F.col("sends_2"), F.col("receives_1"))
     return _pairs(spark, sf_dir).select("handle_1", "handle_2", ok.alias("ok"))
+
+
+# events of a user: purchases are receives into a buffer, clicks are checks of it
+@query(
+    f"""{ASOF}, b AS (SELECT event_id AS line, user_id AS handle, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events)
+ SELECT c.line, c.handle, r.k AS buffer, r.k % 7 AS buffer_length FROM (SELECT c.line, c.handle, max(r.line) AS r_line FROM b c LEFT JOIN b r ON r.handle = c.handle AND r.event_type = 'purchase' AND r.line < c.line WHERE c.event_type = 'click' GROUP BY 1, 2) c LEFT JOIN b r ON r.line = c.r_line"""
+)
+def carried_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of a handle with the buffer that its last receive named."""
+    e = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'click')")
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    e = e.select(F.lit("a").alias("trace"), F.col("user_id").alias("handle"), F.col("event_id").alias("line"), F.when(F.col("event_type") == "click", "check").otherwise("receive").alias("type"), k.alias("address"), (k % 7).alias("length"))
+    return ch.carried_buffers(e).select("line", "handle", "buffer", "buffer_length")
+
+
+@query(
+    f"""{ASOF}, c AS (SELECT c.line AS close_line, c.handle, max(o.line) AS open_line FROM x c JOIN x o ON o.handle = c.handle AND o.event_type = 'signup' AND o.line < c.line WHERE c.event_type = 'error' GROUP BY 1, 2),
+ s AS (SELECT o.handle, o.line AS open_line, min(c.close_line) AS close_line FROM x o LEFT JOIN c ON c.handle = o.handle AND c.open_line = o.line WHERE o.event_type = 'signup' GROUP BY 1, 2),
+ l AS (SELECT d.line, d.handle, max(s.open_line) AS open_line FROM x d JOIN s ON s.handle = d.handle AND s.open_line < d.line WHERE d.event_type = 'purchase' GROUP BY 1, 2)
+ SELECT l.line, l.handle, l.open_line FROM l JOIN s ON s.handle = l.handle AND s.open_line = l.open_line WHERE s.close_line IS NULL OR s.close_line > l.line"""
+)
+def stream_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data events with their stream, by opens, then closes, then data."""
+    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'error', 'purchase')")
+    kind = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "error", "close").otherwise("send")
+    e = e.select(F.lit("a").alias("trace"), F.col("event_id").alias("line"), F.col("user_id").alias("handle"), kind.alias("type"))
+    return ch.assigned(e).select("line", "handle", "open_line")
+
+
+@query(
+    f"""{EV}, m AS (SELECT s.trace, s.handle, s.line, s.type, s.payload, s.handle % 40 AS name FROM e s WHERE s.type IN ('send', 'receive') AND s.payload IS NOT NULL)
+ SELECT 'c' || s.name AS channel_name, s.handle AS send_id, s.line AS send_line, r.handle AS recv_id, r.line AS recv_line FROM m s JOIN m r ON r.name = s.name AND starts_with(r.payload, s.payload) WHERE s.type = 'send' AND s.trace = 'a' AND r.type = 'receive' AND r.trace = 'b'"""
+)
+def message_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of one type: channels by their latest creation, sends and receives that agree on name and beginning."""
+    e = events(spark, sf_dir)
+    creates = e.where("type = 'open'").select("trace", F.col("handle").alias("id"), "line", F.concat(F.lit("c"), F.col("channel_id").cast("string")).alias("name"))
+    of = lambda kind, trace: ch.named_messages(creates, e.where((F.col("type") == kind) & (F.col("trace") == trace) & F.col("payload").isNotNull()).select("trace", F.col("handle").alias("id"), "line", F.col("payload").alias("message")))
+    return ch.message_matches(of("send", "a"), of("receive", "b"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import control_flow as flow
+from ..operators import markers as mk
 from ..operators.graph import reachable
 from ..operators.ordered import carried_after, carried_before, running_total, runs, with_next_start
 from ..sources.adapters import TRACE_SQL, trace_lines
@@ -33,9 +34,34 @@ def assembly_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT start AS start_line, CAST(width AS BIGINT) AS width, CAST(coalesce(sum(width) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS view_start FROM w"""
 )
 def assembly_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = with_next_start(runs(trace_lines(spark, sf_dir), "line", "module"))
-    s = s.withColumn("width", F.greatest(F.floor(F.col("n_lines") / 20), F.lit(13)).cast("long"))
-    return running_total(s, "start", F.col("width"), "view_start").select(F.col("start").alias("start_line"), "width", "view_start")
+    return mk.markers(trace_lines(spark, sf_dir), "line", "module").select(F.col("start").alias("start_line"), "width", "view_start")
+
+
+THREAD_MARKS = f"{W}, {RUNS_SQL.format(key='thread')}, w AS (SELECT start, n_lines, key, greatest(n_lines // 20, 13) AS width FROM s), v AS (SELECT *, CAST(coalesce(sum(width) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS view_start FROM w)"
+
+
+def thread_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mk.markers(trace_lines(spark, sf_dir), "line", "thread")
+
+
+@query(f"{THREAD_MARKS} SELECT start, key AS tid, n_lines FROM v WHERE start BETWEEN 2000 AND 2600")
+def thread_events_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mk.by_line(thread_marks(spark, sf_dir), 2000, 2600).select("start", F.col("key").alias("tid"), "n_lines")
+
+
+@query(f"{THREAD_MARKS} SELECT start, key AS tid, n_lines FROM v WHERE start <= 2345 AND 2345 <= start + n_lines")
+def thread_event_containing_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mk.containing(thread_marks(spark, sf_dir), 2345).select("start", F.col("key").alias("tid"), "n_lines")
+
+
+@query(f"{THREAD_MARKS} SELECT start, key AS tid, view_start FROM v WHERE view_start <= 9000 AND view_start + width >= 8000")
+def thread_events_by_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mk.by_pixel(thread_marks(spark, sf_dir), 8000, 9000).select("start", F.col("key").alias("tid"), "view_start")
+
+
+@query(f"{THREAD_MARKS} SELECT max(view_start + width) AS max_pixel, max(start + n_lines - 1) AS max_line FROM v")
+def thread_events_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mk.extent(thread_marks(spark, sf_dir))
 
 
 @query(
@@ -203,7 +229,8 @@ def function_ret_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("_call = 1").select(F.col("line").alias("call_line"), "module", "return_line")
 
 
-REACH = "SELECT min(jump_instruction) FROM jumps"
+# a purchase, so that edges are followed
+REACH = "SELECT min(jump_instruction) FROM jumps WHERE jump_instruction LIKE 'purchase:%'"
 
 
 @query(
@@ -211,10 +238,10 @@ REACH = "SELECT min(jump_instruction) FROM jumps"
  reach(node) AS (SELECT ({REACH}) UNION SELECT e.b FROM reach JOIN e ON e.a = reach.node) SELECT node FROM reach"""
 )
 def cfg_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instructions reached from the first jump, not past a return."""
+    """Instructions reached from the first conditional jump, not past a return."""
     j = flow.jumps(trace_lines(spark, sf_dir))
     edges = j.where(~F.col("jump_instruction").startswith("error:")).select(F.col("jump_instruction").alias("a"), F.col("target_instruction").alias("b"))
-    return reachable(edges, j.agg(F.min("jump_instruction").alias("node")))
+    return reachable(edges, j.where(F.col("jump_instruction").startswith("purchase:")).agg(F.min("jump_instruction").alias("node")))
 
 
 @query(

@@ -20,21 +20,25 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), day.alias("s"), (day + 5 + F.col("o_orderkey") % 40).alias("e"))
 
 
-@query(f"{ORD} SELECT l.id AS id_l, r.id AS id_r FROM o l JOIN o r ON l.s <= r.e AND r.s <= l.e AND l.cust % 50 = 1 AND r.cust % 50 = 2")
+@query(f"{ORD} SELECT l.id AS id_l, r.id AS id_r FROM o l JOIN o r ON r.cust = l.cust AND l.s <= r.e AND r.s <= l.e")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of spans of one customer that intersect, each span with itself too."""
     o = spans(spark, sf_dir)
-    a = o.where("cust % 50 = 1").select(F.col("id").alias("id_l"), F.col("s").alias("s_l"), F.col("e").alias("e_l"))
-    b = o.where("cust % 50 = 2").select(F.col("id").alias("id_r"), F.col("s").alias("s_r"), F.col("e").alias("e_r"))
-    return iv.overlaps(a, b, 32).select("id_l", "id_r")
+    a = o.select("cust", F.col("id").alias("id_l"), F.col("s").alias("s_l"), F.col("e").alias("e_l"))
+    b = o.select("cust", F.col("id").alias("id_r"), F.col("s").alias("s_r"), F.col("e").alias("e_r"))
+    return iv.overlaps(a, b, 32, ("cust",)).select("id_l", "id_r")
 
 
-@query(f"{ORD} SELECT p.id AS point_id, o.id FROM o p JOIN o ON o.cust = p.cust + 1 AND o.s <= p.s AND p.s <= o.e")
+@query(f"{ORD}, p AS (SELECT unnest(generate_series(0, 4000, 90)) AS p) SELECT p.p, o.id FROM p JOIN o ON o.s <= p.p AND p.p <= o.e")
 def interval_stab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of the next customer that contain an order's day."""
-    o = spans(spark, sf_dir)
-    p = o.select(F.col("id").alias("point_id"), F.col("s").alias("p"), (F.col("cust") + 1).alias("c"))
-    hit = p.join(o, F.col("c") == F.col("cust")).where("s <= p AND p <= e")
-    return hit.select("point_id", "id")
+    """All spans that contain one of the days on which quarters of 90 days end."""
+    return iv.stab(spans(spark, sf_dir), spark.range(0, 4001, 90).withColumnRenamed("id", "p"), 32).select("p", "id")
+
+
+@query(f"{ORD} SELECT a.cust, a.id, b.id AS other FROM o a JOIN o b ON b.cust = a.cust AND a.id < b.id AND a.s <= b.e AND b.s <= a.e AND NOT (a.s <= b.s AND a.e >= b.e) AND NOT (b.s <= a.s AND b.e >= a.e)")
+def region_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of one customer that overlap in part, which a region tree rejects."""
+    return iv.partial_overlaps(spans(spark, sf_dir), ["cust"], 32)
 
 
 DAYS = f"{ORD}, n AS (SELECT cust, s, e FROM o WHERE id % 2 = 0), q AS (SELECT cust, s, e FROM o WHERE id % 2 = 1)"
@@ -95,10 +99,19 @@ def collapsed_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{ORD}, d AS (SELECT DISTINCT unnest(generate_series(s, e)) AS day FROM o WHERE cust = 7), v AS (SELECT day FROM (SELECT unnest(generate_series(0, 5000)) AS day) x WHERE day NOT IN (SELECT day FROM d) AND day < 3000 ORDER BY day DESC LIMIT 500) SELECT day AS line FROM v")
 def page_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 500 visible lines before line 3000, skipping collapsed spans."""
-    hidden = iv.merged(spans(spark, sf_dir).where("cust = 7"), ["cust"])
-    lines = spark.range(0, 3000).withColumnRenamed("id", "line")
-    visible = lines.join(hidden, F.col("line").between(F.col("s"), F.col("e")), "left_anti")
-    return visible.orderBy(F.desc("line")).limit(500)
+    return iv.page(spans(spark, sf_dir).where("cust = 7"), 3000, 5000)
+
+
+@query(f"{ORD}, d AS (SELECT DISTINCT unnest(generate_series(s, e)) AS day FROM o WHERE cust = 7), v AS (SELECT day FROM (SELECT unnest(generate_series(0, 5000)) AS day) x WHERE day NOT IN (SELECT day FROM d) AND day > 900 ORDER BY day LIMIT 500) SELECT day AS line FROM v")
+def page_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 500 visible lines behind line 900, skipping collapsed spans."""
+    return iv.page(spans(spark, sf_dir).where("cust = 7"), 900, 5000, left=False)
+
+
+@query(f"{ORD}, d AS (SELECT DISTINCT unnest(generate_series(s, e)) AS day FROM o WHERE cust = 7) SELECT count(*) AS lines FROM (SELECT unnest(generate_series(800, 3000)) AS day) x WHERE day NOT IN (SELECT day FROM d)")
+def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a span that no collapsed region hides."""
+    return iv.visible_count(spans(spark, sf_dir).where("cust = 7"), 800, 3000)
 
 
 @query(f"{ORD} SELECT id, s, e FROM o WHERE 2600 >= s AND e >= 2500")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import annotations
 from ..operators import control_flow as flow
 from ..operators.ordered import running_total
+from ..operators.search import search
 from ..operators.sequence_diff import diff_regions, merged_regions
 from ..sources.adapters import TRACE_SQL, table, trace_lines
 from .flow_queries import BLOCKS_SQL, CALLS_SQL, JUMPS_SQL
@@ -218,3 +220,27 @@ def tier_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.lit(4321 // 1000 * 1000)
     level = F.when(F.col("line") < F.floor(cut / 1000000) * 1000000, 2).when(F.col("line") < cut, 1).otherwise(0)
     return t.groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id AS line, CAST(p AS BIGINT) AS at, CAST(2 AS BIGINT) AS length FROM (SELECT page_id, url, unnest(generate_series(0, length(url) - 2)) AS p FROM pages) WHERE regexp_full_match(substr(url, p + 1, 2), '[aeiou][rln]')")
+def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place where a pattern is found."""
+    return search(table(spark, sf_dir, "pages").select(F.col("page_id").alias("line"), F.col("url").alias("text")), "[aeiou][rln]")
+
+
+@query("WITH d AS (SELECT doc_id, text, CAST(coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM documents) SELECT doc_id AS line, CAST(p AS BIGINT) AS at, CAST(4 AS BIGINT) AS length, CAST(o + p AS BIGINT) AS file_offset FROM (SELECT doc_id, text, o, unnest(generate_series(0, length(text) - 4)) AS p FROM d WHERE text ILIKE '%mit %') WHERE lower(substr(text, p + 1, 4)) = 'mit '")
+def search_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place of a plain text in any case, also as an offset in the file."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), "text")
+    return search(running_total(d, "line", F.length("text"), "offset"), "mit ", regex=False, case_sensitive=False)
+
+
+TAGS = "SELECT l_suppkey AS tag, l_orderkey AS start_line, l_linenumber AS start_char, l_orderkey + l_partkey % 5 AS end_line, CAST(l_quantity AS BIGINT) AS end_char FROM lineitem"
+
+
+@query(f"WITH a AS ({TAGS}) SELECT *, row_number() OVER (PARTITION BY tag ORDER BY start_line, start_char, end_line, end_char) AS place FROM a")
+def annotation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of each tag in the order of their places."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    a = l.select(F.col("l_suppkey").alias("tag"), F.col("l_orderkey").alias("start_line"), F.col("l_linenumber").alias("start_char"), (F.col("l_orderkey") + F.col("l_partkey") % 5).alias("end_line"), F.col("l_quantity").cast("long").alias("end_char"))
+    return annotations.in_order(a, ["tag"])

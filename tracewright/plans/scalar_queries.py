@@ -84,3 +84,22 @@ def tree_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def names_and_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", F.substring_index("o_orderpriority", "-", 1).alias("base"), tx.succeeded(tx.to_hex(F.col("o_orderkey"), 8)).alias("ok"))
+
+
+@query(
+    f"""{W}, x AS (SELECT line, instruction_id AS s, k FROM t)
+ SELECT line, list_aggregate(string_split(replace(s, ':', ':|'), '|'), 'string_agg', '/') AS parts, lpad(CAST(line AS VARCHAR), 19, '0') AS offset_text, k & (4294967295 - 42) AS flags,
+ regexp_replace(upper(hex(s)), '(..)', '00\\1', 'g') AS wide, s AS narrow FROM x"""
+)
+def text_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with their delimiters, offsets of fixed width, flags without reserved bits, texts of two-byte characters and back."""
+    s = F.col("instruction_id")
+    wide = tx.hex_of_ascii(s, wide=True)
+    return trace_lines(spark, sf_dir).select(
+        "line",
+        F.array_join(tx.split_keeping(s, ":"), "/").alias("parts"),
+        tx.offset_text(F.col("line")).alias("offset_text"),
+        tx.without_reserved(F.col("flags")).alias("flags"),
+        wide.alias("wide"),
+        tx.ascii_of_hex(F.substring(wide, F.lit(3), F.length(wide)), every_second=True).alias("narrow"),
+    )
