@@ -1,4 +1,4 @@
-"""Algebra of closed integer intervals, as bucketed joins and windows."""
+"""Algebra of closed integer intervals: joins by levels of buckets, and windows."""
 
 from __future__ import annotations
 
@@ -18,24 +18,38 @@ def intersects(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return (a0 <= b1) & (b0 <= a1)
 
 
-def _bucketed(d: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    return d.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+#: Usual length of an interval; longer ones are kept by levels of doubled width.
+WIDTH = 32
 
 
-def overlaps(left: DataFrame, right: DataFrame, width: int, group: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of left(id_l, s_l, e_l, ...) and right(id_r, s_r, e_r, ...) of equal group that intersect, each once.
+def stab(intervals: DataFrame, points: DataFrame, width: int = WIDTH, group: tuple[str, ...] = ()) -> DataFrame:
+    """points(p, ...) with every interval (id, s, e) of equal group that contains them.
 
-    Both sides are cut at multiples of width; a pair is reported in the bucket of its later start
-    only. width should be near the usual length of an interval.
+    An interval lies in buckets of the least width * 2 ** level that is not shorter than it, so in two of
+    them at most however long it is; a point asks the buckets of the levels that occur.
     """
-    p = _bucketed(left, "s_l", "e_l", width).join(_bucketed(right, "s_r", "e_r", width), [*group, "_b"])
-    p = p.where("s_l <= e_r AND s_r <= e_l")
-    return p.where(F.col("_b") == F.floor(F.greatest("s_l", "s_r") / width)).drop("_b")
+    n = F.col("e") - F.col("s") + 1
+    level = F.greatest(F.ceil(F.log2(n / width)), F.lit(0)).cast("int")
+    i = intervals.where("s <= e").withColumn("_level", level)
+    levels = sorted(r[0] for r in i.select("_level").distinct().collect())  # 64 at most
+    at = lambda c: F.floor(c / (F.lit(width) * F.pow(F.lit(2.0), F.col("_level")))).cast("long")
+    i = i.withColumn("_b", F.explode(F.array_distinct(F.array(at(F.col("s")), at(F.col("e"))))))
+    q = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("_b", at(F.col("p")))
+    return i.join(q, [*group, "_level", "_b"]).where("s <= p AND p <= e").drop("_b", "_level")
+
 
+def overlaps(left: DataFrame, right: DataFrame, width: int = WIDTH, group: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of left(id_l, s_l, e_l, ...) and right(id_r, s_r, e_r, ...) of equal group that intersect, each once.
+
+    Of two that intersect one starts within the other: the later start, or both where they start together.
+    """
+    def later(inner: DataFrame, outer: DataFrame, x: str, y: str) -> DataFrame:
+        o = outer.withColumnsRenamed({f"s_{y}": "s", f"e_{y}": "e"})
+        return stab(o, inner.withColumn("p", F.col(f"s_{x}")), width, group).withColumnsRenamed({"s": f"s_{y}", "e": f"e_{y}"}).drop("p")
 
-def stab(intervals: DataFrame, points: DataFrame, width: int, group: tuple[str, ...] = ()) -> DataFrame:
-    """points(p, ...) with every interval (id, s, e) of equal group that contains them."""
-    return _bucketed(intervals, "s", "e", width).join(points.withColumn("_b", F.floor(F.col("p") / width)), [*group, "_b"]).where("s <= p AND p <= e").drop("_b")
+    names = [*group, *[c for c in left.columns if c not in group], *[c for c in right.columns if c not in group]]
+    right_later = later(right, left, "r", "l").select(*names)
+    return right_later.unionByName(later(left, right, "l", "r").where("s_r < s_l").select(*names))
 
 
 def merged(d: DataFrame, group: list[str], touching: bool = True) -> DataFrame:
@@ -53,14 +67,14 @@ def difference(new: DataFrame, old: DataFrame, group: list[str]) -> DataFrame:
 
     Each new interval keeps its own identity: (group, ns, ne) tells which it came from.
     """
-    m = merged(old.select(*group, "s", "e"), group).withColumnsRenamed({"s": "_os", "e": "_oe"})
+    m = merged(old.select(*group, "s", "e"), group).withColumnsRenamed({"s": "s_r", "e": "e_r"})
     n = new.select(*group, F.col("s").alias("ns"), F.col("e").alias("ne")).distinct()
-    hit = n.join(m, group, "left").where("_os is null OR (_os <= ne AND ns <= _oe)")
-    touched = hit.groupBy(*group, "ns", "ne").agg(F.array_sort(F.collect_list(F.when(F.col("_os").isNotNull(), F.struct("_os", "_oe")))).alias("_cuts"))
-    touched = n.join(touched, [*group, "ns", "ne"], "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<struct<_os:bigint,_oe:bigint>>")))
+    hit = overlaps(n.withColumns({"s_l": F.col("ns"), "e_l": F.col("ne")}), m, group=tuple(group))
+    cuts = hit.groupBy(*group, "ns", "ne").agg(F.array_sort(F.collect_list(F.struct(F.col("s_r").alias("s"), F.col("e_r").alias("e")))).alias("_cuts"))
+    touched = n.join(cuts, [*group, "ns", "ne"], "left").withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<struct<s:bigint,e:bigint>>")))
     # gaps: before the first cut, between neighbours, behind the last
-    starts = F.concat(F.array(F.col("ns")), F.transform("_cuts", lambda c: c["_oe"] + 1))
-    ends = F.concat(F.transform("_cuts", lambda c: c["_os"] - 1), F.array(F.col("ne")))
+    starts = F.concat(F.array(F.col("ns")), F.transform("_cuts", lambda c: c["e"] + 1))
+    ends = F.concat(F.transform("_cuts", lambda c: c["s"] - 1), F.array(F.col("ne")))
     out = touched.select(*group, "ns", "ne", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("_z"))
     return out.select(*group, "ns", "ne", F.col("_z.s").alias("s"), F.col("_z.e").alias("e")).where("s <= e")
 
@@ -68,26 +82,27 @@ def difference(new: DataFrame, old: DataFrame, group: list[str]) -> DataFrame:
 def covered(targets: DataFrame, coverage: DataFrame, group: list[str]) -> DataFrame:
     """targets(group, ts, te) with `covered`: whether the union of coverage(group, s, e) encloses them."""
     m = merged(coverage.select(*group, "s", "e"), group)
-    ok = targets.join(m, group).where("s <= ts AND te <= e").select(*group, "ts", "te").distinct().withColumn("covered", F.lit(True))
+    ok = stab(m, targets.withColumn("p", F.col("ts")), group=tuple(group)).where("te <= e").select(*group, "ts", "te").distinct().withColumn("covered", F.lit(True))
     return targets.join(ok, [*group, "ts", "te"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
 def parents(regions: DataFrame, group: list[str]) -> DataFrame:
     """regions(group, id, s, e) with parent_id: the smallest region of the group that strictly encloses each."""
-    p = regions.select(*group, F.col("id").alias("_pid"), F.col("s").alias("_ps"), F.col("e").alias("_pe"))
-    pairs = regions.join(p, group).where("_ps <= s AND _pe >= e AND (_ps < s OR _pe > e)")
-    best = pairs.groupBy(*group, "id").agg(F.min_by("_pid", F.struct(F.col("_pe") - F.col("_ps"), "_pid")).alias("parent_id"))
+    p = regions.select(*group, F.col("id").alias("_pid"), "s", "e")
+    r = regions.select(*group, "id", F.col("s").alias("_rs"), F.col("e").alias("_re"), F.col("s").alias("p"))
+    pairs = stab(p, r, group=tuple(group)).where("e >= _re AND (s < _rs OR e > _re)")
+    best = pairs.groupBy(*group, "id").agg(F.min_by("_pid", F.struct(F.col("e") - F.col("s"), "_pid")).alias("parent_id"))
     return regions.join(best, [*group, "id"], "left")
 
 
 def not_contained(new: DataFrame, current: DataFrame, group: list[str]) -> DataFrame:
     """new(group, s, e) without those that some interval of current(group, s, e) encloses."""
-    c = current.select(*group, F.col("s").alias("_cs"), F.col("e").alias("_ce"))
-    cond = [F.col("n." + g) == F.col("c." + g) for g in group] + [F.col("c._cs") <= F.col("n.s"), F.col("c._ce") >= F.col("n.e")]
-    return new.alias("n").join(c.alias("c"), cond, "left_anti")
+    n = new.select(*group, F.col("s").alias("_ns"), F.col("e").alias("_ne"), F.col("s").alias("p")).distinct()
+    held = stab(current.select(*group, "s", "e"), n, group=tuple(group)).where("e >= _ne").select(*group, F.col("_ns").alias("s"), F.col("_ne").alias("e")).distinct()
+    return new.join(held, [*group, "s", "e"], "left_anti")
 
 
-def partial_overlaps(regions: DataFrame, group: list[str], width: int) -> DataFrame:
+def partial_overlaps(regions: DataFrame, group: list[str], width: int = WIDTH) -> DataFrame:
     """(group, id, other): regions(group, id, s, e) that cross: they intersect, and neither encloses the other. No tree takes both."""
     left = regions.select(*group, F.col("id").alias("id_l"), F.col("s").alias("s_l"), F.col("e").alias("e_l"))
     right = regions.select(*group, F.col("id").alias("id_r"), F.col("s").alias("s_r"), F.col("e").alias("e_r"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import previous, scan
+
 #: Lines per first-level snapshot, and first-level snapshots per second-level one.
 BRANCH = 1000
 #: Addresses that a search takes together.
@@ -64,9 +66,9 @@ def ranges(state: DataFrame) -> DataFrame:
     s = state.withColumn("_p", F.floor(F.col("addr") / 65536))  # pages; a run that crosses a page edge is joined below
     s = s.withColumn("_r", F.col("addr") - F.row_number().over(w))
     runs = s.groupBy("_p", "_r").agg(F.min("addr").alias("start"), F.max("addr").alias("last"), F.count("*").alias("bytes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("addr", "byte"))), lambda x: x["byte"]), "").alias("hex"))
-    o = Window.orderBy("start")
-    runs = runs.withColumn("_new", F.coalesce((F.col("start") != F.lag("last").over(o) + 1).cast("int"), F.lit(1)))
-    runs = runs.withColumn("_g", F.sum("_new").over(o))
+    runs = previous(runs, "start", {"_before": "last"})
+    new = F.coalesce((F.col("start") != F.col("_before") + 1).cast("int"), F.lit(1))
+    runs = scan(runs, "start", new, "_g", "sum", inclusive=True)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "hex"))), lambda x: x["hex"])
     return runs.groupBy("_g").agg(F.min("start").alias("start"), F.sum("bytes").alias("bytes"), F.array_join(parts, "").alias("hex")).drop("_g")
 

@@ -57,8 +57,8 @@ def carried_before(df: DataFrame, order: str, value: Column, name: str, bucket:
 
 def previous(df: DataFrame, order: str, columns: dict[str, str], group: tuple[str, ...] = (), bucket: int | None = None) -> DataFrame:
     """Adds each new name of columns(new: old) with the old column's value on the row before; null on the first."""
-    d = scan(df, order, F.struct(*[F.col(old).alias(new) for new, old in columns.items()]), "_before", "last", group, bucket)
-    return d.withColumns({new: F.col(f"_before.{new}") for new in columns}).drop("_before")
+    d = scan(df, order, F.struct(*[F.col(old).alias(new) for new, old in columns.items()]), "_row_before", "last", group, bucket)
+    return d.withColumns({new: F.col(f"_row_before.{new}") for new in columns}).drop("_row_before")
 
 
 def carried_after(df: DataFrame, order: str, value: Column, name: str, bucket: int | None = None, group: tuple[str, ...] = ()) -> DataFrame:
