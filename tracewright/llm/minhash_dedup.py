@@ -106,27 +106,27 @@ def least_matches(percent: int = PERCENT, hashes: int = HASHES, batch: int = BAT
 
 
 def shingled(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_hash, sig): set_hash is 128 bits of the whole set."""
+    """(doc_id, n_shingles, set_hash, sig): set_hash is 128 bits of the whole set, sig 16 bits of each least hash."""
 
     def work(texts: list[str | None]) -> tuple:
         import xxhash
 
-        sizes, hashes, short, bands = [], [], [], []
-        for t in texts:
-            x = shingle_set(t)
-            sig = signature(x)
-            data = sig.tobytes()
-            sizes.append(len(x))
-            hashes.append(xxhash.xxh3_128_digest(x.tobytes()))
-            short.append((sig & np.uint32(0xFFFF)).astype("<u2").tobytes())
-            bands.append([xxhash.xxh64_intdigest(data[at : at + 4 * ROWS], seed=at) - 2**63 for at in range(0, len(data), 4 * ROWS)])
-        return sizes, hashes, short, bands
-
-    kinds = {"n_shingles": T.LongType(), "set_hash": T.BinaryType(), "sig": T.BinaryType(), "bands": T.ArrayType(T.LongType())}
+        sets = [shingle_set(t) for t in texts]
+        short = [(signature(x) & np.uint32(0xFFFF)).astype("<u2").tobytes() for x in sets]
+        return [len(x) for x in sets], [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], short
+
+    kinds = {"n_shingles": T.LongType(), "set_hash": T.BinaryType(), "sig": T.BinaryType()}
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
     return mapped(given, ["doc_id"], ["_text"], [T.StructField(n, k) for n, k in kinds.items()], work)
 
 
+def banded(reps: DataFrame) -> DataFrame:
+    """(rep, band, bucket) of every band of reps(rep, sig)."""
+    part = lambda k: F.substring(F.col("sig"), k * (2 * ROWS) + 1, F.lit(2 * ROWS))
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda k: F.xxhash64(k, part(k)))
+    return reps.select("rep", F.posexplode(buckets).alias("band", "bucket"))
+
+
 def _signatures(data: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(data), "<u2").reshape(len(data), -1)
 
@@ -287,17 +287,18 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
 
     Null texts and texts without words have no shingle and link with nothing; equal sets are
     always linked. Rows that repeat a doc_id stay rows of their own with one component. An empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored. Rows without a doc_id are no candidates: no component,
+    kept null.
     """
     base = stored(shingled(docs, text), "minhash-signatures")
     reps = (
-        base.where("n_shingles > 0")
+        base.where("n_shingles > 0 and doc_id is not null")
         .groupBy("n_shingles", "set_hash")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
         .withColumnRenamed("n_shingles", "n")
     )
     reps = stored(reps, "minhash-classes")
-    rows = reps.select("rep", F.posexplode_outer("bands").alias("band", "bucket"))
+    rows = banded(reps)
     shared = rows.groupBy("band", "bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
     hits = stored(rows.join(shared, ["band", "bucket"]), "minhash-buckets")
     # the texts move once; all later checks use the sets of documents that share a bucket
@@ -310,9 +311,9 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     at = components(links)
     over = components(between(blocks(hits.select("band", "bucket", "rep"), reps, at), sets, percent))
     over = over.select(F.col("node").alias("_low"), F.col("component").alias("_lowest"))
-    at = reps.select(F.col("rep").alias("node")).join(at, "node", "left").select("node", F.coalesce("component", "node").alias("_low"))
+    at = reps.select(F.col("rep").alias("node")).distinct().join(at, "node", "left").select("node", F.coalesce("component", "node").alias("_low"))
     at = at.join(over, "_low", "left").select("node", F.coalesce("_lowest", "_low").alias("component"))
     of_class = reps.join(at.withColumnRenamed("node", "rep"), "rep").select(F.col("n").alias("n_shingles"), "set_hash", F.col("component").alias("component_id"))
-    out = base.drop("sig", "bands").join(of_class, ["n_shingles", "set_hash"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = base.drop("sig").join(of_class, ["n_shingles", "set_hash"], "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
