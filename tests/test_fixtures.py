@@ -1,6 +1,7 @@
 """Golden cases: memory writes, interval algebra, pipe events, trace text, files, streams."""
 
 import json
+import random
 import struct
 
 from pyspark.sql import functions as F
@@ -278,3 +279,86 @@ def test_live_blocks_equal_batch_blocks(spark, tmp_path):
     want = {(r["thread"], r["start_line"]): (r["function_start"], r["x_offset"], r["width"]) for r in flow.thread_function_blocks(f).collect()}
     assert got and all((names[o], x, w) == want[k] for k, (o, x, w) in got.items())
     assert len(want) - len(got) == 3  # each thread's last block is still open
+
+
+def test_tables_of_diffs_levels_and_their_states(spark, tmp_path):
+    import os
+
+    from tracewright.functions import sinks
+    from tracewright.operators import memory
+
+    path = str(tmp_path / "diff")
+    assert sinks.state_of(spark, path) == "missing" and not sinks.reopened(spark, path)
+    sinks.write_regions(spark.createDataFrame([(0, 4, True), (5, 6, False), (7, 9, True)], "start_line long, end_line long, is_match boolean"), path)
+    assert sinks.state_of(spark, path) == "populated" and sinks.reopened(spark, path)
+    assert [r["start_line"] for r in sinks.read_regions(spark, path).collect()] == [0, 5, 7]
+    assert [r["start_line"] for r in sinks.read_regions(spark, path, matching=False).collect()] == [5]
+    assert [r["end_line"] for r in sinks.read_regions(spark, path, number=2).collect()] == [9]
+    os.remove(f"{path}/_SUCCESS")
+    assert sinks.state_of(spark, path) == "created" and not sinks.reopened(spark, path) and sinks.state_of(spark, path) == "missing"
+    writes = spark.createDataFrame([(i, 0, i % 7, f"{i % 256:02X}") for i in range(2500)], "line long, seq int, addr long, byte string")
+    levels = {k: memory.snapshot(writes, ["addr"], "byte", k) for k in (1, 2)}
+    memory.write_levels(levels, str(tmp_path / "levels"))
+    back = spark.read.parquet(str(tmp_path / "levels"))
+    assert back.where("level = 1").count() == 21 and back.where("level = 2").count() == 7 and sorted(r[0] for r in back.where("level = 1").select("bucket").distinct().collect()) == [0, 1, 2]
+    sinks.write_table(writes, str(tmp_path / "t"), ["line"])
+    sinks.write_first(writes, ["addr"], "line", str(tmp_path / "f"), ["addr"])
+    assert sorted(r["line"] for r in spark.read.parquet(str(tmp_path / "f")).collect()) == list(range(7))
+
+
+def test_state_from_levels_beyond_the_first(spark):
+    """Lines behind a whole second-level bucket: all three levels take part and give the plain state."""
+    from tracewright.operators import memory
+
+    rows = [(i, 0, i % 50, f"{i % 256:02X}") for i in [*range(0, 3000), *range(999_000, 1_003_400)]]
+    b = spark.createDataFrame(rows, "line long, seq int, addr long, byte string")
+    first, second = memory.snapshot(b, ["addr"], "byte", 1), memory.snapshot(b, ["addr"], "byte", 2)
+    got = {r["addr"]: (r["byte"], r["line"]) for r in memory.state_from_snapshots(b, first, second, ["addr"], "byte", 1_002_500).collect()}
+    assert got == {r["addr"]: (r["byte"], r["line"]) for r in memory.state_at(b, 1_002_500).collect()} and len(got) == 50
+
+
+def test_long_intervals_are_few_buckets(spark):
+    """Stabs and overlaps of intervals from 1 to a million long, against all pairs."""
+    from tracewright.operators import intervals as iv
+
+    r = random.Random(6)
+    rows = [(i, i % 2, s, s + r.choice([0, 3, 40, 5_000, 1_000_000])) for i, s in enumerate(r.randrange(2_000_000) for _ in range(150))]
+    d = spark.createDataFrame(rows, "id long, g int, s long, e long")
+    left, right = d.selectExpr("g", "id id_l", "s s_l", "e e_l"), d.selectExpr("g", "id id_r", "s s_r", "e e_r")
+    got = sorted((x["id_l"], x["id_r"]) for x in iv.overlaps(left, right, group=("g",)).collect())
+    assert got == sorted((a, b) for a, g, s, e in rows for b, h, t, f in rows if g == h and s <= f and t <= e)
+    p = spark.createDataFrame([(0, 1_000_000), (1, rows[1][2])], "g int, p long")
+    assert sorted((x["p"], x["id"]) for x in iv.stab(d, p, group=("g",)).collect()) == sorted((q, i) for g, q in ((0, 1_000_000), (1, rows[1][2])) for i, h, s, e in rows if g == h and s <= q <= e)
+    assert iv.stab(d.where("false"), p, group=("g",)).count() == 0
+
+
+def test_lines_of_several_files_and_parts(spark, tmp_path):
+    """File order, whatever the sizes of files and parts."""
+    (tmp_path / "a.txt").write_text("first\n")
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(3000)))
+    (tmp_path / "c.txt").write_text("last")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = sorted((r["line"], r["text"]) for r in trace_text.read_lines(spark, str(tmp_path / "*.txt")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rows == list(enumerate(["first", *(f"b{i}" for i in range(3000)), "last"]))
+
+
+def test_metadata_and_annotations_round_trip(spark, tmp_path):
+    (tmp_path / "m.xml").write_text("<root><trace><version>3</version><arguments>a.exe -x</arguments><is64Bit>true</is64Bit></trace></root>")
+    assert tuple(files.trace_metadata(spark, str(tmp_path / "m.xml")).first()) == ("3", "a.exe -x", 64)
+    rows = spark.createDataFrame([("todo", 3, "see here"), ("todo", 1, "first")], "group string, line int, text string")
+    sinks.write_annotations(rows, str(tmp_path / "notes"), "comments", "comment")
+    from tracewright.operators import annotations
+
+    back = files.annotations(spark, str(tmp_path / "notes"), "comment", rows.schema)
+    assert [(r["place"], r["text"]) for r in annotations.in_order(back, ["group"]).orderBy("place").collect()] == [(1, "first"), (2, "see here")]
+    assert annotations.distinct_places(back.unionByName(back), ["group"]).count() == 2
+
+
+def test_display_texts(spark):
+    d = spark.createDataFrame([("?\x3f004100", "C:\\dir\\a.dll", "48690A2020"), (None, None, None)], "h string, p string, m string")
+    r = d.select(tx.hex_text(F.lit("00004100")).alias("h"), tx.file_of_path(F.col("p")).alias("f"), tx.message_text(F.col("m")).alias("t"), tx.message_text(F.col("m"), F.lit(2)).alias("cut")).collect()
+    assert tuple(r[0]) == ("A\\0", "a.dll", "Hi", "H") and r[1]["f"] is None and r[1]["t"] is None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.control_flow import first_per_key
@@ -61,3 +61,40 @@ def is_empty(df: DataFrame) -> bool:
 def write_annotations(rows: DataFrame, path: str, root: str, row: str) -> None:
     """Annotations as XML, rewritten as a whole."""
     rows.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", row).save(path)
+
+
+def write_regions(regions: DataFrame, path: str) -> None:
+    """A diff's regions(start_line, end_line, is_match), numbered from 0 in line order, in directories of matching and differing ones."""
+    d = regions.withColumn("region", F.row_number().over(Window.orderBy("start_line")) - 1)  # a row a region
+    d.write.mode("overwrite").partitionBy("is_match").parquet(path)
+
+
+def read_regions(spark: SparkSession, path: str, matching: bool | None = None, number: int | None = None) -> DataFrame:
+    """Regions of a diff in line order: all, the matching or the differing ones, or the one of a number."""
+    d = spark.read.parquet(path)
+    if matching is not None:
+        d = d.where(F.col("is_match") == matching)
+    if number is not None:
+        d = d.where(F.col("region") == number)
+    return d.orderBy("start_line")
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """missing, created (begun and not ended) or populated."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return "missing"
+    return "populated" if is_complete(spark, path) else "created"
+
+
+def reopened(spark: SparkSession, path: str) -> bool:
+    """Whether a table can be read; what an interrupted write left behind is wiped."""
+    state = state_of(spark, path)
+    if state == "created":
+        drop(spark, path)
+    return state == "populated"
+
+
+def write_table(rows: DataFrame, path: str, sort: list[str]) -> None:
+    """An index table without keys (events, blocks, calls, jumps), clustered by `sort`."""
+    rows.repartitionByRange(*sort).sortWithinPartitions(*sort).write.mode("overwrite").parquet(path)

@@ -164,3 +164,35 @@ def write_levels(levels: dict[int, DataFrame], path: str) -> None:
     for level, d in levels.items():
         keys = [c for c in d.columns if c not in ("bucket", "line", "seq")]
         d.repartition("bucket").sortWithinPartitions("bucket", *keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/level={level}")
+
+
+def value_at(requests: DataFrame, writes: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """requests(key, line, ...) with `name`: the value of the last of writes(key, line, value) at or before the line; null if there is none.
+
+    Requests and writes of a key are read as one sequence, so no join grows with the number of writes before a line.
+    """
+    rest = [c for c in requests.columns if c not in (key, "line")]
+    w = writes.select(F.col(key).alias("_k"), "line", F.col(value).alias("_value"), F.lit(0).alias("_ask"))
+    r = requests.select(F.col(key).alias("_k"), "line", F.struct(F.lit(1).alias("_one"), *rest).alias("_rest"), F.lit(1).alias("_ask"))
+    both = r.unionByName(w, allowMissingColumns=True).withColumn("_at", F.col("line") * 2 + F.col("_ask"))
+    both = scan(both, "_at", F.col("_value"), name, "last", ("_k",)).where("_ask = 1")
+    return both.select(F.col("_k").alias(key), "line", *[F.col(f"_rest.{c}").alias(c) for c in rest], name)
+
+
+def call_messages(calls: DataFrame, registers: DataFrame, byte_writes: DataFrame) -> DataFrame:
+    """calls(line, at, buffer_reg, length_reg, ...) with buffer, length and payload (hex).
+
+    The registers are read at the call's line, what they point to at line `at`: the call's own for a
+    sent message, the return's for a received one. registers: (reg, line, value), value a number; byte_writes:
+    (addr, line, byte). Bytes that were never written are left out; a call without a buffer, a length or any byte has a null payload.
+    """
+    c = calls
+    for what, reg in (("buffer", "buffer_reg"), ("length", "length_reg")):
+        c = value_at(c.withColumnRenamed(reg, "reg"), registers, "reg", "value", what).withColumnRenamed("reg", reg)
+    keys = [x for x in c.columns]
+    known = F.col("buffer").isNotNull() & (F.col("length") > 0)
+    asked = c.where(known).select(F.struct(*keys).alias("_id"), F.col("at").alias("line"), F.posexplode(F.sequence(F.col("buffer"), F.col("buffer") + F.col("length") - 1)).alias("_i", "addr"))
+    found = value_at(asked.where("line is not null"), byte_writes, "addr", "byte", "byte").where("byte is not null")
+    text = found.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "byte"))), lambda x: x["byte"]), "").alias("payload"))
+    text = text.select("_id.line", "payload")
+    return c.join(text, "line", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import message_text
 from ..operators import memory
+from ..operators.ordered import carried_after
 from ..sources.adapters import TRACE_SQL, trace_lines
 from .registry import query
 
@@ -143,3 +144,24 @@ def syscall_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trace_lines(spark, sf_dir).where("mnemonic IN ('call', 'ret')")
     reg = memory.syscall_register(F.col("flags"), F.col("mnemonic") == "call", F.col("addr"), wide_flag=4)
     return t.select("line", reg.alias("r")).select("line", "r.*")
+
+
+@query(
+    f"""{W}, {REFS_SQL}, r AS (SELECT line, thread FROM t WHERE mnemonic = 'ret'),
+ c AS (SELECT t.line, t.line % 2 = 0 AS sends, r.line AS ret FROM t ASOF LEFT JOIN r ON r.thread = t.thread AND r.line > t.line WHERE t.mnemonic = 'call'),
+ g AS (SELECT line, k % 8 AS reg, k FROM t), g1 AS (SELECT * FROM g WHERE reg = 1), g2 AS (SELECT * FROM g WHERE reg = 2),
+ a AS (SELECT c.line, CASE WHEN sends THEN c.line ELSE ret END AS seen, g1.k AS buffer, g2.k % 8 + 1 AS length FROM c ASOF LEFT JOIN g1 ON g1.line <= c.line ASOF LEFT JOIN g2 ON g2.line <= c.line),
+ x AS (SELECT line, seen, i, buffer + i AS addr FROM (SELECT *, unnest(generate_series(0, length - 1)) AS i FROM a WHERE seen IS NOT NULL) z),
+ w AS (SELECT addr, line, max(byte) AS byte FROM b GROUP BY 1, 2), y AS (SELECT x.line, x.i, w.byte FROM x ASOF LEFT JOIN w ON w.addr = x.addr AND w.line <= x.seen),
+ p AS (SELECT line, string_agg(byte, '' ORDER BY i) AS payload FROM y WHERE byte IS NOT NULL GROUP BY line)
+ SELECT a.line, a.seen AS read_line, a.buffer, a.length, p.payload FROM a LEFT JOIN p ON p.line = a.line"""
+)
+def call_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What calls send, read where they are entered, and what they receive, read where their thread returns next."""
+    t = trace_lines(spark, sf_dir)
+    calls = carried_after(t, "line", F.when(F.col("mnemonic") == "ret", F.col("line")), "_ret", group=("thread",)).where("mnemonic = 'call'")
+    calls = calls.select("line", F.when(F.col("line") % 2 == 0, F.col("line")).otherwise(F.col("_ret")).alias("at"), F.lit("R1").alias("buffer_reg"), F.lit("R2").alias("length_reg"))
+    number = F.col("addr") % 8
+    registers = t.select(F.concat(F.lit("R"), number.cast("string")).alias("reg"), "line", F.when(number == 2, F.col("addr") % 8 + 1).otherwise(F.col("addr")).alias("value"))
+    written = memory.bytes_of(refs(spark, sf_dir)).groupBy(F.col("addr").cast("long").alias("addr"), "line").agg(F.max("byte").alias("byte"))
+    return memory.call_messages(calls, registers, written).select("line", F.col("at").alias("read_line"), "buffer", "length", "payload")

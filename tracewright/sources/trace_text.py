@@ -6,24 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The traced tool's patterns.
-STRICT_INSTRUCTION = r"^[0-9a-fA-F]+ I:[0-9a-fA-F]* ([A-Za-z0-9_.]+)\+([0-9a-fA-F]+) (?:\(([0-9a-fA-F]+)\))? ?([a-zA-Z0-9]+) ([^|]*[^| ]*).*"
 INSTRUCTION = r"^([0-9a-fA-F]+) I:([0-9a-fA-F]*) ([^\s+]+)\+([0-9a-fA-F]+)(?: \(([0-9a-fA-F]+)\))? ([a-zA-Z0-9]+) ?([^|]*?) *(?:\||$)"
 THREAD = r"(?:T: ?|TID=)(\d+)"
 CHANGE = r"(?:\[([0-9A-Za-z]+)\]|(\w+))=([0-9A-Za-z]*)"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, text) of a text file, numbered from 0 in file order.
+    """(line, text) of a text file, or of several one behind the other by path, numbered from 0 in file order.
 
-    Numbers come from the parts of the file: lines are counted per part, and each part numbers its
-    own behind the parts before it, so no task sees the whole file.
+    Lines are counted per part of a file, and each part numbers its own behind the parts before it, so
+    no task sees the whole file.
     """
-    d = spark.read.text(path).select(F.col("value").alias("text"), F.monotonically_increasing_id().alias("_id"))
-    d = d.withColumn("_p", F.shiftright("_id", 33)).withColumn("_i", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = d.groupBy("_p").agg(F.count("*").alias("_n"))
-    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_o"))
-    return d.join(offsets, "_p").select((F.col("_o") + F.col("_i")).cast("long").alias("line"), "text")
+    d = spark.read.text(path).select(F.col("value").alias("text"), F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"))
+    counts = d.groupBy("_f", "_s").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    ahead = Window.orderBy("_f", "_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    offsets = counts.select("_f", "_s", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_o"))
+    return d.join(offsets, ["_f", "_s"]).select((F.col("_o") + F.col("_id") - F.col("_first")).cast("long").alias("line"), "text")
 
 
 def kind_of(text: Column) -> Column:
