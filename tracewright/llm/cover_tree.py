@@ -37,8 +37,8 @@ BLOCK = 3000
 PIVOTS = 2048
 #: Numbers that the vectors of a group have at most, about; small inputs are cut into GROUPS groups at least.
 GROUP_NUMBERS, GROUPS = 4_000_000, 8
-#: Radii of the nested nets below the centres.
-RADII = (1.0, 0.5, 0.25, 0.125)
+#: Radii of the nets that order the centres, and of the nested nets below them: each half of the one above.
+UPPER, RADII = (1.0, 0.5), (0.5, 0.25, 0.125)
 #: Node pairs that a traversal holds at a time, about.
 HELD = 1_000_000
 SLACK = 1e-9
@@ -210,11 +210,13 @@ def traverse(a: Tree, b: Tree, ma: np.ndarray, mb: np.ndarray, cosine: float, sa
     # a first look in single precision, with room for its error; single vectors apart from nodes that spread
     low_a, low_b = ca.astype(np.float32), cb.astype(np.float32)
     for part in (np.nonzero(rb == 0)[0], np.nonzero(rb > 0)[0]):
-        for at in range(0, len(ca), 512):
-            if len(part):
-                room = np.minimum(far + ra[at : at + 512] + rb[part].max(), 2.0)
-                p, q = np.nonzero(low_a[at : at + 512] @ low_b[part].T >= (1.0 - room**2 / 2.0 - 1e-4).astype(np.float32)[:, None])
-                visit(0, p + at, part[q])
+        if not len(part):
+            continue
+        rows = max(1, 10 * HELD // len(part))
+        for at in range(0, len(ca), rows):
+            room = np.minimum(far + ra[at : at + rows] + rb[part].max(), 2.0)
+            p, q = np.nonzero(low_a[at : at + rows] @ low_b[part].T >= (1.0 - room**2 / 2.0 - 1e-4).astype(np.float32)[:, None])
+            visit(0, p + at, part[q])
     return la, lb, [(p, q - offset) for p, q in forest.links]
 
 
@@ -223,7 +225,7 @@ def grouped(counts: np.ndarray, centres: np.ndarray, limit: int) -> tuple[np.nda
     blocks = -(-counts // BLOCK)
     first = np.cumsum(blocks) - blocks
     group = np.zeros(int(blocks.sum()), np.int64)
-    labels = net(centres, RADII)
+    labels = net(centres, UPPER)
     now, held = 0, 0
     for c in np.lexsort(labels.T[::-1]).tolist():
         for k in range(int(blocks[c])):
