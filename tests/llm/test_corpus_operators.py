@@ -367,3 +367,32 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in out} == set(before)
     assert sum(r["length"] for r in out) == sum({r["doc_id"]: r["doc_tokens"] for r in out}.values())
+
+
+def test_stages_of_odd_tables(spark):
+    """Nulls, long and repeated rows, clashing names and no rows at all through every stage."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = docs.orderBy("doc_id").limit(60)
+    first = some.where("text is not null").first()
+    odd = [
+        first.asDict(),
+        first.asDict(),
+        {**first.asDict(), "doc_id": None},
+        {**first.asDict(), "doc_id": 10**6, "text": None, "n_chars": None, "lang": None, "source": None},
+        {**first.asDict(), "doc_id": 10**6 + 1, "text": "", "n_chars": 0},
+        {**first.asDict(), "doc_id": 10**6 + 2, "text": "stone river lamp " * 20_000, "n_chars": 340_000},
+    ]
+    table = some.unionByName(spark.createDataFrame([tuple(o[c] for c in docs.columns) for o in odd], docs.schema))
+    clashes = {c: F.lit(f"own {c}") for c in ("score", "kept", "predicted", "toxic", "n_words", "n_lines", "removed_lines", "component_id", "_words", "_rest")}
+    table = table.withColumns(clashes)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, sf)
+        assert out.columns == table.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in clashes), name
+        assert stage(spark, table.where("false"), sf).count() == 0, name
+    assert corpus_pipeline.pack_sequences(spark, table, sf).where("doc_id is null").count() > 0
+    assert corpus_pipeline.pack_sequences(spark, table.where("false"), sf).count() == 0

@@ -274,6 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, costs: np.ndarray, bound: int = TR
 
     No labels, or labels of one kind: no evidence, and the smoothed prior.
     """
+    docs = docs.select("doc_id", text)
     known = labels.where("toxic is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # at most `bound` rows, so it may be broadcast
