@@ -98,6 +98,25 @@ def child_channels(events: DataFrame, links: DataFrame) -> DataFrame:
     return events.join(inherited, ["trace", "handle"], "left").withColumn("channel_id", F.coalesce("channel_id", "_inherited")).drop("_inherited")
 
 
+def socket_streams(events: DataFrame) -> DataFrame:
+    """(trace, handle, open_line, channel_id): streams of sockets, from events(trace, handle, line, type, address, child).
+
+    A `socket` opens a stream of its handle, named by the first `bind` or `connect` after it; an `accept`
+    opens one of its child handle, which takes the name that the listening socket has by then.
+    Sockets that are never bound or connected have no name.
+    """
+    w = _by_handle().rowsBetween(Window.unboundedPreceding, -1)
+    e = events.where("type IN ('socket', 'bind', 'connect', 'accept')")
+    e = e.withColumn("_open", F.last(F.when(F.col("type") == "socket", F.col("line")), ignorenulls=True).over(w))
+    names = F.when(F.col("type").isin("bind", "connect"), F.struct("_open", "address"))
+    first = Window.partitionBy("trace", "handle", "_open").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("_name", F.first(names, ignorenulls=True).over(first))
+    own = e.where(names.isNotNull() & F.col("_open").isNotNull()).groupBy("trace", "handle", F.col("_open").alias("open_line")).agg(F.min_by("address", "line").alias("channel_id"))
+    sockets = e.where("type = 'socket'").select("trace", "handle", F.col("line").alias("open_line")).join(own, ["trace", "handle", "open_line"], "left")
+    accepted = e.where("type = 'accept' AND _open IS NOT NULL").select("trace", F.col("child").alias("handle"), F.col("line").alias("open_line"), F.col("_name.address").alias("channel_id"))
+    return sockets.unionByName(accepted)
+
+
 def carried_buffers(events: DataFrame) -> DataFrame:
     """Check events with the buffer that their handle's last receive before them named: (…, buffer, buffer_length) or null."""
     before = _by_handle().rowsBetween(Window.unboundedPreceding, -1)

@@ -196,3 +196,20 @@ def message_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     creates = e.where("type = 'open'").select("trace", F.col("handle").alias("id"), "line", F.concat(F.lit("c"), F.col("channel_id").cast("string")).alias("name"))
     of = lambda kind, trace: ch.named_messages(creates, e.where((F.col("type") == kind) & (F.col("trace") == trace) & F.col("payload").isNotNull()).select("trace", F.col("handle").alias("id"), "line", F.col("payload").alias("message")))
     return ch.message_matches(of("send", "a"), of("receive", "b"))
+
+
+# events of a user: signups make sockets, purchases bind or connect them, errors accept a child
+@query(
+    f"""WITH b AS (SELECT event_id AS line, user_id AS handle, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events),
+ s AS (SELECT handle, line AS open_line, lead(line) OVER (PARTITION BY handle ORDER BY line) AS next_open FROM b WHERE event_type = 'signup'),
+ n AS (SELECT s.handle, s.open_line, min_by(b.k, b.line) AS k, min(b.line) AS at_line FROM s JOIN b ON b.handle = s.handle AND b.event_type = 'purchase' AND b.line > s.open_line AND (s.next_open IS NULL OR b.line < s.next_open) GROUP BY 1, 2)
+ SELECT s.handle, s.open_line, 'port' || n.k AS channel_id FROM s LEFT JOIN n ON n.handle = s.handle AND n.open_line = s.open_line
+ UNION ALL SELECT 1000000 + b.line, b.line, CASE WHEN n.at_line < b.line THEN 'port' || n.k END FROM b JOIN s ON s.handle = b.handle AND s.open_line < b.line AND (s.next_open IS NULL OR b.line < s.next_open) LEFT JOIN n ON n.handle = s.handle AND n.open_line = s.open_line WHERE b.event_type = 'error'"""
+)
+def socket_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of sockets and of what they accept, named by bind and connect."""
+    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'purchase', 'error')")
+    kind = F.when(F.col("event_type") == "signup", "socket").when(F.col("event_type") == "error", "accept").when(F.col("event_id") % 2 == 0, "bind").otherwise("connect")
+    address = F.concat(F.lit("port"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").cast("string"))
+    e = e.select(F.lit("a").alias("trace"), F.col("user_id").alias("handle"), F.col("event_id").alias("line"), kind.alias("type"), address.alias("address"), (F.col("event_id") + 1_000_000).alias("child"))
+    return ch.socket_streams(e).select("handle", "open_line", "channel_id")
