@@ -8,6 +8,7 @@ prefixes of the lengths that occur in the rules, in one vectorised binary search
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
@@ -80,14 +81,23 @@ class DigestArray:
 
 
 def publish(spark: SparkSession, keys: list[tuple[str, int]]) -> str:
-    """Write the array to the shared folder and hand it to the executors; gives the file's name there."""
-    name = f"digests-{uuid.uuid4().hex}.bin"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
-    out.write(bytearray(DigestArray.pack(keys)))
-    out.close()
-    spark.sparkContext.addFile(path.toString())
+    """Write the array to the shared folder and hand it to the executors; gives the file's name there.
+
+    Equal lists share one file, named by its content, however often they are used.
+    """
+    data = DigestArray.pack(keys)
+    name = f"digests-{hashlib.sha256(data).hexdigest()[:32]}.bin"
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        part = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{uuid.uuid4().hex}.part")
+        out = fs.create(part)
+        out.write(bytearray(data))
+        out.close()
+        fs.rename(part, path)
+    if not any(x.endswith(name) for x in sc.listFiles):
+        sc.addFile(path.toString())
     return name
 
 
