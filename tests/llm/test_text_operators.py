@@ -321,3 +321,23 @@ def test_sha_of_ids_matches_the_contract(docs, texts):
     for r in out:
         ids = own.ids(texts[r["doc_id"]] or "").tolist()
         assert r["h"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    """Rows of one id are rows of their own; columns named like results are replaced, others stay."""
+    from tracewright.llm import harmonic_packing, hilbert_shards
+
+    rows = [(1, "the mit license text", 5, "x"), (1, "other words under the MIT license", 6, "y"), (1, "other words under the MIT license", 6, "y"), (None, "words", 7, "z"), (2, None, 8, "w")]
+    names = ("n_words", "labels", "ids", "decoded", "cell", "shard", "blocks", "start", "length", "sequence_id", "offset", "kept", "own")
+    d = spark.createDataFrame(rows, "doc_id long, text string, n long, s string").withColumns({c: F.lit("mine") for c in names})
+    path, pattern = tokenizers_there.path("byte_bpe_multi_50k.tiktoken"), tokenizers_there.PATTERN
+    for out in (
+        license_scans.scan(d, license_scans.template_frequencies(d)),
+        quality_rules.judge(d, [0.1] * 20),
+        byte_bpe.decode(byte_bpe.encode(d, path, pattern), path, pattern),
+        hilbert_shards.shards(d, 2, {"n": F.col("n"), "s": F.col("s")}, ["doc_id", "text"]),
+    ):
+        got = out.collect()
+        assert len(got) == len(rows) and {r["own"] for r in got} == {"mine"}
+    pieces = harmonic_packing.pack(harmonic_packing.tokens(d, tokenizers_there.path("word_bpe_49k.json"), 2)).collect()
+    assert sorted((r["doc_id"] or 0) for r in pieces) == [0, 1, 1, 1, 2] and len({(r["sequence_id"], r["offset"]) for r in pieces}) == 5

@@ -17,6 +17,7 @@ URL_BLOCKED = ["casino-win.example.com/", "free-bets.example.com/", "cheap-pills
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of words, signs, lines and repeated windows, and the log-likelihood ratio, of every document."""
     docs = read(spark, sf_dir, "documents")
     ratios = quality_rules.ratio_table(docs, quality_rules.trusted_ids(read(spark, sf_dir, "labels")))
     out = quality_rules.judge(docs.select("doc_id", "text"), ratios)
@@ -24,6 +25,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids of every document, and digest of what they decode to."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -38,6 +40,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight shards of equal row counts, along the curve over size, source and language."""
     docs = read(spark, sf_dir, "documents")
     t = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), "lang", "source")
@@ -47,6 +50,7 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document, learned from labelled rows that are not held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     costs, evidence, prior = toxicity.fitted(docs, read(spark, sf_dir, "labels"))
     out = toxicity.score(docs, costs, evidence, prior)
@@ -55,11 +59,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page."""
     out = url_filters.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, URL_BLOCKED)
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many of them went, and a digest of what is left."""
     out = line_dedup.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     t = F.coalesce(F.col("text"), F.lit(""))
     removed = F.coalesce(F.size("removed_lines"), F.lit(0))
@@ -73,14 +79,17 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.95."""
     return cover_tree.links(read(spark, sf_dir, "embeddings"))
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document at a similarity of 0.75."""
     return minhash_dedup.groups(read(spark, sf_dir, "documents"))
 
 
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 4096 tokens."""
     import public_tokenizers
 
     pieces = harmonic_packing.tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -89,6 +98,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = license_scans.scan(docs, license_scans.template_frequencies(docs))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
