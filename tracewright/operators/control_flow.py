@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instructions import ends_block, would_branch
 from .graph import checkpoint_ready
-from .ordered import previous, scan
+from .ordered import carried_after, carried_before, previous, runs, scan
 
 #: Threads are groups of the scans, so that one thread of very many lines is spread over many tasks.
 THREAD = ("thread",)
@@ -79,6 +79,33 @@ def _stack(lines: DataFrame, floor: int) -> DataFrame:
     return previous(d, "line", {"_pl": "_l"}, THREAD)
 
 
+def with_block_starts(lines: DataFrame) -> DataFrame:
+    """lines with starts_block: whether a thread's function block starts here, on its first line or behind a call or return."""
+    d = previous(lines, "line", {"_p": "mnemonic"}, THREAD)
+    return d.withColumn("starts_block", F.coalesce(F.col("_p").isin("call", "ret"), F.lit(True))).drop("_p")
+
+
+def next_block(lines: DataFrame) -> DataFrame:
+    """(line, next_start): for every line the first block of its thread that starts after it: an as-of join forward, without a join."""
+    d = with_block_starts(lines.select("line", "thread", "mnemonic"))
+    return carried_after(d, "line", F.when(F.col("starts_block"), F.col("line")), "next_start", group=THREAD).select("line", "next_start")
+
+
+def return_lines(lines: DataFrame) -> DataFrame:
+    """(call_line, module, return_line): for every call the module of the block before it, and where the next run of that module starts.
+
+    Calls before any block are left out. Two as-of steps: back to the block, forward among the module's runs.
+    """
+    d = settled(with_block_starts(lines.select("line", "thread", "module", "mnemonic")))
+    d = carried_before(d, "line", F.when(F.col("starts_block"), F.col("module")), "_m")
+    calls = d.where("mnemonic = 'call' AND _m IS NOT NULL").select(F.col("_m").alias("module"), "line", F.lit(None).cast("long").alias("_s"), F.lit(1).alias("_call"))
+    segments = runs(lines, "line", "module").select(F.col("key").alias("module"), F.col("start").alias("line"), F.col("start").alias("_s"), F.lit(0).alias("_call"))
+    # a run that starts on the call's own line stands before it, so it does not count
+    both = settled(calls.unionByName(segments).withColumn("_order", F.col("line") * 2 + F.col("_call")))
+    both = carried_after(both, "_order", F.col("_s"), "return_line", group=("module",))
+    return both.where("_call = 1").select(F.col("line").alias("call_line"), "module", "return_line")
+
+
 def function_owner(lines: DataFrame) -> DataFrame:
     """Each line with the line that entered the frame it runs in (a stack that never empties: a bare return enters anew)."""
     d = _stack(lines, 1)
@@ -98,6 +125,7 @@ def thread_function_blocks(lines: DataFrame) -> DataFrame:
         F.min("owner_line").alias("owner_line"),
         F.count("*").alias("width"),
     )
+    blocks = settled(blocks)
     # a block's place: the lines of the thread's blocks before it
     blocks = scan(blocks, "start_line", F.col("width"), "x_offset", "sum", THREAD)
     names = lines.select(F.col("line").alias("owner_line"), F.col("instruction_id").alias("function_start"))

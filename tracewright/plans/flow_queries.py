@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import control_flow as flow
 from ..operators import markers as mk
 from ..operators.graph import reachable
-from ..operators.ordered import carried_after, carried_before, running_total, runs, with_next_start
+from ..operators.ordered import runs, with_next_start
 from ..sources.adapters import TRACE_SQL, trace_lines
 from .registry import query
 
@@ -202,10 +202,7 @@ def block_for_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{W}, {TFB_SQL} SELECT t.line, min(tfb.start_line) AS next_start FROM t LEFT JOIN tfb ON tfb.thread = t.thread AND tfb.start_line > t.line GROUP BY t.line")
 def next_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every line the first block of its thread that starts after it: an as-of join forward, without a join."""
-    lines = trace_lines(spark, sf_dir)
-    starts = flow.thread_function_blocks(lines).select("thread", F.col("start_line").alias("line"), F.col("start_line"))
-    both = lines.select("thread", "line").join(starts, ["thread", "line"], "left")
-    return carried_after(both, "line", F.col("start_line"), "next_start", group=("thread",)).select("line", "next_start")
+    return flow.next_block(trace_lines(spark, sf_dir))
 
 
 @query(
@@ -217,16 +214,7 @@ def next_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def function_ret_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every call: the module of the block before it, and the first later run of that module. Two as-of joins."""
-    lines = trace_lines(spark, sf_dir)
-    starts = flow.thread_function_blocks(lines).select(F.col("start_line").alias("line"), F.lit(True).alias("_start"))
-    d = lines.select("line", "module", "mnemonic").join(starts, "line", "left")
-    d = carried_before(d, "line", F.when(F.col("_start"), F.col("module")), "block_module")
-    calls = d.where("mnemonic = 'call' and block_module is not null").select(F.col("block_module").alias("module"), "line", F.lit(None).cast("long").alias("_s"), F.lit(1).alias("_call"))
-    segments = runs(lines, "line", "module").select(F.col("key").alias("module"), F.col("start").alias("line"), F.col("start").alias("_s"), F.lit(0).alias("_call"))
-    # a run that starts on the call's own line stands before it, so it does not count
-    both = calls.unionByName(segments).withColumn("_order", F.col("line") * 2 + F.col("_call"))
-    both = carried_after(both, "_order", F.col("_s"), "return_line", group=("module",))
-    return both.where("_call = 1").select(F.col("line").alias("call_line"), "module", "return_line")
+    return flow.return_lines(trace_lines(spark, sf_dir))
 
 
 # a purchase, so that edges are followed
