@@ -98,6 +98,13 @@ def child_channels(events: DataFrame, links: DataFrame) -> DataFrame:
     return events.join(inherited, ["trace", "handle"], "left").withColumn("channel_id", F.coalesce("channel_id", "_inherited")).drop("_inherited")
 
 
+def latest_opens(events: DataFrame) -> DataFrame:
+    """Close events (trace, handle, close_line, open_line) with the latest open of their handle before them, or null: one window instead of a range join."""
+    before = F.last(F.when(F.col("type") == "open", F.col("line")), ignorenulls=True).over(_by_handle().rowsBetween(Window.unboundedPreceding, -1))
+    e = events.where("type IN ('open', 'close')").withColumn("open_line", before)
+    return e.where("type = 'close'").select("trace", "handle", F.col("line").alias("close_line"), "open_line")
+
+
 def socket_streams(events: DataFrame) -> DataFrame:
     """(trace, handle, open_line, channel_id): streams of sockets, from events(trace, handle, line, type, address, child).
 

@@ -152,5 +152,11 @@ def call_associations(lines: DataFrame) -> DataFrame:
     return first_per_key(rows, ["call_instruction"]).withColumnRenamed("line", "first_line")
 
 
+def neighbours(lines: DataFrame) -> DataFrame:
+    """lines with prev_line and next_line of their thread."""
+    d = previous(lines, "line", {"prev_line": "line"}, THREAD)
+    return carried_after(d, "line", F.col("line"), "next_line", group=THREAD)
+
+
 def thread_lengths(lines: DataFrame) -> DataFrame:
     return lines.groupBy("thread").agg(F.count("*").alias("length"))

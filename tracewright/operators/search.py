@@ -25,6 +25,15 @@ def hits_in(text: Column, pattern: str) -> Column:
     return F.aggregate(lengths, start, step)["out"]
 
 
+#: Lines that a search shows without asking, and one more to tell that there are more.
+SHOWN = 10_001
+
+
+def lines_with(lines: DataFrame, text: str, most: int = SHOWN) -> DataFrame:
+    """The first lines(line, text), `most` at most, that hold a text."""
+    return lines.where(F.contains("text", F.lit(text))).orderBy("line").limit(most)
+
+
 def search(lines: DataFrame, pattern: str, regex: bool = True, case_sensitive: bool = True) -> DataFrame:
     """(line, at, length) of every hit in lines(line, text); with a column `offset` of lines (their place in the file) also file_offset.
 

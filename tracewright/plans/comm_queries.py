@@ -115,10 +115,10 @@ ASOF = """WITH x AS (SELECT event_id AS line, user_id AS handle, event_type FROM
 @query(f"{ASOF} SELECT c.line AS close_line, c.handle, max(o.line) AS open_line FROM x c LEFT JOIN x o ON o.handle = c.handle AND o.event_type = 'signup' AND o.line < c.line WHERE c.event_type = 'error' GROUP BY 1, 2")
 def handle_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest open of a handle before each close: one window instead of a range join."""
-    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'error')").select(F.col("event_id").alias("line"), F.col("user_id").alias("handle"), "event_type")
-    w = Window.partitionBy("handle").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("open_line", F.last(F.when(F.col("event_type") == "signup", F.col("line")), ignorenulls=True).over(w))
-    return e.where("event_type = 'error'").select(F.col("line").alias("close_line"), "handle", "open_line")
+    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'error')")
+    kind = F.when(F.col("event_type") == "signup", "open").otherwise("close")
+    e = e.select(F.lit("a").alias("trace"), F.col("user_id").alias("handle"), F.col("event_id").alias("line"), kind.alias("type"))
+    return ch.latest_opens(e).select("close_line", "handle", "open_line")
 
 
 @query(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotations
 from ..operators import control_flow as flow
 from ..operators.ordered import running_total
-from ..operators.search import search
+from ..operators.search import lines_with, search
 from ..operators.sequence_diff import diff_regions, merged_regions
 from ..sources.adapters import TRACE_SQL, table, trace_lines
 from .flow_queries import BLOCKS_SQL, CALLS_SQL, JUMPS_SQL
@@ -61,7 +61,7 @@ def line_search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS line FROM documents WHERE text LIKE '%the%' ORDER BY doc_id LIMIT 10001")
 def search_result_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 10001 hits: one more than is shown without asking."""
-    return table(spark, sf_dir, "documents").where(F.contains("text", F.lit("the"))).select(F.col("doc_id").alias("line")).orderBy("line").limit(10001)
+    return lines_with(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), "text"), "the").select("line")
 
 
 @query(f"{W}, {INST_SQL} SELECT instruction_id, module, o FROM inst WHERE instruction_id = 'click:42'")
@@ -181,8 +181,7 @@ def string_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{W} SELECT line, thread, lag(line) OVER w AS prev_line, lead(line) OVER w AS next_line FROM t WINDOW w AS (PARTITION BY thread ORDER BY line)")
 def line_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("thread").orderBy("line")
-    return trace_lines(spark, sf_dir).select("line", "thread", F.lag("line").over(w).alias("prev_line"), F.lead("line").over(w).alias("next_line"))
+    return flow.neighbours(trace_lines(spark, sf_dir).select("line", "thread")).select("line", "thread", "prev_line", "next_line")
 
 
 # two traces that differ here and there: the same lines, one with some texts changed
