@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +95,7 @@ class Index:
         for t, (ranks, need) in enumerate(zip(ordered, needs, strict=True)):
             for i, r in enumerate(ranks[: len(ranks) - need + 1]):
                 postings[r].append((t, i + 1))
-        upto = lambda lists: reduce(lambda a, x: [*a, a[-1] + len(x)], lists, [0])
+        upto = lambda lists: [0, *accumulate(map(len, lists))]
         flat = [p for x in postings for p in x]
         return cls(labels, words, list(map(len, sets)), needs, upto(ordered), [r for x in ordered for r in x], upto(postings), [t for t, _ in flat], [i for _, i in flat])
 
