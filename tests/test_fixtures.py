@@ -362,3 +362,36 @@ def test_display_texts(spark):
     d = spark.createDataFrame([("?\x3f004100", "C:\\dir\\a.dll", "48690A2020"), (None, None, None)], "h string, p string, m string")
     r = d.select(tx.hex_text(F.lit("00004100")).alias("h"), tx.file_of_path(F.col("p")).alias("f"), tx.message_text(F.col("m")).alias("t"), tx.message_text(F.col("m"), F.lit(2)).alias("cut")).collect()
     assert tuple(r[0]) == ("A\\0", "a.dll", "Hi", "H") and r[1]["f"] is None and r[1]["t"] is None
+
+
+def test_newer_thread_marks(spark):
+    lines = [(0, "0 1A {"), (1, "1 I:1 a.dll+10 mov eax, ebx | RAX=01"), (2, "2 T: 7 switch | |"), (3, "3 I:2 a.dll+12 ret")]
+    out = trace_text.parse(spark.createDataFrame(lines, "line long, text string")).orderBy("line").collect()
+    assert [r["thread"] for r in out] == [26, 26, 7, 7]
+
+
+def test_exports_of_a_library(spark, tmp_path):
+    """A library of three exports, one of them a forwarder."""
+    base, raw = 0x1000, 0x200
+    names = [b"alpha\0", b"beta\0", b"gone\0"]
+    texts, at = b"", 40 + 12 + 12 + 6
+    starts = []
+    for n in names:
+        starts.append(base + at + len(texts))
+        texts += n
+    forward = base + at + len(texts)
+    texts += b"other.gone\0"
+    functions = struct.pack("<III", 0x5000, 0x6000, forward)
+    body = struct.pack("<IIHHIIIIIII", 0, 0, 0, 0, 0, 1, 3, 3, base + 40, base + 52, base + 64) + functions + struct.pack("<III", *starts) + struct.pack("<HHH", 1, 0, 2) + texts
+    optional = struct.pack("<H", 0x20B).ljust(112, b"\0") + struct.pack("<II", base, len(body)) + b"\0" * 120
+    coff = struct.pack("<HHIIIHH", 0x8664, 1, 0, 0, 0, len(optional), 0)
+    section = b".edata\0\0" + struct.pack("<IIII", len(body), base, len(body), raw) + b"\0" * 16
+    head = b"MZ".ljust(0x3C, b"\0") + struct.pack("<I", 0x40) + b"PE\0\0" + coff + optional + section
+    (tmp_path / "lib.dll").write_bytes(head.ljust(raw, b"\0") + body)
+    (tmp_path / "cut.dll").write_bytes((head.ljust(raw, b"\0") + body)[:150])
+    got = sorted(tuple(r) for r in files.exports(spark, str(tmp_path / "*.dll")).collect())
+    assert got == [("LIB.DLL", 0x5000, "beta"), ("LIB.DLL", 0x6000, "alpha")]
+    (tmp_path / "calls.csv").write_text("1,NtOpenFile\n2,NtClose\n")
+    assert files.syscall_names(spark, str(tmp_path / "calls.csv")).where("id = 2").first()["name"] == "NtClose"
+    (tmp_path / "lines.offsets").write_bytes(struct.pack("<qqq", 0, 17, 40))
+    assert [r["start"] for r in files.line_offsets(spark, str(tmp_path / "lines.offsets")).orderBy("row").collect()] == [0, 17, 40]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The traced tool's patterns.
 INSTRUCTION = r"^([0-9a-fA-F]+) I:([0-9a-fA-F]*) ([^\s+]+)\+([0-9a-fA-F]+)(?: \(([0-9a-fA-F]+)\))? ([a-zA-Z0-9]+) ?([^|]*?) *(?:\||$)"
 THREAD = r"(?:T: ?|TID=)(\d+)"
+THREAD_BEFORE_BRACE = r"^[0-9a-fA-F]+\s([0-9a-fA-F]+)\s\{"
 CHANGE = r"(?:\[([0-9A-Za-z]+)\]|(\w+))=([0-9A-Za-z]*)"
 
 
@@ -37,7 +38,8 @@ def kind_of(text: Column) -> Column:
 def parse(lines: DataFrame) -> DataFrame:
     """Typed trace lines of (line, text).
 
-    The thread of a line is the last one that a thread mark at or before it names. Lines that are
+    The thread of a line is the last one that a thread mark at or before it names; lines of the newer form name theirs in
+    hex before a brace. Lines that are
     no instruction have null instruction columns. refs: changes on the line, with is_before true
     left of the bar sign. Null texts give kind `other` and no refs.
     """
@@ -47,7 +49,9 @@ def parse(lines: DataFrame) -> DataFrame:
     x = lambda i: F.regexp_extract(t, INSTRUCTION, i)
     ok = t.rlike(INSTRUCTION)
     d = lines.withColumn("kind", kind_of(t))
-    d = d.withColumn("_named", F.when(t.rlike(THREAD) & (F.col("kind") != "instruction"), F.regexp_extract(t, THREAD, 1).cast("int")))
+    braced = F.conv(F.regexp_extract(t, THREAD_BEFORE_BRACE, 1), 16, 10).cast("int")
+    named = F.when(t.rlike(THREAD_BEFORE_BRACE), braced).when(t.rlike(THREAD) & (F.col("kind") != "instruction"), F.regexp_extract(t, THREAD, 1).cast("int"))
+    d = d.withColumn("_named", named)
     d = carried_before(d, "line", F.col("_named"), "_thread")
     d = d.withColumn("thread", F.coalesce("_named", "_thread"))
     number = lambda c: F.conv(c, 16, 10).cast("decimal(20,0)")
