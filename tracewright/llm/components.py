@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -25,7 +25,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     pairs = stored(pairs, "edges")
-    owner = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    owner = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "owner")
     live = pairs.where("a <> b")
     for _ in range(max_rounds):
         if live.isEmpty():
@@ -38,6 +38,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.least(F.col("m"), F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b")))["b"].alias("parent"),
         )
         parent = stored(parent, "parents")
+        spent, spent_owner = live, owner
         live = (
             live.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a")
             .join(parent.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
@@ -48,7 +49,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         live = stored(live, "live")
         owner = owner.join(parent.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
         owner = stored(owner, "owner")
+        discard(spent, spent_owner, parent)
     else:
         raise RuntimeError("components did not settle")
+    discard(live, pairs)
     least = owner.groupBy("root").agg(F.min("node").alias("component"))
     return owner.join(least, "root").select("node", "component")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import mapped, stored
+from .shared import discard, mapped, stored
 
 WORDS = 5
 HASHES, ROWS = 200, 5
@@ -197,6 +197,7 @@ def blocks(hits: DataFrame, reps: DataFrame, at: DataFrame) -> DataFrame:
         blocks_of(F.col("all") - F.col("top.m"), F.col("all_w") - F.col("top.w"), FEW).alias("rows"),
         blocks_of(F.col("all"), F.col("all_w"), MANY).alias("columns"),
     )
+    # not discarded: what is returned reads it
     here = stored(here.join(mixed, ["band", "bucket"]), "minhash-mixed")
     size = here.where("small").agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("w")).first()
     groups = F.lit(max(1, size["m"] // TASK_ROWS, size["w"] // BLOCK_SHINGLES))
@@ -279,7 +280,9 @@ def between(met: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
 
     open_ = stored(met.groupBy("task").applyInPandas(flag, met.schema).select(*kept), "minhash-open")
     full = open_.join(sets, "rep")
-    return stored(full.groupBy("task").applyInPandas(verify, "a long, b long"), "minhash-joins")
+    joins = stored(full.groupBy("task").applyInPandas(verify, "a long, b long"), "minhash-joins")
+    discard(open_)
+    return joins
 
 
 def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -309,7 +312,9 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     pairs = hits.where("rep > leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(likely(pairs, reps, percent), sets, percent)
     at = components(links)
-    over = components(between(blocks(hits.select("band", "bucket", "rep"), reps, at), sets, percent))
+    joins = between(blocks(hits.select("band", "bucket", "rep"), reps, at), sets, percent)
+    discard(hits, sets, links)
+    over = components(joins)
     over = over.select(F.col("node").alias("_low"), F.col("component").alias("_lowest"))
     at = reps.select(F.col("rep").alias("node")).distinct().join(at, "node", "left").select("node", F.coalesce("component", "node").alias("_low"))
     at = at.join(over, "_low", "left").select("node", F.coalesce("_lowest", "_low").alias("component"))

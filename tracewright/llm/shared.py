@@ -18,10 +18,12 @@ NON_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured (tests)."""
+    """The folder that driver and executors share; one of our own only where none is configured and there is no cluster (tests)."""
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if place is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="tracewright-")
         sc.setCheckpointDir(place)
         place = sc.getCheckpointDir()
@@ -35,7 +37,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored() tables that nothing reads any more; other frames stay as they are."""
+    for t in tables:
+        if place := getattr(t, "_stored_at", None):
+            sc = t.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words_of(text: Column) -> Column:
@@ -72,10 +85,16 @@ def mapped(df: DataFrame, keep: list[str], given: list[str], fields: list[T.Stru
     return df.select(*[F.col(f"`{c}`") for c in keep], *inputs).mapInArrow(run, schema)
 
 
-def bound_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Lower the session's rows per Arrow batch to at most `rows`: bounds memory where texts are long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bound_batches(spark: SparkSession, rows: int = 256, size: int = 32 << 20) -> None:
+    """Lower the session's rows and bytes per Arrow batch to at most these: bounds memory where texts are long.
+
+    Spark reads the setting when a query runs, so it stays lowered; a lower one of the caller's is kept.
+    """
+    for name, most, default in (("maxRecordsPerBatch", rows, 10_000), ("maxBytesPerBatch", size, (1 << 31) - 2)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, str(default))
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # one given with a unit is the caller's choice
+            spark.conf.set(key, str(most))
 
 
 class Memo(dict):
