@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, with SQL for those that SQL can express."""
+"""The queries op1 to op13 and the pipeline, with SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, cover_tree, harmonic_packing, hilbert_shards, license_scans, line_dedup, minhash_dedup, quality_rules, toxicity, url_filters
+from . import (
+    byte_bpe,
+    code_compression,
+    cover_tree,
+    hard_negatives,
+    harmonic_packing,
+    hilbert_shards,
+    license_scans,
+    line_dedup,
+    minhash_dedup,
+    quality_rules,
+    token_counts,
+    toxicity,
+    url_filters,
+)
 from .shared import read
 
 END_ID = 2
+TOKEN_LIMIT = 2048
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 #: The method's own list, for urls that no rule fits.
 URL_BLOCKED = ["casino-win.example.com/", "free-bets.example.com/", "cheap-pills.example.com/", "ads-track.example.com/"]
@@ -104,6 +119,29 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of each anchor and positive, every vector against every anchor."""
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    relabelled = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = hard_negatives.usable(read(spark, sf_dir, "embeddings"), vec_id, relabelled, F.col("embedding"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op12_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every vector under codebooks of two rounds."""
+    out, books = code_compression.compress(read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count(docs, public_tokenizers.path("word_bpe_49k.json"), TOKEN_LIMIT)
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -117,6 +155,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_dedup,
         op9_harmonic_packing,
         op10_license_scans,
+        op11_hard_negatives,
+        op12_code_compression,
+        op13_token_counts,
     )
 }
 _UP, _LOW = license_scans.UPPER, license_scans.LOWER
@@ -180,4 +221,43 @@ def _license_sql() -> str:
  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score FROM b LEFT JOIN z USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op5_url_filters": _url_sql(), "op7_cover_tree": _VECTOR_SQL, "op8_minhash_dedup": _NEAR_SQL, "op10_license_scans": _license_sql()}
+_USABLE_SQL = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_MINED_SQL = f"""WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE label IS NOT NULL AND {_USABLE_SQL}),
+ s AS (SELECT a.id AS anchor_id, c.id, a.label = c.label AS alike, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score FROM r a JOIN r c ON c.id <> a.id WHERE a.id % 100 = 0),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score FROM p JOIN s USING (anchor_id)
+ WHERE NOT alike AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 5"""
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    def assigned(book: str) -> str:
+        distance = "list_sum(list_transform(list_zip(x.v, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        best = f"SELECT x.vec_id, x.part, any_value(x.v) AS v, min((CAST({distance} AS BIGINT), b.entry)) AS m FROM x JOIN {book} b ON b.part = x.part GROUP BY 1, 2"
+        return f"SELECT vec_id, part, v, m[1] AS d, m[2] AS entry FROM ({best})"
+
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED ({assigned(f'b{i}')})")
+        if i < rounds:
+            sums = f"SELECT part, entry, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS i FROM a{i}) GROUP BY 1, 2, 3"
+            means = f"SELECT part, entry, list(c ORDER BY i) AS e FROM ({sums}) GROUP BY 1, 2"
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM b{i} b LEFT JOIN ({means}) m ON m.part = b.part AND m.entry = b.entry)")
+    return f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda y: CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_USABLE_SQL}),
+ x AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM (SELECT vec_id, v, unnest(range({parts})) AS part FROM k)),
+ f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT {entries}),
+ b0 AS MATERIALIZED (SELECT x.part, f.entry, x.v AS e FROM f JOIN x USING (vec_id)),
+ {', '.join(steps)},
+ h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+ c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h"""
+
+
+ORACLES: dict[str, str] = {
+    "op5_url_filters": _url_sql(),
+    "op7_cover_tree": _VECTOR_SQL,
+    "op8_minhash_dedup": _NEAR_SQL,
+    "op10_license_scans": _license_sql(),
+    "op11_hard_negatives": _MINED_SQL,
+    "op12_code_compression": _codes_sql(),
+}

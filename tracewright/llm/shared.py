@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,28 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than one in HOT_SHARE of the rows is hot, so there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined with totals (one row a key, with the number n of rows that the key has), nulls equal nulls; the key columns once, n dropped.
+
+    Hot keys are fewer than HOT_SHARE, so their totals are broadcast and their rows stay where they are; the others shuffle, and
+    no key of theirs brings a task more than one in HOT_SHARE of all rows.
+    """
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    t = stored(totals.select(*[F.col(k).alias(a) for k, a in names.items()], *[c for c in totals.columns if c not in names]), "totals")
+    most = (t.agg(F.sum(n)).first()[0] or 0) / HOT_SHARE
+    hot = t.where(F.col(n) > most)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(a)) for k, a in names.items()])
+    is_hot = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), same, "left")
+    new = [c for c in t.columns if c not in names.values() and c != n]
+    first = is_hot.where("_hot").select(*rows.columns, *new)
+    rest = is_hot.where("_hot is null").select(*rows.columns)
+    return first.unionByName(rest.join(t.where(F.col(n) <= most), same, how).select(*rows.columns, *new))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text, native; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
