@@ -6,12 +6,31 @@ check, close.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import succeeded
+from .ordered import carried_after, previous, scan, scans, settled
 
-def _by_handle() -> WindowSpec:
-    return Window.partitionBy("trace", "handle").orderBy("line")
+
+#: Handles are groups of the scans, so that the events of one handle are spread over many tasks.
+HANDLE = ("trace", "handle")
+
+
+def _last_line(kind: str) -> tuple[Column, str]:
+    """For scans: the line of the last event of a type."""
+    return F.when(F.col("type") == kind, F.col("line")), "last"
+
+
+def _bounds(events: DataFrame) -> DataFrame:
+    """Opens and closes, with their order: a close on an open's own line stands before it."""
+    return events.where("type IN ('open', 'close')").withColumn("_at", F.col("line") * 2 + (F.col("type") == "open").cast("int"))
+
+
+def _first_opens(events: DataFrame) -> DataFrame:
+    """Opens and closes with _first: whether an open stands at the handle's begin or behind a close."""
+    e = previous(_bounds(events), "_at", {"_before": "type"}, HANDLE)
+    return e.withColumn("_first", (F.col("type") == "open") & (F.col("_before").isNull() | (F.col("_before") == "close"))).drop("_before", "_at")
 
 
 def streams(events: DataFrame) -> DataFrame:
@@ -19,30 +38,21 @@ def streams(events: DataFrame) -> DataFrame:
 
     An open of a handle that is open already is ignored. Streams never closed are kept, marked.
     """
-    e = events.where("type IN ('open', 'close')")
-    before = F.lag("type").over(_by_handle())
-    e = e.withColumn("_first", (F.col("type") == "open") & (before.isNull() | (before == "close")))
-    # read backwards, so that the frame grows by a row a row
-    after = Window.partitionBy("trace", "handle").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("close_line", F.last(F.when(F.col("type") == "close", F.col("line")), ignorenulls=True).over(after))
+    e = carried_after(settled(_first_opens(events)), "line", _last_line("close")[0], "close_line", group=HANDLE)
     return e.where("_first").select("trace", "handle", "channel_id", F.col("line").alias("open_line"), "close_line", F.col("close_line").isNotNull().alias("closed"))
 
 
 def stream_events(events: DataFrame) -> DataFrame:
     """Send, receive and check events with the open_line of the stream they fall in; those outside any stream go.
 
-    The latest open before an event counts if no close lies between: one window per handle.
+    The streams are those of streams(): the latest open before an event counts if no close lies between.
     """
-    so_far = _by_handle().rowsBetween(Window.unboundedPreceding, -1)
-    before = F.lag("type").over(_by_handle())
     # opens of an open handle do not start a stream: the state before each event is that of the last open or close
-    oc = events.where("type IN ('open', 'close')").withColumn("_start", (F.col("type") == "open") & (before.isNull() | (before == "close")))
-    marks = oc.where("_start OR type = 'close'").select("trace", "handle", "line", F.struct(F.when(F.col("_start"), F.col("line")).alias("at")).alias("_mark"))
-    data = events.where("type NOT IN ('open', 'close')")
-    both = data.unionByName(marks, allowMissingColumns=True)
+    marks = _first_opens(events).where("_first OR type = 'close'").select(*HANDLE, "line", F.struct(F.when(F.col("_first"), F.col("line")).alias("at")).alias("_mark"))
+    both = settled(events.where("type NOT IN ('open', 'close')").unionByName(marks, allowMissingColumns=True))
     # a close leaves a mark without a line
-    both = both.withColumn("open_line", F.last("_mark", ignorenulls=True).over(so_far)["at"])
-    return both.where("_mark IS NULL AND open_line IS NOT NULL").drop("_mark")
+    both = scan(both, "line", F.col("_mark"), "_state", "last", HANDLE)
+    return both.where("_mark IS NULL AND _state.at IS NOT NULL").withColumn("open_line", F.col("_state.at")).drop("_mark", "_state")
 
 
 def payloads(stream_data: DataFrame) -> DataFrame:
@@ -99,10 +109,9 @@ def child_channels(events: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def latest_opens(events: DataFrame) -> DataFrame:
-    """Close events (trace, handle, close_line, open_line) with the latest open of their handle before them, or null: one window instead of a range join."""
-    before = F.last(F.when(F.col("type") == "open", F.col("line")), ignorenulls=True).over(_by_handle().rowsBetween(Window.unboundedPreceding, -1))
-    e = events.where("type IN ('open', 'close')").withColumn("open_line", before)
-    return e.where("type = 'close'").select("trace", "handle", F.col("line").alias("close_line"), "open_line")
+    """Close events (trace, handle, close_line, open_line) with the latest open of their handle before them, or null: a scan instead of a range join."""
+    e = scans(_bounds(events), "_at", {"open_line": _last_line("open")}, HANDLE)
+    return e.where("type = 'close'").select(*HANDLE, F.col("line").alias("close_line"), "open_line")
 
 
 def socket_streams(events: DataFrame) -> DataFrame:
@@ -112,54 +121,80 @@ def socket_streams(events: DataFrame) -> DataFrame:
     opens one of its child handle, which takes the name that the listening socket has by then.
     Sockets that are never bound or connected have no name.
     """
-    w = _by_handle().rowsBetween(Window.unboundedPreceding, -1)
     e = events.where("type IN ('socket', 'bind', 'connect', 'accept')")
-    e = e.withColumn("_open", F.last(F.when(F.col("type") == "socket", F.col("line")), ignorenulls=True).over(w))
-    names = F.when(F.col("type").isin("bind", "connect"), F.struct("_open", "address"))
-    first = Window.partitionBy("trace", "handle", "_open").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("_name", F.first(names, ignorenulls=True).over(first))
-    own = e.where(names.isNotNull() & F.col("_open").isNotNull()).groupBy("trace", "handle", F.col("_open").alias("open_line")).agg(F.min_by("address", "line").alias("channel_id"))
-    sockets = e.where("type = 'socket'").select("trace", "handle", F.col("line").alias("open_line")).join(own, ["trace", "handle", "open_line"], "left")
-    accepted = e.where("type = 'accept' AND _open IS NOT NULL").select("trace", F.col("child").alias("handle"), F.col("line").alias("open_line"), F.col("_name.address").alias("channel_id"))
+    e = settled(scans(e, "line", {"_open": _last_line("socket")}, HANDLE))
+    opened = F.when(F.col("type") == "socket", F.col("line")).otherwise(F.col("_open")).alias("open_line")
+    names = F.min(F.when(F.col("type").isin("bind", "connect"), F.struct("line", "address"))).alias("_name")
+    name = e.where("type <> 'accept'").groupBy(*HANDLE, opened).agg(names).where("open_line IS NOT NULL")
+    name = name.select(*HANDLE, "open_line", F.col("_name.line").alias("_at"), F.col("_name.address").alias("channel_id"))
+    sockets = name.drop("_at")
+    accepts = e.where("type = 'accept' AND _open IS NOT NULL").select(*HANDLE, "line", "child", F.col("_open").alias("open_line"))
+    # a name given after the accept is not the child's
+    accepted = accepts.join(name, [*HANDLE, "open_line"], "left").select("trace", F.col("child").alias("handle"), F.col("line").alias("open_line"), F.when(F.col("_at") < F.col("line"), F.col("channel_id")).alias("channel_id"))
     return sockets.unionByName(accepted)
 
 
 def carried_buffers(events: DataFrame) -> DataFrame:
     """Check events with the buffer that their handle's last receive before them named: (…, buffer, buffer_length) or null."""
-    before = _by_handle().rowsBetween(Window.unboundedPreceding, -1)
-    held = F.last(F.when(F.col("type") == "receive", F.struct("address", "length")), ignorenulls=True).over(before)
-    e = events.where("type IN ('receive', 'check')").withColumn("_held", held).where("type = 'check'")
-    return e.select("trace", "handle", "line", F.col("_held.address").alias("buffer"), F.col("_held.length").alias("buffer_length"))
+    held = F.when(F.col("type") == "receive", F.struct("address", "length"))
+    e = scan(events.where("type IN ('receive', 'check')"), "line", held, "_held", "last", HANDLE).where("type = 'check'")
+    return e.select(*HANDLE, "line", F.col("_held.address").alias("buffer"), F.col("_held.length").alias("buffer_length"))
+
+
+def ended_opens(events: DataFrame) -> DataFrame:
+    """(trace, handle, open_line, end_line): a stream from every open, in passes and not in line order.
+
+    Each close ends the latest stream of its handle that was opened before its line, and takes the place of an earlier
+    close of that stream: the end is the last close before the next open. Streams that no close ends have a null end.
+    """
+    ends = latest_opens(events).where("open_line IS NOT NULL").select(*HANDLE, "open_line", F.col("close_line").alias("end_line"))
+    opens = events.where("type = 'open'").select(*HANDLE, F.col("line").alias("open_line"), F.lit(None).cast("long").alias("end_line"))
+    return opens.unionByName(ends).groupBy(*HANDLE, "open_line").agg(F.max("end_line").alias("end_line"))
 
 
 def assigned(events: DataFrame) -> DataFrame:
-    """Data events with the open_line of their stream, in three passes and not in line order.
+    """Data events with the open_line of their stream: of those of ended_opens() that are open at the event's line, the last opened.
 
-    First every open makes a stream, then every close ends the latest stream of its handle that was opened before it, and
-    then each data event goes to the last stream of its handle that was open at its line. So, unlike
-    in stream_events, a second open of an open handle starts a stream of its own.
+    A stream is open behind its open and before its end. A later open of the handle bounds the end of all streams before it, so an event
+    belongs to the last stream opened before it, if that one is open, and else to the last one before it that never ended. Both are carried
+    to the event in one scan over the handle's opens and data. Events without a stream go.
     """
-    order = Window.partitionBy("trace", "handle").orderBy("line", F.col("type") == "close")
-    opened = F.last(F.when(F.col("type") == "open", F.col("line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    e = events.withColumn("_open", opened)
-    # the first close behind an open ends it: an event lies inside if no close stands between it and the open
-    closed = F.last(F.when(F.col("type") == "close", F.col("line")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    e = e.withColumn("_closed", closed).where("type NOT IN ('open', 'close')")
-    return e.where("_open IS NOT NULL AND (_closed IS NULL OR _closed < _open)").withColumn("open_line", F.col("_open")).drop("_open", "_closed")
+    state = F.struct(F.col("open_line").alias("at"), F.col("end_line").alias("end"))
+    marks = ended_opens(events).select(*HANDLE, F.col("open_line").alias("line"), state.alias("_mark"))
+    data = events.where("type NOT IN ('open', 'close')")
+    # an event on an open's own line stands before it
+    both = data.unionByName(marks, allowMissingColumns=True).withColumn("_at", F.col("line") * 2 + F.col("_mark").isNotNull().cast("int"))
+    endless = F.when(F.col("_mark.end").isNull(), F.col("_mark.at"))
+    both = scans(settled(both), "_at", {"_last": (F.col("_mark"), "last"), "_endless": (endless, "last")}, HANDLE).where("_mark IS NULL")
+    open_now = F.col("_last.end").isNull() | (F.col("_last.end") > F.col("line"))
+    both = both.withColumn("open_line", F.when(F.col("_last").isNotNull() & open_now, F.col("_last.at")).otherwise(F.col("_endless")))
+    return both.where("open_line IS NOT NULL").drop("_mark", "_at", "_last", "_endless")
+
+
+def successful(events: DataFrame) -> DataFrame:
+    """Opens, closes, and the data events whose call returned something: those whose result (hex) has a low half of zero or is null go."""
+    return events.where(F.col("type").isin("open", "close") | succeeded(F.col("result")))
+
+
+def signed16(c: Column) -> Column:
+    """The low 16 bits of a number, signed."""
+    low = F.pmod(c, F.lit(65536))
+    return F.when(low >= 32768, low - 65536).otherwise(low)
 
 
-def named_messages(creates: DataFrame, messages: DataFrame) -> DataFrame:
-    """messages(trace, id, line, message) with the name of the channel last created under their id before them; others go.
+def named_messages(creates: DataFrame, messages: DataFrame, unnamed: bool = False) -> DataFrame:
+    """messages(trace, id, line, message) with the name of the channel last created under their id before them; others go, or stay if `unnamed`.
 
     Ids count as signed 16-bit numbers. creates: (trace, id, line, name).
     """
-    low = lambda c: F.when(c % 65536 >= 32768, c % 65536 - 65536).otherwise(c % 65536)
-    key = low(F.col("id")).alias("_id")
+    key = signed16(F.col("id")).alias("_id")
     c = creates.select("trace", key, "line", F.col("name").alias("_name"), F.lit(0).alias("_order"))
     m = messages.select("trace", key, "line", "id", "message", F.lit(1).alias("_order"))
-    w = Window.partitionBy("trace", "_id").orderBy("line", F.desc("_order")).rowsBetween(Window.unboundedPreceding, -1)
-    both = m.unionByName(c, allowMissingColumns=True).withColumn("channel_name", F.last("_name", ignorenulls=True).over(w))
-    return both.where("_order = 1 AND channel_name IS NOT NULL").select("trace", "id", "line", "message", "channel_name")
+    # a creation on a message's own line stands behind it
+    both = m.unionByName(c, allowMissingColumns=True).withColumn("_at", F.col("line") * 2 + (1 - F.col("_order")))
+    both = scan(both, "_at", F.col("_name"), "channel_name", "last", ("trace", "_id"))
+    named = both.where("_order = 1") if unnamed else both.where("_order = 1 AND channel_name IS NOT NULL")
+    return named.select("trace", "id", "line", "message", "channel_name")
 
 
 def message_matches(sends: DataFrame, receives: DataFrame) -> DataFrame:

@@ -6,18 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.instructions import ends_block, would_branch
-from .graph import checkpoint_ready
-from .ordered import carried_after, carried_before, previous, runs, scan
+from .ordered import carried_after, carried_before, previous, runs, scan, scans, settled
 
 #: Threads are groups of the scans, so that one thread of very many lines is spread over many tasks.
 THREAD = ("thread",)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut where a shared checkpoint folder is known: scans that build on it do not repeat it."""
-    return df.checkpoint() if checkpoint_ready(df) else df
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: str = "line") -> DataFrame:
     """The first row of each key: one aggregation with map-side combine instead of a window."""
     rest = [c for c in df.columns if c not in keys]
@@ -47,8 +41,9 @@ def parent_function(lines: DataFrame) -> DataFrame:
 
 def basic_blocks(lines: DataFrame) -> DataFrame:
     """(start_instruction, end_instruction, length, first_line): the first block seen from each start; all threads' tails count."""
-    d = previous(lines.select("line", "thread", "instruction_id", "mnemonic"), "line", {"_p": "mnemonic"}, THREAD)
-    d = scan(d, "line", F.coalesce(ends_block(F.col("_p")), F.lit(False)).cast("int"), "_i", "sum", THREAD, inclusive=True)
+    d = lines.select("line", "thread", "instruction_id", "mnemonic")
+    # a block's number: the ends of blocks before the line
+    d = scan(d, "line", F.coalesce(ends_block(F.col("mnemonic")), F.lit(False)).cast("int"), "_i", "sum", THREAD)
     one = d.groupBy("thread", "_i").agg(
         F.min("line").alias("first_line"),
         F.min_by("instruction_id", "line").alias("start_instruction"),
@@ -67,16 +62,18 @@ def jumps(lines: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def _stack(lines: DataFrame, floor: int) -> DataFrame:
-    """Adds _p and _pid (mnemonic and instruction before), _l (height of the call stack, never under floor) and _pl (height before).
+    """Adds _p and _pid (mnemonic and instruction before), _i (calls and returns before), _l (height of the call stack, never under floor) and _pl (height before).
 
     The height is the running sum of calls and returns, reflected at the floor.
     """
-    d = previous(lines, "line", {"_p": "mnemonic", "_pid": "instruction_id"}, THREAD)
-    step = F.when(F.col("_p") == "call", 1).when(F.col("_p") == "ret", -1).otherwise(0)
-    d = settled(scan(d, "line", step, "_w", "sum", THREAD, inclusive=True))
-    d = scan(d, "line", F.col("_w"), "_least", "min", THREAD, inclusive=True)
-    d = settled(d.withColumn("_l", floor + F.col("_w") + F.greatest(F.lit(0), -F.col("_least"))).drop("_w", "_least"))
-    return previous(d, "line", {"_pl": "_l"}, THREAD)
+    step = F.when(F.col("mnemonic") == "call", 1).when(F.col("mnemonic") == "ret", -1).otherwise(0)
+    before = F.struct(F.col("mnemonic").alias("p"), F.col("instruction_id").alias("id"))
+    d = scans(lines, "line", {"_before": (before, "last"), "_w": (step, "sum"), "_i": (F.abs(step), "sum")}, THREAD)
+    d = settled(d.withColumns({"_p": F.col("_before.p"), "_pid": F.col("_before.id")}).drop("_before"))
+    d = scans(d, "line", {"_pw": (F.col("_w"), "last"), "_pleast": (F.col("_w"), "min")}, THREAD)
+    height = lambda w, least: floor + w + F.greatest(F.lit(0), -least)
+    d = d.withColumns({"_l": height(F.col("_w"), F.least("_w", "_pleast")), "_pl": F.when(F.col("_pw").isNotNull(), height(F.col("_pw"), F.col("_pleast")))})
+    return settled(d.drop("_w", "_pw", "_pleast"))
 
 
 def with_block_starts(lines: DataFrame) -> DataFrame:
@@ -106,18 +103,22 @@ def return_lines(lines: DataFrame) -> DataFrame:
     return both.where("_call = 1").select(F.col("line").alias("call_line"), "module", "return_line")
 
 
-def function_owner(lines: DataFrame) -> DataFrame:
-    """Each line with the line that entered the frame it runs in (a stack that never empties: a bare return enters anew)."""
+def _owned(lines: DataFrame) -> DataFrame:
+    """function_owner's lines, with _p and _i of the stack."""
     d = _stack(lines, 1)
     enters = F.col("_p").isNull() | (F.col("_p") == "call") | ((F.col("_p") == "ret") & (F.col("_pl") == 1))
     d = scan(d, "line", F.when(enters, F.col("line")), "owner_line", "last", (*THREAD, "_l"), inclusive=True)
     return settled(d.drop("_pid", "_l", "_pl"))
 
 
+def function_owner(lines: DataFrame) -> DataFrame:
+    """Each line with the line that entered the frame it runs in (a stack that never empties: a bare return enters anew)."""
+    return _owned(lines).drop("_i")
+
+
 def thread_function_blocks(lines: DataFrame) -> DataFrame:
     """Runs of lines between calls and returns, with the function that owns them and their place in the thread."""
-    d = function_owner(lines.select("line", "thread", "instruction_id", "mnemonic"))
-    d = scan(d, "line", F.coalesce(F.col("_p").isin("call", "ret"), F.lit(False)).cast("int"), "_i", "sum", THREAD, inclusive=True)
+    d = _owned(lines.select("line", "thread", "instruction_id", "mnemonic"))
     blocks = d.groupBy("thread", "_i").agg(
         F.min("line").alias("start_line"),
         F.min_by("instruction_id", "line").alias("start_instruction"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import previous, running_total, scan, settled
+
 
 def encloses(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return (a0 <= b0) & (a1 >= b1)
@@ -53,12 +55,17 @@ def overlaps(left: DataFrame, right: DataFrame, width: int = WIDTH, group: tuple
 
 
 def merged(d: DataFrame, group: list[str], touching: bool = True) -> DataFrame:
-    """(group, s, e): unions of overlapping (and, if touching, adjacent) intervals within each group."""
-    w = Window.partitionBy(*group).orderBy("s", "e")
+    """(group, s, e): unions of overlapping (and, if touching, adjacent) intervals within each group; ends inclusive, s whole numbers.
+
+    The furthest end so far and the number of the union are scans over buckets of starts, so a group of any size
+    is spread over many tasks, as is a table without groups.
+    """
     gap = 1 if touching else 0
-    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("_n", F.when(before.isNull() | (F.col("s") > before + gap), 1).otherwise(0))
-    d = d.withColumn("_g", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # of intervals that start together the longest counts
+    d = d.groupBy(*group, "s").agg(F.max("e").alias("e"))
+    d = settled(scan(d, "s", F.col("e"), "_furthest", "max", tuple(group)))
+    new = F.when(F.col("_furthest").isNull() | (F.col("s") > F.col("_furthest") + gap), 1).otherwise(0)
+    d = scan(d, "s", new, "_g", "sum", tuple(group), inclusive=True)
     return d.groupBy(*group, "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
 
 
@@ -113,11 +120,10 @@ def partial_overlaps(regions: DataFrame, group: list[str], width: int = WIDTH) -
 
 def gaps(hidden: DataFrame, low: int, high: int) -> DataFrame:
     """(s, e): what of low to high no interval of hidden(s, e) covers, from the merged intervals' neighbours."""
-    m = merged(hidden.where((F.col("s") <= high) & (F.col("e") >= low)).select("s", "e"), [])
-    spans = m.agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_m"))  # a row an unbroken hidden stretch
-    starts = F.concat(F.array(F.lit(low).cast("long")), F.transform("_m", lambda x: x["e"] + 1))
-    ends = F.concat(F.transform("_m", lambda x: x["s"] - 1), F.array(F.lit(high).cast("long")))
-    z = spans.select(F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("_z")).select(F.greatest(F.col("_z.s"), F.lit(low)).alias("s"), F.least(F.col("_z.e"), F.lit(high)).alias("e"))
+    m = settled(merged(hidden.where((F.col("s") <= high) & (F.col("e") >= low)).select("s", "e"), []))
+    before = previous(m, "s", {"_before": "e"}).select(F.coalesce(F.col("_before") + 1, F.lit(low)).alias("s"), (F.col("s") - 1).alias("e"))
+    behind = m.agg(F.max("e").alias("_last")).select(F.coalesce(F.col("_last") + 1, F.lit(low)).alias("s"), F.lit(high).alias("e"))
+    z = before.unionByName(behind).select(F.greatest(F.col("s"), F.lit(low)).cast("long").alias("s"), F.least(F.col("e"), F.lit(high)).cast("long").alias("e"))
     return z.where("s <= e")
 
 
@@ -125,8 +131,8 @@ def page(hidden: DataFrame, line: int, last: int, radius: int = 500, left: bool
     """(line): the `radius` visible lines before a line (or behind it), of 0 to last; hidden(s, e) are collapsed spans."""
     visible = gaps(hidden, 0, line - 1) if left else gaps(hidden, line + 1, last)
     # whole gaps up to the radius, counted from the line outwards; then single lines
-    order = Window.orderBy(F.desc("s") if left else "s").rowsBetween(Window.unboundedPreceding, -1)
-    near = visible.withColumn("_n", F.coalesce(F.sum(F.col("e") - F.col("s") + 1).over(order), F.lit(0))).where(F.col("_n") < radius)
+    visible = visible.withColumn("_o", -F.col("s") if left else F.col("s"))
+    near = running_total(visible, "_o", F.col("e") - F.col("s") + 1, "_n").where(F.col("_n") < radius)
     room = F.lit(radius) - F.col("_n")
     low = F.greatest(F.col("s"), F.col("e") - room + 1) if left else F.col("s")
     high = F.col("e") if left else F.least(F.col("e"), F.col("s") + room - 1)

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpoint_ready
+
 BUCKET = 1 << 20
 
 
@@ -19,30 +21,47 @@ def _bucket(order: str, bucket: int | None) -> Column:
     return F.floor(F.col(order) / (bucket or BUCKET))
 
 
-def scan(df: DataFrame, order: str, value: Column, name: str, how: str, group: tuple[str, ...] = (), bucket: int | None = None, inclusive: bool = False) -> DataFrame:
-    """Adds `name`: the last non-null, the sum (0 for none) or the min of `value` over the rows before this one, and of this one if inclusive.
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut where a shared checkpoint folder is known: scans that build on it do not repeat it."""
+    return df.checkpoint() if checkpoint_ready(df) else df
+
+
+def scans(df: DataFrame, order: str, values: dict[str, tuple[Column, str]], group: tuple[str, ...] = (), bucket: int | None = None, inclusive: bool = False) -> DataFrame:
+    """Adds each name of values(name: (value, how)): over the rows before this one, and this one if inclusive, the last non-null
+    value ("last"), the sum ("sum", 0 for none), the least ("min") or the greatest ("max").
 
-    `order` is unique within a group. Groups are cut into buckets of their own, so a group of any
-    size is spread over many tasks; a null in a group column makes a group like any other value.
+    `order` is unique within a group, or rows of equal order have equal or null values. Groups are cut into buckets of their own,
+    so a group of any size is spread over many tasks; a null in a group column makes a group like any other
+    value. All values share the pass over the rows and the one join with the carries.
     """
-    d = df.withColumn("_b", _bucket(order, bucket)).withColumn("_v", value)
+    d = df.withColumn("_b", _bucket(order, bucket)).withColumns({f"_v{i}": v for i, (v, _) in enumerate(values.values())})
     ahead = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy(*group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    if how == "last":
-        edge, carry, here = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))), F.last("_e", ignorenulls=True).over(ahead), F.last("_v", ignorenulls=True).over(own)
-        both = F.coalesce("_own", "_c")
-    elif how == "min":
-        edge, carry, here = F.min("_v"), F.min("_e").over(ahead), F.min("_v").over(own)
-        both = F.least("_own", "_c")
-    else:
-        edge, carry, here = F.sum("_v"), F.sum("_e").over(ahead), F.sum("_v").over(own)
-        both = (F.coalesce("_own", F.lit(0)) + F.coalesce("_c", F.lit(0))).cast("long")
+    edges, carries, here, both = [], [], {}, {}
+    for i, (name, (_, how)) in enumerate(values.items()):
+        v, e, o, c = f"_v{i}", f"_e{i}", f"_own{i}", f"_c{i}"
+        if how == "last":
+            edge, carry, here[o] = F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))), F.last(e, ignorenulls=True), F.last(v, ignorenulls=True).over(own)
+            both[name] = F.coalesce(o, c)
+        elif how in ("min", "max"):
+            of = F.min if how == "min" else F.max
+            edge, carry, here[o] = of(v), of(e), of(v).over(own)
+            both[name] = (F.least if how == "min" else F.greatest)(o, c)
+        else:
+            edge, carry, here[o] = F.sum(v), F.sum(e), F.sum(v).over(own)
+            both[name] = (F.coalesce(o, F.lit(0)) + F.coalesce(c, F.lit(0))).cast("long")
+        edges.append(edge.alias(e))
+        carries.append(carry.over(ahead).alias(c))
     keys = {g: f"_g{i}" for i, g in enumerate(group)}
-    edges = d.groupBy(*group, "_b").agg(edge.alias("_e"))
-    carries = edges.select(*[F.col(g).alias(k) for g, k in keys.items()], F.col("_b").alias("_cb"), carry.alias("_c"))
+    before = d.groupBy(*group, "_b").agg(*edges).select(*[F.col(g).alias(k) for g, k in keys.items()], F.col("_b").alias("_cb"), *carries)
     same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(k)) for g, k in keys.items()], F.col("_b") == F.col("_cb"))
-    d = d.withColumn("_own", here).join(carries, same)
-    return d.withColumn(name, both).drop("_b", "_v", "_own", "_c", "_cb", *keys.values())
+    d = d.withColumns(here).join(before, same).withColumns(both)
+    return d.drop("_b", "_cb", *keys.values(), *here, *[f"_{x}{i}" for x in "vc" for i in range(len(values))])
+
+
+def scan(df: DataFrame, order: str, value: Column, name: str, how: str, group: tuple[str, ...] = (), bucket: int | None = None, inclusive: bool = False) -> DataFrame:
+    """scans() of one value."""
+    return scans(df, order, {name: (value, how)}, group, bucket, inclusive)
 
 
 def running_total(df: DataFrame, order: str, value: Column, name: str, bucket: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import channels as ch
@@ -114,35 +114,47 @@ ASOF = """WITH x AS (SELECT event_id AS line, user_id AS handle, event_type FROM
 
 @query(f"{ASOF} SELECT c.line AS close_line, c.handle, max(o.line) AS open_line FROM x c LEFT JOIN x o ON o.handle = c.handle AND o.event_type = 'signup' AND o.line < c.line WHERE c.event_type = 'error' GROUP BY 1, 2")
 def handle_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest open of a handle before each close: one window instead of a range join."""
+    """Latest open of a handle before each close: a scan instead of a range join."""
     e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'error')")
     kind = F.when(F.col("event_type") == "signup", "open").otherwise("close")
     e = e.select(F.lit("a").alias("trace"), F.col("user_id").alias("handle"), F.col("event_id").alias("line"), kind.alias("type"))
     return ch.latest_opens(e).select("close_line", "handle", "open_line")
 
 
-@query(
-    f"""{ASOF}, o AS (SELECT line, handle, (SELECT min(c.line) FROM x c WHERE c.handle = x.handle AND c.event_type = 'error' AND c.line > x.line) AS close_line FROM x WHERE event_type = 'signup'),
- f AS (SELECT handle, close_line, min(line) AS open_line FROM o GROUP BY handle, close_line)
- SELECT d.line, d.handle, max(f.open_line) AS open_line FROM x d JOIN f ON f.handle = d.handle AND f.open_line < d.line AND (f.close_line IS NULL OR f.close_line > d.line) WHERE d.event_type = 'purchase' GROUP BY 1, 2"""
-)
-def handle_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Data events with the stream that is open when they happen."""
+# opens, then closes that each end the latest stream opened before them (a later close again), then data: the last stream that is open
+THREE = f"""{ASOF}, c AS (SELECT c.line AS close_line, c.handle, max(o.line) AS open_line FROM x c JOIN x o ON o.handle = c.handle AND o.event_type = 'signup' AND o.line < c.line WHERE c.event_type = 'error' GROUP BY 1, 2),
+ s AS (SELECT o.handle, o.line AS open_line, max(c.close_line) AS end_line FROM x o LEFT JOIN c ON c.handle = o.handle AND c.open_line = o.line WHERE o.event_type = 'signup' GROUP BY 1, 2)"""
+
+
+def _three_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'error', 'purchase')")
     kind = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "error", "close").otherwise("send")
-    e = e.select(F.lit("a").alias("trace"), F.col("event_id").alias("line"), F.col("user_id").alias("handle"), kind.alias("type"), F.lit(None).cast("string").alias("channel_id"), F.col("event_type").alias("payload"))
-    return ch.stream_events(e).select("line", "handle", "open_line")
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    # every third result is zero in its low half, whatever its high half holds
+    result = F.concat(F.lpad(F.hex(k), 8, "0"), F.lpad(F.hex(k % 3), 8, "0"))
+    return e.select(F.lit("a").alias("trace"), F.col("event_id").alias("line"), F.col("user_id").alias("handle"), kind.alias("type"), result.alias("result"))
+
+
+@query(f"{THREE} SELECT handle, open_line, end_line FROM s")
+def stream_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream from every open, with the last close that ends it."""
+    return ch.ended_opens(_three_passes(spark, sf_dir)).select("handle", "open_line", "end_line")
+
+
+@query(f"{THREE} SELECT d.line, d.handle, max(s.open_line) AS open_line FROM x d JOIN s ON s.handle = d.handle AND s.open_line < d.line AND (s.end_line IS NULL OR s.end_line > d.line) WHERE d.event_type = 'purchase' GROUP BY 1, 2")
+def handle_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data events with the last opened of the streams that are open when they happen."""
+    return ch.assigned(_three_passes(spark, sf_dir)).select("line", "handle", "open_line")
 
 
 @query(f"{ASOF}, n AS (SELECT *, CASE WHEN handle % 65536 >= 32768 THEN handle % 65536 - 65536 ELSE handle % 65536 END AS id16 FROM x) SELECT m.line, CAST(m.id16 AS INT) AS channel, max(o.line) AS create_line FROM n m LEFT JOIN n o ON o.id16 = m.id16 AND o.event_type = 'signup' AND o.line < m.line WHERE m.event_type = 'click' GROUP BY 1, 2")
 def channel_name_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with the latest creation of their channel, ids cut to signed 16 bits."""
     e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'click')")
-    low = F.col("user_id") % 65536
-    e = e.select(F.col("event_id").alias("line"), "event_type", F.when(low >= 32768, low - 65536).otherwise(low).cast("int").alias("channel"))
-    w = Window.partitionBy("channel").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("create_line", F.last(F.when(F.col("event_type") == "signup", F.col("line")), ignorenulls=True).over(w))
-    return e.where("event_type = 'click'").select("line", "channel", "create_line")
+    at = lambda kind: e.where(F.col("event_type") == kind).select(F.lit("a").alias("trace"), F.col("user_id").alias("id"), F.col("event_id").alias("line"))
+    creates, messages = at("signup").withColumn("name", F.col("line").cast("string")), at("click").withColumn("message", F.lit(""))
+    named = ch.named_messages(creates, messages, unnamed=True)
+    return named.select("line", ch.signed16(F.col("id")).cast("int").alias("channel"), F.col("channel_name").cast("long").alias("create_line"))
 
 
 @query(
@@ -173,17 +185,12 @@ def carried_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{ASOF}, c AS (SELECT c.line AS close_line, c.handle, max(o.line) AS open_line FROM x c JOIN x o ON o.handle = c.handle AND o.event_type = 'signup' AND o.line < c.line WHERE c.event_type = 'error' GROUP BY 1, 2),
- s AS (SELECT o.handle, o.line AS open_line, min(c.close_line) AS close_line FROM x o LEFT JOIN c ON c.handle = o.handle AND c.open_line = o.line WHERE o.event_type = 'signup' GROUP BY 1, 2),
- l AS (SELECT d.line, d.handle, max(s.open_line) AS open_line FROM x d JOIN s ON s.handle = d.handle AND s.open_line < d.line WHERE d.event_type = 'purchase' GROUP BY 1, 2)
- SELECT l.line, l.handle, l.open_line FROM l JOIN s ON s.handle = l.handle AND s.open_line = l.open_line WHERE s.close_line IS NULL OR s.close_line > l.line"""
+    f"""{THREE}, r AS (SELECT event_id AS line, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 3 AS low FROM events)
+ SELECT d.line, d.handle, max(s.open_line) AS open_line FROM x d JOIN r ON r.line = d.line AND r.low <> 0 JOIN s ON s.handle = d.handle AND s.open_line < d.line AND (s.end_line IS NULL OR s.end_line > d.line) WHERE d.event_type = 'purchase' GROUP BY 1, 2"""
 )
 def stream_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Data events with their stream, by opens, then closes, then data."""
-    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'error', 'purchase')")
-    kind = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "error", "close").otherwise("send")
-    e = e.select(F.lit("a").alias("trace"), F.col("event_id").alias("line"), F.col("user_id").alias("handle"), kind.alias("type"))
-    return ch.assigned(e).select("line", "handle", "open_line")
+    """Data events that returned something, with their stream: by opens, then closes, then data."""
+    return ch.assigned(ch.successful(_three_passes(spark, sf_dir))).select("line", "handle", "open_line")
 
 
 @query(
