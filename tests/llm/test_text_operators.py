@@ -1,6 +1,8 @@
 """Quality rules, BPE, license scans, toxicity and URL filters against plain Python."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -89,6 +91,20 @@ def test_bpe_of_nothing(nothing):
     assert byte_bpe.decode(byte_bpe.encode(nothing, path, pattern), path, pattern).count() == 0
 
 
+def stretches(low, templates=license_scans.TEMPLATES, share=license_scans.SHARE):
+    """(line, label) -> containment: the best stretch that starts in a line with a template's word, by all stretches."""
+    words = [(w, k) for k, line in enumerate(low.split("\n")) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)]
+    out = {}
+    for label, template in templates.items():
+        s = set(template.split())
+        width = math.ceil(len(s) / share - 1e-9)
+        for i, (w, line) in enumerate(words):
+            held = len({x for x, _ in words[i : i + width]} & s) / len(s) if w in s else 0
+            if held >= share:
+                out[line, label] = max(held, out.get((line, label), 0))
+    return out
+
+
 def test_licenses(docs, texts):
     freq = license_scans.template_frequencies(docs)
     out = {r["doc_id"]: r for r in license_scans.scan(docs, freq).collect()}
@@ -104,15 +120,9 @@ def test_licenses(docs, texts):
             labels |= {label} if hits else set()
         r = out[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
-        blocks = set()
-        for k, line in enumerate(low.split("\n")):
-            words = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-            for label, template in license_scans.TEMPLATES.items():
-                s = set(template.split())
-                if len(words & s) / len(s) >= license_scans.SHARE:
-                    blocks.add((k, label, len(words & s) / len(s)))
-        assert {(b["line"], b["label"], b["containment"]) for b in r["blocks"]} == blocks
-        assert r["labels"] == ",".join(sorted(labels | {b[1] for b in blocks}))
+        blocks = stretches(low)
+        assert {(b["line"], b["label"]): b["containment"] for b in r["blocks"]} == blocks and len(r["blocks"]) == len(blocks)
+        assert r["labels"] == ",".join(sorted(labels | {label for _, label in blocks}))
     assert out[43]["n_base"] == 4
 
 
@@ -120,15 +130,29 @@ def test_wrapped_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
     bsd = "# Redistribution and use in source and binary\n# forms, with or without\n#\n# modification, are permitted provided that\n# the following conditions are met:"
     scattered = "\n".join(w + " filler" * 9 for w in license_scans.TEMPLATES["mit-grant"].split())
+    far = "all " + "so " * 300 + "rights " + "so " * 300 + "reserved " + "so " * 300
     texts = [mit, "Copyright\n\n" + bsd, mit.replace(" ", "\n"), scattered, mit + "\n" + bsd, mit.replace("\n", " ") + "\nend", "All\nrights reserved"]
+    texts += [scattered.replace("\n", " "), far, far.replace("rights ", "rights\n"), "x " * 400 + mit.replace("\n", " ") + " y" * 400, f"{mit}\n{mit}\nall rights reserved all rights reserved"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r["doc_id"]: r for r in license_scans.scan(docs, license_scans.template_frequencies(docs)).collect()}
-    assert [out[i]["labels"] for i in range(len(texts))] == ["mit-grant", "bsd-grant", "mit-grant", "", "bsd-grant,mit-grant", "mit-grant", "rights-reserved"]
-    assert [(b["line"], b["label"], b["containment"]) for b in out[1]["blocks"]] == [(2, "bsd-grant", 1.0)]
-    assert [(b["line"], b["label"], b["containment"]) for b in out[5]["blocks"]] == [(0, "mit-grant", 1.0)]
+    assert [out[i]["labels"] for i in range(len(texts))] == ["mit-grant", "bsd-grant", "mit-grant", "", "bsd-grant,mit-grant", "mit-grant", "rights-reserved", "", "", "", "mit-grant", "mit-grant,rights-reserved"]
+    for i, t in enumerate(texts):
+        assert {(b["line"], b["label"]): b["containment"] for b in out[i]["blocks"]} == stretches(t.lower())
     assert out[0]["score"] == 1.0 and out[3]["score"] == 0.0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_licenses_of_random_texts(spark, seed):
+    """Texts of few words, so that stretches touch, overlap and just miss; line ends anywhere."""
+    r = random.Random(seed)
+    templates = {"a": "one two three four five", "b": "two six seven eight nine ten", "c": "five", "d": "one one two", "e": "three nine"}
+    words = "one two three four five six seven eight nine ten or and".split()
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", "\n"]) for _ in range(r.randrange(0, 60))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in license_scans.scan(docs, license_scans.template_frequencies(docs, templates), templates).collect():
+        assert {(b["line"], b["label"]): b["containment"] for b in row["blocks"]} == stretches(texts[row["doc_id"]], templates)
+
+
 def test_license_filters(spark):
     """Length and positions rule out what they must, and nothing that the exact count would keep."""
     templates = {"a": "one two three four five", "b": "two six seven eight nine", "c": "five"}

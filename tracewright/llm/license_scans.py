@@ -1,21 +1,22 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, and across line ends all stretches of up to ceil(n / share) words
-for a template of n words, as sets of words: a wrapped notice is found, words scattered over a long
-text are not. The templates' words are ranked by their frequency in the whole corpus, rarest
-first; words of no template can match nothing and count nowhere. To hold `share` of a template of n
-words a block needs o = ceil(share * n) of them, so it must hold one of the template's n - o + 1
-rarest words (its prefix): an inverted index leads from those words to templates and the words'
-places in them. A block with fewer than o ranked words falls to the length filter. If the
-first common word stands at place i of the template and at place j of the block's m ranked words,
-no more than 1 + min(n - i, m - j) can be common: the positional filter drops the pair if that
-is less than o. What is left is counted exactly. The index is flat arrays, the same for all rows,
-of a size that is checked; the join is native column work on each row, without a shuffle.
+Blocks are all stretches of up to ceil(n / share) words of a text for a template of n words, as sets of words, wherever
+lines end: a notice is found wrapped or not, words scattered over a long text are not. The templates'
+words are ranked by their frequency in the whole corpus, rarest first; words of no template can
+match nothing and count nowhere. To hold `share` of a template of n words a block needs o =
+ceil(share * n) of them, so it must hold one of the template's n - o + 1 rarest words (its prefix): an
+inverted index leads from those words to templates and the words' places in them. A text with
+fewer than o ranked words falls to the length filter. If the first common word stands at place i of the
+template and at place j of the text's m ranked words, no more than 1 + min(n - i, m - j) can be common: the
+positional filter drops the pair if that is less than o. What is left is looked at around each prefix word and counted exactly,
+stretch by stretch. The index is flat arrays, the same for all rows, of a size that is checked; the
+join is native column work on each row, without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -103,8 +104,19 @@ class Index:
         return [w for i, w in enumerate(self.words) if self.posting_starts[i] < self.posting_starts[i + 1]]
 
     def rank_of(self, word: Column) -> Column:
-        """Rank of a template word; 0-based."""
-        return F.array_position(F.split(F.lit(",".join(self.words)), ","), word).cast("int") - 1
+        """Rank of a template word, 0-based; -1 of any other: words lie in as many buckets as there are words, by their hash."""
+        buckets: list[list[str]] = [[] for _ in self.words]
+        for i, w in enumerate(self.words):
+            buckets[zlib.crc32(w.encode()) % len(buckets)].append(f"{w}={i}")
+        table = F.split(F.lit(",".join(" " + " ".join(b) for b in buckets)), ",")
+        bucket = F.get(table, F.pmod(F.crc32(word.cast("binary")), F.lit(len(buckets))).cast("int"))
+        key = F.concat(F.lit(" "), word, F.lit("="))
+        behind = F.substring_index(F.call_function("substring_index", bucket, key, F.lit(-1)), " ", 1)
+        return F.when(F.contains(bucket, key), behind.cast("int")).otherwise(-1)
+
+    def leads(self, rank: Column) -> Column:
+        """Whether postings hang on the word of this rank."""
+        return (rank >= 0) & (F.get(_ints(self.posting_starts), rank) < F.get(_ints(self.posting_starts), rank + 1))
 
     def template(self, t: Column) -> Column:
         """Ranks of template t."""
@@ -132,9 +144,8 @@ class Index:
 def scan(docs: DataFrame, frequencies: dict[str, int], templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, share: float = SHARE, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and blocks.
 
-    blocks: array of (line, label, containment) for every line that holds `share` of a template, and for
-    each template whose best stretch over several lines holds more of it than any line, that stretch with
-    the line of its first template word (the first of equal stretches).
+    blocks: array of (line, label, containment) for every template and line in which a stretch starts that holds `share`
+    of the template: the greatest containment of these stretches. A stretch starts with a word of the template.
     score: the greatest containment (at least 1.0 where a base phrase stands, at most 1.0), else 0.
     Null and empty texts have no words: zero counts, null positions, empty labels. Equal templates
     both count; ties in frequency go by spelling. Texts are scanned whole, however long; equal rows get equal
@@ -163,57 +174,39 @@ def scan(docs: DataFrame, frequencies: dict[str, int], templates: dict[str, str]
             "_base": F.array_compact(F.array(*found)),
         }
     ).drop("_line")
-    prefix, vocabulary = index.prefix_words(), index.words
-    ranked = lambda words: F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: w.isin(vocabulary)), index.rank_of)))
-    # only texts with a prefix word are cut into lines, and only lines with one are ranked
+    prefix = index.prefix_words()
+    # only texts with a prefix word are looked at; their words as ranks in order, with their lines
     some = F.arrays_overlap("_words", F.split(F.lit(",".join(prefix)), ","))
-    nothing = lambda kind: F.array().cast(kind)
-    d = d.withColumn("_lines", F.when(some, F.split("_low", "\n")).otherwise(nothing("array<string>"))).drop("_low")
-    d = d.withColumn("_cand", F.transform("_lines", lambda x, i: F.struct(i.alias("line"), words_of(x).alias("w"))))
-    d = d.withColumn("_cand", F.filter("_cand", lambda s: F.exists(s["w"], lambda w: w.isin(prefix))))
-    d = d.withColumn("_sets", F.transform("_cand", lambda s: F.struct(s["line"].alias("line"), ranked(s["w"]).alias("ranks")))).drop("_cand")
+    line_words = lambda x, i: F.transform(words_of(x), lambda w: F.struct(index.rank_of(w).alias("r"), i.alias("line")))
+    nothing = F.array().cast("array<struct<r:int,line:int>>")
+    d = d.withColumn("_seen", F.when(some, F.flatten(F.transform(F.split("_low", "\n"), line_words))).otherwise(nothing)).drop("_low", "_words")
+    ranks = lambda a: F.transform(a, lambda x: x["r"])
+    d = d.withColumn("_ranks", F.array_sort(F.array_distinct(F.filter(ranks("_seen"), lambda r: r >= 0))))
+    d = d.withColumn("_may", index.candidates(F.col("_ranks"))).drop("_ranks")
     containment = lambda n, t: n / F.get(_ints(index.sizes), t)
     enough = lambda n, t: n >= F.get(_ints(index.needs), t)
-
-    def hits(s: Column) -> Column:
-        counted = F.transform(index.candidates(s["ranks"]), lambda t: F.struct(t.alias("t"), index.overlap(s["ranks"], t).alias("n")))
-        good = F.filter(counted, lambda x: enough(x["n"], x["t"]))
-        return F.transform(good, lambda x: F.struct(s["line"].cast("long").alias("line"), x["t"].alias("t"), containment(x["n"], x["t"]).alias("containment")))
-
-    d = d.withColumn("_whole", F.flatten(F.transform("_sets", hits))).drop("_sets")
-    # stretches around prefix words; a line's own are no better than the line
-    at = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s["w"].isin(prefix))
-    d = d.withColumn("_at", F.when(F.size("_lines") > 1, at).otherwise(nothing("array<struct<i:int,w:string>>")))
     width = lambda t: F.ceil(F.get(_ints(index.sizes), t) / F.lit(share) - 1e-9).cast("int")
-    places = F.flatten(F.transform("_at", lambda s: F.transform(index.postings(index.rank_of(s["w"])), lambda p: F.struct(p["t"].alias("t"), F.greatest(s["i"] - width(p["t"]) + 1, F.lit(0)).alias("i")))))
-    d = d.withColumn("_places", F.array_distinct(places)).drop("_at")
-    # what lies around, as ranks in order (-1: no template's word), where it can hold enough
-    rank = lambda w: F.when(w.isin(vocabulary), index.rank_of(w)).otherwise(F.lit(-1))
-    around = F.transform("_places", lambda p: F.struct(p["t"].alias("t"), p["i"].alias("i"), F.transform(F.slice("_words", p["i"] + 1, 2 * width(p["t"]) - 1), rank).alias("r")))
-    d = d.withColumn("_near", F.filter(around, lambda s: enough(index.overlap(s["r"], s["t"]), s["t"]))).drop("_places", "_words")
+    # the surroundings of prefix words that can hold enough
+    at = F.filter(F.transform("_seen", lambda s, i: F.struct(i.alias("i"), s["r"].alias("r"))), lambda s: index.leads(s["r"]))
+    d = d.withColumn("_at", F.when(F.size("_may") > 0, at).otherwise(F.array().cast("array<struct<i:int,r:int>>")))
+    led = lambda s: F.filter(index.postings(s["r"]), lambda p: F.array_contains("_may", p["t"]))
+    places = F.flatten(F.transform("_at", lambda s: F.transform(led(s), lambda p: F.struct(p["t"].alias("t"), F.greatest(s["i"] - width(p["t"]) + 1, F.lit(0)).alias("i")))))
+    d = d.withColumn("_places", F.array_distinct(places)).drop("_at", "_may")
+    around = F.transform("_places", lambda p: F.struct(p["t"].alias("t"), p["i"].alias("i"), ranks(F.slice("_seen", p["i"] + 1, 2 * width(p["t"]) - 1)).alias("r")))
+    d = d.withColumn("_near", F.filter(around, lambda s: enough(index.overlap(s["r"], s["t"]), s["t"]))).drop("_places")
 
     def stretches(s: Column) -> Column:
-        """(t, n, -start) of every stretch that starts at a word of the template."""
+        """(t, line, -n) of every stretch that starts at a word of the template."""
         goal = index.template(s["t"])
         starts = F.filter(F.sequence(F.lit(0), F.size(s["r"]) - 1), lambda k: F.array_contains(goal, F.get(s["r"], k)))
-        return F.transform(starts, lambda k: F.struct(s["t"].alias("t"), index.overlap(F.slice(s["r"], k + 1, width(s["t"])), s["t"]).alias("n"), (-(s["i"] + k)).alias("i")))
-
-    d = d.withColumn("_runs", F.flatten(F.transform("_near", stretches))).drop("_near")
-    d = d.withColumn("_runs", F.filter("_runs", lambda x: enough(x["n"], x["t"])))
-    # of each template the greatest overlap, then the first
-    best = F.transform(F.array_distinct(F.transform("_runs", lambda x: x["t"])), lambda t: F.array_max(F.filter("_runs", lambda x: x["t"] == t)))
-    d = d.withColumn("_over", F.transform(best, lambda x: F.struct((-x["i"]).alias("word"), x["t"].alias("t"), containment(x["n"], x["t"]).alias("containment")))).drop("_runs")
-
-    def line_at(word: Column) -> Column:
-        """Line of a text's word by its number."""
-        start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("line"))
-        step = lambda a, x: F.struct((a["seen"] + F.size(words_of(x))).alias("seen"), (a["line"] + (a["seen"] + F.size(words_of(x)) <= word).cast("int")).alias("line"))
-        return F.aggregate("_lines", start, step)["line"].cast("long")
-
-    more = F.filter("_over", lambda o: ~F.exists("_whole", lambda b: (b["t"] == o["t"]) & (b["containment"] >= o["containment"])))
-    more = F.transform(more, lambda o: F.struct(line_at(o["word"]).alias("line"), o["t"].alias("t"), o["containment"].alias("containment")))
+        return F.transform(starts, lambda k: F.struct(s["t"].alias("t"), F.get(F.col("_seen"), s["i"] + k)["line"].alias("line"), (-index.overlap(F.slice(s["r"], k + 1, width(s["t"])), s["t"])).alias("n")))
+
+    d = d.withColumn("_runs", F.flatten(F.transform("_near", stretches))).drop("_near", "_seen")
+    d = d.withColumn("_runs", F.array_sort(F.filter("_runs", lambda x: enough(-x["n"], x["t"]))))
+    # of each template and line the greatest overlap comes first
+    new = lambda x, k: (k == 0) | (F.get(F.col("_runs"), k - 1)["t"] != x["t"]) | (F.get(F.col("_runs"), k - 1)["line"] != x["line"])
+    d = d.withColumn("_all", F.transform(F.filter("_runs", new), lambda x: F.struct(x["line"].cast("long").alias("line"), x["t"].alias("t"), containment(-x["n"], x["t"]).alias("containment")))).drop("_runs")
     named = F.split(F.lit(",".join(index.labels)), ",")
-    d = d.withColumn("_all", F.concat("_whole", more)).drop("_whole", "_over", "_lines")
     d = d.withColumn("blocks", F.transform("_all", lambda b: F.struct(b["line"].alias("line"), F.get(named, b["t"]).alias("label"), b["containment"].alias("containment")))).drop("_all")
     added = F.transform("blocks", lambda b: b["label"])
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")

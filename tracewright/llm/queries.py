@@ -214,8 +214,9 @@ def _license_sql() -> str:
  w AS (SELECT doc_id, {split.format('low')} AS w FROM d), j AS (SELECT doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS s, ' ' || array_to_string(w, '  ') || ' ' AS d FROM w),
  b AS (SELECT doc_id, n_words, {count} AS n_base, least({first}) AS first_word, greatest({last}) AS last_word, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM j),
  t(label, words) AS (VALUES {templates}),
- x AS (SELECT doc_id, list_distinct({split.format('line')}) AS words FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
- y AS (SELECT doc_id, label, max(len(list_intersect(x.words, t.words)) / len(t.words)) AS c FROM x, t WHERE len(list_intersect(x.words, t.words)) >= {license_scans.SHARE} * len(t.words) GROUP BY 1, 2),
+ p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+ x AS (SELECT p.doc_id, t.label, len(list_intersect(list_distinct(p.w[p.i:p.i + CAST(ceil(len(t.words) / {license_scans.SHARE} - 1e-9) AS INT) - 1]), t.words)) / len(t.words) AS c FROM p JOIN (SELECT label, words, unnest(words) AS word FROM t) t ON t.word = p.w[p.i]),
+ y AS (SELECT doc_id, label, max(c) AS c FROM x WHERE c >= {license_scans.SHARE} - 1e-9 GROUP BY 1, 2),
  z AS (SELECT doc_id, list(label) AS labels, max(c) AS c FROM y GROUP BY doc_id)
  SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score FROM b LEFT JOIN z USING (doc_id)"""
