@@ -145,15 +145,25 @@ def test_bounds_rule_out_most():
     assert (lower <= np.sqrt(full) + 1e-6).all() and (upper >= np.sqrt(best) - 1e-6).all()
 
 
-def test_totals_of_hot_keys(spark, monkeypatch):
+@pytest.mark.parametrize("share", [20, 1000000, 1])
+def test_joins_of_hot_keys(spark, monkeypatch, share):
+    """Hot keys, null ones too, give the rows of a plain join."""
     rows = [(i, None if i % 3 == 0 else i % 50 if i % 3 == 1 else i) for i in range(600)]
     d = spark.createDataFrame(rows, "i long, k long")
-    monkeypatch.setattr(shared, "HOT_SHARE", 20)
-    out = shared.with_totals(d, d.groupBy("k").agg(F.count("*").alias("n"), F.sum("i").alias("s")), ["k"], "n")
+    monkeypatch.setattr(shared, "HOT_SHARE", share)
+    monkeypatch.setattr(shared, "KEY_PAIRS", 7)
     sums = defaultdict(int)
     for i, k in rows:
         sums[k] += i
-    assert out.columns == ["i", "k", "s"] and sorted(map(tuple, out.collect())) == sorted((i, k, sums[k]) for i, k in rows)
+    totals = d.groupBy("k").agg(F.count("*").alias("n"), F.sum("i").alias("s"))
+    for out in (shared.join_one(d, totals, ["k"], n="n"), shared.join_one(d, totals.drop("n"), ["k"])):
+        assert out.columns == ["i", "k", "s"] and sorted(map(tuple, out.collect())) == sorted((i, k, sums[k]) for i, k in rows)
+    few = totals.where("k % 2 = 0")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, shared.join_one(d, few, ["k"], how, "n").collect()))
+        assert got == sorted((i, k, sums[k] if k is not None and k % 2 == 0 else None) for i, k in rows if how == "left" or (k is not None and k % 2 == 0))
+    spread = shared.spread_join(d, totals.drop("n"), "k", "i")
+    assert sorted((r["i"], r["k"], r["s"]) for r in spread.collect()) == sorted((i, k, sums[k]) for i, k in rows if k is not None)
 
 
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "aab", "ehlo", " 'streveml'ld!?", "0123 9", "éÀßİıſǅ", "é̀ä́각가", "日本語。、が", "😀👍🏽‍", "​\u0085  \x1c\x1f\t\n ", "Σςσ", "АбвЙй"]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, discard, stored, with_totals
+from .shared import bound_batches, discard, join_one, stored
 
 SCALE = 256
 #: Components up to this size have exact squared distances in 64 bits; larger ones are reckoned as Python integers.
@@ -233,4 +233,4 @@ def compress(vectors: DataFrame, n_parts: int = 16, n_entries: int = 64, rounds:
     out = stored(_pass(now, books, True), "codes-last")
     discard(now)
     totals = out.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("_rows"))
-    return with_totals(out, totals, ["label"], "_rows"), books
+    return join_one(out, totals, ["label"], n="_rows"), books

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, stored
+from .shared import discard, join_one, stored
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Every round each node points to the neighbour (itself included) of least hash, the
     edges are carried over to the roots, and edges inside one root vanish. Hash order
     instead of id order makes sorted chains shrink by a constant factor a round too. A hot
-    node has many edges but one row of state, so partial aggregation bears its load. No
+    node has many edges but one row of state, so partial aggregation bears its load and its row is broadcast (join_one). No
     edges: an empty table. Self links and repeated links are harmless; rows with nulls are
     ignored.
     """
@@ -40,18 +40,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         parent = stored(parent, "parents")
         spent, spent_owner = live, owner
         live = (
-            live.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a")
-            .join(parent.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
+            join_one(join_one(live, parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), ["a"]), parent.select(F.col("node").alias("b"), F.col("parent").alias("pb")), ["b"])
             .where("pa <> pb")
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
             .distinct()
         )
         live = stored(live, "live")
-        owner = owner.join(parent.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+        owner = join_one(owner, parent.withColumnRenamed("node", "root"), ["root"], "left").select("node", F.coalesce("parent", "root").alias("root"))
         owner = stored(owner, "owner")
         discard(spent, spent_owner, parent)
     else:
         raise RuntimeError("components did not settle")
     discard(live, pairs)
-    least = owner.groupBy("root").agg(F.min("node").alias("component"))
-    return owner.join(least, "root").select("node", "component")
+    least = stored(owner.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("_n")), "least")
+    return join_one(owner, least, ["root"], n="_n").select("node", "component")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import mapped, stored
+from .shared import discard, join_one, mapped, stored
 
 COSINE = 0.95
 #: Vectors of a block, about.
@@ -359,8 +359,14 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     counts = found.where("n <> 0").groupBy("rep").agg(F.sum("n").alias("n"))
     at = components(found.where("n = 0 and rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of_class = reps.join(counts, "rep", "left").join(at.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("dim", "unit", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = base.join(of_class, ["dim", "unit"], "left")
+    of_class = of_class.select("dim", "unit", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    of_class = stored(of_class, "vector-results")
+    discard(reps, located, blocks, found)
+    # a vector that very many rows repeat stays where its rows are; rows without a vector or an id ask for none
     known = F.col("vec_id").isNotNull()
+    linked = known & (F.col("dim") > 0)
+    out = join_one(base.where(linked), of_class, ["dim", "unit"], n="m")
+    none = {c: F.lit(None).cast("long") for c in ("n_links", "component_id")}
+    out = out.unionByName(base.where(~linked | F.col("dim").isNull()).withColumns(none))
     out = out.select("vec_id", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(known, F.coalesce("component_id", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

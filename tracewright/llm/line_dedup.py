@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment.
 
 A text is cut into lines: at line ends, and within long lines also behind sentence ends, so that
-a passage that stands in the middle of a paragraph is seen too. Runs of lines that reach
-MIN_WORDS words are rare enough to name a passage; each run's hash leads every later document to
+a passage that stands in the middle of a paragraph is seen too. Single lines may be common; runs of lines that reach
+MIN_WORDS words are what counts as rare, however many documents share them: each run's hash leads every later document to
 the first document that holds it (one pair a document and first holder, so a run that
-thousands share costs thousands of pairs, not millions). Each pair is aligned by patience diff,
+thousands share costs thousands of pairs, not millions). Runs and first documents of very many
+pairs are joined where the pairs are, so neither comes to one task. Each pair is aligned by patience diff,
 and common blocks of MIN_WORDS words or more are deleted from the later document. Runs that
 patience leaves over, as they moved or repeat within a document, are matched by their
 hashes, so every repeated run goes.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mapped, stored
+from .shared import discard, join_one, mapped, spread_join, stored
 
 #: Fewest words of a block that is deleted.
 MIN_WORDS = 15
@@ -132,16 +133,16 @@ def repeated_lines(docs: DataFrame, text: str = "text", least: int = MIN_WORDS)
     given = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"))
     cuts = stored(mapped(given, ["doc_id"], ["_text"], [T.StructField(n, k) for n, k in kinds.items()], cut), "line-hashes")
     keys = cuts.select("doc_id", F.explode_outer("keys").alias("key")).where("key is not null")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    pairs = keys.join(shared, "key").where("doc_id > first").select("doc_id", "first").distinct()
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("_n")).where("first < last").drop("last")
+    # a run that a large part of the documents share stays where its documents are
+    shared = stored(shared, "line-keys")
+    pairs = join_one(keys, shared, ["key"], n="_n").where("doc_id > first").select("doc_id", "first").distinct()
     pairs = stored(pairs, "line-pairs")
-    # a first document that very many later ones share goes to several places, each with a part of them
-    parts = pairs.groupBy("first").agg(F.ceil(F.count("*") / HOLDER_PAIRS).cast("int").alias("_parts"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")
-    firsts = cuts.select(F.col("doc_id").alias("first"), F.col("h").alias("hf")).join(parts, "first").select("first", "hf", every)
-    dealt = pairs.join(parts, "first").select("doc_id", "first", F.pmod(F.xxhash64("doc_id"), "_parts").cast("int").alias("_part"))
+    discard(shared)
+    # a first document that very many later ones share goes to several places, each with a part of them;
     # documents of equal id are one for the pairing; their rows are aligned each
-    both = dealt.join(cuts.select("doc_id", "h", "w"), "doc_id").join(firsts, ["first", "_part"])
+    firsts = cuts.select(F.col("doc_id").alias("first"), F.col("h").alias("hf"))
+    both = spread_join(pairs, firsts, "first", "doc_id", HOLDER_PAIRS).join(cuts.select("doc_id", "h", "w"), "doc_id")
 
     def align(hs: list[bytes], ws: list[bytes], fs: list[bytes]) -> tuple:
         u8 = lambda x: np.frombuffer(x, np.uint64)
@@ -149,7 +150,10 @@ def repeated_lines(docs: DataFrame, text: str = "text", least: int = MIN_WORDS)
 
     found = mapped(both, ["doc_id"], ["h", "w", "hf"], [T.StructField("lines", T.ArrayType(T.IntegerType()))], align).where(F.size("lines") > 0)
     # a document's places: bounded by its own lines and first holders
-    return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    out = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    out = stored(out, "line-repeats")
+    discard(cuts, pairs)
+    return out
 
 
 def without_repeats(docs: DataFrame, text: str = "text", least: int = MIN_WORDS) -> DataFrame:
@@ -159,7 +163,7 @@ def without_repeats(docs: DataFrame, text: str = "text", least: int = MIN_WORDS)
     as they are, as do null ids; blocks within one document are no repeats. Documents of equal id
     never delete from each other. Columns named n_lines or removed_lines are replaced.
     """
-    repeats = stored(repeated_lines(docs, text, least), "line-repeats").select(F.col("doc_id").alias("_id"), F.col("lines").alias("removed_lines"))
+    repeats = repeated_lines(docs, text, least).select(F.col("doc_id").alias("_id"), F.col("lines").alias("removed_lines"))
     d = docs.drop("n_lines", "removed_lines")
     d = d.join(repeats, d["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import discard, mapped, stored
+from .shared import discard, join_one, mapped, spread_join, stored
 
 WORDS = 5
 HASHES, ROWS = 200, 5
@@ -148,7 +148,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFra
     fewest = least_matches(percent)
     left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
     right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = spread_join(pairs.select("a", "b"), left, "a", "b").join(right, "b")
     both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,8 +163,9 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFra
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets, of sets(rep, shingles), reach the threshold."""
-    both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = both.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+    pairs = stored(pairs, "minhash-likely")
+    both = spread_join(pairs, sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a", "b")
+    both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -175,7 +176,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.loc[good, ["a", "b"]]
 
-    return stored(both.mapInPandas(exact, "a long, b long"), "minhash-links")
+    links = stored(both.mapInPandas(exact, "a long, b long"), "minhash-links")
+    discard(pairs)
+    return links
 
 
 def blocks(hits: DataFrame, reps: DataFrame, at: DataFrame) -> DataFrame:
@@ -297,13 +300,15 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     reps = (
         base.where("n_shingles > 0 and doc_id is not null")
         .groupBy("n_shingles", "set_hash")
-        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+        .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("m"))
         .withColumnRenamed("n_shingles", "n")
     )
     reps = stored(reps, "minhash-classes")
     rows = banded(reps)
-    shared = rows.groupBy("band", "bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last")
-    hits = stored(rows.join(shared, ["band", "bucket"]), "minhash-buckets")
+    shared = rows.groupBy("band", "bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count("*").alias("_n")).where("leader < last").drop("last")
+    shared = stored(shared, "minhash-leaders")
+    hits = stored(join_one(rows, shared, ["band", "bucket"], n="_n"), "minhash-buckets")
+    discard(shared)
     # the texts move once; all later checks use the sets of documents that share a bucket
     near = hits.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text")).join(near, "doc_id", "left_semi")
@@ -318,7 +323,11 @@ def groups(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     over = over.select(F.col("node").alias("_low"), F.col("component").alias("_lowest"))
     at = reps.select(F.col("rep").alias("node")).distinct().join(at, "node", "left").select("node", F.coalesce("component", "node").alias("_low"))
     at = at.join(over, "_low", "left").select("node", F.coalesce("_lowest", "_low").alias("component"))
-    of_class = reps.join(at.withColumnRenamed("node", "rep"), "rep").select(F.col("n").alias("n_shingles"), "set_hash", F.col("component").alias("component_id"))
-    out = base.drop("sig").join(of_class, ["n_shingles", "set_hash"], "left")
+    of_class = reps.join(at.withColumnRenamed("node", "rep"), "rep").select(F.col("n").alias("n_shingles"), "set_hash", "m", F.col("component").alias("component_id"))
+    # a set of very many copies stays where its documents are; documents without words or id ask for no class
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    rows = base.drop("sig")
+    out = join_one(rows.where(linked), stored(of_class, "minhash-components"), ["n_shingles", "set_hash"], n="m")
+    out = out.unionByName(rows.where(~linked).withColumn("component_id", F.lit(None).cast("long")))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

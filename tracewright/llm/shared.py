@@ -54,24 +54,42 @@ def discard(*tables: DataFrame) -> None:
 
 #: A key with more than one in HOT_SHARE of the rows is hot, so there are fewer hot keys than this.
 HOT_SHARE = 1000
+#: Pairs of one key that go to one place in spread_join.
+KEY_PAIRS = 4096
 
 
-def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
-    """rows joined with totals (one row a key, with the number n of rows that the key has), nulls equal nulls; the key columns once, n dropped.
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", n: str | None = None) -> DataFrame:
+    """rows joined ("inner" or "left") with `one`, which has one small row a key, nulls equal nulls; the key columns once.
 
-    Hot keys are fewer than HOT_SHARE, so their totals are broadcast and their rows stay where they are; the others shuffle, and
-    no key of theirs brings a task more than one in HOT_SHARE of all rows.
+    Hot keys are fewer than HOT_SHARE: their rows of `one` are broadcast, so that the rows of such a key stay spread over the
+    tasks that hold them. The others shuffle, and none of them brings a task more than one in HOT_SHARE of all rows. n: a
+    column of `one` with the number of rows that each key has, if that is known; it is dropped.
     """
     names = {k: f"_key{i}" for i, k in enumerate(keys)}
-    t = stored(totals.select(*[F.col(k).alias(a) for k, a in names.items()], *[c for c in totals.columns if c not in names]), "totals")
-    most = (t.agg(F.sum(n)).first()[0] or 0) / HOT_SHARE
-    hot = t.where(F.col(n) > most)
+    o = one.select(*[F.col(k).alias(a) for k, a in names.items()], *[c for c in one.columns if c not in names])
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(a)) for k, a in names.items()])
-    is_hot = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), same, "left")
-    new = [c for c in t.columns if c not in names.values() and c != n]
-    first = is_hot.where("_hot").select(*rows.columns, *new)
-    rest = is_hot.where("_hot is null").select(*rows.columns)
-    return first.unionByName(rest.join(t.where(F.col(n) <= most), same, how).select(*rows.columns, *new))
+    counts = o.select(*names.values(), F.col(n).alias("_n")) if n else rows.groupBy(*[F.col(k).alias(a) for k, a in names.items()]).agg(F.count("*").alias("_n"))
+    total = (o.agg(F.sum(n)).first()[0] or 0) if n else rows.count()
+    hot = counts.where(F.col("_n") > total / HOT_SHARE).drop("_n").collect()
+    o = o.drop(n) if n else o
+    new = [c for c in o.columns if c not in names.values()]
+    plain = lambda d: d.join(o, same, how).select(*rows.columns, *new)
+    if not hot:
+        return plain(rows)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, o.select(*names.values()).schema))
+    theirs = F.broadcast(o.join(few.withColumnsRenamed({a: f"{a}h" for a in names.values()}), reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(f"{a}h")) for a in names.values()]), "left_semi"))
+    return rows.join(few, same, "left_semi").join(theirs, same, how).select(*rows.columns, *new).unionByName(plain(rows.join(few, same, "left_anti")))
+
+
+def spread_join(pairs: DataFrame, one: DataFrame, key: str, other: str, per: int | None = None) -> DataFrame:
+    """pairs(key, other, ...) joined with `one`, which has one row a key, of any size.
+
+    A key of very many pairs goes to several places, each with up to about `per` of them and a copy of its row.
+    """
+    parts = stored(pairs.groupBy(key).agg(F.count("*").alias("_n")).select(key, F.ceil(F.col("_n") / (per or KEY_PAIRS)).cast("int").alias("_parts"), "_n"), "key-parts")
+    copies = one.join(parts.drop("_n"), key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    dealt = join_one(pairs, parts, [key], n="_n").withColumn("_part", F.pmod(F.xxhash64(other), "_parts").cast("int")).drop("_parts")
+    return dealt.join(copies, [key, "_part"]).drop("_part")
 
 
 def words_of(text: Column) -> Column:
