@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import previous, scan
+from ..functions.text import message_text
+from .control_flow import return_lines
+from .ordered import scan, scans, settled
 
 #: Lines per first-level snapshot, and first-level snapshots per second-level one.
 BRANCH = 1000
@@ -60,19 +63,6 @@ def state_from_snapshots(writes: DataFrame, first: DataFrame, second: DataFrame,
     return newest(parts, keys, value, ["line", "seq"])
 
 
-def ranges(state: DataFrame) -> DataFrame:
-    """(start, bytes, hex): maximal runs of neighbouring addresses with their bytes as hex text."""
-    w = Window.partitionBy("_p").orderBy("addr")
-    s = state.withColumn("_p", F.floor(F.col("addr") / 65536))  # pages; a run that crosses a page edge is joined below
-    s = s.withColumn("_r", F.col("addr") - F.row_number().over(w))
-    runs = s.groupBy("_p", "_r").agg(F.min("addr").alias("start"), F.max("addr").alias("last"), F.count("*").alias("bytes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("addr", "byte"))), lambda x: x["byte"]), "").alias("hex"))
-    runs = previous(runs, "start", {"_before": "last"})
-    new = F.coalesce((F.col("start") != F.col("_before") + 1).cast("int"), F.lit(1))
-    runs = scan(runs, "start", new, "_g", "sum", inclusive=True)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "hex"))), lambda x: x["hex"])
-    return runs.groupBy("_g").agg(F.min("start").alias("start"), F.sum("bytes").alias("bytes"), F.array_join(parts, "").alias("hex")).drop("_g")
-
-
 def search(state: DataFrame, needle_hex: str) -> DataFrame:
     """Addresses where a byte string (upper-case hex) stands in contiguous memory; overlapping hits count.
 
@@ -109,25 +99,120 @@ def spliced(old_hex: Column, new_hex: Column, width: int, high_byte: bool = Fals
     return F.concat(F.substring(old_hex, 1, 16 - digits), F.right(new_hex, F.lit(digits)))
 
 
-#: Bytes that a pointer is followed for.
+#: Bytes that a pointer is followed for, and of a page.
 POINTED = 256
+#: Lines for which a page's writes are read together.
+PAGE_LINES = 1 << 16
 
 
-def pointed(calls: DataFrame, state: DataFrame, size: int = POINTED) -> DataFrame:
-    """calls(buffer, ...) with payload: hex of the set bytes at buffer to buffer + size - 1, in address order; calls without any go.
+def bytes_as_of(requests: DataFrame, byte_writes: DataFrame, page_lines: int | None = None) -> DataFrame:
+    """(line, role, hex): the set bytes from `low` to low + size - 1 as they stand after line `at`, in address order, for
+    requests(line, role, at, low, size) with unique (line, role); requests without any set byte give no row.
 
-    State and calls meet by pages of `size` addresses: a page has at most `size` bytes, a call two pages.
+    byte_writes: (addr, line, byte), or with seq where a line writes a byte more than once: the last counts. Writes and
+    requests meet by pages of POINTED addresses and spans of page_lines lines: each such group starts with what the page holds by
+    then and is read once, in line order. So neither a busy page nor a long trace comes to one task, and no request
+    asks for single bytes.
     """
-    page = lambda a: F.floor(a / size).cast("long")
-    s = state.select(page(F.col("addr")).alias("_p"), F.struct(F.col("addr").cast("decimal(20,0)").alias("a"), "byte").alias("_x"))
-    pages = s.groupBy("_p").agg(F.array_sort(F.collect_list("_x")).alias("_bytes"))
-    rest = calls.columns
-    first = page(F.col("buffer"))
-    c = calls.withColumn("_id", F.struct(*rest)).withColumn("_p", F.explode(F.array_distinct(F.array(first, page(F.col("buffer") + (size - 1))))))
-    own = F.filter("_bytes", lambda x: (x["a"] >= F.col("buffer")) & (x["a"] < F.col("buffer") + size))
-    c = c.join(pages, "_p").groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list(own))).alias("_all"))
-    c = c.where(F.size("_all") > 0)
-    return c.select("_id.*", F.array_join(F.transform("_all", lambda x: x["byte"]), "").alias("payload"))
+    span = page_lines or PAGE_LINES
+    page_of = lambda a: F.floor(a / POINTED).cast("decimal(20,0)")
+    addr = F.col("addr").cast("decimal(20,0)")
+    seq = F.col("seq") if "seq" in byte_writes.columns else F.lit(0)
+    w = byte_writes.select(page_of(addr).alias("_p"), F.col("line").alias("at"), seq.cast("long").alias("_seq"), "byte", addr.alias("_a"))
+    w = w.withColumns({"_o": (F.col("_a") - F.col("_p") * POINTED).cast("int"), "_b": F.floor(F.col("at") / span)}).drop("_a")
+    low = F.col("low").cast("decimal(20,0)")
+    r = requests.where("at IS NOT NULL AND low IS NOT NULL AND size > 0").withColumns({"_first": page_of(low), "_b": F.floor(F.col("at") / span)})
+    r = r.withColumn("_lo", (low - F.col("_first") * POINTED).cast("long"))
+    r = r.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_lo") + F.col("size") - 1) / POINTED))))
+    r = r.select("line", "role", "at", "_b", (F.col("_first") + F.col("_i")).cast("decimal(20,0)").alias("_p"), "_i", F.greatest(F.col("_lo") - F.col("_i") * POINTED, F.lit(0)).alias("_from"), F.least(F.col("_lo") + F.col("size") - F.col("_i") * POINTED, F.lit(POINTED)).alias("_to"))
+    asked = r.select("_p", "_b").distinct()
+    # what each byte of an asked page holds before the span: the last of the spans before it
+    edges = w.groupBy("_p", "_o", "_b").agg(F.max_by("byte", F.struct("at", "_seq")).alias("byte"), F.lit(1).alias("_edge"))
+    asks = asked.join(edges.select("_p", "_o").distinct(), "_p").select("_p", "_o", "_b", F.lit(0).alias("_edge"))
+    ahead = Window.partitionBy("_p", "_o").orderBy("_b", "_edge").rowsBetween(Window.unboundedPreceding, -1)
+    both = edges.unionByName(asks, allowMissingColumns=True).withColumn("_held", F.last("byte", ignorenulls=True).over(ahead))
+    held = both.where("_edge = 0 AND _held IS NOT NULL").select("_p", "_b", "_o", F.col("_held").alias("byte"), F.lit(0).alias("_kind"))
+    here = w.join(asked, ["_p", "_b"], "left_semi").withColumn("_kind", F.lit(1))
+    events = held.unionByName(here, allowMissingColumns=True).unionByName(r.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
+
+    def read(e: pd.DataFrame) -> pd.DataFrame:
+        e = e.assign(at=e["at"].fillna(-1)).sort_values(["_kind", "at", "_seq"], kind="stable")
+        e = pd.concat([e[e["_kind"] == 0], e[e["_kind"] != 0].sort_values(["at", "_kind", "_seq"], kind="stable")])
+        state, out = [""] * POINTED, []
+        for kind, o, byte, line, role, i, lo, hi in zip(e["_kind"], e["_o"], e["byte"], e["line"], e["role"], e["_i"], e["_from"], e["_to"], strict=True):
+            if kind < 2:
+                state[int(o)] = byte
+            elif found := "".join(state[int(lo) : int(hi)]):
+                out.append((int(line), role, int(i), found))
+        return pd.DataFrame(out, columns=["line", "role", "_i", "hex"])
+
+    found = events.groupBy("_p", "_b").applyInPandas(read, "line long, role string, _i long, hex string")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_i", "hex"))), lambda x: x["hex"])  # the pages of one request
+    return found.groupBy("line", "role").agg(F.array_join(parts, "").alias("hex"))
+
+
+def pointed(calls: DataFrame, byte_writes: DataFrame, size: int = POINTED) -> DataFrame:
+    """(line, payload): hex of the set bytes at buffer to buffer + size - 1 as they stand at the line of calls(line, buffer); calls without any go."""
+    asked = calls.select("line", F.lit("entry").alias("role"), F.col("line").alias("at"), F.col("buffer").alias("low"), F.lit(size).cast("long").alias("size"))
+    return bytes_as_of(asked, byte_writes).select("line", F.col("hex").alias("payload"))
+
+
+def pointed_texts(calls: DataFrame, byte_writes: DataFrame, size: int = POINTED) -> DataFrame:
+    """(line, text): first line, trimmed, of the text that calls(line, buffer, return_line) point to when entered; where that is empty, when returned from.
+
+    Calls without any set byte at either time go.
+    """
+    times = F.explode(F.array(F.struct(F.lit("entry").alias("role"), F.col("line").alias("at")), F.struct(F.lit("exit").alias("role"), F.col("return_line").alias("at"))))
+    asked = calls.select("line", F.col("buffer").alias("low"), F.lit(size).cast("long").alias("size"), times.alias("_t")).select("line", "low", "size", "_t.*")
+    text = message_text(F.col("hex"))
+    at = lambda role: F.max(F.when(F.col("role") == role, text))
+    found = bytes_as_of(asked, byte_writes).groupBy("line").agg(at("entry").alias("_entry"), at("exit").alias("_exit"))
+    return found.select("line", F.coalesce(F.nullif("_entry", F.lit("")), "_exit", "_entry").alias("text"))
+
+
+#: Lanes of a 64-bit register that writes to its parts set: the top half, the next two bytes, the high byte and the low byte.
+LANES = {"top": 8, "mid": 4, "high": 2, "low": 2}
+
+
+def register_part(name: Column) -> Column:
+    """(reg, width) of a general register's name: the 64-bit register and the bits of the part (-8: the second byte); other names are whole, width null."""
+    n = F.upper(name)
+    pick = lambda p, i=1: F.regexp_extract(n, p, i)
+    classic, index, numbered = r"^([RE]?)([ABCD])X$", r"^([RE]?)(SI|DI|BP|SP|IP)(L?)$", r"^R(8|9|1[0-5])([DWB]?)$"
+    byte = r"^([ABCD])([LH])$"
+    of = lambda reg, width: F.struct(reg.alias("reg"), width.cast("int").alias("width"))
+    wide = lambda prefix: F.when(prefix == "R", 64).when(prefix == "E", 32).otherwise(16)
+    return (
+        F.when(n.rlike(classic), of(F.concat(F.lit("R"), pick(classic, 2), F.lit("X")), wide(pick(classic))))
+        .when(n.rlike(byte), of(F.concat(F.lit("R"), pick(byte), F.lit("X")), F.when(pick(byte, 2) == "L", 8).otherwise(-8)))
+        .when(n.rlike(index), of(F.concat(F.lit("R"), pick(index, 2)), F.when(pick(index, 3) == "L", 8).otherwise(wide(pick(index)))))
+        .when(n.rlike(numbered), of(F.concat(F.lit("R"), pick(numbered)), F.when(pick(numbered, 2) == "D", 32).when(pick(numbered, 2) == "W", 16).when(pick(numbered, 2) == "B", 8).otherwise(64)))
+        .otherwise(of(n, F.lit(None)))
+    )
+
+
+def register_file(writes: DataFrame, clears_top: bool = True) -> DataFrame:
+    """(reg, line, value_hex): the full 64-bit value (16 digits) of each register after each line that writes a part of it.
+
+    writes: (reg, line, seq, width, value_hex): width 64, 32, 16, 8 or -8 (the second byte); of a part that a line writes more than once the last
+    counts. A 32-bit write clears the top half, or leaves it if clears_top is false. Parts never written are
+    zero. Each lane of bytes carries its last writer in one scan by register.
+    """
+    v = F.lpad("value_hex", 16, "0")
+    w = F.col("width")
+    zero = F.lit("0" * 8)
+    lanes = {
+        "top": F.when(w == 64, F.substring(v, 1, 8)).when((w == 32) & F.lit(clears_top), zero),
+        "mid": F.when(w.isin(64, 32), F.substring(v, 9, 4)),
+        "high": F.when(w.isin(64, 32, 16), F.substring(v, 13, 2)).when(w == -8, F.substring(v, 15, 2)),
+        "low": F.when(w.isin(64, 32, 16, 8), F.substring(v, 15, 2)),
+    }
+    d = writes.select("reg", "line", "seq", *[c.alias(n) for n, c in lanes.items()])
+    # one row a register and line, so that the order is unique
+    d = d.groupBy("reg", "line").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("seq"))).alias(n) for n in LANES])
+    d = scans(d, "line", {f"_{n}": (F.col(n), "last") for n in LANES}, ("reg",), inclusive=True)
+    full = F.concat(*[F.coalesce(F.col(f"_{n}"), F.lit("0" * digits)) for n, digits in LANES.items()])
+    return d.select("reg", "line", full.alias("value_hex"))
 
 
 def leaf_deltas(parsed: DataFrame, skip: int | None = None) -> DataFrame:
@@ -196,3 +281,45 @@ def call_messages(calls: DataFrame, registers: DataFrame, byte_writes: DataFrame
     text = found.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "byte"))), lambda x: x["byte"]), "").alias("payload"))
     text = text.select("_id.line", "payload")
     return c.join(text, "line", "left")
+
+
+def call_events(lines: DataFrame, descriptors: DataFrame, registers: DataFrame, byte_writes: DataFrame) -> DataFrame:
+    """(line, return_line, func, type, input_value, ret_value, buffer, length, message): what the described functions were called with and gave.
+
+    Every line that executes the instruction at which a described function starts is a call; its return line is that of the
+    call line just before it. Registers of arguments are read at the entry, those of results at the return line. descriptors: (instruction_id, func, type, ret_reg,
+    value_reg, value_is_value, in_reg, in_len_reg, out_reg, out_len_reg, data_index), any register null; registers: (reg, line,
+    value_hex) as register_file gives them; byte_writes as for bytes_as_of; lines as for return_lines.
+
+    input_value: the register's digits, or the text it points to, at the entry or else at the return. Sends: all but the last
+    character of `length` bytes at in_reg, at the entry. Receives and checks: the first line, trimmed, of `length` bytes at
+    out_reg, at the return; a check with a data_index reads where the last receive of this index and value before it was told to
+    write. Lengths are the low 32 bits. Without a return line there is no result and no received message; without an address or
+    any set byte the message is null.
+    """
+    h = lines.select("line", "instruction_id").join(descriptors, "instruction_id")
+    h = settled(h.join(return_lines(lines).select((F.col("call_line") + 1).alias("line"), "return_line"), "line", "left"))
+    roles = {"value": "value_reg", "in": "in_reg", "in_len": "in_len_reg", "out": "out_reg", "out_len": "out_len_reg", "ret": "ret_reg"}
+    wanted = F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).alias("reg"), F.col("return_line" if r == "ret" else "line").alias("at")) for r, c in roles.items()])
+    asks = h.select(F.col("line").alias("call"), F.explode(wanted).alias("_w")).select("call", "_w.role", "_w.reg", F.col("_w.at").alias("line")).where("reg IS NOT NULL AND line IS NOT NULL")
+    got = value_at(asks, registers, "reg", "value_hex", "_v")
+    wide = got.groupBy("call").agg(*[F.max(F.when(F.col("role") == r, F.col("_v"))).alias(f"_{r}") for r in roles]).withColumnRenamed("call", "line")
+    c = h.join(wide, "line", "left")
+    number = lambda x: F.conv(x, 16, 10).cast("decimal(20,0)")
+    short = lambda x: F.conv(F.right(x, F.lit(8)), 16, 10).cast("long")
+    sends = F.col("type") == "send"
+    c = c.withColumns({"buffer": F.when(sends, number("_in")).otherwise(number("_out")), "length": F.when(sends, short("_in_len")).otherwise(short("_out_len"))})
+    texts = c.where("NOT value_is_value").select("line", number("_value").alias("buffer"), "return_line").where("buffer IS NOT NULL")
+    texts = pointed_texts(texts, byte_writes).withColumnRenamed("text", "_text")
+    c = settled(c.join(texts, "line", "left").withColumn("input_value", F.when(F.col("value_is_value"), F.col("_value")).otherwise(F.col("_text"))))
+    # a check reads where the last receive of its key was told to write
+    key = F.concat("data_index", F.coalesce("input_value", F.lit("")))
+    told = F.when((F.col("type") == "receive") & F.col("data_index").isNotNull(), F.struct("buffer", "length"))
+    c = scan(c.withColumn("_key", key), "line", told, "_told", "last", ("_key",))
+    checks = (F.col("type") == "check") & F.col("data_index").isNotNull()
+    c = c.withColumns({n: F.when(checks, F.col(f"_told.{n}")).otherwise(F.col(n)) for n in ("buffer", "length")})
+    asked = c.where("type IN ('send', 'receive', 'check')").select("line", F.lit("message").alias("role"), F.when(sends, F.col("line")).otherwise(F.col("return_line")).alias("at"), F.col("buffer").alias("low"), F.col("length").alias("size"))
+    found = bytes_as_of(asked, byte_writes).select("line", "hex")
+    sent = F.decode(F.unhex(F.substring(F.col("hex"), F.lit(1), F.greatest(F.col("length") - 1, F.lit(0)).cast("int") * 2)), "ISO-8859-1")
+    message = F.when(F.col("hex").isNull(), None).when(sends, sent).otherwise(message_text(F.col("hex")))
+    return c.join(found, "line", "left").select("line", "return_line", "func", "type", "input_value", F.col("_ret").alias("ret_value"), "buffer", "length", message.alias("message"))

@@ -10,6 +10,7 @@ from ..operators import markers as mk
 from ..operators.graph import reachable
 from ..operators.ordered import runs, with_next_start
 from ..sources.adapters import TRACE_SQL, trace_lines
+from ..sources.trace_text import thread_events
 from .registry import query
 
 W = f"WITH {TRACE_SQL}"
@@ -245,3 +246,23 @@ def cfg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = j.select("jump_instruction", "target_instruction", kind.alias("edge")).distinct()
     e = e.join(blocks.select(F.col("end_instruction").alias("jump_instruction")).distinct(), "jump_instruction", "left_semi")
     return e.join(blocks.select(F.col("start_instruction").alias("target_instruction")), "target_instruction", "left_semi").select("jump_instruction", "target_instruction", "edge")
+
+
+# a text line an event: its number and thread in hex, and a mark on signups, errors and some purchases; every eleventh line names no thread
+TEXT_SQL = """x AS (SELECT event_id AS line, CASE WHEN event_id % 11 <> 0 THEN lower(to_hex(user_id % 4)) END AS tid, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_type = 'signup' AND event_id % 3 = 0 THEN 0 WHEN event_type = 'error' AND event_id % 3 = 0 THEN 1 WHEN event_type = 'purchase' AND event_id % 17 = 0 THEN 4 END AS mark FROM events)"""
+
+
+@query(
+    f"""WITH {TEXT_SQL}, h AS (SELECT *, last_value(tid IGNORE NULLS) OVER (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM x),
+ s AS (SELECT *, CASE WHEN mark IS NOT NULL THEN mark WHEN tid IS NOT NULL AND (held IS NULL OR held <> tid) THEN 3 WHEN tid IS NOT NULL THEN -1 END AS k FROM h),
+ y AS (SELECT *, last_value(k IGNORE NULLS) OVER (ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+ e AS (SELECT line, coalesce(tid, held) AS tid, CASE WHEN k >= 0 THEN k ELSE 3 END AS type_id FROM y WHERE k >= 0 OR (k = -1 AND before = 0))
+ SELECT line, tid, type_id, coalesce(lead(line) OVER (ORDER BY line), (SELECT max(line) + 1 FROM x)) - line AS n_lines, line - min(line) OVER () AS view_start FROM e"""
+)
+def thread_events_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Begins, ends and switches of threads by what the lines of a text trace say."""
+    e = table(spark, sf_dir, "events")
+    mark = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0), "ThreadBegin |").when((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0), "ThreadEnd |")
+    mark = F.coalesce(mark.when((F.col("event_type") == "purchase") & (F.col("event_id") % 17 == 0), "ApplicationEnd |"), F.lit("mov eax, ebx |"))
+    text = F.when(F.col("event_id") % 11 == 0, F.concat(F.hex("event_id"), F.lit(" I:1 a.dll+1 nop |"))).otherwise(F.concat(F.hex("event_id"), F.lit(" "), F.lower(F.hex(F.col("user_id") % 4)), F.lit(" {64 OFF} "), mark))
+    return thread_events(e.select(F.col("event_id").alias("line"), text.alias("text")))

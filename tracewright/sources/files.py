@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import struct
-from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .records import fixed_records, pointed_data
+
 REGISTER = T.StructType([T.StructField("name", T.StringType()), T.StructField("isValue", T.BooleanType())])
 FUNCTION = T.StructType(
     [
@@ -52,31 +53,12 @@ def database_table(spark: SparkSession, url: str, table: str, **options: str) ->
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def itable_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, header_ver, record_ver, row_count, row_size, table_fp) of binary tables: two ints and three longs, little-endian."""
-    b = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 32).alias("h"))
-    return b.select("path", *[little_endian(F.col("h"), at, n).alias(c) for c, at, n in (("header_ver", 0, 4), ("record_ver", 4, 4), ("row_count", 8, 8), ("row_size", 16, 8), ("table_fp", 24, 8))])
-
-
-def little_endian(data: Column, at: int, n: int) -> Column:
-    """Signed integer of n bytes at a place of a binary column."""
-    digits = F.array_join(F.reverse(F.regexp_extract_all(F.hex(F.substring(data, at + 1, n)), F.lit("(..)"), F.lit(1))), "")
-    u = F.conv(digits, 16, 10).cast("decimal(20,0)")
-    return F.when(u >= F.lit(Decimal(2 ** (8 * n - 1))), u - F.lit(Decimal(2 ** (8 * n)))).otherwise(u).cast("long")
+HEAD = [("header_ver", 4), ("record_ver", 4), ("row_count", 8), ("row_size", 8), ("table_fp", 8)]
 
 
-def fixed_records(spark: SparkSession, path: str, skip: int, fields: list[tuple[str, int]]) -> DataFrame:
-    """(path, row, fields...) of a file of fixed-size records behind a head of `skip` bytes; fields are (name, bytes)."""
-    size = sum(n for _, n in fields)
-    b = spark.read.format("binaryFile").load(path).select("path", "content")
-    count = F.floor((F.length("content") - skip) / size)
-    rows = b.where(count > 0).select("path", "content", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("row"))
-    rows = rows.select("path", "row", F.substring(F.col("content"), (F.lit(skip + 1) + F.col("row") * size).cast("int"), F.lit(size)).alias("_r"))
-    out, at = [], 0
-    for name, n in fields:
-        out.append(little_endian(F.col("_r"), at, n).alias(name))
-        at += n
-    return rows.select("path", "row", *out)
+def itable_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, header_ver, record_ver, row_count, row_size, table_fp) of binary tables: two ints and three longs, little-endian. Nothing behind the heads is read."""
+    return fixed_records(spark, path, 0, HEAD, rows=1).drop("row").withColumns({c: F.col(c).cast("int") for c in ("header_ver", "record_ver")})
 
 
 def module_records(spark: SparkSession, path: str) -> DataFrame:
@@ -90,6 +72,12 @@ def line_offsets(spark: SparkSession, path: str) -> DataFrame:
     return fixed_records(spark, path, 0, [("start", 8)])
 
 
+def memory_contexts(spark: SparkSession, path: str, data_path: str | None = None) -> DataFrame:
+    """(path, row, address, size, data_fp): three longs a record behind the table's head; with a data file, `data` too: the bytes that a record points to there."""
+    r = fixed_records(spark, path, 32, [("address", 8), ("size", 8), ("data_fp", 8)])
+    return r if data_path is None else pointed_data(r, data_path, "data_fp", "size")
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("rva", T.LongType()), T.StructField("name", T.StringType())])))
 def exports_of(content: pd.Series) -> pd.Series:
     """(rva, name) of a Windows library's exports, without forwarders; other files give an empty list."""
