@@ -329,7 +329,7 @@ def test_urls(spark):
 
 def test_digest_array_confirms_strings(tmp_path, monkeypatch):
     xxhash = pytest.importorskip("xxhash")
-    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda b: len(b))  # every pair of equal length collides
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda b, seed=0: len(b))  # every pair of equal length collides
     p = tmp_path / "d.bin"
     p.write_bytes(url_filters.DigestArray.pack([("aa", 1), ("bb", 2), ("ccc", 1)]))
     a = url_filters.DigestArray(str(p))
@@ -338,6 +338,24 @@ def test_digest_array_confirms_strings(tmp_path, monkeypatch):
     assert url_filters.DigestArray(str(p)).codes_of([b"x"]).tolist() == [0]
 
 
+def test_long_lists_of_patterns(spark, tmp_path):
+    """A table of 40,000 patterns is hashed, sorted and laid out by Spark and the workers; urls with hosts of 40,000 labels are judged."""
+    listed = [f"h{i}.example.org/{'p' * (i % 5)}" for i in range(40_000)] + ["é.example/", "no slash", None, "h7.example.org/pp", "h7.example.org/pp"]
+    patterns = spark.createDataFrame([(k,) for k in listed], "pattern string").repartition(7)
+    deep = "a." * 40_000
+    urls = [f"http://h{i}.example.org/{'p' * j}" for i in (0, 7, 39_999, 40_000) for j in range(6)] + [f"https://{deep}h3.example.org/pppp?x", f"https://{deep}net", "http://É.example/", "http://é.example/x", None, "", "x", "http://", "http://no slash"]
+    pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate([*urls, *urls])], "page_id long, url string, rule string")
+    short = url_filters.judge(pages, [("net/", "block")], [k for k in listed if k and "/" in k]).orderBy("page_id").collect()
+    long = url_filters.judge(pages, [("net/", "block")], patterns).orderBy("page_id").collect()
+    assert long == short and [r["verdict"] for r in long][: len(urls)] == [r["verdict"] for r in long][len(urls) :]
+    held = {k for k in listed if k}
+    fits = lambda i, j: any(f"h{i}.example.org/{'p' * n}" in held for n in range(j + 1))
+    assert [r["verdict"] == "block" for r in long][:24] == [fits(i, j) for i in (0, 7, 39_999, 40_000) for j in range(6)]
+    assert [r["verdict"] for r in long][24:33] == ["block", "allow", "allow", "block", "allow", "allow", "allow", "allow", "allow"]
+    assert url_filters.judge(pages, [], patterns.where("false")).where("verdict = 'block'").count() == 0
+    assert url_filters.suffixes(b"a.b.c", 2) == [b"c", b"b.c"] and url_filters.suffixes(b"a.b", 9) == [b"b", b"a.b"] and url_filters.suffixes(b"", 1) == [b""]
+
+
 def test_sha_of_ids_matches_the_contract(docs, texts):
     path, pattern = tokenizers_there.path("byte_bpe_multi_50k.tiktoken"), tokenizers_there.PATTERN
     own = byte_bpe.RankBpe.load(path, pattern)

@@ -2,8 +2,10 @@
 
 The rules' keys are hashed with 64-bit xxhash, sorted and written to one file that the workers
 map into memory; the full strings lie in a second mapped file and confirm each hit, so that
-hash collisions never decide. A url is looked up by all of its host suffixes and by the path
-prefixes of the lengths that occur in the rules, in one vectorised binary search a batch.
+hash collisions never decide. A url is looked up by its host suffixes of as many labels as keys have and by the path
+prefixes of the lengths that occur in the rules, in one vectorised binary search a batch. Short lists are packed
+on the driver; long ones are a table of patterns, which Spark hashes, sorts and writes, and which each
+worker lays out as one mapped file.
 """
 
 from __future__ import annotations
@@ -30,6 +32,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def digest(key: bytes) -> int:
+    """64-bit xxhash of a key, unsigned: the number that Spark's xxhash64 gives for the text."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(key, seed=42)
+
+
 class DigestArray:
     """Sorted xxhash64 digests, mapped from a file, with their strings and codes."""
 
@@ -43,9 +52,7 @@ class DigestArray:
 
     @staticmethod
     def pack(keys: list[tuple[str, int]]) -> bytes:
-        import xxhash
-
-        rows = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode(), code) for k, code in keys)
+        rows = sorted((digest(k.encode()), k.encode(), code) for k, code in keys)
         blob = b"".join(k for _, k, _ in rows)
         ends = np.cumsum([len(k) for _, k, _ in rows]) if rows else np.zeros(0)
         return b"".join(
@@ -60,12 +67,10 @@ class DigestArray:
 
     def codes_of(self, keys: list[bytes]) -> np.ndarray:
         """Code of each key, 0 where it is not in the array."""
-        import xxhash
-
         out = np.zeros(len(keys), "u1")
         if not len(self.digests) or not keys:
             return out
-        h = np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), dtype=np.uint64, count=len(keys))
+        h = np.fromiter(map(digest, keys), dtype=np.uint64, count=len(keys))
         at = np.searchsorted(self.digests, h)
         inside = at < len(self.digests)
         hits = np.nonzero(inside & (self.digests[np.minimum(at, len(self.digests) - 1)] == h))[0]
@@ -101,47 +106,112 @@ def publish(spark: SparkSession, keys: list[tuple[str, int]]) -> str:
     return name
 
 
+def publish_table(patterns: DataFrame, pattern: str = "pattern") -> str:
+    """As publish, for a table of patterns to block, of any size: hashed, freed of copies and nulls, sorted and written by Spark.
+
+    Parts hold ranges of digests in order, so a worker lays them out one behind the other. Patterns without a slash go.
+    """
+    spark = patterns.sparkSession
+    k = F.col(f"`{pattern}`")
+    # signed digests in the order of unsigned ones
+    order = F.xxhash64("k").bitwiseXOR(F.lit(-(1 << 63)))
+    d = patterns.where(F.contains(k, F.lit("/"))).select(k.alias("k")).distinct().select(order.alias("o"), F.col("k").cast("binary").alias("k"))
+    name = f"patterns-{uuid.uuid4().hex}"
+    d.repartitionByRange("o").sortWithinPartitions("o", "k").write.parquet(f"{shared_dir(spark)}/{name}")
+    spark.sparkContext.addFile(f"{shared_dir(spark)}/{name}", recursive=True)
+    return name
+
+
+def laid_out(folder: str, path: str) -> None:
+    """The packed file of a table of publish_table, a batch at a time; a file that is there is left alone."""
+    import pyarrow.parquet as pq
+
+    if os.path.exists(path):
+        return
+    parts = [pq.ParquetFile(os.path.join(folder, f)) for f in sorted(os.listdir(folder)) if f.endswith(".parquet")]
+    # range partitions are written in the order of their numbers
+    n = sum(p.metadata.num_rows for p in parts)
+    own = f"{path}.{os.getpid()}"
+    with open(own, "wb") as f:
+        at, end = 0, 0
+        f.truncate(16 + 17 * n)
+        for p in parts:
+            for b in p.iter_batches(1 << 16):
+                keys = b.column("k").to_pylist()
+                digests = b.column("o").to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+                ends = end + np.cumsum([len(x) for x in keys])
+                for data, where in ((digests.astype("<u8"), 16 + 8 * at), (ends.astype("<i8"), 16 + 8 * n + 8 * at), (np.full(len(keys), BLOCK, "u1"), 16 + 16 * n + at)):
+                    f.seek(where)
+                    f.write(data.tobytes())
+                f.seek(16 + 17 * n + end)
+                f.write(b"".join(keys))
+                at, end = at + len(keys), int(ends[-1]) if keys else end
+        f.seek(0)
+        f.write(np.array([n, end], "<i8").tobytes())
+    os.replace(own, path)
+
+
 _open: dict[str, DigestArray] = {}
 
 
 def _array(name: str) -> DigestArray:
+    """A published array, mapped once a worker; the last few stay open."""
     if name not in _open:
-        _open.clear()
-        _open[name] = DigestArray(os.path.join(SparkFiles.getRootDirectory(), name))
+        while len(_open) > 3:
+            _open.pop(next(iter(_open)))
+        path = os.path.join(SparkFiles.getRootDirectory(), name)
+        if os.path.isdir(path):
+            laid_out(path, path + ".bin")
+            path += ".bin"
+        _open[name] = DigestArray(path)
     return _open[name]
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], blocked: list[str], url: str = "url") -> DataFrame:
+def suffixes(host: bytes, labels: int) -> list[bytes]:
+    """The last 1, 2, ... labels of a host, at most so many."""
+    out, at = [], len(host)
+    while at >= 0 and len(out) < labels:
+        at = host.rfind(b".", 0, at)
+        out.append(host[at + 1 :])
+    return out
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], blocked: list[str] | DataFrame, url: str = "url") -> DataFrame:
     """Adds host, path, rule and verdict.
 
     rules: (pattern, allow or block), a pattern being host + path; a rule fits its host and all
     subdomains where the path starts with the rule's, and the longest fitting rule decides (of
     equally long ones the first by spelling). Without a rule, urls that fit a pattern of
-    `blocked` are blocked and all others allowed. Null urls and urls without a scheme have an
-    empty host and fit nothing. Columns named like an added one are replaced.
+    `blocked` are blocked and all others allowed; a long list is given as a table with a column `pattern`. Null urls and urls without a scheme have an
+    empty host and fit nothing. Urls of any length cost what their host's last labels and their path's beginnings of the keys' own sizes do. Equal
+    and repeated rows are judged each by itself; an empty table gives an empty one. Columns named like an added one are replaced.
     """
     spark = pages.sparkSession
     code = {"allow": ALLOW, "block": BLOCK}
     by_rule = publish(spark, [(k, code[v]) for k, v in dict(rules).items()])
-    by_list = publish(spark, [(k, BLOCK) for k in dict.fromkeys(blocked)])
-    lengths = {n: sorted({len(k.encode()) - k.index("/") for k in keys}) for n, keys in ((by_rule, dict(rules)), (by_list, blocked))}
+    sizes = lambda keys: (sorted({len(k.encode()) - len(k[: k.index("/")].encode()) for k in keys}), max([k[: k.index("/")].count(".") + 1 for k in keys], default=0))
+    if isinstance(blocked, DataFrame):
+        by_list = publish_table(blocked)
+        k = blocked.where(F.contains("pattern", F.lit("/"))).select(F.substring_index("pattern", "/", 1).alias("h"), F.octet_length("pattern").alias("n"))
+        got = k.agg(F.array_sort(F.collect_set(F.col("n") - F.octet_length("h"))).alias("n"), F.max(F.size(F.split("h", r"\."))).alias("labels")).first()  # one number a path length
+        listed = (got["n"], got["labels"] or 0)
+    else:
+        by_list = publish(spark, [(k, BLOCK) for k in dict.fromkeys(blocked)])
+        listed = sizes(blocked)
+    lengths = {by_rule: sizes(dict(rules)), by_list: listed}
 
     def hits(name: str, hosts: list[bytes], paths: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         keys, owner = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             if not host:
                 continue
-            heads = [path[:n] for n in lengths[name] if n <= len(path)]
+            heads = [path[:n] for n in lengths[name][0] if n <= len(path)]
             if not heads:
                 continue
-            at = 0
-            while at >= 0:
-                tail = host[at:]
+            for tail in suffixes(host, lengths[name][1]):
                 for p in heads:
                     keys.append(tail + p)
                     owner.append(i)
-                dot = host.find(b".", at)
-                at = dot + 1 if dot >= 0 else -1
         codes = _array(name).codes_of(keys)
         best: list[bytes] = [b""] * len(hosts)
         what = np.zeros(len(hosts), "u1")
