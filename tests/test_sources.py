@@ -98,3 +98,15 @@ def test_thread_events(spark, monkeypatch, bucket):
     for _ in range(2):
         lines = [r.choice([f"{i:X} {r.randrange(1, 3):02} {{64 OFF}} {r.choice(['ThreadBegin |', 'ThreadEnd |', 'ApplicationEnd |', 'mov |', 'mov |', 'mov |'])}", f"{i:X} I:1 a.dll nop |", *OLD]) for i in range(80)]
         assert run(lines) == events_of(lines)
+
+
+def test_names_of_functions_from_files(spark, tmp_path):
+    """Exports and descriptors read from files lead to the trace's functions."""
+    from tracewright.operators import names
+
+    (tmp_path / "c.json").write_text('[{"method": "pipe", "functions": [{"name": "WriteFile", "type": "send"}, {"name": "Gone", "type": "open"}]}, {"method": "queue", "functions": [{"name": "Read", "type": "receive"}]}]')
+    exports = spark.createDataFrame([("LIB.DLL", 16, "WriteFile"), ("LIB.DLL", 16, "Alias"), ("LIB.DLL", 32, "Read"), ("OTHER.DLL", 8, "Read"), ("OTHER.DLL", 8, "Read")], "module string, rva long, name string")
+    functions = spark.createDataFrame([("lib.dll", 16, "0:16"), ("lib.dll", 32, "0:32"), ("other.dll", 8, "1:8"), ("lib.dll", 8, "0:8")], "module string, offset long, instruction_id string")
+    assert [(r["instruction_id"], r["name"]) for r in names.named_functions(functions, exports).collect()] == [("0:16", "Alias"), ("0:32", "Read"), ("1:8", "Read"), ("0:8", None)]
+    d = names.described_functions(files.channel_descriptors(spark, str(tmp_path / "c.json")), exports, functions)
+    assert sorted((r["method"], r["name"], r["type"], r["instruction_id"]) for r in d.collect()) == [("pipe", "WriteFile", "send", "0:16"), ("queue", "Read", "receive", "0:32"), ("queue", "Read", "receive", "1:8")]

@@ -50,6 +50,12 @@ def snapshot(writes: DataFrame, keys: list[str], value: str, level: int) -> Data
     return got.select("bucket", *keys, value, F.col("_at.line").alias("line"), F.col("_at.seq").alias("seq"))
 
 
+def serving_level(line: Column, at: int) -> Column:
+    """The level of snapshots that serves a line for the state at another: 2 and 1 for whole buckets, 0 for single lines; null behind it."""
+    whole = lambda level: (at + 1) // BRANCH**level * BRANCH**level
+    return F.when(line > at, None).when(line < whole(2), 2).when(line < whole(1), 1).otherwise(0)
+
+
 def state_from_snapshots(writes: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], value: str, line: int) -> DataFrame:
     """State at a line from whole second-level buckets, then whole first-level ones, then single lines."""
     top, mid = (line + 1) // BRANCH**2, (line + 1) // BRANCH

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotations
+from ..operators import annotations, memory, names
 from ..operators import control_flow as flow
 from ..operators.ordered import running_total
 from ..operators.search import lines_with, search
 from ..operators.sequence_diff import diff_regions, merged_regions
 from ..sources.adapters import TRACE_SQL, table, trace_lines
 from .flow_queries import BLOCKS_SQL, CALLS_SQL, JUMPS_SQL
+from .memory_queries import APART
 from .registry import query
 
 W = f"WITH {TRACE_SQL}"
@@ -148,21 +149,34 @@ def top_level_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.first_per_key(trace_lines(spark, sf_dir).select("thread", "line", "instruction_id"), ["thread"]).select("instruction_id").distinct()
 
 
-@query("SELECT p_partkey, upper(p_brand) AS module, p_size AS o, s_name AS export FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 100 ")
+# a part is a function of its brand's library at its size, a supplier an export of a brand at a place
+EXPORTS_SQL = "x AS (SELECT 'BRAND#' || (10 * (s_suppkey % 5 + 1) + s_nationkey % 5 + 1) AS module, s_suppkey % 50 AS rva, s_name AS name FROM supplier), f AS (SELECT p_partkey, upper(p_brand) AS module, p_size AS o FROM part)"
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = (F.lit(10) * (F.col("s_suppkey") % 5 + 1) + F.col("s_nationkey") % 5 + 1).cast("int").cast("string")
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), place).alias("module"), (F.col("s_suppkey") % 50).alias("rva"), F.col("s_name").alias("name"))
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.upper("p_brand").alias("module"), F.col("p_size").alias("offset"))
+
+
+@query(f"WITH {EXPORTS_SQL}, y AS (SELECT module, rva, min(name) AS name FROM x GROUP BY 1, 2) SELECT f.p_partkey, f.module, f.o, y.name AS export FROM f LEFT JOIN y ON y.module = f.module AND y.rva = f.o")
 def export_name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions with their exported names; named ones first, by name, then by module and offset."""
-    f = table(spark, sf_dir, "part").select("p_partkey", F.upper("p_brand").alias("module"), F.col("p_size").alias("o"), (F.col("p_partkey") % 100).alias("s_suppkey"))
-    named = f.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("export")), "s_suppkey", "left")
-    return named.orderBy(F.col("export").isNull(), F.lower("export"), "module", "o").select("p_partkey", "module", "o", "export")
+    return names.named_functions(_functions(spark, sf_dir), _exports(spark, sf_dir)).select("p_partkey", "module", F.col("offset").alias("o"), F.col("name").alias("export"))
 
 
-@query("SELECT l_orderkey, p_brand, c_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey")
+@query(
+    f"""WITH {EXPORTS_SQL}, d AS (SELECT 'm' || (s_suppkey % 3) AS method, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'send' ELSE 'receive' END AS type FROM supplier WHERE s_suppkey % 4 <> 0)
+ SELECT DISTINCT d.method, d.name, d.type, f.p_partkey FROM d JOIN x ON x.name = d.name JOIN f ON f.module = x.module AND f.o = x.rva"""
+)
 def descriptor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loaded function to descriptor to functions table: a chain of equi-joins."""
-    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")  # noqa: E741
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    d = l.join(p, F.col("p_partkey") == F.col("l_partkey")).join(o, F.col("o_orderkey") == F.col("l_orderkey"))
-    return d.join(c, F.col("c_custkey") == F.col("o_custkey")).select("l_orderkey", "p_brand", "c_name")
+    """Functions of the trace that the channel descriptors name, by way of the exports."""
+    d = table(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0")
+    d = d.select(F.concat(F.lit("m"), (F.col("s_suppkey") % 3).cast("string")).alias("method"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "send").otherwise("receive").alias("type"))
+    return names.described_functions(d, _exports(spark, sf_dir), _functions(spark, sf_dir)).select("method", "name", "type", "p_partkey")
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
@@ -212,13 +226,16 @@ def call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.call_associations(trace_lines(spark, sf_dir)).agg(F.count("*").alias("n_calls"), F.countDistinct("caller").alias("n_callers"))
 
 
-@query(f"{W}, s AS (SELECT 4321 // 1000 * 1000 AS cut) SELECT CASE WHEN line < cut // 1000000 * 1000000 THEN 2 WHEN line < cut THEN 1 ELSE 0 END AS level, count(*) AS n FROM t, s WHERE line <= 4321 GROUP BY 1")
+@query(
+    f"""{W}, z AS (SELECT CAST(max(line) AS BIGINT) * 2 // 3 * {APART} AS at_line FROM t), s AS (SELECT at_line, (at_line + 1) // 1000000 * 1000000 AS top, (at_line + 1) // 1000 * 1000 AS mid FROM z)
+ SELECT CASE WHEN line * {APART} < top THEN 2 WHEN line * {APART} < mid THEN 1 ELSE 0 END AS level, count(*) AS n FROM t, s WHERE line * {APART} <= at_line GROUP BY 1"""
+)
 def tier_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which level of snapshots serves the lines up to a line: whole large buckets, whole small ones, single lines."""
-    t = trace_lines(spark, sf_dir).where("line <= 4321")
-    cut = F.lit(4321 // 1000 * 1000)
-    level = F.when(F.col("line") < F.floor(cut / 1000000) * 1000000, 2).when(F.col("line") < cut, 1).otherwise(0)
-    return t.groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+    """Which level of snapshots serves the lines up to one two thirds through the trace, lines standing apart: whole large buckets, whole small ones, single lines."""
+    t = trace_lines(spark, sf_dir).select(F.col("line") * APART)
+    at = (t.agg(F.max(t.columns[0])).first()[0] or 0) // APART * 2 // 3 * APART
+    level = memory.serving_level(F.col(f"`{t.columns[0]}`"), at)
+    return t.groupBy(level.alias("level")).agg(F.count("*").alias("n")).where("level IS NOT NULL")
 
 
 @query("SELECT page_id AS line, CAST(p AS BIGINT) AS at, CAST(2 AS BIGINT) AS length FROM (SELECT page_id, url, unnest(generate_series(0, length(url) - 2)) AS p FROM pages) WHERE regexp_full_match(substr(url, p + 1, 2), '[aeiou][rln]')")

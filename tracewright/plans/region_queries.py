@@ -54,13 +54,14 @@ def call_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("mnemonic = 'call'").select("line", "instruction_id", "input_line", "return_line")
 
 
-@query("SELECT c_custkey AS child, c_nationkey AS parent, r_name AS channel_id FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey > 25")
+@query("SELECT c_custkey AS child, c_nationkey AS parent, r_name AS channel_id FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 def inherited_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted sockets (customers) take the channel of the socket that listened (nations)."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     listeners = n.select(F.lit("a").alias("trace"), F.col("n_nationkey").cast("long").alias("handle"), F.lit(0).alias("line"), F.lit("open").alias("type"), F.col("r_name").alias("channel_id"))
-    c = table(spark, sf_dir, "customer").where("c_custkey > 25")
-    accepted = c.select(F.lit("a").alias("trace"), F.col("c_custkey").alias("handle"), F.lit(1).alias("line"), F.lit("open").alias("type"), F.lit(None).cast("string").alias("channel_id"))
-    links = c.select(F.lit("a").alias("trace"), F.col("c_nationkey").cast("long").alias("parent"), F.col("c_custkey").alias("child"))
+    # handles of customers stand behind those of nations
+    c = table(spark, sf_dir, "customer").withColumn("handle", F.col("c_custkey").cast("long") + 25)
+    accepted = c.select(F.lit("a").alias("trace"), "handle", F.lit(1).alias("line"), F.lit("open").alias("type"), F.lit(None).cast("string").alias("channel_id"))
+    links = c.select(F.lit("a").alias("trace"), F.col("c_nationkey").cast("long").alias("parent"), F.col("handle").alias("child"))
     e = ch.child_channels(listeners.unionByName(accepted), links).where("line = 1")
-    return e.join(links.select(F.col("child").alias("handle"), "parent"), "handle").select(F.col("handle").alias("child"), F.col("parent").cast("int").alias("parent"), "channel_id")
+    return e.join(links.select(F.col("child").alias("handle"), "parent"), "handle").select((F.col("handle") - 25).alias("child"), F.col("parent").cast("int").alias("parent"), "channel_id")
