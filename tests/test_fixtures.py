@@ -138,9 +138,8 @@ def full(spark, rows):
 
 
 def verified(s, left, right):
-    m = ch.matched(s.where(F.col("trace") == left), s.where(F.col("trace") == right)).where("sends_1 is not null and sends_2 is not null")
-    ok = ch.pipe_ok(F.col("sends_1"), F.col("receives_1"), F.col("sends_2"), F.col("receives_2"))
-    return [(r["handle_1"], r["handle_2"]) for r in m.where(ok).collect()]
+    s = s.where("sends is not null")
+    return [(r["handle_1"], r["handle_2"]) for r in ch.verify_bytes(s.where(F.col("trace") == left), s.where(F.col("trace") == right)).where("ok").collect()]
 
 
 def test_pipes(spark):
@@ -158,11 +157,41 @@ def test_verifiers(spark):
     d = spark.createDataFrame([(["ab", "cde", "fgh"], ["abc", "def", "gh"])], "s array<string>, r array<string>")
     none = F.array().cast("array<string>")
     one = lambda c: d.select(c.alias("x")).first()["x"]
-    assert one(ch.pipe_ok(F.col("s"), none, none, F.col("r")))
     assert not one(ch.tcp_ok(F.col("s"), F.col("r")))
     lit = lambda *x: F.array(*[F.lit(y) for y in x]) if x else none
     assert one(ch.queue_ok(lit("a", "b", "c"), lit("a", "c"))) and not one(ch.queue_ok(lit("a", "b", "c"), lit("c", "a")))
-    assert one(ch.udp_ok(lit("a", "b", "a"), lit("a", "a"))) and not one(ch.udp_ok(lit("a", "b"), lit("a", "a")))
+
+
+def test_verifiers_of_random_streams(spark):
+    """Every check against plain Python, on streams of few short messages."""
+    r = random.Random(9)
+    some = lambda: ["".join(r.choice("ab") for _ in range(r.randrange(1, 3))) for _ in range(r.choice([0, 1, 2, 3]))]
+    rows = [(t, f"{t}{i}", 1, i % 2, some(), some()) for t in "lr" for i in range(40)]
+    d = spark.createDataFrame(rows, "trace string, handle string, open_line long, channel_id int, sends array<string>, receives array<string>")
+
+    def queue(s, got):
+        it = iter(s)
+        return all(x in it for x in got)
+
+    checks = {
+        ch.verify_bytes: lambda s, got: "".join(s).startswith("".join(got)),
+        ch.verify_counts: lambda s, got: all(got.count(x) <= s.count(x) for x in got),
+        ch.verify_prefixes: lambda s, got: all(any(y.startswith(x) for y in got) for x in s),
+        (lambda a, b: ch.verify_in_turn(a, b, ch.tcp_ok)): lambda s, got: all(x == y for x, y in zip(s, got)),
+        (lambda a, b: ch.verify_in_turn(a, b, ch.queue_ok)): queue,
+    }
+    for run, ok in checks.items():
+        out = run(d.where("trace = 'l'"), d.where("trace = 'r'")).collect()
+        want = {(a[1], b[1]): ok(a[4], b[5]) and ok(b[4], a[5]) for a in rows for b in rows if a[0] == "l" and b[0] == "r" and a[3] == b[3]}
+        assert {(x["handle_1"], x["handle_2"]): x["ok"] for x in out} == want and len(out) == len(want) and 0 < sum(want.values()) < len(want)
+
+
+def test_pairings(spark):
+    """The last partner counts, and one message without a partner undoes the match."""
+    rows = [("l", "h", 1, 2, "send", "ab"), ("l", "h", 1, 3, "receive", "xyz"), ("l", "h", 1, 9, "send", "ab"), ("l", "e", 1, 4, "send", ""), ("r", "h", 0, 5, "receive", "abc"), ("r", "h", 0, 6, "receive", "ab"), ("r", "h", 0, 7, "send", "x"), ("r", "h", 0, 8, "send", "q"), ("r", "g", 0, 5, "receive", "abc")]
+    d = spark.createDataFrame(rows, "trace string, handle string, open_line long, line long, type string, payload string").withColumn("channel_id", F.lit("c"))
+    got = ch.pairings(d.where("trace = 'l'"), d.where("trace = 'r'")).collect()
+    assert sorted((x["handle_1"], x["line_1"], x["handle_2"], x["line_2"]) for x in got) == [("h", 2, "h", 6), ("h", 3, "h", 7), ("h", 9, "h", 6)]
 
 
 def test_payloads_are_whole_texts(spark, tmp_path):

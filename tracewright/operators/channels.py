@@ -6,6 +6,8 @@ check, close.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,10 +71,109 @@ def matched(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "channel_id")
 
 
-def pipe_ok(sends_1: Column, receives_1: Column, sends_2: Column, receives_2: Column) -> Column:
-    """What each side received is a prefix of what the other sent, as byte streams."""
-    cat = lambda a: F.array_join(a, "")
-    return cat(sends_2).startswith(cat(receives_1)) & cat(sends_1).startswith(cat(receives_2))
+STREAM = ["handle", "open_line"]
+
+
+def _of(d: DataFrame, side: int, *more: str) -> DataFrame:
+    """The key of one side's streams under that side's names."""
+    return d.select("channel_id", *[F.col(c).alias(f"{c}_{side}") for c in STREAM], *more)
+
+
+def _classes(streams: DataFrame, column: str, side: int) -> DataFrame:
+    """(channel_id, handle, open_line, m, n): the distinct messages of a column of payloads, and how often each occurs in its stream."""
+    d = _of(streams, side, F.explode(column).alias("m"))
+    return d.groupBy(*d.columns).agg(F.count("*").alias("n"))
+
+
+def _flagged(pairs: DataFrame, found: DataFrame, need: DataFrame, side: int, name: str) -> DataFrame:
+    """pairs with `name`: whether as many messages of one side's stream were found for the pair as the stream has."""
+    keys = [f"{c}_{i}" for i in (1, 2) for c in STREAM]
+    got = found.groupBy(*keys).agg(F.count("*").alias("_got"))
+    needed = need.groupBy(*[f"{c}_{side}" for c in STREAM]).agg(F.count("*").alias("_need"))
+    d = pairs.join(got, keys, "left").join(needed, [f"{c}_{side}" for c in STREAM], "left")
+    return d.withColumn(name, F.coalesce("_got", F.lit(0)) == F.coalesce("_need", F.lit(0))).drop("_got", "_need")
+
+
+def _both_ways(left: DataFrame, right: DataFrame, check: Callable[[DataFrame, DataFrame, DataFrame, int, int, str], DataFrame]) -> DataFrame:
+    """All pairs of streams of equal channel with ok: whether the check holds for what each side sent and the other received. Pairs carry keys only."""
+    pairs = _of(left, 1).join(_of(right, 2), "channel_id").drop("channel_id")
+    d = check(check(pairs, left, right, 1, 2, "_to"), right, left, 2, 1, "_back")
+    return d.withColumn("ok", F.col("_to") & F.col("_back")).drop("_to", "_back")
+
+
+def verify_bytes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of streams(channel_id, handle, open_line, sends, receives) with ok: what each side received is a prefix of what the other sent, as byte streams.
+
+    Of a received stream its length and 256-bit digest travel; of a sent one the digests of its beginnings of the lengths that were
+    received on the channel. So a prefix may end within a message, and no pair carries bytes.
+    """
+
+    def check(pairs: DataFrame, senders: DataFrame, receivers: DataFrame, s: int, r: int, name: str) -> DataFrame:
+        whole = lambda c: F.array_join(c, "").cast("binary")
+        got = _of(receivers, r, whole("receives").alias("_b")).withColumns({"n": F.octet_length("_b"), "d": F.sha2("_b", 256)}).drop("_b")
+        sent = _of(senders, s, whole("sends").alias("_b")).join(got.select("channel_id", "n").distinct(), "channel_id")
+        sent = sent.where("n <= octet_length(_b)").withColumn("d", F.sha2(F.substring(F.col("_b"), F.lit(1), F.col("n")), 256)).drop("_b")
+        found = sent.join(got, ["channel_id", "n", "d"])
+        # one row a pair, and one needed of each received stream
+        return _flagged(pairs, found, _of(receivers, r), r, name)
+
+    return _both_ways(left, right, check)
+
+
+def verify_in_turn(left: DataFrame, right: DataFrame, ok: Callable[[Column, Column], Column]) -> DataFrame:
+    """As verify_bytes, for checks of the order of messages (tcp_ok, queue_ok): pairs carry a 64-bit digest a message, so unequal messages are taken for equal by chance only."""
+    digests = lambda c: F.transform(c, lambda m: F.xxhash64(m))
+    pairs = _of(left, 1, digests("sends").alias("s1"), digests("receives").alias("r1")).join(_of(right, 2, digests("sends").alias("s2"), digests("receives").alias("r2")), "channel_id")
+    return pairs.withColumn("ok", ok(F.col("s1"), F.col("r2")) & ok(F.col("s2"), F.col("r1"))).drop("channel_id", "s1", "r1", "s2", "r2")
+
+
+def verify_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """As verify_bytes: each message was received at most as often as it was sent. Distinct messages meet by join, once a stream however often they occur."""
+
+    def check(pairs: DataFrame, senders: DataFrame, receivers: DataFrame, s: int, r: int, name: str) -> DataFrame:
+        got = _classes(receivers, "receives", r).withColumnRenamed("n", "_r")
+        found = _classes(senders, "sends", s).join(got, ["channel_id", "m"]).where("_r <= n")
+        return _flagged(pairs, found, got, r, name)
+
+    return _both_ways(left, right, check)
+
+
+def verify_prefixes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """As verify_bytes: every message that a side sent begins one that the other received."""
+
+    def check(pairs: DataFrame, senders: DataFrame, receivers: DataFrame, s: int, r: int, name: str) -> DataFrame:
+        sent = _classes(senders, "sends", s)
+        found = prefix_pairs(sent.withColumnRenamed("m", "sent").drop("n"), _classes(receivers, "receives", r).withColumnRenamed("m", "recv").drop("n"))
+        found = found.select("sent", *[f"{c}_{i}" for i in (1, 2) for c in STREAM]).distinct()
+        return _flagged(pairs, found, sent, s, name)
+
+    return _both_ways(left, right, check)
+
+
+def pairings(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(handle_1, open_line_1, line_1, handle_2, open_line_2, line_2): how the messages of matching streams pair up.
+
+    left, right: sends and receives (channel_id, handle, open_line, line, type, payload) of the streams of two traces. Two streams match
+    if every message of the left one pairs with one of the other: a sent message with a received one that begins with it, a
+    received one with a sent one that it begins with; the last such line is its partner. Empty and null messages pair with nothing, so their streams match none. Messages
+    that a stream repeats meet once.
+    """
+    keys = [f"{c}_{i}" for i in (1, 2) for c in STREAM]
+    kind = lambda d, t, side, name: _of(d.where((F.col("type") == t) & (F.col("payload") != "")), side, F.col("payload").alias(name), "line")
+
+    def last(d: DataFrame) -> DataFrame:
+        return d.groupBy(*[c for c in d.columns if c != "line"]).agg(F.max("line").alias("line_2"))
+
+    own = lambda d: d.drop("line").distinct()
+    sent = prefix_pairs(own(kind(left, "send", 1, "sent")), last(kind(right, "receive", 2, "recv")))
+    got = prefix_pairs(last(kind(right, "send", 2, "sent")), own(kind(left, "receive", 1, "recv")))
+    found = sent.select(*keys, F.lit("send").alias("type"), F.col("sent").alias("payload"), "line_2").unionByName(got.select(*keys, F.lit("receive").alias("type"), F.col("recv").alias("payload"), "line_2"))
+    found = found.groupBy(*keys, "type", "payload").agg(F.max("line_2").alias("line_2"))
+    mine = left.where("type IN ('send', 'receive')").select(*[F.col(c).alias(f"{c}_1") for c in STREAM], F.col("line").alias("line_1"), "type", "payload")
+    pairs = mine.join(found, ["handle_1", "open_line_1", "type", "payload"])
+    need = mine.groupBy("handle_1", "open_line_1").agg(F.count("*").alias("_need"))
+    full = pairs.groupBy(*keys).agg(F.count("*").alias("_got")).join(need, ["handle_1", "open_line_1"]).where("_got = _need").select(*keys)
+    return pairs.join(full, keys).select("handle_1", "open_line_1", "line_1", "handle_2", "open_line_2", "line_2")
 
 
 def tcp_ok(sends: Column, receives: Column) -> Column:
@@ -87,12 +188,6 @@ def queue_ok(sends: Column, receives: Column) -> Column:
     return seen == F.size(receives)
 
 
-def udp_ok(sends: Column, receives: Column) -> Column:
-    """Each payload was received at most as often as it was sent."""
-    count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    return F.forall(F.array_distinct(receives), lambda x: count(receives, x) <= count(sends, x))
-
-
 def prefix_pairs(sends: DataFrame, receives: DataFrame) -> DataFrame:
     """Pairs on one channel whose received payload starts with the sent one: joined on the beginnings of the lengths that are sent there."""
     lengths = sends.groupBy("channel_id").agg(F.collect_set(F.length("sent")).alias("_lengths"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import channels as ch
+from ..operators.ordered import settled
 from ..sources.adapters import table
 from .registry import query
 
@@ -59,21 +60,19 @@ def channel_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIR = f"{EV}, v AS (SELECT a.handle AS handle_1, b.handle AS handle_2, pa.sends AS s1, pa.receives AS r1, pb.sends AS s2, pb.receives AS r2 FROM st a JOIN st b ON a.channel_id = b.channel_id JOIN p pa ON pa.trace = 'a' AND pa.handle = a.handle JOIN p pb ON pb.trace = 'b' AND pb.handle = b.handle WHERE a.trace = 'a' AND b.trace = 'b')"
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = full_streams(spark, sf_dir).where("size(sends) + size(receives) > 0")
-    return ch.matched(s.where("trace = 'a'"), s.where("trace = 'b'"))
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = settled(full_streams(spark, sf_dir).where("size(sends) + size(receives) > 0"))
+    return s.where("trace = 'a'"), s.where("trace = 'b'")
 
 
 @query(f"{PAIR} SELECT handle_1, handle_2, starts_with(array_to_string(s2, ''), array_to_string(r1, '')) AND starts_with(array_to_string(s1, ''), array_to_string(r2, '')) AS ok FROM v")
 def verify_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = ch.pipe_ok(F.col("sends_1"), F.col("receives_1"), F.col("sends_2"), F.col("receives_2"))
-    return _pairs(spark, sf_dir).select("handle_1", "handle_2", ok.alias("ok"))
+    return ch.verify_bytes(*_sides(spark, sf_dir)).select("handle_1", "handle_2", "ok")
 
 
 @query(f"{PAIR} SELECT handle_1, handle_2, s1[1:least(len(s1), len(r2))] = r2[1:least(len(s1), len(r2))] AND s2[1:least(len(s2), len(r1))] = r1[1:least(len(s2), len(r1))] AS ok FROM v")
 def verify_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = ch.tcp_ok(F.col("sends_1"), F.col("receives_2")) & ch.tcp_ok(F.col("sends_2"), F.col("receives_1"))
-    return _pairs(spark, sf_dir).select("handle_1", "handle_2", ok.alias("ok"))
+    return ch.verify_in_turn(*_sides(spark, sf_dir), ch.tcp_ok).select("handle_1", "handle_2", "ok")
 
 
 @query(
@@ -85,8 +84,7 @@ def verify_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def verify_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receives in order among the sends."""
-    ok = ch.queue_ok(F.col("sends_1"), F.col("receives_2")) & ch.queue_ok(F.col("sends_2"), F.col("receives_1"))
-    return _pairs(spark, sf_dir).select("handle_1", "handle_2", ok.alias("ok"))
+    return ch.verify_in_turn(*_sides(spark, sf_dir), ch.queue_ok).select("handle_1", "handle_2", "ok")
 
 
 @query(
@@ -96,8 +94,7 @@ def verify_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT v.handle_1, v.handle_2, coalesce(y.ok, true) AS ok FROM v LEFT JOIN y ON y.handle_1 = v.handle_1 AND y.handle_2 = v.handle_2"""
 )
 def verify_udp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = ch.udp_ok(F.col("sends_1"), F.col("receives_2")) & ch.udp_ok(F.col("sends_2"), F.col("receives_1"))
-    return _pairs(spark, sf_dir).select("handle_1", "handle_2", ok.alias("ok"))
+    return ch.verify_counts(*_sides(spark, sf_dir)).select("handle_1", "handle_2", "ok")
 
 
 @query(f"{EV} SELECT s.handle AS send_handle, s.line AS send_line, r.handle AS recv_handle, r.line AS recv_line FROM e s JOIN e r ON s.handle % 40 = r.handle % 40 AND starts_with(r.payload, s.payload) WHERE s.type = 'send' AND r.type = 'receive' AND s.trace = 'a' AND r.trace = 'b'")
@@ -166,9 +163,21 @@ def channel_name_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def verify_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every send of either side has a receive on the other that starts with it."""
-    every = lambda s, r: F.forall(s, lambda x: F.exists(r, lambda y: y.startswith(x)))
-    ok = every(F.col("sends_1"), F.col("receives_2")) & every(F.col("sends_2"), F.col("receives_1"))
-    return _pairs(spark, sf_dir).select("handle_1", "handle_2", ok.alias("ok"))
+    return ch.verify_prefixes(*_sides(spark, sf_dir)).select("handle_1", "handle_2", "ok")
+
+
+@query(
+    f"""{EV}, ev AS (SELECT trace, handle, line, type, payload FROM e WHERE type IN ('send', 'receive')),
+ x AS (SELECT l.handle AS handle_1, l.line AS line_1, r.handle AS handle_2, max(r.line) AS line_2 FROM ev l JOIN ev r ON r.handle % 40 = l.handle % 40 AND r.type <> l.type AND l.payload <> '' AND r.payload <> ''
+  AND CASE WHEN l.type = 'send' THEN starts_with(r.payload, l.payload) ELSE starts_with(l.payload, r.payload) END WHERE l.trace = 'a' AND r.trace = 'b' GROUP BY 1, 2, 3),
+ n AS (SELECT handle, count(*) AS need FROM ev WHERE trace = 'a' GROUP BY 1), m AS (SELECT handle_1, handle_2, count(*) AS got FROM x GROUP BY 1, 2)
+ SELECT x.handle_1, x.line_1, x.handle_2, x.line_2 FROM x JOIN m USING (handle_1, handle_2) JOIN n ON n.handle = x.handle_1 WHERE m.got = n.need"""
+)
+def message_pairings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partners of all messages of streams that match."""
+    e = events(spark, sf_dir)
+    data = settled(ch.stream_events(e).drop("channel_id").join(ch.streams(e).select("trace", "handle", "open_line", "channel_id"), ["trace", "handle", "open_line"]))
+    return ch.pairings(data.where("trace = 'a'"), data.where("trace = 'b'")).select("handle_1", "line_1", "handle_2", "line_2")
 
 
 # events of a user: purchases are receives into a buffer, clicks are checks of it
