@@ -127,3 +127,15 @@ def test_gaps_and_pages(spark):
         assert sorted(r["line"] for r in iv.page(hidden, line, 100, 10).collect()) == [x for x in seen if x < line][-10:]
         assert sorted(r["line"] for r in iv.page(hidden, line, 100, 10, left=False).collect()) == [x for x in seen if x > line][:10]
     assert iv.visible_count(hidden, 1, 35).first()["lines"] == sum(1 <= x <= 35 for x in seen)
+
+
+def test_places_of_lines(spark):
+    hidden = spark.createDataFrame([(-4, 2), (7, 9), (9, 12), (13, 13), (50, 60)], "s long, e long")
+    unseen = {*range(0, 3), *range(7, 14), *range(50, 61)}
+    seen = [x for x in range(71) if x not in unseen]
+    lines = spark.range(71).selectExpr("id AS line", "id * 2 AS shown2")
+    got = iv.shown_positions(lines, hidden).collect()
+    assert {r["line"]: r["shown"] for r in got} == {x: seen.index(x) if x in seen else None for x in range(71)} and all(r["shown2"] == 2 * r["line"] for r in got)
+    back = iv.lines_shown_at(spark.range(80).selectExpr("id AS shown"), hidden, 70).collect()
+    assert {r["shown"]: r["line"] for r in back} == dict(enumerate(seen))
+    assert {r["shown"] for r in iv.shown_positions(lines, hidden.where("false")).collect()} == set(range(71))

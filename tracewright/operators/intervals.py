@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import previous, running_total, scan, settled
+from .ordered import previous, running_total, scan, scans, settled
 
 
 def encloses(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -142,3 +142,30 @@ def page(hidden: DataFrame, line: int, last: int, radius: int = 500, left: bool
 def visible_count(hidden: DataFrame, low: int, high: int) -> DataFrame:
     """(lines): how many of low to high are not collapsed."""
     return gaps(hidden, low, high).agg(F.coalesce(F.sum(F.col("e") - F.col("s") + 1), F.lit(0)).cast("long").alias("lines"))
+
+
+def shown_positions(lines: DataFrame, hidden: DataFrame) -> DataFrame:
+    """lines(line, ...) with `shown`: how many lines before it, from 0 on, no span of hidden(s, e) covers; null for lines that one covers.
+
+    The hidden lines before a line are a running total over the merged spans, carried to the lines in one scan over both.
+    """
+    m = merged(hidden.where("e >= 0").select(F.greatest("s", F.lit(0)).cast("long").alias("s"), F.col("e").cast("long").alias("e")), [])
+    rest = F.struct(*[F.col(f"`{c}`") for c in lines.columns])
+    both = lines.select(F.col("line").alias("_at"), rest.alias("_row")).unionByName(m.select(F.col("s").alias("_at"), "e", (F.col("e") - F.col("s") + 1).alias("_n")), allowMissingColumns=True)
+    # a span that starts on a line stands before it
+    both = both.withColumn("_o", F.col("_at") * 2 + F.col("_row").isNotNull().cast("int"))
+    both = scans(settled(both), "_o", {"_hidden": (F.col("_n"), "sum"), "_end": (F.col("e"), "last")}).where("_row IS NOT NULL")
+    shown = F.when(F.col("_end").isNull() | (F.col("_end") < F.col("_at")), F.col("_at") - F.col("_hidden"))
+    return both.select("_row.*", shown.alias("shown"))
+
+
+def lines_shown_at(places: DataFrame, hidden: DataFrame, last: int) -> DataFrame:
+    """places(shown, ...) with `line`: the line of 0 to last that stands at this place among those that no span of hidden(s, e) covers; others go."""
+    g = gaps(hidden, 0, last)
+    g = running_total(g, "s", F.col("e") - F.col("s") + 1, "_before")
+    rest = F.struct(*[F.col(f"`{c}`") for c in places.columns])
+    both = places.where("shown >= 0").select(F.col("shown").alias("_at"), rest.alias("_row")).unionByName(g.select(F.col("_before").alias("_at"), F.struct("s", "e", "_before").alias("_gap")), allowMissingColumns=True)
+    both = both.withColumn("_o", F.col("_at") * 2 + F.col("_row").isNotNull().cast("int"))
+    both = scan(settled(both), "_o", F.col("_gap"), "_in", "last").where("_row IS NOT NULL")
+    line = F.col("_in.s") + F.col("_at") - F.col("_in._before")
+    return both.withColumn("line", line).where("line <= _in.e").select("_row.*", "line")

@@ -135,3 +135,24 @@ def markers_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers per page of 1000 pixels."""
     return spans(spark, sf_dir).groupBy(F.floor(F.col("s") / 1000).alias("page")).agg(F.count("*").alias("n"))
+
+
+# a line a day that events happened on, collapsed where one of a few customers had orders
+SHOWN_SQL = f"{ORD}, h AS (SELECT s, e FROM o WHERE cust % 300 = 7), c AS (SELECT DISTINCT unnest(generate_series(s, e)) AS day FROM h), l AS (SELECT DISTINCT event_id % 5000 AS line FROM events)"
+
+
+@query(f"{SHOWN_SQL}, v AS (SELECT day AS line, row_number() OVER (ORDER BY day) - 1 AS shown FROM (SELECT unnest(generate_series(0, 4999)) AS day) x WHERE day NOT IN (SELECT day FROM c)) SELECT l.line, v.shown FROM l LEFT JOIN v ON v.line = l.line")
+def shown_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each line stands among those shown; hidden ones stand nowhere."""
+    return iv.shown_positions(_lines(spark, sf_dir), spans(spark, sf_dir).where("cust % 300 = 7"))
+
+
+@query(f"{SHOWN_SQL}, v AS (SELECT day AS line, row_number() OVER (ORDER BY day) - 1 AS shown FROM (SELECT unnest(generate_series(0, 4999)) AS day) x WHERE day NOT IN (SELECT day FROM c)) SELECT v.shown, v.line FROM v JOIN l ON l.line = v.shown")
+def lines_shown_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line at each place of what is shown."""
+    places = _lines(spark, sf_dir).withColumnRenamed("line", "shown")
+    return iv.lines_shown_at(places, spans(spark, sf_dir).where("cust % 300 = 7"), 4999)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select((F.col("event_id") % 5000).alias("line")).distinct()
