@@ -13,7 +13,8 @@ confirms its pairs, likeliest first, skipping those whose ends are connected by
 returns a forest, never its pairs; so no link between components that the bands propose is lost.
 
 Bands of five rows over 200 hashes: a pair at similarity 0.75 shares none of the 40 bands with
-probability 2e-5.
+probability 2e-5; the sequential comparison then loses 7.7e-4 of such pairs (3.3e-4 at 0.76), reckoned with
+independent hashes: 8e-4 in all.
 """
 
 from __future__ import annotations

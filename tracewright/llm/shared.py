@@ -70,15 +70,16 @@ def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(a)) for k, a in names.items()])
     counts = o.select(*names.values(), F.col(n).alias("_n")) if n else rows.groupBy(*[F.col(k).alias(a) for k, a in names.items()]).agg(F.count("*").alias("_n"))
     total = (o.agg(F.sum(n)).first()[0] or 0) if n else rows.count()
-    hot = counts.where(F.col("_n") > total / HOT_SHARE).drop("_n").collect()
+    mark = lambda names: F.xxhash64(*[F.col(c).cast(o.schema[a].dataType) for c, a in zip(names, o.columns, strict=False)])
+    hot = [r[0] for r in counts.where(F.col("_n") > total / HOT_SHARE).select(mark(names.values())).distinct().collect()]
     o = o.drop(n) if n else o
     new = [c for c in o.columns if c not in names.values()]
     plain = lambda d: d.join(o, same, how).select(*rows.columns, *new)
     if not hot:
         return plain(rows)
-    few = F.broadcast(rows.sparkSession.createDataFrame(hot, o.select(*names.values()).schema))
-    theirs = F.broadcast(o.join(few.withColumnsRenamed({a: f"{a}h" for a in names.values()}), reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(f"{a}h")) for a in names.values()]), "left_semi"))
-    return rows.join(few, same, "left_semi").join(theirs, same, how).select(*rows.columns, *new).unionByName(plain(rows.join(few, same, "left_anti")))
+    # by hashes, so that the list is a filter and no join; keys that share one with a hot key go with it
+    theirs = F.broadcast(o.where(mark(names.values()).isin(hot)))
+    return rows.where(mark(names).isin(hot)).join(theirs, same, how).select(*rows.columns, *new).unionByName(plain(rows.where(~mark(names).isin(hot))))
 
 
 def spread_join(pairs: DataFrame, one: DataFrame, key: str, other: str, per: int | None = None) -> DataFrame:
