@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.control_flow import first_per_key
+from ..operators.ordered import running_total
 
 #: Lines per directory of the line table.
 LINE_BUCKET = 1 << 20
@@ -65,7 +66,7 @@ def write_annotations(rows: DataFrame, path: str, root: str, row: str) -> None:
 
 def write_regions(regions: DataFrame, path: str) -> None:
     """A diff's regions(start_line, end_line, is_match), numbered from 0 in line order, in directories of matching and differing ones."""
-    d = regions.withColumn("region", F.row_number().over(Window.orderBy("start_line")) - 1)  # a row a region
+    d = running_total(regions, "start_line", F.lit(1), "region")
     d.write.mode("overwrite").partitionBy("is_match").parquet(path)
 
 

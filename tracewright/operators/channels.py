@@ -304,8 +304,3 @@ def message_matches(sends: DataFrame, receives: DataFrame) -> DataFrame:
     heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("_r")), lambda n: F.substring(F.col("_r"), F.lit(1), n))
     r = r.select("channel_name", "recv_id", "recv_line", F.explode(heads).alias("_m"))
     return s.join(r, ["channel_name", "_m"]).drop("_m")
-
-
-def calls(entries: DataFrame, returns: DataFrame, buffers: DataFrame) -> DataFrame:
-    """Function call events from their entry lines, return lines and the text their buffers held."""
-    return entries.join(returns, ["trace", "line"], "left").join(buffers, ["trace", "line"], "left")
