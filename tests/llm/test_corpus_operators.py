@@ -143,6 +143,88 @@ def test_no_more_goes_than_earlier_documents_have(spark, holders, monkeypatch):
         assert "own line" not in " ".join(a[k] for k in gone)
 
 
+def patience(later, words, first, least):
+    """Lines of `later` in common blocks with `first`, by plain loops: unique common lines in a longest chain, grown both ways, until nothing more goes; then runs that stand elsewhere."""
+    gone = set()
+
+    def grown(i, j):
+        s = e = 0
+        while i - s > 0 and j - s > 0 and i - s - 1 not in gone and later[i - s - 1] == first[j - s - 1]:
+            s += 1
+        while i + e < len(later) and j + e < len(first) and i + e not in gone and later[i + e] == first[j + e]:
+            e += 1
+        block = range(i - s, i + e)
+        if sum(words[k] for k in block) < least:
+            return False
+        gone.update(block)
+        return True
+
+    while True:
+        left = [x for k, x in enumerate(later) if k not in gone]
+        once = [(k, first.index(x)) for k, x in enumerate(later) if k not in gone and words[k] and left.count(x) == 1 and first.count(x) == 1]
+        best = []  # (length of the longest chain that ends here, place in first, chain)
+        for k, j in once:
+            length = max([n for n, q, _ in best if q < j], default=0)
+            chain = min([(q, c) for n, q, c in best if n == length and q < j], default=(0, []))[1]
+            best.append((length + 1, j, [*chain, (k, j)]))
+        top = max([n for n, _, _ in best], default=0)
+        chain = min([(j, c) for n, j, c in best if n == top], default=(0, []))[1]
+        if not [1 for k, j in chain if k not in gone and grown(k, j)]:
+            break
+
+    def run(lines, w, k):
+        total = 0
+        for e in range(k, len(lines)):
+            total += w(lines[e])
+            if total >= least:
+                return tuple(lines[k : e + 1])
+
+    of = dict(zip(later, words))
+    for k in range(len(later)):
+        mine = run(later, of.get, k) if words[k] else None
+        there = [j for j in range(len(first)) if mine and tuple(first[j : j + len(mine)]) == mine]
+        if there and k not in gone:
+            grown(k, there[0])
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_are_those_of_plain_patience(spark, seed):
+    """Random documents of few lines, moved, repeated and cut, against loops over all earlier documents that hold a run first."""
+    r = random.Random(seed)
+    pool = [" ".join(f"w{k}x{i}" for i in range(r.choice([1, 2, 5, 9, 16]))) + "." for k in range(24)]
+    docs = []
+    for i in range(40):
+        lines = [r.choice(pool) for _ in range(r.randrange(0, 14))]
+        if docs and r.random() < 0.6:
+            old = r.choice(docs).split("\n")
+            at = r.randrange(len(old))
+            lines[r.randrange(len(lines) + 1) : 0] = old[at : at + r.randrange(1, 8)]
+        docs.append("\n".join(lines))
+    split = [[x.strip() for x in line_dedup.lines_of(t)] for t in docs]
+    count = [[len(x.split()) for x in d] for d in split]
+
+    def runs(d, w):
+        for k in range(len(d)):
+            for e in range(k, len(d)):
+                if w[k] and sum(w[k : e + 1]) >= 15:
+                    yield tuple(d[k : e + 1])
+                    break
+
+    first = {}
+    want = {}
+    for i, (d, w) in enumerate(zip(split, count)):
+        gone = set()
+        for j in {first[x] for x in runs(d, w) if x in first}:
+            gone |= patience(d, w, split[j], 15)
+        for x in runs(d, w):
+            first.setdefault(x, i)
+        if gone:
+            want[i] = sorted(gone)
+    out = line_dedup.repeated_lines(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"))
+    assert {x["doc_id"]: x["lines"] for x in out.collect()} == want and len(want) > 10
+
+
 def test_line_dedup_of_nothing(nothing):
     assert line_dedup.without_repeats(nothing).count() == 0
 
