@@ -111,3 +111,13 @@ def test_op9(spark, documents):
             assert o == ends["at"]
             ends["at"] += n
         assert ends["at"] <= 4096
+
+
+def test_op13(spark, documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    n = dict(zip([i for i, _ in documents], [len(e.ids) for e in t.encode_batch([x or "" for _, x in documents], add_special_tokens=False)], strict=True))
+    out = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op13_token_counts(spark, SF).collect()}
+    assert out == {i: (len((x or "").encode()), n[i], n[i] > 2048) for i, x in documents}
