@@ -156,7 +156,7 @@ def test_joins_of_hot_keys(spark, monkeypatch, share):
     for i, k in rows:
         sums[k] += i
     totals = d.groupBy("k").agg(F.count("*").alias("n"), F.sum("i").alias("s"))
-    for out in (shared.join_one(d, totals, ["k"], n="n"), shared.join_one(d, totals.drop("n"), ["k"])):
+    for out in (shared.join_one(d, totals, ["k"], n="n", nulls=True), shared.join_one(d, totals.drop("n"), ["k"], nulls=True)):
         assert out.columns == ["i", "k", "s"] and sorted(map(tuple, out.collect())) == sorted((i, k, sums[k]) for i, k in rows)
     few = totals.where("k % 2 = 0")
     for how in ("inner", "left"):

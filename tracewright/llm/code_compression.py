@@ -233,4 +233,4 @@ def compress(vectors: DataFrame, n_parts: int = 16, n_entries: int = 64, rounds:
     out = stored(_pass(now, books, True), "codes-last")
     discard(now)
     totals = out.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("_rows"))
-    return join_one(out, totals, ["label"], n="_rows"), books
+    return join_one(out, totals, ["label"], n="_rows", nulls=True), books

@@ -58,8 +58,8 @@ HOT_SHARE = 1000
 KEY_PAIRS = 4096
 
 
-def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", n: str | None = None) -> DataFrame:
-    """rows joined ("inner" or "left") with `one`, which has one small row a key, nulls equal nulls; the key columns once.
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", n: str | None = None, nulls: bool = False) -> DataFrame:
+    """rows joined ("inner" or "left") with `one`, which has one small row a key; the key columns once. nulls: null keys are equal.
 
     Hot keys are fewer than HOT_SHARE: their rows of `one` are broadcast, so that the rows of such a key stay spread over the
     tasks that hold them. The others shuffle, and none of them brings a task more than one in HOT_SHARE of all rows. n: a
@@ -67,7 +67,8 @@ def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner
     """
     names = {k: f"_key{i}" for i, k in enumerate(keys)}
     o = one.select(*[F.col(k).alias(a) for k, a in names.items()], *[c for c in one.columns if c not in names])
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(a)) for k, a in names.items()])
+    # plain equality of a single number keeps a broadcast table small
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(a)) if nulls else F.col(k) == F.col(a) for k, a in names.items()])
     counts = o.select(*names.values(), F.col(n).alias("_n")) if n else rows.groupBy(*[F.col(k).alias(a) for k, a in names.items()]).agg(F.count("*").alias("_n"))
     total = (o.agg(F.sum(n)).first()[0] or 0) if n else rows.count()
     mark = lambda names: F.xxhash64(*[F.col(c).cast(o.schema[a].dataType) for c, a in zip(names, o.columns, strict=False)])
