@@ -159,21 +159,23 @@ def pairings(left: DataFrame, right: DataFrame) -> DataFrame:
     that a stream repeats meet once.
     """
     keys = [f"{c}_{i}" for i in (1, 2) for c in STREAM]
-    kind = lambda d, t, side, name: _of(d.where((F.col("type") == t) & (F.col("payload") != "")), side, F.col("payload").alias(name), "line")
-
-    def last(d: DataFrame) -> DataFrame:
-        return d.groupBy(*[c for c in d.columns if c != "line"]).agg(F.max("line").alias("line_2"))
-
-    own = lambda d: d.drop("line").distinct()
-    sent = prefix_pairs(own(kind(left, "send", 1, "sent")), last(kind(right, "receive", 2, "recv")))
-    got = prefix_pairs(last(kind(right, "send", 2, "sent")), own(kind(left, "receive", 1, "recv")))
-    found = sent.select(*keys, F.lit("send").alias("type"), F.col("sent").alias("payload"), "line_2").unionByName(got.select(*keys, F.lit("receive").alias("type"), F.col("recv").alias("payload"), "line_2"))
-    found = found.groupBy(*keys, "type", "payload").agg(F.max("line_2").alias("line_2"))
-    mine = left.where("type IN ('send', 'receive')").select(*[F.col(c).alias(f"{c}_1") for c in STREAM], F.col("line").alias("line_1"), "type", "payload")
-    pairs = mine.join(found, ["handle_1", "open_line_1", "type", "payload"])
+    said = lambda d, side, *more: _of(d.where("type IN ('send', 'receive')"), side, "type", "payload", *more)
+    mine = said(left, 1, F.col("line").alias("line_1"), F.xxhash64("type", "payload").alias("_mark"))
+    # a message is known within its stream by a 64-bit digest, so that found pairs carry no payload
+    own = settled(mine.where("payload <> ''").groupBy("channel_id", "handle_1", "open_line_1", "type", "payload", "_mark").agg(F.count("*").alias("_times")))
+    other = said(right, 2, "line").where("payload <> ''")
+    other = settled(other.groupBy(*[c for c in other.columns if c != "line"]).agg(F.max("line").alias("line_2")))
+    of = lambda d, kind, name: d.where(F.col("type") == kind).withColumnRenamed("payload", name).drop("type", "_times")
+    sent = prefix_pairs(of(own, "send", "sent"), of(other, "receive", "recv"))
+    got = prefix_pairs(of(other, "send", "sent"), of(own, "receive", "recv"))
+    found = sent.select(*keys, "_mark", "line_2").unionByName(got.select(*keys, "_mark", "line_2"))
+    found = settled(found.groupBy(*keys, "_mark").agg(F.max("line_2").alias("line_2")))
     need = mine.groupBy("handle_1", "open_line_1").agg(F.count("*").alias("_need"))
-    full = pairs.groupBy(*keys).agg(F.count("*").alias("_got")).join(need, ["handle_1", "open_line_1"]).where("_got = _need").select(*keys)
-    return pairs.join(full, keys).select("handle_1", "open_line_1", "line_1", "handle_2", "open_line_2", "line_2")
+    message = ["handle_1", "open_line_1", "_mark"]
+    full = found.join(own.select(*message, "_times"), message).groupBy(*keys).agg(F.sum("_times").alias("_got"))
+    full = full.join(need, ["handle_1", "open_line_1"]).where("_got = _need").select(*keys)
+    lines = mine.where("payload <> ''").select(*message, "line_1")
+    return found.join(full, keys).join(lines, message).select("handle_1", "open_line_1", "line_1", "handle_2", "open_line_2", "line_2")
 
 
 def tcp_ok(sends: Column, receives: Column) -> Column:
@@ -188,12 +190,33 @@ def queue_ok(sends: Column, receives: Column) -> Column:
     return seen == F.size(receives)
 
 
+def may_begin(sends: DataFrame, receives: DataFrame) -> DataFrame:
+    """receives(channel_id, recv, …) with _n: once for each length of a sent text (channel_id, sent) of the channel that may begin theirs.
+
+    A sent text is marked by its beginning of the greatest power of two that it holds, a received one by all such beginnings of
+    its own; a received text takes the lengths of the sent ones that share a mark with it, not all that occur on the channel. Marks are 64-bit hashes,
+    so a chance collision adds a length and loses none; whether a text does begin another is left to the caller.
+    """
+    power = lambda n: F.pow(F.lit(2), F.length(F.bin(n)) - 1).cast("int")
+    mark = lambda c, n: F.xxhash64(F.substring(F.col(c), F.lit(1), n))
+    s = sends.where("sent IS NOT NULL").select("channel_id", "sent", F.length("sent").alias("_n"))
+    s = s.withColumn("_size", F.when(F.col("_n") == 0, 0).otherwise(power(F.col("_n"))))
+    lengths = s.select("channel_id", "_size", mark("sent", F.col("_size")).alias("_mark"), "_n").groupBy("channel_id", "_size", "_mark").agg(F.collect_set("_n").alias("_lengths"))
+    m = F.length("recv")
+    sizes = F.when(m == 0, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.length(F.bin(m))), lambda i: F.when(i == 0, 0).otherwise(F.pow(F.lit(2), i - 1).cast("int"))))
+    r = receives.where("recv IS NOT NULL").withColumn("_text", F.xxhash64("recv"))
+    marks = r.select("channel_id", "_text", F.explode(F.transform(sizes, lambda n: F.struct(n.alias("_size"), mark("recv", n).alias("_mark")))).alias("_m"))
+    known = marks.select("channel_id", "_text", "_m.*").distinct().join(lengths, ["channel_id", "_size", "_mark"])
+    # texts of one hash share their lengths
+    known = known.groupBy("channel_id", "_text").agg(F.array_distinct(F.flatten(F.collect_list("_lengths"))).alias("_lengths"))
+    r = r.join(known, ["channel_id", "_text"]).withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("recv"))))
+    return r.drop("_lengths", "_text")
+
+
 def prefix_pairs(sends: DataFrame, receives: DataFrame) -> DataFrame:
-    """Pairs on one channel whose received payload starts with the sent one: joined on the beginnings of the lengths that are sent there."""
-    lengths = sends.groupBy("channel_id").agg(F.collect_set(F.length("sent")).alias("_lengths"))
-    heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("recv")), lambda n: F.substring(F.col("recv"), F.lit(1), n))
-    r = receives.join(lengths, "channel_id").withColumn("_head", F.explode(heads)).drop("_lengths")
-    return sends.join(r.withColumnRenamed("_head", "sent"), ["channel_id", "sent"])
+    """Pairs on one channel whose received payload starts with the sent one: joined on the beginnings of the lengths that may_begin() gives."""
+    r = may_begin(sends, receives)
+    return sends.join(r.withColumn("sent", F.substring(F.col("recv"), F.lit(1), F.col("_n"))).drop("_n"), ["channel_id", "sent"])
 
 
 def child_channels(events: DataFrame, links: DataFrame) -> DataFrame:
