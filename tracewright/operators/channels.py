@@ -85,39 +85,58 @@ def _classes(streams: DataFrame, column: str, side: int) -> DataFrame:
     return d.groupBy(*d.columns).agg(F.count("*").alias("n"))
 
 
-def _flagged(pairs: DataFrame, found: DataFrame, need: DataFrame, side: int, name: str) -> DataFrame:
-    """pairs with `name`: whether as many messages of one side's stream were found for the pair as the stream has."""
-    keys = [f"{c}_{i}" for i in (1, 2) for c in STREAM]
-    got = found.groupBy(*keys).agg(F.count("*").alias("_got"))
-    needed = need.groupBy(*[f"{c}_{side}" for c in STREAM]).agg(F.count("*").alias("_need"))
-    d = pairs.join(got, keys, "left").join(needed, [f"{c}_{side}" for c in STREAM], "left")
-    return d.withColumn(name, F.coalesce("_got", F.lit(0)) == F.coalesce("_need", F.lit(0))).drop("_got", "_need")
+#: Streams of one side that meet a stream of the other in one row.
+TOGETHER = 256
+
+
+def _full(found: DataFrame, need: DataFrame, side: int) -> DataFrame:
+    """The pairs of streams for which as many messages of one side's stream were found as it has."""
+    mine = [f"{c}_{side}" for c in STREAM]
+    got = found.groupBy(*[f"{c}_{i}" for i in (1, 2) for c in STREAM]).agg(F.count("*").alias("_got"))
+    return got.join(need.groupBy(*mine).agg(F.count("*").alias("_need")), mine).where("_got = _need").drop("_got", "_need")
 
 
-def _both_ways(left: DataFrame, right: DataFrame, check: Callable[[DataFrame, DataFrame, DataFrame, int, int, str], DataFrame]) -> DataFrame:
-    """All pairs of streams of equal channel with ok: whether the check holds for what each side sent and the other received. Pairs carry keys only."""
-    pairs = _of(left, 1).join(_of(right, 2), "channel_id").drop("channel_id")
-    d = check(check(pairs, left, right, 1, 2, "_to"), right, left, 2, 1, "_back")
-    return d.withColumn("ok", F.col("_to") & F.col("_back")).drop("_to", "_back")
+def _both_ways(left: DataFrame, right: DataFrame, checked: str, asks: Callable[[Column], Column], check: Callable[[DataFrame, DataFrame, int, int], DataFrame]) -> DataFrame:
+    """All pairs of streams of equal channel with ok: whether the check holds for what each side sent and the other received.
+
+    check(senders, receivers, sending side, receiving side) gives the pairs it holds for. It asks something of streams whose
+    `checked` column (sends or receives) satisfies `asks`; it holds for all pairs of the others, which need not be given. Only pairs that it
+    gives are shuffled: the others come from each stream beside groups of streams of the other side, as the last step.
+    """
+    keys = [f"{c}_{i}" for i in (1, 2) for c in STREAM]
+    a, b = (_of(d, i, asks(F.col(checked)).cast("int").alias(f"_need_{i}")) for i, d in ((1, left), (2, right)))
+    held = check(left, right, 1, 2).select(*keys).unionByName(check(right, left, 2, 1).select(*keys)).groupBy(*keys).agg(F.count("*").alias("_held"))
+    groups = b.groupBy("channel_id").agg(F.ceil(F.count("*") / TOGETHER).alias("_groups"))
+    b = b.join(groups, "channel_id").withColumn("_group", F.pmod(F.xxhash64("handle_2", "open_line_2"), "_groups"))
+    b = settled(b.groupBy("channel_id", "_group").agg(F.array_sort(F.collect_list(F.struct("handle_2", "open_line_2", "_need_2"))).alias("_streams")))
+    places = b.select("_group", F.posexplode("_streams").alias("_at", "_s")).select("_group", "_at", "_s.*")
+    ok = held.join(a.drop("channel_id"), keys[:2]).join(places, keys[2:]).where("_held = _need_1 + _need_2")
+    ok = ok.groupBy(*keys[:2], "_group").agg(F.collect_list("_at").alias("_ok"))
+    pairs = a.join(b.select("channel_id", "_group"), "channel_id").join(ok, [*keys[:2], "_group"], "left")
+    # few bytes make many rows: the number of tasks is fixed, so that it is not taken from the bytes
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(tasks, "channel_id", "_group").join(b, ["channel_id", "_group"])
+    pairs = pairs.select(*keys[:2], "_need_1", "_ok", F.posexplode("_streams").alias("_at", "_s"))
+    free = (F.col("_need_1") == 0) & (F.col("_s._need_2") == 0)
+    return pairs.select(*keys[:2], *[F.col(f"_s.{c}").alias(c) for c in keys[2:]], (free | F.coalesce(F.array_contains("_ok", F.col("_at")), F.lit(False))).alias("ok"))
 
 
 def verify_bytes(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of streams(channel_id, handle, open_line, sends, receives) with ok: what each side received is a prefix of what the other sent, as byte streams.
 
-    Of a received stream its length and 256-bit digest travel; of a sent one the digests of its beginnings of the lengths that were
-    received on the channel. So a prefix may end within a message, and no pair carries bytes.
+    A sent stream is cut at the lengths that may_begin() gives, and the 256-bit digests of these beginnings meet those of whole
+    received streams. So a prefix may end within a message, and no pair carries bytes.
     """
+    whole = lambda c: F.array_join(c, "")
 
-    def check(pairs: DataFrame, senders: DataFrame, receivers: DataFrame, s: int, r: int, name: str) -> DataFrame:
-        whole = lambda c: F.array_join(c, "").cast("binary")
-        got = _of(receivers, r, whole("receives").alias("_b")).withColumns({"n": F.octet_length("_b"), "d": F.sha2("_b", 256)}).drop("_b")
-        sent = _of(senders, s, whole("sends").alias("_b")).join(got.select("channel_id", "n").distinct(), "channel_id")
-        sent = sent.where("n <= octet_length(_b)").withColumn("d", F.sha2(F.substring(F.col("_b"), F.lit(1), F.col("n")), 256)).drop("_b")
-        found = sent.join(got, ["channel_id", "n", "d"])
-        # one row a pair, and one needed of each received stream
-        return _flagged(pairs, found, _of(receivers, r), r, name)
+    def check(senders: DataFrame, receivers: DataFrame, s: int, r: int) -> DataFrame:
+        got = _of(receivers, r, whole("receives").alias("sent")).where("sent <> ''")
+        cut = may_begin(got, _of(senders, s, whole("sends").alias("recv")))
+        cut = cut.withColumn("d", F.sha2(F.substring(F.col("recv"), F.lit(1), F.col("_n")).cast("binary"), 256)).drop("recv")
+        got = got.withColumns({"_n": F.length("sent"), "d": F.sha2(F.col("sent").cast("binary"), 256)}).drop("sent")
+        return cut.join(got, ["channel_id", "_n", "d"])
 
-    return _both_ways(left, right, check)
+    return _both_ways(left, right, "receives", lambda c: whole(c) != "", check)
 
 
 def verify_in_turn(left: DataFrame, right: DataFrame, ok: Callable[[Column, Column], Column]) -> DataFrame:
@@ -130,24 +149,24 @@ def verify_in_turn(left: DataFrame, right: DataFrame, ok: Callable[[Column, Colu
 def verify_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     """As verify_bytes: each message was received at most as often as it was sent. Distinct messages meet by join, once a stream however often they occur."""
 
-    def check(pairs: DataFrame, senders: DataFrame, receivers: DataFrame, s: int, r: int, name: str) -> DataFrame:
+    def check(senders: DataFrame, receivers: DataFrame, s: int, r: int) -> DataFrame:
         got = _classes(receivers, "receives", r).withColumnRenamed("n", "_r")
         found = _classes(senders, "sends", s).join(got, ["channel_id", "m"]).where("_r <= n")
-        return _flagged(pairs, found, got, r, name)
+        return _full(found, got, r)
 
-    return _both_ways(left, right, check)
+    return _both_ways(left, right, "receives", lambda c: F.size(c) > 0, check)
 
 
 def verify_prefixes(left: DataFrame, right: DataFrame) -> DataFrame:
-    """As verify_bytes: every message that a side sent begins one that the other received."""
+    """As verify_bytes: every message that a side sent begins one that the other received. Messages are known within their stream by 64-bit digests."""
 
-    def check(pairs: DataFrame, senders: DataFrame, receivers: DataFrame, s: int, r: int, name: str) -> DataFrame:
-        sent = _classes(senders, "sends", s)
-        found = prefix_pairs(sent.withColumnRenamed("m", "sent").drop("n"), _classes(receivers, "receives", r).withColumnRenamed("m", "recv").drop("n"))
-        found = found.select("sent", *[f"{c}_{i}" for i in (1, 2) for c in STREAM]).distinct()
-        return _flagged(pairs, found, sent, s, name)
+    def check(senders: DataFrame, receivers: DataFrame, s: int, r: int) -> DataFrame:
+        sent = settled(_classes(senders, "sends", s).drop("n").withColumn("_mark", F.xxhash64("m")))
+        found = prefix_pairs(sent.withColumnRenamed("m", "sent"), settled(_classes(receivers, "receives", r).drop("n")).withColumnRenamed("m", "recv"))
+        found = found.select("_mark", *[f"{c}_{i}" for i in (1, 2) for c in STREAM]).distinct()
+        return _full(found, sent, s)
 
-    return _both_ways(left, right, check)
+    return _both_ways(left, right, "sends", lambda c: F.size(c) > 0, check)
 
 
 def pairings(left: DataFrame, right: DataFrame) -> DataFrame:
