@@ -139,3 +139,22 @@ def test_places_of_lines(spark):
     back = iv.lines_shown_at(spark.range(80).selectExpr("id AS shown"), hidden, 70).collect()
     assert {r["shown"]: r["line"] for r in back} == dict(enumerate(seen))
     assert {r["shown"] for r in iv.shown_positions(lines, hidden.where("false")).collect()} == set(range(71))
+
+
+def test_totals_beside_wide_rows(spark):
+    """Texts pass through no window: a bucket of lines would bring all of theirs to one task."""
+    rows = [(k * 3, None if k % 7 == 0 else "x" * (k % 5)) for k in range(40)]
+    d = ordered.running_total(spark.createDataFrame(rows, "line long, text string"), "line", F.length("text"), "at", wide=True)
+    assert sorted(map(tuple, d.select("line", "text", "at").collect()), key=lambda x: x[0]) == [(n, t, sum(len(x or "") for m, x in rows if m < n)) for n, t in rows]
+    for line in d._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert "Window" not in line or "text#" not in line
+
+
+def test_stored_lines_and_hits_keep_texts_out_of_windows(spark):
+    from tracewright.plans import lookup_queries as lookup
+
+    for query in (lookup.line_sink, lookup.search_plain):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+        windows = plan.toString().split("Window [")[1:]
+        below = [next(x for x in w.split("\n")[1:] if "Project [" in x) for w in windows]
+        assert windows and all("text#" not in x.split("AS _v0")[0].replace("length(text#", "") for x in below)

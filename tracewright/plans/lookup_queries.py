@@ -42,7 +42,7 @@ LONG = "SELECT doc_id AS line, CASE WHEN length(text) > 2000 THEN substr(text, 1
 def line_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored lines: long ones are cut to 120 characters and dots, offsets count the whole text."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), "text")
-    d = running_total(d, "line", F.length("text"), "block_offset")
+    d = running_total(d, "line", F.length("text"), "block_offset", wide=True)
     cut = F.when(F.length("text") > 2000, F.concat(F.substring("text", 1, 120), F.lit("..."))).otherwise(F.col("text"))
     return d.select("line", cut.alias("contents"), "block_offset")
 
@@ -248,7 +248,7 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place of a plain text in any case, also as an offset in the file."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), "text")
-    return search(running_total(d, "line", F.length("text"), "offset"), "mit ", regex=False, case_sensitive=False)
+    return search(running_total(d, "line", F.length("text"), "offset", wide=True), "mit ", regex=False, case_sensitive=False)
 
 
 TAGS = "SELECT l_suppkey AS tag, l_orderkey AS start_line, l_linenumber AS start_char, l_orderkey + l_partkey % 5 AS end_line, CAST(l_quantity AS BIGINT) AS end_char FROM lineitem"
