@@ -62,3 +62,14 @@ def test_all_pairs_of_streams(spark, monkeypatch, check, holds):
     # rows of pairs are made last: they pass through no join, sort or shuffle
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" in plan and "Join" not in plan[: plan.index("posexplode")]
+
+
+def test_messages_of_one_name_use_the_same_step(spark, monkeypatch):
+    tried = []
+    step = ch.may_begin
+    monkeypatch.setattr(ch, "may_begin", lambda s, r: tried.append(step(s, r)) or tried[-1])
+    d = spark.createDataFrame([(k, k, "c", "abcdefgh"[k:] * 3 + "z" * k) for k in range(8)] + [(9, 9, "c", "ab"), (10, 10, "d", "abcdefgh")], "id long, line long, channel_name string, message string")
+    rows = [tuple(r) for r in d.collect()]
+    got = ch.message_matches(d, d).select("channel_name", "send_id", "recv_id").collect()
+    assert sorted(map(tuple, got)) == sorted((a[2], a[0], b[0]) for a in rows for b in rows if a[2] == b[2] and b[3].startswith(a[3]))
+    assert tried[0].count() == len(got)

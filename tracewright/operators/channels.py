@@ -335,14 +335,7 @@ def named_messages(creates: DataFrame, messages: DataFrame, unnamed: bool = Fals
 
 
 def message_matches(sends: DataFrame, receives: DataFrame) -> DataFrame:
-    """Pairs of sends and receives, both from named_messages, on equal channel names whose received message starts with the sent one.
-
-    The join is on the name and on the sent message as one of the received one's beginnings of the lengths
-    that are sent on the channel, so messages of other beginnings never meet.
-    """
-    s = sends.select("channel_name", F.col("id").alias("send_id"), F.col("line").alias("send_line"), F.col("message").alias("_m"))
-    lengths = s.groupBy("channel_name").agg(F.collect_set(F.length("_m")).alias("_lengths"))
-    r = receives.select("channel_name", F.col("id").alias("recv_id"), F.col("line").alias("recv_line"), F.col("message").alias("_r")).join(lengths, "channel_name")
-    heads = F.transform(F.filter("_lengths", lambda n: n <= F.length("_r")), lambda n: F.substring(F.col("_r"), F.lit(1), n))
-    r = r.select("channel_name", "recv_id", "recv_line", F.explode(heads).alias("_m"))
-    return s.join(r, ["channel_name", "_m"]).drop("_m")
+    """Pairs of sends and receives, both from named_messages, on equal channel names whose received message starts with the sent one (prefix_pairs)."""
+    s = settled(sends.select(F.col("channel_name").alias("channel_id"), F.col("id").alias("send_id"), F.col("line").alias("send_line"), F.col("message").alias("sent")))
+    r = settled(receives.select(F.col("channel_name").alias("channel_id"), F.col("id").alias("recv_id"), F.col("line").alias("recv_line"), F.col("message").alias("recv")))
+    return prefix_pairs(s, r).select(F.col("channel_id").alias("channel_name"), "send_id", "send_line", "recv_id", "recv_line")
