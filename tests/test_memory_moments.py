@@ -93,3 +93,48 @@ def test_call_events(spark):
         (5, 7, "Recv", "pipe", f"{0:016X}", 0x2000, 9, "ANSWER"),
         (9, 11, "Check", "pipe", f"{5:016X}", 0x2000, 9, "SECOND"),
     ]
+
+
+def test_page_logs_serve_many_requests(spark):
+    """Writes are read once, however many requests follow; pages on both sides of 2**63, equal lines and spans without writes."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            read.add(len(x))
+            yield x
+
+    tops = [0, 2**63 - 2, 2**64 - 3]
+    rows = [(top + i, line, seq, f"{(i * 16 + line + seq) % 256:02x}") for top in tops for i in range(3) for line in (0, 5, 70) for seq in (1, 0)]
+    w = spark.createDataFrame([(str(a), *rest) for a, *rest in rows], "addr string, line long, seq long, byte string").withColumn("addr", F.col("addr").cast("decimal(20,0)"))
+    written = memory.page_logs(w.mapInPandas(counted, w.schema), 20)
+    asks = [(n, line, top) for n, (line, top) in enumerate((line, top) for line in (-1, 4, 5, 6, 69, 70, 200) for top in tops)]
+    q = spark.createDataFrame([(n, "x", line, str(top)) for n, line, top in asks], "line long, role string, at long, low string").withColumns({"low": F.col("low").cast("decimal(20,0)"), "size": F.lit(300).cast("long")})
+    want = {}
+    for n, line, top in asks:
+        seen = {a: byte for a, at, seq, byte in sorted(rows, key=lambda r: (r[1], r[2])) if at <= line and top <= a < top + 300}
+        if seen:
+            want[n] = "".join(seen[a] for a in sorted(seen))
+    for _ in range(2):
+        assert {r["line"]: r["hex"] for r in memory.bytes_as_of(q, written).collect()} == want and want
+    assert read.value == len(rows)
+
+
+def test_call_events_reads_writes_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            read.add(len(x))
+            yield x
+
+    rows = [(n, 1, "ab"[n % 3 == 0], m, i) for n, (m, i) in enumerate([("mov", "start"), ("call", "call"), ("mov", "receive"), ("ret", "end"), ("mov", "next"), ("call", "call"), ("mov", "check"), ("ret", "end"), ("mov", "next")])]
+    d = spark.createDataFrame(rows, "line long, thread long, module string, mnemonic string, instruction_id string")
+    desc = [(t, t, t, "R4", "R5", False, None, None, "R1", "R2", "p") for t in ("receive", "check")]
+    desc = spark.createDataFrame([(x[0], *x[1:]) for x in desc], "instruction_id string, func string, type string, ret_reg string, value_reg string, value_is_value boolean, in_reg string, in_len_reg string, out_reg string, out_len_reg string, data_index string")
+    regs = spark.createDataFrame([("R1", 0, f"{600:016X}"), ("R2", 0, f"{4:016X}"), ("R5", 0, f"{100:016X}"), ("R1", 5, f"{900:016X}"), ("R9", 1, "no number")], "reg string, line long, value_hex string")
+    writes = [(100, 0, "6B"), (600, 1, "61"), (601, 1, "62"), (900, 1, "7A")]
+    w = spark.createDataFrame(writes, "addr long, line long, byte string")
+    out = memory.call_events(d, desc, regs, w.mapInPandas(counted, w.schema)).collect()
+    assert sorted((r["line"], r["input_value"], int(r["buffer"])) for r in out) == [(2, "k", 600), (6, "k", 600)]
+    assert read.value == len(writes)

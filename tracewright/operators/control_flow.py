@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.instructions import ends_block, would_branch
-from .ordered import carried_after, carried_before, previous, runs, scan, scans, settled
+from .ordered import carried_after, carried_before, previous, scan, scans, settled
 
 #: Threads are groups of the scans, so that one thread of very many lines is spread over many tasks.
 THREAD = ("thread",)
@@ -78,8 +78,10 @@ def _stack(lines: DataFrame, floor: int) -> DataFrame:
 
 def with_block_starts(lines: DataFrame) -> DataFrame:
     """lines with starts_block: whether a thread's function block starts here, on its first line or behind a call or return."""
-    d = previous(lines, "line", {"_p": "mnemonic"}, THREAD)
-    return d.withColumn("starts_block", F.coalesce(F.col("_p").isin("call", "ret"), F.lit(True))).drop("_p")
+    # a line without a mnemonic ends its block
+    ends = F.coalesce(F.col("mnemonic").isin("call", "ret"), F.lit(True))
+    d = scan(lines, "line", ends, "_ended", "last", THREAD)
+    return d.withColumn("starts_block", F.coalesce("_ended", F.lit(True))).drop("_ended")
 
 
 def next_block(lines: DataFrame) -> DataFrame:
@@ -91,12 +93,15 @@ def next_block(lines: DataFrame) -> DataFrame:
 def return_lines(lines: DataFrame) -> DataFrame:
     """(call_line, module, return_line): for every call the module of the block before it, and where the next run of that module starts.
 
-    Calls before any block are left out. Two as-of steps: back to the block, forward among the module's runs.
+    Calls before any block are left out. Two as-of steps: back to the block, forward among the module's runs. Only starts of
+    blocks, calls and starts of runs take part in them.
     """
-    d = settled(with_block_starts(lines.select("line", "thread", "module", "mnemonic")))
+    d = with_block_starts(lines.select("line", "thread", "module", "mnemonic")).where("starts_block OR mnemonic = 'call'")
+    d = settled(d.drop("thread"))
     d = carried_before(d, "line", F.when(F.col("starts_block"), F.col("module")), "_m")
     calls = d.where("mnemonic = 'call' AND _m IS NOT NULL").select(F.col("_m").alias("module"), "line", F.lit(None).cast("long").alias("_s"), F.lit(1).alias("_call"))
-    segments = runs(lines, "line", "module").select(F.col("key").alias("module"), F.col("start").alias("line"), F.col("start").alias("_s"), F.lit(0).alias("_call"))
+    segments = carried_before(lines.select("line", "module").where("module IS NOT NULL"), "line", F.col("module"), "_last")
+    segments = segments.where(~F.col("module").eqNullSafe(F.col("_last"))).select("module", "line", F.col("line").alias("_s"), F.lit(0).alias("_call"))
     # a run that starts on the call's own line stands before it, so it does not count
     both = settled(calls.unionByName(segments).withColumn("_order", F.col("line") * 2 + F.col("_call")))
     both = carried_after(both, "_order", F.col("_s"), "return_line", group=("module",))

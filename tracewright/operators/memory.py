@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+from itertools import pairwise
+from typing import NamedTuple
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,59 +118,141 @@ POINTED = 256
 PAGE_LINES = 1 << 16
 
 
-def bytes_as_of(requests: DataFrame, byte_writes: DataFrame, page_lines: int | None = None) -> DataFrame:
+class PageLogs(NamedTuple):
+    """Rows of page_logs and the lines of their spans."""
+
+    rows: DataFrame
+    lines: int
+
+
+def _cell(address: str) -> tuple[Column, Column]:
+    """The page of an unsigned address of 64 bits, and the place in it, as integers."""
+    a = F.col(address).cast("decimal(20,0)")
+    high = a >= F.lit(Decimal(1 << 63))
+    bits = F.when(high, (a - F.lit(Decimal(1 << 64))).cast("long")).otherwise(a.cast("long"))
+    return F.shiftright(bits, POINTED.bit_length() - 1) + F.when(high, F.lit((1 << 64) // POINTED)).otherwise(F.lit(0)), bits.bitwiseAND(F.lit(POINTED - 1)).cast("int")
+
+
+def _logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of page_logs from (_p, _b, _t, _o, _c) in the order of pages, spans and times."""
+    key, parts = None, []
+
+    def row() -> tuple:
+        times, places, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        left = np.zeros(POINTED, "<u2")
+        left[places] = codes  # of a place that comes more than once the last stays
+        return (*key, times.astype("<i4").tobytes(), places.astype("<u2").tobytes(), codes.astype("<u2").tobytes(), left.tobytes())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["_p", "_b", "_times", "_places", "_codes", "_left"])
+
+    for batch in batches:
+        p, b, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cuts = [0, *(np.flatnonzero((p[1:] != p[:-1]) | (b[1:] != b[:-1])) + 1), len(p)] if len(p) else [0]
+        out = []
+        for lo, hi in pairwise(cuts):
+            if key != (p[lo], b[lo]):
+                if parts:
+                    out.append(row())
+                key, parts = (int(p[lo]), int(b[lo])), []
+            parts.append([x[lo:hi] for x in rest])
+        yield batch_of(out)
+    if parts:
+        yield batch_of([row()])
+
+
+def page_logs(byte_writes: DataFrame, page_lines: int | None = None) -> PageLogs:
+    """The writes of bytes_as_of by pages of POINTED addresses and spans of page_lines lines: one row each with the times (lines of the span), places and
+    bytes (two characters) of its writes in order, packed, and what they leave of the page.
+
+    It is made in one pass over the writes and serves any number of requests; settled, since each reads it twice.
+    """
+    span = page_lines or PAGE_LINES
+    page, place = _cell("addr")
+    seq = F.col("seq").cast("long") if "seq" in byte_writes.columns else F.lit(0).cast("long")
+    b = F.floor(F.col("line") / span)
+    code = F.ascii("byte") * 256 + F.ascii(F.substring("byte", 2, 1))
+    w = byte_writes.where("addr IS NOT NULL AND line IS NOT NULL AND byte IS NOT NULL")
+    w = w.select(page.alias("_p"), b.alias("_b"), (F.col("line") - b * span).cast("int").alias("_t"), place.alias("_o"), code.alias("_c"), seq.alias("_seq"))
+    w = w.repartition("_p", "_b").sortWithinPartitions("_p", "_b", "_t", "_seq").drop("_seq")
+    logs = w.mapInArrow(_logs, "_p long, _b long, _times binary, _places binary, _codes binary, _left binary")
+    return PageLogs(settled(logs), span)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_p, _b, _held): what a page holds before each asked span, from (_p, _b, _left) in the order of pages and spans; _left is null where it is asked."""
+    key, state = None, np.zeros(POINTED, "<u2")
+    for batch in batches:
+        out = []
+        for p, b, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != p:
+                key, state = p, np.zeros(POINTED, "<u2")
+            if left is None:
+                out.append((p, b, state.tobytes()))
+            else:
+                left = np.frombuffer(left, "<u2")
+                state = np.where(left > 0, left, state)
+        columns = zip(*out, strict=True) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.binary()], strict=True)], ["_p", "_b", "_held"])
+
+
+def _read(asks: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
+    """(line, role, _i, hex) of the asks of a page and span, from its log and what it held before."""
+    state, times, places, codes = np.zeros(POINTED, "<u2"), np.zeros(0, "<i4"), None, None
+    for held, t, o, c in zip(page["_held"], page["_times"], page["_places"], page["_codes"], strict=True):
+        if held is not None:
+            state = np.frombuffer(held, "<u2").copy()
+        else:
+            times, places, codes = np.frombuffer(t, "<i4"), np.frombuffer(o, "<u2"), np.frombuffer(c, "<u2")
+    asks = asks.sort_values("_t")
+    done, out = 0, []
+    for upto, lo, hi in zip(times.searchsorted(asks["_t"].to_numpy(), "right").tolist(), asks["_from"].tolist(), asks["_to"].tolist(), strict=True):
+        if upto > done:
+            state[places[done:upto]] = codes[done:upto]
+            done = upto
+        found = state[lo:hi]
+        out.append(found[found > 0].astype(">u2").tobytes().decode("latin-1"))
+    got = asks[["line", "role", "_i"]].assign(hex=out)
+    return got[got["hex"] != ""]
+
+
+def bytes_as_of(requests: DataFrame, byte_writes: DataFrame | PageLogs, page_lines: int | None = None) -> DataFrame:
     """(line, role, hex): the set bytes from `low` to low + size - 1 as they stand after line `at`, in address order, for
     requests(line, role, at, low, size) with unique (line, role); requests without any set byte give no row.
 
-    byte_writes: (addr, line, byte), or with seq where a line writes a byte more than once: the last counts. Writes and
-    requests meet by pages of POINTED addresses and spans of page_lines lines: each such group starts with what the page holds by
-    then and is read once, in line order. So neither a busy page nor a long trace comes to one task, and no request
-    asks for single bytes.
+    byte_writes: (addr, line, byte), or with seq where a line writes a byte more than once: the last counts; or page_logs() of
+    them, where more requests follow. Writes and requests meet by pages of POINTED addresses and spans of page_lines lines: each such
+    group starts with what the page holds by then and is read once, in line order. So neither a busy page nor a long trace comes
+    to one task, and no request asks for single bytes.
     """
-    span = page_lines or PAGE_LINES
-    page_of = lambda a: F.floor(a / POINTED).cast("decimal(20,0)")
-    addr = F.col("addr").cast("decimal(20,0)")
-    seq = F.col("seq") if "seq" in byte_writes.columns else F.lit(0)
-    w = byte_writes.select(page_of(addr).alias("_p"), F.col("line").alias("at"), seq.cast("long").alias("_seq"), "byte", addr.alias("_a"))
-    w = w.withColumns({"_o": (F.col("_a") - F.col("_p") * POINTED).cast("int"), "_b": F.floor(F.col("at") / span)}).drop("_a")
-    low = F.col("low").cast("decimal(20,0)")
-    r = requests.where("at IS NOT NULL AND low IS NOT NULL AND size > 0").withColumns({"_first": page_of(low), "_b": F.floor(F.col("at") / span)})
-    r = r.withColumn("_lo", (low - F.col("_first") * POINTED).cast("long"))
+    logs, span = byte_writes if isinstance(byte_writes, PageLogs) else page_logs(byte_writes, page_lines)
+    r = requests.where("at IS NOT NULL AND low IS NOT NULL AND size > 0")
+    page, place = _cell("low")
+    b = F.floor(F.col("at") / span)
+    r = r.withColumns({"_first": page, "_lo": place.cast("long"), "_b": b, "_t": (F.col("at") - b * span).cast("int")})
     r = r.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_lo") + F.col("size") - 1) / POINTED))))
-    r = r.select("line", "role", "at", "_b", (F.col("_first") + F.col("_i")).cast("decimal(20,0)").alias("_p"), "_i", F.greatest(F.col("_lo") - F.col("_i") * POINTED, F.lit(0)).alias("_from"), F.least(F.col("_lo") + F.col("size") - F.col("_i") * POINTED, F.lit(POINTED)).alias("_to"))
+    r = r.select("line", "role", "_t", "_b", (F.col("_first") + F.col("_i")).alias("_p"), "_i", F.greatest(F.col("_lo") - F.col("_i") * POINTED, F.lit(0)).alias("_from"), F.least(F.col("_lo") + F.col("size") - F.col("_i") * POINTED, F.lit(POINTED)).alias("_to"))
     asked = r.select("_p", "_b").distinct()
-    # what each byte of an asked page holds before the span: the last of the spans before it
-    edges = w.groupBy("_p", "_o", "_b").agg(F.max_by("byte", F.struct("at", "_seq")).alias("byte"), F.lit(1).alias("_edge"))
-    asks = asked.join(edges.select("_p", "_o").distinct(), "_p").select("_p", "_o", "_b", F.lit(0).alias("_edge"))
-    ahead = Window.partitionBy("_p", "_o").orderBy("_b", "_edge").rowsBetween(Window.unboundedPreceding, -1)
-    both = edges.unionByName(asks, allowMissingColumns=True).withColumn("_held", F.last("byte", ignorenulls=True).over(ahead))
-    held = both.where("_edge = 0 AND _held IS NOT NULL").select("_p", "_b", "_o", F.col("_held").alias("byte"), F.lit(0).alias("_kind"))
-    here = w.join(asked, ["_p", "_b"], "left_semi").withColumn("_kind", F.lit(1))
-    events = held.unionByName(here, allowMissingColumns=True).unionByName(r.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
-
-    def read(e: pd.DataFrame) -> pd.DataFrame:
-        e = e.assign(at=e["at"].fillna(-1)).sort_values(["_kind", "at", "_seq"], kind="stable")
-        e = pd.concat([e[e["_kind"] == 0], e[e["_kind"] != 0].sort_values(["at", "_kind", "_seq"], kind="stable")])
-        state, out = [""] * POINTED, []
-        for kind, o, byte, line, role, i, lo, hi in zip(e["_kind"], e["_o"], e["byte"], e["line"], e["role"], e["_i"], e["_from"], e["_to"], strict=True):
-            if kind < 2:
-                state[int(o)] = byte
-            elif found := "".join(state[int(lo) : int(hi)]):
-                out.append((int(line), role, int(i), found))
-        return pd.DataFrame(out, columns=["line", "role", "_i", "hex"])
-
-    found = events.groupBy("_p", "_b").applyInPandas(read, "line long, role string, _i long, hex string")
+    # a page's spans pass one after the other, each as what it leaves
+    before = logs.join(asked.select("_p").distinct(), "_p", "left_semi").select("_p", "_b", "_left")
+    marks = before.unionByName(asked.withColumn("_left", F.lit(None).cast("binary")))
+    marks = marks.repartition("_p").sortWithinPartitions("_p", "_b", F.col("_left").isNotNull())
+    held = marks.mapInArrow(_held, "_p long, _b long, _held binary")
+    pages = logs.join(asked, ["_p", "_b"], "left_semi").select("_p", "_b", "_times", "_places", "_codes").unionByName(held, allowMissingColumns=True)
+    found = r.groupBy("_p", "_b").cogroup(pages.groupBy("_p", "_b")).applyInPandas(_read, "line long, role string, _i long, hex string")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("_i", "hex"))), lambda x: x["hex"])  # the pages of one request
     return found.groupBy("line", "role").agg(F.array_join(parts, "").alias("hex"))
 
 
-def pointed(calls: DataFrame, byte_writes: DataFrame, size: int = POINTED) -> DataFrame:
+def pointed(calls: DataFrame, byte_writes: DataFrame | PageLogs, size: int = POINTED) -> DataFrame:
     """(line, payload): hex of the set bytes at buffer to buffer + size - 1 as they stand at the line of calls(line, buffer); calls without any go."""
     asked = calls.select("line", F.lit("entry").alias("role"), F.col("line").alias("at"), F.col("buffer").alias("low"), F.lit(size).cast("long").alias("size"))
     return bytes_as_of(asked, byte_writes).select("line", F.col("hex").alias("payload"))
 
 
-def pointed_texts(calls: DataFrame, byte_writes: DataFrame, size: int = POINTED) -> DataFrame:
+def pointed_texts(calls: DataFrame, byte_writes: DataFrame | PageLogs, size: int = POINTED) -> DataFrame:
     """(line, text): first line, trimmed, of the text that calls(line, buffer, return_line) point to when entered; where that is empty, when returned from.
 
     Calls without any set byte at either time go.
@@ -308,24 +397,28 @@ def call_events(lines: DataFrame, descriptors: DataFrame, registers: DataFrame,
     roles = {"value": "value_reg", "in": "in_reg", "in_len": "in_len_reg", "out": "out_reg", "out_len": "out_len_reg", "ret": "ret_reg"}
     wanted = F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).alias("reg"), F.col("return_line" if r == "ret" else "line").alias("at")) for r, c in roles.items()])
     asks = h.select(F.col("line").alias("call"), F.explode(wanted).alias("_w")).select("call", "_w.role", "_w.reg", F.col("_w.at").alias("line")).where("reg IS NOT NULL AND line IS NOT NULL")
-    got = value_at(asks, registers, "reg", "value_hex", "_v")
+    named = registers.join(F.broadcast(asks.select("reg").distinct()), "reg", "left_semi")  # writes of registers that no function names are not read
+    got = value_at(asks, named, "reg", "value_hex", "_v")
     wide = got.groupBy("call").agg(*[F.max(F.when(F.col("role") == r, F.col("_v"))).alias(f"_{r}") for r in roles]).withColumnRenamed("call", "line")
     c = h.join(wide, "line", "left")
     number = lambda x: F.conv(x, 16, 10).cast("decimal(20,0)")
     short = lambda x: F.conv(F.right(x, F.lit(8)), 16, 10).cast("long")
     sends = F.col("type") == "send"
     c = c.withColumns({"buffer": F.when(sends, number("_in")).otherwise(number("_out")), "length": F.when(sends, short("_in_len")).otherwise(short("_out_len"))})
+    c = settled(c.drop(*roles.values(), "_in", "_in_len", "_out", "_out_len"))
+    written = page_logs(byte_writes)  # read once, for the texts and for the messages
     texts = c.where("NOT value_is_value").select("line", number("_value").alias("buffer"), "return_line").where("buffer IS NOT NULL")
-    texts = pointed_texts(texts, byte_writes).withColumnRenamed("text", "_text")
+    texts = pointed_texts(texts, written).withColumnRenamed("text", "_text")
     c = settled(c.join(texts, "line", "left").withColumn("input_value", F.when(F.col("value_is_value"), F.col("_value")).otherwise(F.col("_text"))))
     # a check reads where the last receive of its key was told to write
+    keyed = F.coalesce(F.col("type").isin("receive", "check") & F.col("data_index").isNotNull(), F.lit(False))
     key = F.concat("data_index", F.coalesce("input_value", F.lit("")))
-    told = F.when((F.col("type") == "receive") & F.col("data_index").isNotNull(), F.struct("buffer", "length"))
-    c = scan(c.withColumn("_key", key), "line", told, "_told", "last", ("_key",))
-    checks = (F.col("type") == "check") & F.col("data_index").isNotNull()
-    c = c.withColumns({n: F.when(checks, F.col(f"_told.{n}")).otherwise(F.col(n)) for n in ("buffer", "length")})
+    told = F.when(F.col("type") == "receive", F.struct("buffer", "length"))
+    k = scan(c.where(keyed).withColumn("_key", key), "line", told, "_told", "last", ("_key",))
+    k = k.withColumns({n: F.when(F.col("type") == "check", F.col(f"_told.{n}")).otherwise(F.col(n)) for n in ("buffer", "length")})
+    c = settled(c.where(~keyed).unionByName(k.drop("_key", "_told")))
     asked = c.where("type IN ('send', 'receive', 'check')").select("line", F.lit("message").alias("role"), F.when(sends, F.col("line")).otherwise(F.col("return_line")).alias("at"), F.col("buffer").alias("low"), F.col("length").alias("size"))
-    found = bytes_as_of(asked, byte_writes).select("line", "hex")
+    found = bytes_as_of(asked, written).select("line", "hex")
     sent = F.decode(F.unhex(F.substring(F.col("hex"), F.lit(1), F.greatest(F.col("length") - 1, F.lit(0)).cast("int") * 2)), "ISO-8859-1")
     message = F.when(F.col("hex").isNull(), None).when(sends, sent).otherwise(message_text(F.col("hex")))
     return c.join(found, "line", "left").select("line", "return_line", "func", "type", "input_value", F.col("_ret").alias("ret_value"), "buffer", "length", message.alias("message"))
